@@ -11,13 +11,17 @@ Three independent scores per sentence, all from one lexicon ``(word, valence, po
   g = 2(up - down) / (up + down + 2) is cut at -1, -0.33, 0.33, 1 into classes 0..4
   (0: g < -1, 1: g < -0.33, 2: g <= 0.33, 3: g <= 1, 4: g > 1), compared in integers.
 
-Token values are exact decimals and every sum is exact, so scores do not depend on evaluation order.
+Token values are summed as exact integers (valence in 1e-6 units, polarity and subjectivity in 1e-4
+units; the lexicon has at most 4 decimals and the negation factor 2), and each sum is turned into a
+double once, so scores do not depend on evaluation order.
 
 Two physical strategies, picked by a size check on the lexicon:
 
-* inline (lexicon up to ``MAX_INLINE_WORDS`` words): the lexicon becomes a literal map in the plan
-  and every score is a higher-order-function expression over the sentence's token array. The whole
-  scoring is one narrow stage: no shuffle, the sentence text never moves.
+* inline (lexicon up to ``MAX_INLINE_WORDS`` words): the lexicon becomes a literal map in the plan;
+  each token is looked up once, the matched tokens are kept (a short array) and every sum is a
+  higher-order-function expression over them. The whole scoring is one narrow stage: no shuffle,
+  the sentence text never moves. Scores leave through a one-row generator so that a later filter
+  on a score is not pushed below it (which would inline and evaluate the scoring twice).
 * exploded (bigger lexicons): tokens are exploded, joined with the lexicon (broadcast only when its
   row count is proven small, else a shuffle join that AQE splits on hot words), aggregated per
   sentence with map-side partial aggregation, and joined back on (id, rank_sentence).
@@ -25,59 +29,65 @@ Two physical strategies, picked by a size check on the lexicon:
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DecimalType
 
 from tonekit.functions.numeric import round_half_up
 from tonekit.functions.text import word_tokens
-from tonekit.sources.lexicon import LEX_DEC, NEGATION_FACTOR, NEGATION_REACH, NEGATORS
+from tonekit.sources.lexicon import NEGATION_FACTOR, NEGATION_REACH, NEGATORS
 
-SUM_DEC = DecimalType(28, 6)
 MAX_INLINE_WORDS = 20_000        # literal map size limit (each lookup scans the key array)
 MAX_BROADCAST_WORDS = 2_000_000  # lexicon rows that may still be broadcast on the exploded path
 COMPOUND_ALPHA = 15
 SCORE_COLUMNS = ("ordinal", "compound", "neu", "neg", "pos", "polarity", "subjectivity")
 KEYS = ("id", "rank_sentence")
 
-
-def _zero() -> Column:
-    return F.lit(0).cast(SUM_DEC)
+V_UNIT = 10 ** 6     # valence unit: 1e-6 (lexicon 1e-4 x negation factor 1e-2)
+P_UNIT = 10 ** 4     # polarity / subjectivity unit: 1e-4
+NEG_HUNDREDTHS = int(NEGATION_FACTOR * 100)
+assert Decimal(NEG_HUNDREDTHS) / 100 == NEGATION_FACTOR, "negation factor must have at most 2 decimals"
 
 
 def _sign(c: Column) -> Column:
     return F.when(c > 0, F.lit(1)).when(c < 0, F.lit(-1)).otherwise(F.lit(0))
 
 
-def _token_parts(v: Column, p: Column, s: Column) -> dict[str, Column]:
-    """Per-token contributions; v, p, s are the (possibly null) lexicon values of one token."""
-    one = F.lit(1).cast(SUM_DEC)
-    tone = _sign(F.coalesce(v, F.lit(0))) + _sign(F.coalesce(p, F.lit(0)))
+def _hit_parts(v: Column, p: Column, s: Column) -> dict[str, Column]:
+    """Integer contributions of one *matched* token (v in 1e-6 units, p and s in 1e-4 units)."""
+    zero = F.lit(0).cast("long")
+    tone = _sign(F.coalesce(v, zero)) + _sign(F.coalesce(p, zero))
     return {
-        "s_val": F.coalesce(v.cast(SUM_DEC), _zero()),
-        "s_pos": F.when(v > 0, (v + 1).cast(SUM_DEC)).otherwise(_zero()),
-        "s_neg": F.when(v < 0, (one - v).cast(SUM_DEC)).otherwise(_zero()),
-        "n_neu": F.when(v.isNull() | (v == 0), F.lit(1)).otherwise(F.lit(0)),
-        "s_pol": F.coalesce(p.cast(SUM_DEC), _zero()),
+        "s_val": F.coalesce(v, zero),
+        "s_pos": F.when(v > 0, v + F.lit(V_UNIT)).otherwise(zero),
+        "s_neg": F.when(v < 0, F.lit(V_UNIT) - v).otherwise(zero),
+        "n_nz": F.when(v.isNotNull() & (v != 0), F.lit(1)).otherwise(F.lit(0)),
+        "s_pol": F.coalesce(p, zero),
         "n_pol": F.when(p.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
-        "s_sub": F.coalesce(s.cast(SUM_DEC), _zero()),
+        "s_sub": F.coalesce(s, zero),
         "n_sub": F.when(s.isNotNull(), F.lit(1)).otherwise(F.lit(0)),
         "n_up": F.when(tone > 0, F.lit(1)).otherwise(F.lit(0)),
         "n_down": F.when(tone < 0, F.lit(1)).otherwise(F.lit(0)),
     }
 
 
-def _finish(t: dict[str, Column]) -> dict[str, Column]:
-    """Sentence scores from the summed parts."""
-    s = t["s_val"].cast("double")
+PART_NAMES = ("s_val", "s_pos", "s_neg", "n_nz", "s_pol", "n_pol", "s_sub", "n_sub", "n_up", "n_down")
+
+
+def _finish(t: dict[str, Column], n_tokens: Column) -> dict[str, Column]:
+    """Sentence scores from the integer part sums and the token count."""
+    v_unit, p_unit = F.lit(float(V_UNIT)), F.lit(float(P_UNIT))
+    s = t["s_val"].cast("double") / v_unit
     compound = round_half_up(s / F.sqrt(s * s + F.lit(float(COMPOUND_ALPHA))), 4)
-    total = (t["s_pos"] + t["s_neg"] + t["n_neu"].cast(SUM_DEC)).cast("double")
+    n_neu = n_tokens - t["n_nz"]
+    total = (t["s_pos"] + t["s_neg"] + n_neu.cast("long") * F.lit(V_UNIT)).cast("double") / v_unit
 
     def share(x: Column) -> Column:
-        return F.coalesce(round_half_up(F.try_divide(x.cast("double"), total), 3), F.lit(0.0))
+        return F.coalesce(round_half_up(F.try_divide(x, total), 3), F.lit(0.0))
 
     def mean(sum_col: Column, n: Column) -> Column:
-        return F.coalesce(F.try_divide(sum_col.cast("double"), n.cast("double")), F.lit(0.0))
+        return F.coalesce(F.try_divide(sum_col.cast("double") / p_unit, n.cast("double")), F.lit(0.0))
 
     d = t["n_up"] - t["n_down"]
     m = t["n_up"] + t["n_down"] + F.lit(2)
@@ -89,14 +99,20 @@ def _finish(t: dict[str, Column]) -> dict[str, Column]:
     return {
         "ordinal": ordinal,
         "compound": compound,
-        "neu": share(t["n_neu"]),
-        "neg": share(t["s_neg"]),
-        "pos": share(t["s_pos"]),
+        "neu": share(n_neu.cast("double")),
+        "neg": share(t["s_neg"].cast("double") / v_unit),
+        "pos": share(t["s_pos"].cast("double") / v_unit),
         "polarity": mean(t["s_pol"], t["n_pol"]),
         "subjectivity": mean(t["s_sub"], t["n_sub"]),
     }
 
 
+def _emit(df: DataFrame, keep: list[str], scores: dict[str, Column]) -> DataFrame:
+    """Attach the scores through a one-row generator: filters on them stay above it."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in scores.items()]))
+    return df.select(*keep, F.inline(packed))
+
+
 def negation_flags(tokens: Column, reach: int = NEGATION_REACH) -> Column:
     """``ARRAY<BOOLEAN>``, true where one of the ``reach`` previous tokens is a negator.
 
@@ -112,26 +128,8 @@ def negation_flags(tokens: Column, reach: int = NEGATION_REACH) -> Column:
     return out
 
 
-PART_NAMES = ("s_val", "s_pos", "s_neg", "n_neu", "s_pol", "n_pol", "s_sub", "n_sub", "n_up", "n_down")
-
-
-def _array_total(vals: Column, name: str) -> Column:
-    """Sum of one token part over an array of ``struct<v, p, s>`` (HOF; lambdas bind ``name``)."""
-    def part(x: Column) -> Column:
-        return _token_parts(x["v"], x["p"], x["s"])[name]
-    if name.startswith("s_"):
-        return F.aggregate(vals, _zero(), lambda acc, x: (acc + part(x)).cast(SUM_DEC))
-    return F.size(F.filter(vals, lambda x: part(x) == 1))
-
-
-def _inline_lookup(rows) -> tuple[Column, Column, Column, Column]:
-    words = [r["word"] for r in rows]
-    index = F.map_from_arrays(F.lit(words), F.lit(list(range(1, len(words) + 1))))
-    arr = ArrayType(LEX_DEC)
-    val = F.lit([r["valence"] for r in rows]).cast(arr)
-    pol = F.lit([r["polarity"] for r in rows]).cast(arr)
-    sub = F.lit([r["subjectivity"] for r in rows]).cast(arr)
-    return index, val, pol, sub
+def _units(value, unit: int):
+    return None if value is None else int(Decimal(value) * unit)
 
 
 def _inline_rows(lexicon: DataFrame, limit: int):
@@ -147,49 +145,60 @@ def _inline_rows(lexicon: DataFrame, limit: int):
 
 
 def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFrame:
-    index, val, pol, sub = _inline_lookup(rows)
-    factor = F.lit(NEGATION_FACTOR).cast(LEX_DEC)
+    words = [r["word"] for r in rows]
+    index = F.map_from_arrays(F.lit(words), F.lit(list(range(1, len(words) + 1))))
+    val4 = F.lit([_units(r["valence"], P_UNIT) for r in rows]).cast("array<bigint>")
+    pol = F.lit([_units(r["polarity"], P_UNIT) for r in rows]).cast("array<bigint>")
+    sub = F.lit([_units(r["subjectivity"], P_UNIT) for r in rows]).cast("array<bigint>")
 
-    def entry(t: Column, negated: Column | None = None) -> Column:
-        k = F.try_element_at(index, t)
-        v = F.try_element_at(val, k)
-        if negated is not None:
-            v = F.when(negated, (v * factor).cast(SUM_DEC)).otherwise(v.cast(SUM_DEC))
-        return F.struct(v.alias("v"), F.try_element_at(pol, k).alias("p"),
-                        F.try_element_at(sub, k).alias("s"))
+    def hit(t: Column, negated: Column) -> Column:
+        return F.struct(F.try_element_at(index, t).alias("k"), negated.alias("g"))
 
+    cols = df.columns
     staged = df.withColumn("_toks", word_tokens(text_col))
     if negation:
         staged = staged.withColumn("_neg", negation_flags(F.col("_toks")))
-        vals = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: entry(t, g))
+        pairs = F.zip_with(F.col("_toks"), F.col("_neg"), hit)
     else:
-        vals = F.transform(F.col("_toks"), lambda t: entry(t))
-    staged = staged.withColumn("_vals", vals)
-    sums = {name: _array_total(F.col("_vals"), name) for name in PART_NAMES}
-    return staged.withColumns(_finish(sums)).drop("_toks", "_neg", "_vals")
+        pairs = F.transform(F.col("_toks"), lambda t: hit(t, F.lit(False)))
+    staged = staged.select(*cols, F.size("_toks").alias("_n"),
+                           F.filter(pairs, lambda x: x["k"].isNotNull()).alias("_hits"))
+
+    def part_total(name: str) -> Column:
+        def part(x: Column) -> Column:
+            v4 = F.try_element_at(val4, x["k"])
+            v = F.when(x["g"], v4 * F.lit(NEG_HUNDREDTHS)).otherwise(v4 * F.lit(V_UNIT // P_UNIT))
+            return _hit_parts(v, F.try_element_at(pol, x["k"]), F.try_element_at(sub, x["k"]))[name]
+        return F.aggregate(F.col("_hits"), F.lit(0).cast("long"), lambda acc, x: acc + part(x))
+
+    sums = {name: part_total(name) for name in PART_NAMES}
+    return _emit(staged, cols, _finish(sums, F.col("_n")))
 
 
 def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool) -> DataFrame:
     toks = df.select(*[F.col(k) for k in KEYS], word_tokens(text_col).alias("_toks"))
     if negation:
         toks = toks.withColumn("_neg", negation_flags(F.col("_toks")))
-        pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))
-        toks = toks.select(*KEYS, F.explode(pairs).alias("tok"))
-        toks = toks.select(*KEYS, F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
     else:
-        toks = toks.select(*KEYS, F.explode("_toks").alias("word"), F.lit(False).alias("negated"))
-    lex = lexicon.select("word", "valence", "polarity", "subjectivity").dropDuplicates(["word"])
+        toks = toks.withColumn("_neg", F.transform("_toks", lambda t: F.lit(False)))
+    pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))
+    toks = toks.select(*KEYS, F.explode(pairs).alias("tok"))
+    toks = toks.select(*KEYS, F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
+    lex = lexicon.select(
+        "word", (F.col("valence") * P_UNIT).cast("long").alias("v4"),
+        (F.col("polarity") * P_UNIT).cast("long").alias("p4"),
+        (F.col("subjectivity") * P_UNIT).cast("long").alias("s4")).dropDuplicates(["word"])
     small = lex.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS
     joined = toks.join(F.broadcast(lex) if small else lex, "word", "left")
-    v = (F.when(F.col("negated"), (F.col("valence") * F.lit(NEGATION_FACTOR)).cast(SUM_DEC))
-         .otherwise(F.col("valence").cast(SUM_DEC)))
-    parts = _token_parts(v, F.col("polarity"), F.col("subjectivity"))
-    agg = joined.groupBy(*KEYS).agg(*[F.sum(c).alias(n) for n, c in parts.items()])
-    scored = agg.select(*KEYS, *[c.alias(n) for n, c in _finish({n: F.col(n) for n in parts}).items()])
-    # Sentences without any token have no row in ``agg``: score them from empty sums.
-    empty = _finish({n: (_zero() if n.startswith("s_") else F.lit(0)) for n in parts})
-    out = df.join(scored, list(KEYS), "left")
-    return out.withColumns({n: F.coalesce(F.col(n), e) for n, e in empty.items()})
+    v = F.when(F.col("negated"), F.col("v4") * F.lit(NEG_HUNDREDTHS)).otherwise(F.col("v4") * F.lit(V_UNIT // P_UNIT))
+    parts = _hit_parts(v, F.col("p4"), F.col("s4"))
+    agg = joined.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"),
+                                    *[F.sum(c).cast("long").alias(n) for n, c in parts.items()])
+    # Sentences without any token have no row in ``agg``: their sums are 0.
+    cols = df.columns
+    out = df.join(agg, list(KEYS), "left")
+    sums = {n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in parts}
+    return _emit(out, cols, _finish(sums, F.coalesce(F.col("_n"), F.lit(0).cast("long"))))
 
 
 def score_sentences(df: DataFrame, lexicon: DataFrame, text_col: str = "sentence",
