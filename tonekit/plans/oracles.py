@@ -553,6 +553,7 @@ ORACLES: dict[str, str] = {
                          f"FROM doc_scored", "doc_scored"),
     "top_n_per_group": (f"SELECT post_id, author, CAST(rn AS INTEGER) AS rank FROM (SELECT post_id, author, "
                         f"row_number() OVER (PARTITION BY author ORDER BY post_id DESC) AS rn FROM ({POSTS})) WHERE rn <= 100"),
+    "stream_scores": sql("SELECT id, rank_sentence, lang, compound, polarity, ordinal FROM doc_scored", "doc_scored"),
     "sort_sentences": sql("SELECT l.quality, s.id, s.rank_sentence FROM doc_sent s JOIN labels l ON s.id = l.doc_id",
                           "doc_sent"),
 }

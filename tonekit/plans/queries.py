@@ -35,6 +35,7 @@ from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
 from tonekit.sources.html_table import html_table
 from tonekit.sources.lexicon import fixture_lexicon
 from tonekit.sources.tables import read_pages, read_table
+from tonekit.streaming.scoring_stream import start_scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,3 +577,17 @@ def q_sort_sentences(spark, d):
     labels = read_table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
     sents = doc_sentences(spark, d).join(joins.broadcast_if_small(labels), "id")
     return windows.sort_by(sents, ["quality", "id", "rank_sentence"]).select("quality", "id", "rank_sentence")
+
+
+# ---- streaming -------------------------------------------------------------------------------
+
+@query("stream_scores")
+def q_stream_scores(spark, d):
+    """The scoring job run as a file stream (available-now trigger) over the documents file."""
+    docs = read_table(spark, d, "documents")
+    base = _scratch(spark)
+    q = start_scoring_stream(spark, f"{d.rstrip('/')}/documents*.parquet", docs.schema, fixture_lexicon(spark),
+                             f"{base}/out", f"{base}/checkpoint", "doc_id", "text", 1, keep=["lang"])
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("id", "rank_sentence", "lang", "compound", "polarity", "ordinal")
