@@ -1,7 +1,9 @@
 """Left joins of the corpus build and the sentence table.
 
-Dimension tables are broadcast only behind a bounded row-count check (``broadcast_if_small``);
-above the bound the join stays a shuffle join and AQE may still convert or split it at run time.
+Base dimension tables are broadcast only behind a bounded row-count check (``broadcast_if_small``,
+cheap on a stored table); above the bound the join stays a shuffle join. Small *derived* tables
+(aggregates) are not checked this way, since the check would run their whole lineage once more:
+AQE broadcasts them from the measured size of the finished stage.
 Left-join multiplicity is kept: a key repeated on the right multiplies rows.
 """
 

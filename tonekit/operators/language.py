@@ -59,6 +59,12 @@ def build_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return tri.groupBy("lang", "tri").agg(F.sum("c").alias("n"))
 
 
+def materialize_profiles(profiles: DataFrame) -> DataFrame:
+    """Store the learned profile once (checkpoint folder) so later jobs read it, not the corpus."""
+    from tonekit.session import materialize
+    return materialize(profiles)
+
+
 def _language_constants(profiles: DataFrame) -> list[tuple[str, float]]:
     """(lang, log(total_L + V)) for every language; a bounded list (checked)."""
     vocab = profiles.select("tri").distinct().count()
@@ -72,7 +78,11 @@ def _language_constants(profiles: DataFrame) -> list[tuple[str, float]]:
 
 def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("id", "rank_sentence"),
                     text_col: str = "sentence", out: str = "language") -> DataFrame:
-    """``(*keys, language)`` for every row of ``df`` (``keys`` must be unique)."""
+    """``(*keys, language)`` for every row of ``df`` (``keys`` must be unique).
+
+    ``profiles`` is a learned model read by three jobs (vocabulary size, per-language totals, the
+    join): pass a stored or materialized table (``materialize_profiles``), not a lazy aggregate.
+    """
     consts = _language_constants(profiles)
     prof = profiles.select("tri", "lang", F.log(F.col("n") + F.lit(1.0)).alias("lw"))
     tris = df.select(*keys, char_trigrams(text_col).alias("_tris"))

@@ -6,7 +6,8 @@ Three independent scores per sentence, all from one lexicon ``(word, valence, po
   Shares (A): pos = sum(v + 1) over v > 0, neg = sum(1 - v) over v < 0, neu = count of tokens with
   no valence or valence 0; each divided by pos + neg + neu, rounded to 3 digits (0 for no tokens).
   Optional negation (N6): a valence is multiplied by -0.74 when one of the 3 previous tokens is a negator.
-* polarity / subjectivity (B): means over tokens that have the value, 0 without hits.
+* polarity / subjectivity (B): means over tokens that have the value, rounded to 4 digits, 0 without hits.
+  (Stored scores have 4 decimals, so their means can be taken exactly with ``exact_mean``.)
 * ordinal (C): each token counts as up/down by the sign of sign(valence) + sign(polarity);
   g = 2(up - down) / (up + down + 2) is cut at -1, -0.33, 0.33, 1 into classes 0..4
   (0: g < -1, 1: g < -0.33, 2: g <= 0.33, 3: g <= 1, 4: g > 1), compared in integers.
@@ -87,7 +88,8 @@ def _finish(t: dict[str, Column], n_tokens: Column) -> dict[str, Column]:
         return F.coalesce(round_half_up(F.try_divide(x, total), 3), F.lit(0.0))
 
     def mean(sum_col: Column, n: Column) -> Column:
-        return F.coalesce(F.try_divide(sum_col.cast("double") / p_unit, n.cast("double")), F.lit(0.0))
+        return F.coalesce(round_half_up(F.try_divide(sum_col.cast("double") / p_unit, n.cast("double")), 4),
+                          F.lit(0.0))
 
     d = t["n_up"] - t["n_down"]
     m = t["n_up"] + t["n_down"] + F.lit(2)

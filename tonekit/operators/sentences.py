@@ -40,19 +40,20 @@ def drop_noise_sentences(df: DataFrame, sentence_col: str = "sentence") -> DataF
 
 
 def explode_sentences(df: DataFrame, id_col: str, text_col: str, sentence_level: int = 1,
-                      keep: Sequence[str] = ()) -> DataFrame:
+                      keep: Sequence[str] = (), with_count: bool = False) -> DataFrame:
     """One row per sentence ``(id, rank_sentence, sentence, *keep)``.
 
     ``sentence_level=1``: split (N1), drop noise (F7), then rank 0.. in text order.
     ``sentence_level=0``: the whole text is one sentence with rank 0, nothing is dropped.
-    A null text gives no rows.
+    A null text gives no rows. ``with_count`` adds ``n_sentences`` (sentences of the same text),
+    known before the explode, so per-document progress needs no shuffle.
     """
     text = F.col(text_col)
     if sentence_level == 1:
         parts = F.filter(split_sentences(text), lambda s: ~is_noise(s))
     else:
         parts = F.when(text.isNotNull(), F.array(text))
-    return df.select(
-        F.col(id_col).alias("id"), *[F.col(k) for k in keep],
-        F.posexplode(parts).alias("rank_sentence", "sentence"),
-    ).select("id", "rank_sentence", "sentence", *keep)
+    staged = df.select(F.col(id_col).alias("id"), *[F.col(k) for k in keep], parts.alias("_parts"))
+    extra = [F.size("_parts").alias("n_sentences")] if with_count else []
+    out = staged.select("id", *keep, *extra, F.posexplode("_parts").alias("rank_sentence", "sentence"))
+    return out.select("id", "rank_sentence", "sentence", *keep, *[c for c in ("n_sentences",) if with_count])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tonekit.functions.numeric import normal_sf, np_round
 
 
+
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
@@ -89,8 +90,8 @@ def histogram_pct(df: DataFrame, col: str, group: str, bins: int = 20, digits: i
               .withColumn("hi", F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))))
     n = F.lit(float(bins))
     idx = F.least(F.floor((F.col("x") - F.col("lo")) * n / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    # One row per group in ``rng``: broadcasting it is bounded by the number of groups.
-    counts = (vals.join(F.broadcast(rng.select(group, "lo", "hi")), group)
+    # One row per group in ``rng``: derived and small, so AQE broadcasts it from its run-time size.
+    counts = (vals.join(rng.select(group, "lo", "hi"), group)
                   .groupBy(group, idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
     grid = rng.select(group, "lo", "hi", "total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / n
@@ -120,7 +121,7 @@ def kde(df: DataFrame, col: str, group: str, points: int = 100, cut: float = 3.0
                      (F.col("mn") - F.lit(cut) * F.col("h")).alias("start"), step.alias("step"))
     grid = grid.withColumn("x", F.col("start") + F.col("i") * F.col("step")).drop("start", "step")
     u = (F.col("x") - F.col("v")) / F.col("h")
-    dens = (weights.join(F.broadcast(grid), group)
+    dens = (weights.join(grid, group)
                    .groupBy(group, "i", "x", "n", "h")
                    .agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * u * u)).alias("k")))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
@@ -130,14 +131,14 @@ def kde(df: DataFrame, col: str, group: str, points: int = 100, cut: float = 3.0
 def median_by(df: DataFrame, group: str, col: str) -> DataFrame:
     """Exact median per group (mean of the two middle values for an even count).
 
-    Counts per distinct value, then a running count per group over that bounded table: no group's
-    rows are ever gathered into one task.
+    Counts per distinct value, then a running count per group over that table (distributed prefix
+    sum): no group's rows are ever gathered into one task.
     """
+    from tonekit.operators.windows import prefix_sum
     counts = (_not_null(df, [group, col]).groupBy(group, F.col(col).alias("v"))
               .agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy(group).orderBy("v")
-    cum = (counts.withColumn("cum", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                 .withColumn("n", F.sum("c").over(Window.partitionBy(group))))
+    sizes = counts.groupBy(group).agg(F.sum("c").alias("n"))
+    cum = prefix_sum(counts, "v", "c", "cum", group_col=group).join(sizes, group)
     lo_k = F.floor((F.col("n") + 1) / 2)          # 1-based position of the lower middle value
     hi_k = F.floor(F.col("n") / 2) + 1             # 1-based position of the upper middle value
     first = F.col("cum") - F.col("c") + 1
@@ -152,8 +153,8 @@ def median_by(df: DataFrame, group: str, col: str) -> DataFrame:
 def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     """Mann-Whitney U between rows with ``group == a`` and ``group == b``.
 
-    Average ranks with ties come from counts per distinct value and a running sum over the
-    distinct values (bounded), never over rows. Returns one row:
+    Average ranks with ties come from counts per distinct value and a distributed running sum over
+    the distinct values, never over rows. Returns one row:
     n1, n2, r1, u1, u2, u (= min), tie term sum(t^3 - t), z = (|u1 - mu| - 0.5) / sigma,
     p_two_sided, p_greater (alternative: a tends to be larger) and p_less, all with continuity
     correction and tie-corrected sigma (normal approximation).
@@ -162,9 +163,8 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     counts = (vals.groupBy(F.col(col).alias("v"))
                   .agg(F.sum(F.when(F.col(group) == F.lit(a), 1).otherwise(0)).alias("na"),
                        F.count(F.lit(1)).alias("t")))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # The table has one row per distinct score value; an unpartitioned window over it is bounded.
-    ranked = counts.withColumn("cum", F.sum("t").over(w))
+    from tonekit.operators.windows import prefix_sum
+    ranked = prefix_sum(counts, "v", "t", "cum")
     avg_rank = F.col("cum") - (F.col("t") - 1) / 2.0
     summary = ranked.agg(
         F.sum(F.col("na")).alias("n1"),
@@ -191,6 +191,10 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
 
 
 def series_by(df: DataFrame, id_col: str, x: str, y: str, ma: str) -> DataFrame:
-    """Per id an ordered ``ARRAY<STRUCT<x, y, ma>>`` (one document's points: bounded)."""
-    pts = F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(ma).alias("ma"))
-    return df.groupBy(id_col).agg(F.sort_array(F.collect_list(pts)).alias("series"))
+    """Per id the ordered points ``(id, x, y, ma)``, sorted by id and x.
+
+    Long format instead of one array per id: the sort is range-partitioned, so a very long
+    series is split over tasks rather than collected into one row.
+    """
+    pts = df.select(F.col(id_col), F.col(x).alias("x"), F.col(y).alias("y"), F.col(ma).alias("ma"))
+    return pts.orderBy(id_col, "x")

@@ -1,9 +1,10 @@
 """Window operators (W1-W7) and sorts (O1-O3).
 
-Per-document windows (progress, rolling mean) partition by the document id: a group is one
-document, bounded by document length. Global orderings (panel numbers, positions) never use an
-un-partitioned window: ``global_row_number`` range-partitions, numbers rows inside each partition
-and adds per-partition offsets from a table with one row per partition.
+No operator here gathers a whole group into one task: per-document progress uses the contiguous
+sentence rank and a count taken before the explode, the rolling mean is an aggregate keyed by
+(document, window end), top-n runs in two salted rounds, and global orderings (panel numbers,
+positions) range-partition, number rows inside each partition and add per-partition offsets
+from a table with one row per partition.
 """
 
 from __future__ import annotations
@@ -16,20 +17,46 @@ from pyspark.sql import functions as F
 ColumnOrName = Column | str
 
 
-def speech_progress(df: DataFrame, id_col: str = "id", order_col: str = "rank_sentence") -> DataFrame:
-    """``cumcount`` (1-based position in the document) and ``percentage`` = cumcount / count."""
-    w = Window.partitionBy(id_col).orderBy(order_col)
-    total = F.count(F.lit(1)).over(Window.partitionBy(id_col))
-    return (df.withColumn("cumcount", F.row_number().over(w))
-              .withColumn("percentage", F.col("cumcount") / total))
+def speech_progress(df: DataFrame, id_col: str = "id", order_col: str = "rank_sentence",
+                    total_col: str | None = "n_sentences") -> DataFrame:
+    """``cumcount`` (1-based position in the document) and ``percentage`` = cumcount / count.
+
+    ``order_col`` must be the contiguous 0-based rank that ``explode_sentences`` produces, so the
+    position is rank + 1 without a window. The per-document total comes from ``total_col`` when
+    present (counted before the explode: no shuffle at all), else from a count per id joined back
+    (an aggregate with map-side combine; AQE splits a hot id in the join). No step puts a whole
+    document into one task.
+    """
+    cum = (F.col(order_col) + 1).cast("int")
+    if total_col and total_col in df.columns:
+        total = F.col(total_col)
+        out = df
+    else:
+        counts = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_total"))
+        out = df.join(counts, id_col, "left")
+        total = F.col("_total")
+    return (out.withColumn("cumcount", cum)
+               .withColumn("percentage", cum.cast("double") / total.cast("double"))
+               .drop("_total"))
 
 
 def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "rank_sentence",
                  window: int = 5, out: str | None = None) -> DataFrame:
-    """Trailing mean over ``window`` rows; null until the window is full or if any value is null."""
-    w = Window.partitionBy(id_col).orderBy(order_col).rowsBetween(-(window - 1), 0)
+    """Trailing mean over ``window`` rows; null until the window is full or if any value is null.
+
+    ``order_col`` is a contiguous rank. Each row adds its value to the ``window`` windows that end
+    at ranks r .. r + window - 1; an aggregate per (id, end rank) gives count and sum, and the mean
+    is kept where all ``window`` values are present. The work is keyed by (id, rank), so a very
+    long document is spread over many tasks instead of being sorted in one.
+    """
     out = out or f"{col}_ma{window}"
-    return df.withColumn(out, F.when(F.count(col).over(w) == window, F.avg(col).over(w)))
+    contrib = df.select(F.col(id_col).alias("_id"), F.col(order_col).alias("_r"), F.col(col).alias("_v"),
+                        F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_k"))
+    sums = (contrib.groupBy("_id", (F.col("_r") + F.col("_k")).alias("_end"))
+                   .agg(F.count("_v").alias("_c"), F.sum("_v").alias("_s")))
+    ma = sums.select(F.col("_id").alias(id_col), F.col("_end").alias(order_col),
+                     F.when(F.col("_c") == window, F.col("_s") / F.lit(float(window))).alias(out))
+    return df.join(ma, [id_col, order_col], "left")
 
 
 def top_n_per_group(df: DataFrame, group_col: str, order_col: str, n: int,
@@ -62,11 +89,34 @@ def global_row_number(df: DataFrame, order_cols: Sequence[ColumnOrName], out: st
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
+    # One row per partition: a structural size bound, so the broadcast hint is safe.
     return (ranged.join(F.broadcast(offsets), "_pid")
                   .withColumn(out, F.col("_off") + local + F.lit(1))
                   .drop("_mid", "_pid", "_off"))
 
 
+def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "cum",
+               group_col: str | None = None) -> DataFrame:
+    """Running sum of ``value_col`` in ``order_col`` order (per ``group_col``), rows included.
+
+    ``order_col`` must be unique (within the group). Range partitioning by (group, order) splits
+    even one huge group over many tasks; each task sums its own rows in order, and the totals of
+    earlier partitions (a table of at most partitions x groups rows) are added back as offsets.
+    """
+    keys = ([group_col] if group_col else []) + [order_col]
+    ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id()))
+    part_keys = ["_pid"] + ([group_col] if group_col else [])
+    local_w = Window.partitionBy(*part_keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum(value_col).over(local_w))
+    totals = ranged.groupBy(*part_keys).agg(F.sum(value_col).alias("_t"))
+    before = Window.partitionBy(*([group_col] if group_col else [])).orderBy("_pid")
+    offsets = totals.select(*part_keys, (F.sum("_t").over(before) - F.col("_t")).alias("_off"))
+    # ``offsets`` is small but derived: AQE broadcasts it from its measured size at run time.
+    joined = local.join(offsets, part_keys, "left")
+    return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).drop("_pid", "_local", "_off")
+
+
 def panel_index(df: DataFrame, id_col: str, order_cols: Sequence[str], ncol: int = 3) -> DataFrame:
     """Panel number by order of first appearance, plus grid row and column (``ncol`` wide).
 

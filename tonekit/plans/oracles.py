@@ -164,7 +164,7 @@ def scored_ctes(p: str, src: str, negation: bool = False) -> dict[str, str]:
     share = lambda x: (f"(CASE WHEN {tot} = 0 THEN {dbl(0.0)} ELSE "
                        f"{rhu(f'CAST(coalesce({x}, 0) AS DOUBLE) / {tot}', 3)} END)")
     mean = lambda s, n: (f"(CASE WHEN coalesce({n}, 0) = 0 THEN {dbl(0.0)} ELSE "
-                         f"CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE) END)")
+                         f"{rhu(f'CAST({s} AS DOUBLE) / CAST({n} AS DOUBLE)', 4)} END)")
     d = "(coalesce(n_up, 0) - coalesce(n_down, 0))"
     m = "(coalesce(n_up, 0) + coalesce(n_down, 0) + 2)"
     ordinal = (f"CAST(CASE WHEN 2 * {d} < -{m} THEN 0 WHEN 200 * {d} < -33 * {m} THEN 1 "
@@ -389,7 +389,7 @@ def share_of(label: str) -> str:
 ORACLES: dict[str, str] = {
     "lang_summary": sql(
         f"SELECT lang, count(*) AS n_sentences, {r6(exact_mean('compound'))} AS mean_compound, "
-        f"{r6('avg(polarity)')} AS mean_polarity, {r6('median(compound)')} AS median_compound "
+        f"{r6(exact_mean('polarity'))} AS mean_polarity, {r6('median(compound)')} AS median_compound "
         f"FROM doc_scored GROUP BY lang", "doc_scored"),
     "csv_roundtrip": "SELECT doc_id, lang, source, text FROM documents",
     "page_title": f"SELECT page_id, {element_text('html', 'title')} AS title FROM pages",
@@ -535,7 +535,7 @@ ORACLES: dict[str, str] = {
         f"stddev_samp(ordinal) AS std FROM doc_scored GROUP BY id)", "doc_scored"),
     "mean_over_time": (f"SELECT user_id, {r6('avg(value)')} AS mean, arg_min(event_type, ts) AS event_type, "
                        f"CAST(year(min(ts)) AS INTEGER) AS year FROM events WHERE user_id IS NOT NULL GROUP BY user_id"),
-    "scorer_means": sql(f"SELECT id, {r6(exact_mean('compound'))} AS mean_compound, {r6('avg(polarity)')} AS mean_polarity, "
+    "scorer_means": sql(f"SELECT id, {r6(exact_mean('compound'))} AS mean_compound, {r6(exact_mean('polarity'))} AS mean_polarity, "
                         f"{r6('avg(ordinal)')} AS mean_ordinal FROM doc_scored GROUP BY id", "doc_scored"),
     "ordinal_share": sql(
         f"SELECT quality, ordinal, count(*) AS n, "
@@ -546,8 +546,7 @@ ORACLES: dict[str, str] = {
                            f"WHERE quality IS NOT NULL AND compound IS NOT NULL GROUP BY quality", "lab_scored"),
     "mann_whitney": _mann_whitney(),
     "series_by_id": sql(
-        f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY rank_sentence) - 1 AS INTEGER) AS idx, "
-        f"{r6('CAST(row_number() OVER (PARTITION BY id ORDER BY rank_sentence) AS DOUBLE) / CAST(count(*) OVER (PARTITION BY id) AS DOUBLE)')} AS x, "
+        f"SELECT id, {r6('CAST(row_number() OVER (PARTITION BY id ORDER BY rank_sentence) AS DOUBLE) / CAST(count(*) OVER (PARTITION BY id) AS DOUBLE)')} AS x, "
         f"{r6('polarity')} AS y, {r6(_rolling(''))} AS ma FROM doc_scored", "doc_scored"),
     "rolling_mean5": sql(f"SELECT id, rank_sentence, {r6('polarity')} AS polarity, {r6(_rolling(''))} AS polarity_ma5 "
                          f"FROM doc_scored", "doc_scored"),

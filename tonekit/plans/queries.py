@@ -25,7 +25,7 @@ from tonekit.functions.patterns import DEFAULT_INFO
 from tonekit.operators import agreement as agr
 from tonekit.operators import clean, joins, stats, windows
 from tonekit.operators.html_extract import append_literals, extract_links, extract_pages, site_base
-from tonekit.operators.language import build_profiles, detect_language
+from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
 from tonekit.operators.scoring import score_sentences
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
 from tonekit.operators.tokens_map import annotate_words, tokens_to_map
@@ -80,7 +80,7 @@ def corpora(spark, d) -> DataFrame:
 
 def _scratch(spark) -> str:
     import tempfile
-    base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tonekit-ckpt-"))
+    base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tonekit-ckpt-"))  # fallback: tests only
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -92,7 +92,7 @@ def q_lang_summary(spark, d):
     scored = doc_scored(spark, d)
     agg = scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"),
                                      _r6(exact_mean("compound")).alias("mean_compound"),
-                                     _r6(F.avg("polarity")).alias("mean_polarity"))
+                                     _r6(exact_mean("polarity")).alias("mean_polarity"))
     med = stats.median_by(scored, "lang", "compound").select("lang", _r6(F.col("median")).alias("median_compound"))
     return agg.join(med, "lang", "left")
 
@@ -218,7 +218,8 @@ def q_fill_missing(spark, d):
 
 @query("speech_progress")
 def q_speech_progress(spark, d):
-    return windows.speech_progress(doc_sentences(spark, d)).select("id", "rank_sentence", "cumcount", "percentage")
+    sents = explode_sentences(read_table(spark, d, "documents"), "doc_id", "text", 1, with_count=True)
+    return windows.speech_progress(sents).select("id", "rank_sentence", "cumcount", "percentage")
 
 
 # ---- filters -------------------------------------------------------------------------------
@@ -440,14 +441,14 @@ def q_score_ordinal(spark, d):
 @query("language_id")
 def q_language_id(spark, d):
     docs = read_table(spark, d, "documents")
-    return detect_language(doc_sentences(spark, d), build_profiles(docs))
+    return detect_language(doc_sentences(spark, d), materialize_profiles(build_profiles(docs)))
 
 
 @query("sentiment_table")
 def q_sentiment_table(spark, d):
     docs = read_table(spark, d, "documents")
     return sentiment_table(docs, "doc_id", "text", fixture_lexicon(spark), 1, keep=["lang", "source"],
-                           profiles=build_profiles(docs))
+                           profiles=materialize_profiles(build_profiles(docs)))
 
 
 @query("tokens_to_map")
@@ -520,7 +521,7 @@ def q_mean_over_time(spark, d):
 def q_scorer_means(spark, d):
     scored = doc_scored(spark, d)
     out = scored.groupBy("id").agg(exact_mean("compound").alias("mean_compound"),
-                                   F.avg("polarity").alias("mean_polarity"), F.avg("ordinal").alias("mean_ordinal"))
+                                   exact_mean("polarity").alias("mean_polarity"), F.avg("ordinal").alias("mean_ordinal"))
     return out.select("id", *[_r6(F.col(c)).alias(c) for c in ("mean_compound", "mean_polarity", "mean_ordinal")])
 
 
@@ -551,12 +552,12 @@ def q_mann_whitney(spark, d):
 
 @query("series_by_id")
 def q_series_by_id(spark, d):
-    prog = windows.speech_progress(doc_scored(spark, d))
+    sents = explode_sentences(read_table(spark, d, "documents"), "doc_id", "text", 1, with_count=True)
+    scored = score_sentences(sents, fixture_lexicon(spark))
+    prog = windows.speech_progress(scored)
     rolled = windows.rolling_mean(prog, "polarity", out="ma5")
-    series = stats.series_by(rolled, "id", "percentage", "polarity", "ma5")
-    out = series.select("id", F.posexplode("series").alias("idx", "pt"))
-    return out.select("id", "idx", _r6(F.col("pt.x")).alias("x"), _r6(F.col("pt.y")).alias("y"),
-                      _r6(F.col("pt.ma")).alias("ma"))
+    out = stats.series_by(rolled, "id", "percentage", "polarity", "ma5")
+    return out.select("id", _r6(F.col("x")).alias("x"), _r6(F.col("y")).alias("y"), _r6(F.col("ma")).alias("ma"))
 
 
 @query("rolling_mean5")
