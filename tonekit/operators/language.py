@@ -11,9 +11,10 @@ Trigrams are taken per word: lower-cased letter runs padded with one blank on ea
 seen in L need a lookup. The winner is the highest score (ties: the larger language code).
 Texts without any letter get the fixed fallback label.
 
-Physical plan: trigrams are exploded in the map stage and joined with the profile (broadcast
-only when its row count is proven bounded), then one aggregation per text with one conditional
-sum per language (the language list is small and explicit), so a single shuffle of one row per text.
+Physical plan: trigrams are exploded in the map stage and joined with the profile pivoted to one
+row per trigram and one weight column per language (broadcast only when its row count is proven
+bounded), then one aggregation per text with one sum per language (the language list is small and
+explicit), so a single shuffle of one row per text.
 """
 
 from __future__ import annotations
@@ -38,12 +39,15 @@ def word_trigrams(word: Column) -> Column:
 
 
 def char_trigrams(text: Column | str) -> Column:
-    """Trigrams of every word of a text (words as in ``word_tokens``), in text order.
+    """Trigrams of every word of a text (words as in ``word_tokens``), each word padded with a blank.
 
-    Per word, so the work is linear in the text length (a position-based substring over a whole
-    UTF-8 text would rescan it from the start for every position).
+    One linear regex pass per text: the words are joined with two blanks and padded, every 3-char
+    window is taken with a look-ahead match, and windows holding two blanks (the ones that cross a
+    word boundary) are dropped, which leaves exactly the padded per-word trigrams.
     """
-    return F.flatten(F.transform(word_tokens(text), word_trigrams))
+    joined = F.concat(F.lit(" "), F.concat_ws("  ", word_tokens(text)), F.lit(" "))
+    windows = F.regexp_extract_all(joined, F.lit("(?=(.{3}))"), F.lit(1))
+    return F.filter(windows, lambda t: ~t.contains("  "))
 
 
 def build_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -84,14 +88,16 @@ def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("
     join): pass a stored or materialized table (``materialize_profiles``), not a lazy aggregate.
     """
     consts = _language_constants(profiles)
-    prof = profiles.select("tri", "lang", F.log(F.col("n") + F.lit(1.0)).alias("lw"))
+    langs = [lang for lang, _ in consts]
+    # One row per trigram with one weight column per language: the join does not multiply rows.
+    wide = (profiles.groupBy("tri").pivot("lang", langs)
+                    .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
+                    .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
     tris = df.select(*keys, char_trigrams(text_col).alias("_tris"))
     # explode_outer keeps texts without trigrams (one row, null trigram) so no join back is needed.
     toks = tris.select(*keys, F.size("_tris").alias("_n"), F.explode_outer("_tris").alias("tri"))
-    joined = toks.join(broadcast_if_small(prof, PROFILE_BROADCAST_ROWS), "tri", "left")
-    sums = [F.sum(F.when(F.col("lang") == F.lit(lang), F.col("lw")).otherwise(F.lit(0.0))).alias(f"_s{i}")
-            for i, (lang, _) in enumerate(consts)]
-    # A trigram known to k languages appears k times after the join: take the count from _n.
+    joined = toks.join(broadcast_if_small(wide, PROFILE_BROADCAST_ROWS), "tri", "left")
+    sums = [F.sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(langs))]
     per_text = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums)
     scores = [F.struct((F.col(f"_s{i}") - F.col("_n") * F.lit(c)).alias("score"), F.lit(lang).alias("lang"))
               for i, (lang, c) in enumerate(consts)]

@@ -45,18 +45,20 @@ def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "
     """Trailing mean over ``window`` rows; null until the window is full or if any value is null.
 
     ``order_col`` is a contiguous rank. Each row adds its value to the ``window`` windows that end
-    at ranks r .. r + window - 1; an aggregate per (id, end rank) gives count and sum, and the mean
-    is kept where all ``window`` values are present. The work is keyed by (id, rank), so a very
-    long document is spread over many tasks instead of being sorted in one.
+    at ranks r .. r + window - 1, and carries itself along with the window it ends (k = 0); one
+    aggregate per (id, end rank) gives count, sum and the row. One pass over ``df``, no join back,
+    and the work is keyed by (id, rank), so a very long document is spread over many tasks instead
+    of being sorted in one.
     """
     out = out or f"{col}_ma{window}"
-    contrib = df.select(F.col(id_col).alias("_id"), F.col(order_col).alias("_r"), F.col(col).alias("_v"),
-                        F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_k"))
-    sums = (contrib.groupBy("_id", (F.col("_r") + F.col("_k")).alias("_end"))
-                   .agg(F.count("_v").alias("_c"), F.sum("_v").alias("_s")))
-    ma = sums.select(F.col("_id").alias(id_col), F.col("_end").alias(order_col),
-                     F.when(F.col("_c") == window, F.col("_s") / F.lit(float(window))).alias(out))
-    return df.join(ma, [id_col, order_col], "left")
+    cols = df.columns
+    contrib = df.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(order_col).alias("_r"),
+                        F.col(col).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_k"))
+    agg = (contrib.groupBy("_id", (F.col("_r") + F.col("_k")).alias("_end"))
+                  .agg(F.count("_v").alias("_c"), F.sum("_v").alias("_s"),
+                       F.first(F.when(F.col("_k") == 0, F.col("_row")), ignorenulls=True).alias("_own")))
+    ma = F.when(F.col("_c") == window, F.col("_s") / F.lit(float(window)))
+    return agg.where(F.col("_own").isNotNull()).select(*[F.col(f"_own.{c}").alias(c) for c in cols], ma.alias(out))
 
 
 def top_n_per_group(df: DataFrame, group_col: str, order_col: str, n: int,
