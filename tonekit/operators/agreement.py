@@ -61,27 +61,37 @@ def crosstab_rounded(df: DataFrame, a: str = "compound", b: str = "polarity", di
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(f"{a}_round")))
 
 
-def crosstab_classes(df: DataFrame, row: str, col: str, labels: Sequence[str] = CLASS_LABELS) -> DataFrame:
+def crosstab_classes(df: DataFrame, row: str, col: str, labels: Sequence[str] = CLASS_LABELS,
+                     weight: str | None = None) -> DataFrame:
     """A13 + A20: row-normalised crosstab of two class columns, one column per label.
 
     Output ``(<row>, <label>..., pct_<label>...)``: shares, and shares x 100 rounded half-even.
-    Rows or columns with a null class are left out (pandas ``crosstab``).
+    Rows or columns with a null class are left out (pandas ``crosstab``). ``weight`` names a count
+    column when ``df`` is already aggregated (one row per class combination).
     """
-    base = df.select(row, col).dropna()
-    piv = base.groupBy(row).pivot(col, list(labels)).agg(F.count(F.lit(1))).fillna(0, subset=list(labels))
+    base = df.select(row, col, *([weight] if weight else [])).dropna(subset=[row, col])
+    measure = F.sum(weight) if weight else F.count(F.lit(1))
+    piv = base.groupBy(row).pivot(col, list(labels)).agg(measure).fillna(0, subset=list(labels))
     total = sum((F.col(lab) for lab in labels), F.lit(0))
     shares = {lab: F.col(lab) / total for lab in labels}
     out = piv.select(row, *[shares[lab].alias(lab) for lab in labels])
     return out.withColumns({f"pct_{lab}": F.rint(F.col(lab) * 100) for lab in labels})
 
 
+def class_cells(df: DataFrame) -> DataFrame:
+    """Counts per (ordinal, compound, polarity) class combination: 27 rows at most, read once."""
+    from tonekit.session import materialize
+    cells = classify(df).groupBy("cat_ordinal", "cat_compound", "cat_polarity").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(cells)
+
+
 def class_crosstabs(df: DataFrame) -> dict[str, DataFrame]:
     """A21 crosstabs: rounded compound x polarity, ordinal x compound classes, ordinal x polarity classes."""
-    classes = classify(df)
+    cells = class_cells(df)
     return {
         "crosstab_compound_polarity": crosstab_rounded(df, "compound", "polarity"),
-        "crosstab_compound_ordinal": crosstab_classes(classes, "cat_ordinal", "cat_compound"),
-        "crosstab_polarity_ordinal": crosstab_classes(classes, "cat_ordinal", "cat_polarity"),
+        "crosstab_compound_ordinal": crosstab_classes(cells, "cat_ordinal", "cat_compound", weight="n"),
+        "crosstab_polarity_ordinal": crosstab_classes(cells, "cat_ordinal", "cat_polarity", weight="n"),
     }
 
 

@@ -22,6 +22,24 @@ def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def value_counts(df: DataFrame, col: str, groups: Sequence[str] = (), sums: Sequence[str] = (),
+                 scale: int = 4, bound: bool = True) -> DataFrame:
+    """The bounded table every distribution statistic starts from: ``(*groups, v, c, s_<sum>...)``.
+
+    One aggregation (map-side combine) over the expensive input: count per distinct value of
+    ``col`` and exact decimal sums of ``sums`` (values stored with ``scale`` decimals). Scores are
+    rounded, so the table has at most (groups x distinct score values) rows whatever the corpus
+    size. With ``bound`` it is materialized (checkpoint folder, else memory and disk), so the
+    several statistics derived from it do not re-run the scoring.
+    """
+    from tonekit.session import materialize
+    base = _not_null(df, [*groups, col])
+    aggs = [F.count(F.lit(1)).alias("c")] + [
+        F.sum(F.col(x).cast(f"decimal(38,{scale})")).alias(f"s_{x}") for x in sums]
+    out = base.groupBy(*groups, F.col(col).alias("v")).agg(*aggs)
+    return materialize(out) if bound else out
+
+
 def group_size(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A1: rows per group; null keys are left out (pandas ``groupby``)."""
     return _not_null(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
@@ -71,9 +89,14 @@ def value_share(df: DataFrame, col: str, groups: Sequence[str] = ()) -> DataFram
 
 
 def group_share(df: DataFrame, value: str, group: str) -> DataFrame:
-    """A1 + A8 + J5: count per (value, group), natural left join with group sizes, ``perc`` = n / size."""
-    counts = _not_null(df, [value, group]).groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
-    sizes = _not_null(df, [group]).groupBy(group).agg(F.count(F.lit(1)).alias("groupsize"))
+    """A1 + A8 + J5: count per (value, group), natural left join with group sizes, ``perc`` = n / size.
+
+    One aggregation: counts per (value, group) keep the null value as a group so that the group
+    sizes (all rows of the group) are sums of the same table.
+    """
+    counts = _not_null(df, [group]).groupBy(value, group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(group).agg(F.sum("n").alias("groupsize"))
+    counts = counts.where(F.col(value).isNotNull())
     shared = [c for c in counts.columns if c in sizes.columns]
     return counts.join(sizes, shared, "left").withColumn("perc", F.col("n") / F.col("groupsize"))
 
@@ -83,16 +106,17 @@ def histogram_pct(df: DataFrame, col: str, group: str, bins: int = 20, digits: i
 
     Values are rounded to ``digits`` first. Bin i covers [lo_i, hi_i); the last bin is closed.
     When a group's min equals its max, the range is widened to [v - 0.5, v + 0.5] (numpy rule).
+    Computed from the value-count table: the input is read once.
     """
     vals = _not_null(df, [col, group]).select(group, np_round(F.col(col), digits).alias("x"))
-    rng = vals.groupBy(group).agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("total"))
+    vc = value_counts(vals, "x", [group])
+    rng = vc.groupBy(group).agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum("c").alias("total"))
     rng = (rng.withColumn("lo", F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")))
               .withColumn("hi", F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))))
     n = F.lit(float(bins))
-    idx = F.least(F.floor((F.col("x") - F.col("lo")) * n / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    # One row per group in ``rng``: derived and small, so AQE broadcasts it from its run-time size.
-    counts = (vals.join(rng.select(group, "lo", "hi"), group)
-                  .groupBy(group, idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    idx = F.least(F.floor((F.col("v") - F.col("lo")) * n / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    counts = (vc.join(rng.select(group, "lo", "hi"), group)
+                .groupBy(group, idx.cast("int").alias("bin")).agg(F.sum("c").alias("n")))
     grid = rng.select(group, "lo", "hi", "total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / n
     return (grid.join(counts, [group, "bin"], "left")
@@ -106,39 +130,35 @@ def histogram_pct(df: DataFrame, col: str, group: str, bins: int = 20, digits: i
 def kde(df: DataFrame, col: str, group: str, points: int = 100, cut: float = 3.0) -> DataFrame:
     """A10: Gaussian kernel density per group on ``points`` grid points, Scott bandwidth.
 
-    h = std * n^(-1/5); grid from min - cut*h to max + cut*h. The sum runs over distinct values
-    with their counts (bounded by the score resolution), crossed with the grid of the same group
-    only: a group's grid has ``points`` rows, so the join is an equi-join on the group key.
+    h = std * n^(-1/5); grid from min - cut*h to max + cut*h. Everything comes from the value-count
+    table (input read once): n, mean and sample std from weighted sums, and the density sum runs over
+    distinct values with their counts, joined with the grid of the same group (``points`` rows).
     """
-    vals = _not_null(df, [col, group])
-    weights = vals.groupBy(group, F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    st = (vals.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(col).alias("sd"),
-                                  F.min(col).alias("mn"), F.max(col).alias("mx"))
-              .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-              .where(F.col("h") > 0))
+    vc = value_counts(df, col, [group])
+    first = vc.groupBy(group).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
+                                  F.min("v").alias("mn"), F.max("v").alias("mx"))
+    dev = vc.join(first, group).groupBy(group, "n", "mn", "mx").agg(
+        F.sum(F.col("c") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("ss"))
+    st = (dev.withColumn("sd", F.sqrt(F.try_divide(F.col("ss"), (F.col("n") - 1).cast("double"))))
+             .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+             .where(F.col("h") > 0))
     step = (F.col("mx") - F.col("mn") + F.lit(2 * cut) * F.col("h")) / F.lit(float(points - 1))
     grid = st.select(group, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"),
                      (F.col("mn") - F.lit(cut) * F.col("h")).alias("start"), step.alias("step"))
     grid = grid.withColumn("x", F.col("start") + F.col("i") * F.col("step")).drop("start", "step")
     u = (F.col("x") - F.col("v")) / F.col("h")
-    dens = (weights.join(grid, group)
-                   .groupBy(group, "i", "x", "n", "h")
-                   .agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * u * u)).alias("k")))
+    dens = (vc.join(grid, group)
+              .groupBy(group, "i", "x", "n", "h")
+              .agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * u * u)).alias("k")))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     return dens.select(group, "i", "x", (F.col("k") / norm).alias("density"))
 
 
-def median_by(df: DataFrame, group: str, col: str) -> DataFrame:
-    """Exact median per group (mean of the two middle values for an even count).
-
-    Counts per distinct value, then a running count per group over that table (distributed prefix
-    sum): no group's rows are ever gathered into one task.
-    """
+def median_from_counts(vc: DataFrame, group: str) -> DataFrame:
+    """Exact median per group from a value-count table ``(group, v, c)``."""
     from tonekit.operators.windows import prefix_sum
-    counts = (_not_null(df, [group, col]).groupBy(group, F.col(col).alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")))
-    sizes = counts.groupBy(group).agg(F.sum("c").alias("n"))
-    cum = prefix_sum(counts, "v", "c", "cum", group_col=group).join(sizes, group)
+    sizes = vc.groupBy(group).agg(F.sum("c").alias("n"))
+    cum = prefix_sum(vc.select(group, "v", "c"), "v", "c", "cum", group_col=group).join(sizes, group)
     lo_k = F.floor((F.col("n") + 1) / 2)          # 1-based position of the lower middle value
     hi_k = F.floor(F.col("n") / 2) + 1             # 1-based position of the upper middle value
     first = F.col("cum") - F.col("c") + 1
@@ -150,6 +170,15 @@ def median_by(df: DataFrame, group: str, col: str) -> DataFrame:
                     F.first("n").alias("n")))
 
 
+def median_by(df: DataFrame, group: str, col: str) -> DataFrame:
+    """Exact median per group (mean of the two middle values for an even count).
+
+    Counts per distinct value, then a running count per group over that table (distributed prefix
+    sum): no group's rows are ever gathered into one task.
+    """
+    return median_from_counts(value_counts(df, col, [group]), group)
+
+
 def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     """Mann-Whitney U between rows with ``group == a`` and ``group == b``.
 
@@ -159,11 +188,11 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     p_two_sided, p_greater (alternative: a tends to be larger) and p_less, all with continuity
     correction and tie-corrected sigma (normal approximation).
     """
-    vals = _not_null(df, [col, group]).where(F.col(group).isin(a, b))
-    counts = (vals.groupBy(F.col(col).alias("v"))
-                  .agg(F.sum(F.when(F.col(group) == F.lit(a), 1).otherwise(0)).alias("na"),
-                       F.count(F.lit(1)).alias("t")))
     from tonekit.operators.windows import prefix_sum
+    vc = value_counts(df.where(F.col(group).isin(a, b)), col, [group])
+    counts = (vc.groupBy("v")
+                .agg(F.sum(F.when(F.col(group) == F.lit(a), F.col("c")).otherwise(0)).alias("na"),
+                     F.sum("c").alias("t")))
     ranked = prefix_sum(counts, "v", "t", "cum")
     avg_rank = F.col("cum") - (F.col("t") - 1) / 2.0
     summary = ranked.agg(

@@ -390,7 +390,7 @@ ORACLES: dict[str, str] = {
     "lang_summary": sql(
         f"SELECT lang, count(*) AS n_sentences, {r6(exact_mean('compound'))} AS mean_compound, "
         f"{r6(exact_mean('polarity'))} AS mean_polarity, {r6('median(compound)')} AS median_compound "
-        f"FROM doc_scored GROUP BY lang", "doc_scored"),
+        f"FROM doc_scored WHERE lang IS NOT NULL GROUP BY lang", "doc_scored"),
     "csv_roundtrip": "SELECT doc_id, lang, source, text FROM documents",
     "page_title": f"SELECT page_id, {element_text('html', 'title')} AS title FROM pages",
     "page_links": _links(),
@@ -432,6 +432,7 @@ ORACLES: dict[str, str] = {
         "CAST(count(*) OVER (PARTITION BY id) AS DOUBLE) AS percentage FROM doc_sent", "doc_sent"),
     "filter_contains": "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'red')",
     "filter_regex_any": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'widget|gear')",
+    "filter_equals": "SELECT doc_id, lang FROM documents WHERE lang = 'en'",
     "filter_not_contains": "SELECT p_partkey, p_name FROM part WHERE NOT contains(p_name, 'small')",
     "filter_threshold": ("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders "
                          "WHERE year(o_orderdate) > 1999"),

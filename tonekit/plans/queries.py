@@ -88,12 +88,17 @@ def _scratch(spark) -> str:
 
 @query("lang_summary")
 def q_lang_summary(spark, d):
-    """Scored sentences per language: count, mean and exact median compound, mean polarity."""
-    scored = doc_scored(spark, d)
-    agg = scored.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"),
-                                     _r6(exact_mean("compound")).alias("mean_compound"),
-                                     _r6(exact_mean("polarity")).alias("mean_polarity"))
-    med = stats.median_by(scored, "lang", "compound").select("lang", _r6(F.col("median")).alias("median_compound"))
+    """Scored sentences per language: count, exact mean and median compound, mean polarity.
+
+    Everything comes from one value-count table (per language and distinct compound score), so
+    the corpus is scanned and scored once.
+    """
+    vc = stats.value_counts(doc_scored(spark, d), "compound", ["lang"], sums=["compound", "polarity"])
+    n = F.sum("c").cast("double")
+    agg = vc.groupBy("lang").agg(F.sum("c").alias("n_sentences"),
+                                 _r6(F.try_divide(F.sum("s_compound").cast("double"), n)).alias("mean_compound"),
+                                 _r6(F.try_divide(F.sum("s_polarity").cast("double"), n)).alias("mean_polarity"))
+    med = stats.median_from_counts(vc, "lang").select("lang", _r6(F.col("median")).alias("median_compound"))
     return agg.join(med, "lang", "left")
 
 
@@ -247,13 +252,17 @@ def q_filter_threshold(spark, d):
 
 @query("hist_by_group")
 def q_hist_by_group(spark, d):
-    scored = labeled_scored(spark, d)
-    parts = [stats.histogram_pct(clean.where_eq(scored, "quality", g), "compound", "quality", 20) for g in (0, 1)]
-    out = clean.union_all(parts)
+    scored = labeled_scored(spark, d).where(F.col("quality").isin(0, 1))
+    out = stats.histogram_pct(scored, "compound", "quality", 20)
     return out.select("quality", "bin", _r6(F.col("bin_lo")).alias("bin_lo"), _r6(F.col("bin_hi")).alias("bin_hi"),
                       "n", _r6(F.col("pct")).alias("pct"))
 
 
+@query("filter_equals")
+def q_filter_equals(spark, d):
+    return clean.where_eq(read_table(spark, d, "documents").select("doc_id", "lang"), "lang", "en")
+
+
 @query("nonzero_pairs")
 def q_nonzero_pairs(spark, d):
     return clean.drop_if_any_zero(doc_scored(spark, d), ["compound", "polarity"]).select(
@@ -479,10 +488,10 @@ def q_agreement_pct(spark, d):
 
 @query("crosstab_classes")
 def q_crosstab_classes(spark, d):
-    classes = agr.classify(doc_scored(spark, d))
+    cells = agr.class_cells(doc_scored(spark, d))
     parts = []
     for col in ("cat_compound", "cat_polarity"):
-        t = agr.crosstab_classes(classes, "cat_ordinal", col)
+        t = agr.crosstab_classes(cells, "cat_ordinal", col, weight="n")
         parts.append(t.select(F.lit(col).alias("col_class"), "cat_ordinal",
                               *[_r6(F.col(c)).alias(c) for c in ("negative", "neutral", "positive")],
                               "pct_negative", "pct_neutral", "pct_positive"))
