@@ -18,9 +18,9 @@ double once, so scores do not depend on evaluation order.
 
 Two physical strategies, picked by a size check on the lexicon:
 
-* inline (lexicon up to ``MAX_INLINE_WORDS`` words): the lexicon becomes a literal map in the plan;
-  each token is looked up once, the matched tokens are kept (a short array) and every sum is a
-  higher-order-function expression over them. The whole scoring is one narrow stage: no shuffle,
+* inline (lexicon up to ``MAX_INLINE_WORDS`` words): the lexicon becomes a hashed IN-list and a
+  literal map in the plan; tokens are tested against the IN-list, only the hits (a short array)
+  are looked up, and all part sums come from one ``aggregate`` pass with a struct accumulator. The whole scoring is one narrow stage: no shuffle,
   the sentence text never moves. Scores leave through a one-row generator so that a later filter
   on a score is not pushed below it (which would inline and evaluate the scoring twice).
 * exploded (bigger lexicons): tokens are exploded, joined with the lexicon (broadcast only when its
@@ -39,7 +39,7 @@ from tonekit.functions.numeric import round_half_up
 from tonekit.functions.text import word_tokens
 from tonekit.sources.lexicon import NEGATION_FACTOR, NEGATION_REACH, NEGATORS
 
-MAX_INLINE_WORDS = 20_000        # literal map size limit (each lookup scans the key array)
+MAX_INLINE_WORDS = 2_000         # literal map size limit (a hit's lookup scans the key array)
 MAX_BROADCAST_WORDS = 2_000_000  # lexicon rows that may still be broadcast on the exploded path
 COMPOUND_ALPHA = 15
 SCORE_COLUMNS = ("ordinal", "compound", "neu", "neg", "pos", "polarity", "subjectivity")
@@ -153,28 +153,30 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
     pol = F.lit([_units(r["polarity"], P_UNIT) for r in rows]).cast("array<bigint>")
     sub = F.lit([_units(r["subjectivity"], P_UNIT) for r in rows]).cast("array<bigint>")
 
-    def hit(t: Column, negated: Column) -> Column:
-        return F.struct(F.try_element_at(index, t).alias("k"), negated.alias("g"))
+    def parts_of(t: Column, negated: Column | None) -> Column:
+        k = F.try_element_at(index, t)
+        v4 = F.try_element_at(val4, k)
+        plain = v4 * F.lit(V_UNIT // P_UNIT)
+        v = plain if negated is None else F.when(negated, v4 * F.lit(NEG_HUNDREDTHS)).otherwise(plain)
+        parts = _hit_parts(v, F.try_element_at(pol, k), F.try_element_at(sub, k))
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
 
     cols = df.columns
     staged = df.withColumn("_toks", word_tokens(text_col))
+    # The lexicon test is a hashed IN-list; only the (few) hits are looked up and summed.
     if negation:
         staged = staged.withColumn("_neg", negation_flags(F.col("_toks")))
-        pairs = F.zip_with(F.col("_toks"), F.col("_neg"), hit)
+        pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("t"), g.alias("g")))
+        hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*words)), lambda x: parts_of(x["t"], x["g"]))
     else:
-        pairs = F.transform(F.col("_toks"), lambda t: hit(t, F.lit(False)))
-    staged = staged.select(*cols, F.size("_toks").alias("_n"),
-                           F.filter(pairs, lambda x: x["k"].isNotNull()).alias("_hits"))
-
-    def part_total(name: str) -> Column:
-        def part(x: Column) -> Column:
-            v4 = F.try_element_at(val4, x["k"])
-            v = F.when(x["g"], v4 * F.lit(NEG_HUNDREDTHS)).otherwise(v4 * F.lit(V_UNIT // P_UNIT))
-            return _hit_parts(v, F.try_element_at(pol, x["k"]), F.try_element_at(sub, x["k"]))[name]
-        return F.aggregate(F.col("_hits"), F.lit(0).cast("long"), lambda acc, x: acc + part(x))
-
-    sums = {name: part_total(name) for name in PART_NAMES}
-    return _emit(staged, cols, _finish(sums, F.col("_n")))
+        hits = F.transform(F.filter(F.col("_toks"), lambda t: t.isin(*words)), lambda t: parts_of(t, None))
+    staged = staged.select(*cols, F.size("_toks").alias("_n"), hits.alias("_hits"))
+    # One pass with a struct accumulator holding every part sum.
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in PART_NAMES])
+    total = F.aggregate(F.col("_hits"), zero,
+                        lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in PART_NAMES]))
+    staged = staged.select(*cols, "_n", total.alias("_t"))
+    return _emit(staged, cols, _finish({n: F.col("_t")[n] for n in PART_NAMES}, F.col("_n")))
 
 
 def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool) -> DataFrame:
