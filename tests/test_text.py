@@ -86,3 +86,28 @@ def test_element_text_and_fallback(spark):
                   element_text("html", "h2").alias("missing"),
                   first_match("html", [("div", "transcript-inner"), ("article", None)]).alias("body")).first()
     assert (r.t, r.ad, r.missing, r.body) == ("T & U", "Ad", None, "HBody")
+
+
+def test_recode_strict_boundary(spark):
+    import datetime as dt
+    from tonekit.operators.clean import recode
+    rows = [("G", dt.date(1892, 12, 31)), ("G", dt.date(1893, 1, 1)), ("G", dt.date(1893, 1, 2)), ("H", dt.date(1800, 1, 1))]
+    df = spark.createDataFrame(rows, "name string, d date")
+    cut = F.lit(dt.date(1893, 1, 1))
+    out = recode(df, "name", [((F.col("name") == "G") & (F.col("d") < cut), "G 1"),
+                              ((F.col("name") == "G") & (F.col("d") > cut), "G 2")])
+    assert [r.name for r in out.orderBy("d").collect()] == ["H", "G 1", "G", "G 2"]
+
+
+def test_normalise_names_all_string_columns(spark):
+    from tonekit.operators.clean import normalise_names
+    df = spark.createDataFrame([("Richard Nixon", "Richard Nixon Jr", 1)], "a string, b string, n int")
+    r = normalise_names(df, {"Richard Nixon": "Richard M. Nixon"}).first()
+    assert (r.a, r.b, r.n) == ("Richard M. Nixon", "Richard M. Nixon Jr", 1)
+
+
+def test_panel_index_grid(spark):
+    from tonekit.operators.windows import panel_index
+    df = spark.createDataFrame([(i, 10 - i) for i in range(7)], "id long, d int")
+    rows = {r.id: (r.panel, r.panel_row, r.panel_col) for r in panel_index(df, "id", ["d", "id"]).collect()}
+    assert rows[6] == (0, 0, 0) and rows[3] == (3, 1, 0) and rows[0] == (6, 2, 0)
