@@ -68,3 +68,12 @@ def test_streaming_matches_batch(spark, lexicon):
     got = spark.read.parquet(f"{base}/out")
     want = score_sentences(explode_sentences(docs, "doc_id", "text", 1), lexicon)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_parser_variant_handles_nesting(spark):
+    from tonekit.operators.html_parse import parse_fields
+    html = ('<html><script>var s="<div class=\'x\'>no</div>";</script><div class="x">a<div>b</div>c &eacute;&#233;</div>'
+            '<div class="x">second</div></html>')
+    df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id long, html string")
+    got = {r.page_id: r.body for r in parse_fields(df, "html", ["page_id"], {"body": [("div", "x")]}).collect()}
+    assert got == {1: "abc éé", 2: None}

@@ -398,6 +398,8 @@ ORACLES: dict[str, str] = {
                          f"'http://seed.example.com/first' UNION ALL SELECT CAST(NULL AS BIGINT), 'http://seed.example.com/second'"),
     "page_body": (f"SELECT page_id, coalesce(nullif({strip(element_text('html', 'div', 'transcript-inner'))}, ''), "
                   f"nullif({strip(element_text('html', 'article'))}, '')) AS body FROM pages"),
+    "page_body_parsed": (f"SELECT page_id, coalesce(nullif({strip(element_text('html', 'div', 'transcript-inner'))}, ''), "
+                         f"nullif({strip(element_text('html', 'article'))}, '')) AS body FROM pages"),
     "page_info_default": (f"SELECT page_id, {default_if_blank(element_text('html', 'div', 'ad'), DEFAULT_INFO)} AS info_ad, "
                           f"{default_if_blank(element_text('html', 'div', 'about-sidebar--intro'), DEFAULT_INFO)} "
                           f"AS info_sidebar FROM pages"),

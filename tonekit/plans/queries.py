@@ -139,6 +139,14 @@ def q_page_body(spark, d):
     return read_pages(spark, d).select("page_id", body.alias("body"))
 
 
+@query("page_body_parsed")
+def q_page_body_parsed(spark, d):
+    """H4 with the HTML-parser variant (nesting-aware, all character references)."""
+    from tonekit.operators.html_parse import parse_fields
+    return parse_fields(read_pages(spark, d), "html", ["page_id"],
+                        {"body": [("div", "transcript-inner"), ("article", None)]})
+
+
 @query("page_info_default")
 def q_page_info_default(spark, d):
     return read_pages(spark, d).select(
