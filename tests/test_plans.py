@@ -9,9 +9,9 @@ from tonekit.plans.figures import analysis
 SF = "/root/testdata/sf0.001"
 
 TABLE_PAGE = (
-    "<html><body><table><tr><th>Presidency[a]</th><th>President</th><th>Vice President</th></tr>"
-    "<tr><td>March 4, 1885 – March 4, 1889</td><td>Grover Cleveland</td><td>Thomas Hendricks</td></tr>"
-    "<tr><td>March 4, 1893 – March 4, 1897</td><td>Grover Cleveland</td><td>Adlai Stevenson</td></tr>"
+    "<html><body><table><tr><th>Term[a]</th><th>Leader</th><th>Deputy</th></tr>"
+    "<tr><td>March 4, 1885 – March 4, 1889</td><td>Ann Example</td><td>Bo Sample</td></tr>"
+    "<tr><td>March 4, 1893 – March 4, 1897</td><td>Ann Example</td><td>Cy Sample</td></tr>"
     "<tr><td>January 20, 2017 – Incumbent</td><td>A &amp; B[1]</td><td>Vacant</td></tr>"
     "</table></body></html>")
 
@@ -29,14 +29,14 @@ def test_build_corpus_one_row_per_page(spark):
 
 def test_metadata_from_table(spark):
     pages = spark.createDataFrame([(1, TABLE_PAGE)], "page_id long, html string")
-    meta = metadata_from_table(pages, ["Presidency", "President", "Vice President"], range_col="Presidency",
-                               count_key="President", count_col="Vice President", exclude_text="Vacant",
+    meta = metadata_from_table(pages, ["Term", "Leader", "Deputy"], range_col="Term",
+                               count_key="Leader", count_col="Deputy", exclude_text="Vacant",
                                name_map={"A & B": "A and B"})
-    rows = {(r.President, r["from"]): r for r in meta.collect()}
-    assert rows[("Grover Cleveland", 1885)]["until"] == 1889
-    assert rows[("Grover Cleveland", 1893)]["n_Vice_President"] == 2
+    rows = {(r.Leader, r["from"]): r for r in meta.collect()}
+    assert rows[("Ann Example", 1885)]["until"] == 1889
+    assert rows[("Ann Example", 1893)]["n_Deputy"] == 2
     assert rows[("A and B", 2017)]["until"] == 2021
-    assert rows[("A and B", 2017)]["n_Vice_President"] is None
+    assert rows[("A and B", 2017)]["n_Deputy"] is None
 
 
 def test_analysis_run(spark, lexicon):
