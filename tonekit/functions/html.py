@@ -17,12 +17,22 @@ from tonekit.functions.text import rstrip, strip
 
 ColumnOrName = Column | str
 
-# --- fixed values: character entities decoded in text content ("&amp;" last, so "&amp;lt;" -> "&lt;") ---
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"),
-            ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&laquo;", "\u00ab"),
-            ("&raquo;", "\u00bb"), ("&euro;", "\u20ac"), ("&amp;", "&"))
+# --- fixed values: character entities decoded in text content ---
+# (name, character, legacy): legacy references also decode without the closing semicolon (HTML5).
+# "&amp;" goes last so that "&amp;lt;" becomes "&lt;" and not "<".
+ENTITY_TABLE = (
+    ("lt", "<", True), ("gt", ">", True), ("quot", '"', True), ("#39", "'", True), ("apos", "'", False),
+    ("nbsp", "\u00a0", True), ("copy", "\u00a9", True), ("reg", "\u00ae", True), ("middot", "\u00b7", True),
+    ("laquo", "\u00ab", True), ("raquo", "\u00bb", True), ("ndash", "\u2013", False),
+    ("mdash", "\u2014", False), ("hellip", "\u2026", False), ("euro", "\u20ac", False), ("amp", "&", True),
+)
 # --- end of fixed values ---
+ENTITIES = tuple((f"&{name};", ch) for name, ch, _ in ENTITY_TABLE)
+
+
+def entity_pattern(name: str, legacy: bool) -> str:
+    """Regex of one character reference (Java and RE2 syntax alike)."""
+    return f"&{name};?" if legacy else f"&{name};"
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -39,9 +49,10 @@ def element_pattern(tag: str, css_class: str | None = None) -> str:
 
 
 def decode_entities(c: ColumnOrName) -> Column:
+    """Decode the entity table (``&amp;`` last, so nothing is decoded twice)."""
     out = _col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
+    for name, ch, legacy in ENTITY_TABLE:
+        out = F.regexp_replace(out, entity_pattern(name, legacy), ch.replace("\\", "\\\\").replace("$", "\\$"))
     return out
 
 

@@ -11,7 +11,7 @@ ASCII ``\\s``), so Java's Unicode ``(?U)\\s`` is spelled out as a character clas
 
 from __future__ import annotations
 
-from tonekit.functions.html import ENTITIES, element_pattern
+from tonekit.functions.html import ENTITY_TABLE, element_pattern, entity_pattern
 from tonekit.functions.numeric import AS_A, AS_P
 from tonekit.functions.patterns import (
     CLASS_LABELS, DEFAULT_INFO, NO_LANGUAGE, RX_BOILER, RX_FOOTNOTE, RX_NOISE, RX_TITLES,
@@ -71,8 +71,8 @@ def not_noise(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    for name, ch, legacy in ENTITY_TABLE:
+        x = f"regexp_replace({x}, {q(entity_pattern(name, legacy))}, {q(ch)}, 'g')"
     return x
 
 
