@@ -93,12 +93,12 @@ def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("
     wide = (profiles.groupBy("tri").pivot("lang", langs)
                     .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
                     .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
-    tris = df.select(*keys, char_trigrams(text_col).alias("_tris"))
-    # explode_outer keeps texts without trigrams (one row, null trigram) so no join back is needed.
-    toks = tris.select(*keys, F.size("_tris").alias("_n"), F.explode_outer("_tris").alias("tri"))
+    # explode_outer keeps texts without trigrams (one row, null trigram) so no join back is needed;
+    # count(tri) skips that null, so it is the number of trigrams.
+    toks = df.select(*keys, F.explode_outer(char_trigrams(text_col)).alias("tri"))
     joined = toks.join(broadcast_if_small(wide, PROFILE_BROADCAST_ROWS), "tri", "left")
     sums = [F.sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(langs))]
-    per_text = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *sums)
+    per_text = joined.groupBy(*keys).agg(F.count("tri").alias("_n"), *sums)
     scores = [F.struct((F.col(f"_s{i}") - F.col("_n") * F.lit(c)).alias("score"), F.lit(lang).alias("lang"))
               for i, (lang, c) in enumerate(consts)]
     best = F.array_max(F.array(*scores))["lang"]
