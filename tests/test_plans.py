@@ -51,3 +51,20 @@ def test_analysis_run(spark, lexicon):
             assert abs(sum(r.pct for r in pair_rows if r.pair == pair) - 100) < 1e-9
     hist = res["hist_compound"].groupBy("quality").agg(F.sum("pct").alias("s")).collect()
     assert all(abs(r.s - 100) < 1e-9 for r in hist)
+
+
+def test_comparative_panels(spark, lexicon):
+    from tonekit.operators.scoring import score_sentences
+    from tonekit.operators.sentences import explode_sentences
+    from tonekit.plans.figures import comparative_panels
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = score_sentences(explode_sentences(docs, "doc_id", "text", 1, with_count=True), lexicon)
+    meta = docs.select(F.col("doc_id").alias("id"), "lang", F.lit(2001).alias("year"))
+    out = comparative_panels(scored, meta, ["lang", "id"], "lang", "year")
+    panels = out["panels"].collect()
+    assert sorted(r.panel for r in panels) == list(range(docs.count()))
+    assert all(r.title.endswith(" - 2001") and r.panel_col == r.panel % 3 for r in panels)
+    series = out["series"]
+    assert series.count() == scored.count()
+    assert series.where(F.col("ma").isNotNull()).count() > 0
+    assert out["means"].count() == scored.select("id").distinct().count()

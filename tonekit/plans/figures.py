@@ -34,6 +34,26 @@ def corr_info(scored: DataFrame) -> dict[str, DataFrame]:
             "values": agr.corr_info(scored)}
 
 
+def comparative_panels(scored: DataFrame, meta: DataFrame, order_cols: list[str], name_col: str,
+                       year_col: str, value: str = "polarity", ncol: int = 3) -> dict[str, DataFrame]:
+    """Data under the per-document panel chart (W1-W4, W7, A5, A19, T11), keyed by document id.
+
+    ``scored``: sentence rows with ``id``, ``rank_sentence`` (contiguous) and score columns;
+    ``meta``: one row per id with ``order_cols`` (first appearance order), ``name_col``, ``year_col``.
+    Returns ``panels`` (id, panel, panel_row, panel_col, title), ``series`` (id, x, y, ma) and
+    ``means`` (id, mean per scorer). Every table is joined by id, never matched by position.
+    """
+    panels = windows.panel_index(meta.select("id", *[c for c in order_cols if c != "id"], name_col, year_col),
+                                 "id", order_cols, ncol)
+    from tonekit.functions.text import panel_title
+    panels = panels.select("id", "panel", "panel_row", "panel_col",
+                           panel_title(F.col(name_col), F.col(year_col)).alias("title"))
+    prog = windows.speech_progress(scored)
+    series = stats.series_by(windows.rolling_mean(prog, value, out="ma"), "id", "percentage", value, "ma")
+    means = stats.scorer_means(scored, "id", ["compound", "polarity", "ordinal"])
+    return {"panels": panels, "series": series, "means": means}
+
+
 def analysis(documents: DataFrame, conversations: DataFrame, labels: DataFrame,
              lexicon: DataFrame) -> dict[str, DataFrame]:
     """The analysis run: score both corpora once, then every statistic of the study.
