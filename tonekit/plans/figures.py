@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tonekit.operators import agreement as agr
 from tonekit.operators import stats, windows
 from tonekit.operators.clean import stack
+from tonekit.functions.text import panel_title
 from tonekit.operators.joins import broadcast_if_small
 from tonekit.plans.sentiment import conversation_posts, sentiment_table
 from tonekit.session import materialize
@@ -43,9 +44,8 @@ def comparative_panels(scored: DataFrame, meta: DataFrame, order_cols: list[str]
     Returns ``panels`` (id, panel, panel_row, panel_col, title), ``series`` (id, x, y, ma) and
     ``means`` (id, mean per scorer). Every table is joined by id, never matched by position.
     """
-    panels = windows.panel_index(meta.select("id", *[c for c in order_cols if c != "id"], name_col, year_col),
-                                 "id", order_cols, ncol)
-    from tonekit.functions.text import panel_title
+    wanted = list(dict.fromkeys(["id", *order_cols, name_col, year_col]))
+    panels = windows.panel_index(meta.select(*wanted), "id", order_cols, ncol)
     panels = panels.select("id", "panel", "panel_row", "panel_col",
                            panel_title(F.col(name_col), F.col(year_col)).alias("title"))
     prog = windows.speech_progress(scored)
