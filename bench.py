@@ -41,10 +41,16 @@ def main() -> None:
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
         for name in HEADLINE:
-            run(spark, name, warm)
-    times = {}
+            try:
+                run(spark, name, warm)
+            except Exception:  # warm-up only
+                pass
+    times, errors = {}, {}
     for name in names:
-        times[name] = round(run(spark, name, sf_dir), 3)
+        try:
+            times[name] = round(run(spark, name, sf_dir), 3)
+        except Exception as exc:  # report the failure, keep measuring the rest
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_sec",
@@ -53,6 +59,7 @@ def main() -> None:
         "queries": times,
         "headline_sec": round(sum(times[n] for n in HEADLINE if n in times), 3),
         "sf": float(m.group(1)) if m else sf_dir,
+        **({"errors": errors} if errors else {}),
     }))
 
 
