@@ -3,8 +3,6 @@ import math
 import random
 import statistics
 
-from pyspark.sql import functions as F
-
 from tonekit.operators import agreement as agr
 from tonekit.operators import clean, stats, windows
 

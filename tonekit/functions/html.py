@@ -77,10 +77,11 @@ def first_match(html: ColumnOrName, selectors: Sequence[tuple[str, str | None]])
                         for tag, cls in selectors])
 
 
-def absolutize(c: ColumnOrName, base: str) -> Column:
-    """H2: prefix a relative link with ``base``; absolute links are kept."""
+def absolutize(c: ColumnOrName, base: str | Column) -> Column:
+    """H2: prefix a relative link with ``base`` (a literal or a per-row column); absolute links are kept."""
     link = _col(c)
-    return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link).otherwise(F.concat(F.lit(base), link))
+    prefix = F.lit(base) if isinstance(base, str) else base
+    return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link).otherwise(F.concat(prefix, link))
 
 
 def link_targets(html: ColumnOrName) -> Column:

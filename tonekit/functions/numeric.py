@@ -66,8 +66,3 @@ def normal_sf(z: ColumnOrName) -> Column:
     z = _col(z)
     half = F.lit(0.5) * erfc_pos(F.abs(z) / F.lit(math.sqrt(2.0)))
     return F.when(z >= 0, half).otherwise(F.lit(1.0) - half)
-
-
-def two_sided_p(z: ColumnOrName) -> Column:
-    """P(|Z| > |z|)."""
-    return erfc_pos(F.abs(_col(z)) / F.lit(math.sqrt(2.0)))

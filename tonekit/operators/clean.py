@@ -153,8 +153,3 @@ def dedupe(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
 def n_groups(df: DataFrame, col: str) -> DataFrame:
     """Number of distinct values."""
     return df.agg(F.countDistinct(col).alias("n_groups"))
-
-
-def keyed_anti(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key-based removal (the scalable form of F8)."""
-    return df.join(gone.select(*keys), list(keys), "left_anti")

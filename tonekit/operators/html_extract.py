@@ -24,12 +24,7 @@ def extract_links(df: DataFrame, html_col: str, href_regex: str, base: str | Col
     base_col = F.lit(base) if isinstance(base, str) else base
     rows = df.select(*keys, base_col.alias("_base"), F.posexplode(link_targets(html_col)).alias("pos", "href"))
     rows = rows.where(F.col("href").rlike(href_regex))
-    return rows.select(*keys, "pos", absolutize_with(F.col("href"), F.col("_base")).alias("link"))
-
-
-def absolutize_with(link: Column, base: Column) -> Column:
-    """H2 with a per-row base."""
-    return F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), link).otherwise(F.concat(base, link))
+    return rows.select(*keys, "pos", absolutize(F.col("href"), F.col("_base")).alias("link"))
 
 
 def append_literals(df: DataFrame, rows: Sequence[tuple], schema) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonekit.functions.numeric import ratio
+
 ColumnOrName = Column | str
 
 
@@ -36,7 +38,7 @@ def speech_progress(df: DataFrame, id_col: str = "id", order_col: str = "rank_se
         out = df.join(counts, id_col, "left")
         total = F.col("_total")
     return (out.withColumn("cumcount", cum)
-               .withColumn("percentage", cum.cast("double") / total.cast("double"))
+               .withColumn("percentage", ratio(cum, total))
                .drop("_total"))
 
 

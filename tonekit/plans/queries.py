@@ -19,14 +19,14 @@ from tonekit.functions.html import element_text, first_match
 from tonekit.functions.numeric import exact_mean, round_half_up
 from tonekit.functions.text import (
     clean_post, clean_transcript, default_if_blank, open_end_year, panel_title, parse_date,
-    space_after_dot, split_part, strip, try_int, word_tokens, year_of_text,
+    space_after_dot, split_part, strip, try_int, year_of_text,
 )
 from tonekit.functions.patterns import DEFAULT_INFO
 from tonekit.operators import agreement as agr
 from tonekit.operators import clean, joins, stats, windows
 from tonekit.operators.html_extract import append_literals, extract_links, extract_pages, site_base
 from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
-from tonekit.operators.scoring import score_sentences
+from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
 from tonekit.operators.tokens_map import annotate_words, tokens_to_map
 from tonekit.plans.sentiment import conversation_posts, sentiment_table
@@ -415,9 +415,8 @@ def q_crosstab_rounded(spark, d):
 
 @query("tokenize_words")
 def q_tokenize_words(spark, d):
-    docs = read_table(spark, d, "documents")
-    return (docs.select(F.explode(word_tokens("text")).alias("word"))
-                .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    tokens = tokenize(read_table(spark, d, "documents"), "text", ("doc_id",))
+    return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- scoring -------------------------------------------------------------------------------
