@@ -50,7 +50,7 @@ def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "
     at ranks r .. r + window - 1, and carries itself along with the window it ends (k = 0); one
     aggregate per (id, end rank) gives count, sum and the row. One pass over ``df``, no join back,
     and the work is keyed by (id, rank), so a very long document is spread over many tasks instead
-    of being sorted in one.
+    of being sorted in one. Every column of ``df`` rides through the shuffle: project first.
     """
     out = out or f"{col}_ma{window}"
     cols = df.columns

@@ -48,7 +48,7 @@ def comparative_panels(scored: DataFrame, meta: DataFrame, order_cols: list[str]
     panels = windows.panel_index(meta.select(*wanted), "id", order_cols, ncol)
     panels = panels.select("id", "panel", "panel_row", "panel_col",
                            panel_title(F.col(name_col), F.col(year_col)).alias("title"))
-    prog = windows.speech_progress(scored)
+    prog = windows.speech_progress(scored).select("id", "rank_sentence", "percentage", value)
     series = stats.series_by(windows.rolling_mean(prog, value, out="ma"), "id", "percentage", value, "ma")
     means = stats.scorer_means(scored, "id", ["compound", "polarity", "ordinal"])
     return {"panels": panels, "series": series, "means": means}

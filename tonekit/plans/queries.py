@@ -570,7 +570,7 @@ def q_mann_whitney(spark, d):
 def q_series_by_id(spark, d):
     sents = explode_sentences(read_table(spark, d, "documents"), "doc_id", "text", 1, with_count=True)
     scored = score_sentences(sents, fixture_lexicon(spark))
-    prog = windows.speech_progress(scored)
+    prog = windows.speech_progress(scored).select("id", "rank_sentence", "percentage", "polarity")
     rolled = windows.rolling_mean(prog, "polarity", out="ma5")
     out = stats.series_by(rolled, "id", "percentage", "polarity", "ma5")
     return out.select("id", _r6(F.col("x")).alias("x"), _r6(F.col("y")).alias("y"), _r6(F.col("ma")).alias("ma"))
@@ -578,7 +578,8 @@ def q_series_by_id(spark, d):
 
 @query("rolling_mean5")
 def q_rolling_mean5(spark, d):
-    out = windows.rolling_mean(doc_scored(spark, d), "polarity", out="polarity_ma5")
+    scored = doc_scored(spark, d).select("id", "rank_sentence", "polarity")
+    out = windows.rolling_mean(scored, "polarity", out="polarity_ma5")
     return out.select("id", "rank_sentence", _r6(F.col("polarity")).alias("polarity"),
                       _r6(F.col("polarity_ma5")).alias("polarity_ma5"))
 
