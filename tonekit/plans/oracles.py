@@ -181,6 +181,7 @@ DOC_SENT = (f"SELECT id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS rank
             f"lang, source FROM (SELECT doc_id AS id, lang, source, "
             f"list_filter({sentences('text')}, lambda s: {not_noise('s')}) AS ss FROM documents)")
 POSTS = "SELECT conv_id * 1000 + turn AS post_id, role AS author, text FROM conversations"
+POST_CLEAN = f"regexp_replace(text, {q(POST_RX)}, '', 'g')"
 CONV_SENT = ("SELECT conv_id * 1000 + turn AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence, "
              "role AS author FROM conversations WHERE text IS NOT NULL")
 WHOLE_DOC = ("SELECT doc_id AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence FROM documents "
@@ -195,6 +196,11 @@ CTES: dict[str, str] = {
     "conv_sent": CONV_SENT,
     **scored_ctes("conv", "conv_sent"),
     "whole_doc": WHOLE_DOC,
+    "post_sent": (f"SELECT min(post_id) AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence, author FROM ("
+                  f"SELECT post_id, author, {strip(POST_CLEAN)} AS text "
+                  f"FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY post_id DESC) AS rn FROM ({POSTS})) "
+                  f"WHERE rn <= 2000) WHERE text IS NOT NULL GROUP BY author, text"),
+    **scored_ctes("post", "post_sent"),
     **scored_ctes("whole", "whole_doc"),
     "lab_scored": ("SELECT d.*, l.quality FROM doc_scored d LEFT JOIN labels l ON d.id = l.doc_id"),
     "corp": (f"SELECT {SCORE_COLS}, 'documents' AS corpus FROM doc_scored UNION ALL "
@@ -378,7 +384,6 @@ def _rolling(select_extra: str) -> str:
 
 
 INFO_AD_FLAT = f"regexp_replace({element_text('html', 'div', 'ad')}, '\\n', ' ', 'g')"
-POST_CLEAN = f"regexp_replace(text, {q(POST_RX)}, '', 'g')"
 TEXT_CLEAN = f"replace(regexp_replace(text, {q(RX_BOILER)}, ' ', 'g'), '.', '. ')"
 
 
@@ -505,6 +510,7 @@ ORACLES: dict[str, str] = {
         "SELECT d.id, d.rank_sentence, d.sentence, d.ordinal, d.compound, d.neu, d.neg, d.pos, d.polarity, "
         "d.subjectivity, b.language, d.lang, d.source FROM doc_scored d LEFT JOIN lang_best b "
         "ON d.id = b.id AND d.rank_sentence = b.rank_sentence", "doc_scored", "lang_best"),
+    "posts_scored": sql("SELECT id, author, sentence, compound, polarity, ordinal FROM post_scored", "post_scored"),
     "tokens_to_map": (r"SELECT post_id, CAST(idx AS INTEGER) AS index, w AS word, lower(w) AS lemma FROM "
                       r"(SELECT post_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS idx FROM "
                       rf"(SELECT post_id, regexp_extract_all(text, '\p{{L}}+', 0) AS ws FROM ({POSTS})))"),

@@ -29,7 +29,7 @@ from tonekit.operators.language import build_profiles, detect_language, material
 from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
 from tonekit.operators.tokens_map import annotate_words, tokens_to_map
-from tonekit.plans.sentiment import conversation_posts, sentiment_table
+from tonekit.plans.sentiment import conversation_posts, score_posts, sentiment_table
 from tonekit.session import ensure_checkpoint_dir
 from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
 from tonekit.sources.html_table import html_table
@@ -467,6 +467,13 @@ def q_sentiment_table(spark, d):
                            profiles=materialize_profiles(build_profiles(docs)))
 
 
+@query("posts_scored")
+def q_posts_scored(spark, d):
+    posts = conversation_posts(read_table(spark, d, "conversations"))
+    out = score_posts(posts, fixture_lexicon(spark))
+    return out.select("id", "author", "sentence", "compound", "polarity", "ordinal")
+
+
 @query("tokens_to_map")
 def q_tokens_to_map(spark, d):
     posts = conversation_posts(read_table(spark, d, "conversations"))

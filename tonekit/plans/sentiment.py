@@ -48,3 +48,24 @@ def conversation_posts(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"),
         F.col("role").alias("author"), "text")
+
+
+# --- fixed value: posts kept per author (the fetch limit of the post corpus) ---
+POSTS_PER_AUTHOR = 2000
+
+
+def score_posts(posts: DataFrame, lexicon: DataFrame, per_author: int = POSTS_PER_AUTHOR) -> DataFrame:
+    """Post corpus end to end: the newest ``per_author`` posts of each author (W6), links, hashtags
+    and mentions removed (T6), duplicates within an author dropped keeping the first id (U4), then
+    each post scored as one text (N10 with ``sentence_level=0``).
+
+    ``posts(post_id, author, text)``. Top-n runs in two salted rounds and dedup is a ``min_by``
+    aggregate, so an author with a third of all posts is never handled by a single task.
+    """
+    from tonekit.functions.text import clean_post
+    from tonekit.operators.clean import dedupe
+    from tonekit.operators.windows import top_n_per_group
+    newest = top_n_per_group(posts, "author", "post_id", per_author).drop("rank")
+    cleaned = newest.withColumn("text", clean_post("text"))
+    unique = dedupe(cleaned, ["author", "text"], "post_id")
+    return sentiment_table(unique, "post_id", "text", lexicon, 0, keep=["author"])
