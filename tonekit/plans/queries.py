@@ -7,7 +7,6 @@ SQL oracles, so results compare exactly across engines.
 
 from __future__ import annotations
 
-import datetime as _dt
 import uuid
 from collections.abc import Callable
 
@@ -187,16 +186,17 @@ def q_clean_column_names(spark, d):
     return clean.clean_names(cust)
 
 
-RECODE_CUTOFF = _dt.datetime(1998, 1, 1)
+RECODE_CUTOFF = "1998-01-01 00:00:00"   # compared as TIMESTAMP_NTZ: no session time zone involved
 
 
 @query("recode_conditional")
 def q_recode_conditional(spark, d):
     orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     urgent = F.col("o_orderpriority") == "1-URGENT"
+    cutoff = F.lit(RECODE_CUTOFF).cast("timestamp_ntz")
     out = clean.recode(orders, "o_orderpriority", [
-        (urgent & (F.col("o_orderdate") < F.lit(RECODE_CUTOFF)), "1-URGENT 1"),
-        (urgent & (F.col("o_orderdate") > F.lit(RECODE_CUTOFF)), "1-URGENT 2"),
+        (urgent & (F.col("o_orderdate") < cutoff), "1-URGENT 1"),
+        (urgent & (F.col("o_orderdate") > cutoff), "1-URGENT 2"),
     ])
     return out.select("o_orderkey", "o_orderpriority")
 
