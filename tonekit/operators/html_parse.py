@@ -10,13 +10,20 @@ slow path (Python per page), meant for the pages that need it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+# The per-page parser runs in Python workers. Ship this module's code with the task (pickle by
+# value) so executors need no installed copy of the package; it depends on the standard library
+# and pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _FirstElementText(HTMLParser):
     """Collects the text of the first element with ``tag`` (and ``css_class``), nesting-aware."""
