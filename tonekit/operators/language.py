@@ -41,13 +41,14 @@ def word_trigrams(word: Column) -> Column:
 def char_trigrams(text: Column | str) -> Column:
     """Trigrams of every word of a text (words as in ``word_tokens``), each word padded with a blank.
 
-    One linear regex pass per text: the words are joined with two blanks and padded, every 3-char
-    window is taken with a look-ahead match, and windows holding two blanks (the ones that cross a
-    word boundary) are dropped, which leaves exactly the padded per-word trigrams.
+    One linear regex pass per text: runs of non-letters become two blanks, the text is padded with
+    one blank, and a look-ahead match takes every 3-char window made of letters with at most a
+    blank at one end (or `` x `` for a one-letter word). Windows holding two blanks, the ones that
+    cross a word boundary, never match, which leaves exactly the padded per-word trigrams.
     """
-    joined = F.concat(F.lit(" "), F.concat_ws("  ", word_tokens(text)), F.lit(" "))
-    windows = F.regexp_extract_all(joined, F.lit("(?=(.{3}))"), F.lit(1))
-    return F.filter(windows, lambda t: ~t.contains("  "))
+    c = F.col(text) if isinstance(text, str) else text
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}]+", "  "), F.lit(" "))
+    return F.regexp_extract_all(spaced, F.lit("(?=([^ ]{3}| [^ ]{2}|[^ ]{2} | [^ ] ))"), F.lit(1))
 
 
 def build_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
