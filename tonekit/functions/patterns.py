@@ -37,5 +37,6 @@ RX_SENT = r"""([.!?]+["')\]]*)\s+"""
 # Character used to mark sentence boundaries before splitting (never occurs in prose).
 SENT_MARK = "\u001f"
 
-# Word tokens: maximal runs of letters.
+# Word tokens: maximal runs of letters (RX_WORD separates them).
 RX_WORD = r"[^\p{L}]+"
+RX_LETTERS = r"\p{L}+"
