@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonekit.functions.html import absolutize, element_text, first_match, link_targets
 from tonekit.functions.patterns import DEFAULT_INFO
 from tonekit.functions.text import clean_transcript, default_if_blank, space_after_dot
+from tonekit.operators.generate import explode_rows
 
 
 def site_base(url: Column | str) -> Column:
@@ -22,7 +23,7 @@ def extract_links(df: DataFrame, html_col: str, href_regex: str, base: str | Col
                   keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """H1 + H2: ``(*keys, pos, link)`` for every ``<a href>`` matching ``href_regex``, made absolute."""
     base_col = F.lit(base) if isinstance(base, str) else base
-    rows = df.select(*keys, base_col.alias("_base"), F.posexplode(link_targets(html_col)).alias("pos", "href"))
+    rows = explode_rows(df, link_targets(html_col), ["pos", "href"], [*keys, base_col.alias("_base")], with_pos=True)
     rows = rows.where(F.col("href").rlike(href_regex))
     return rows.select(*keys, "pos", absolutize(F.col("href"), F.col("_base")).alias("link"))
 

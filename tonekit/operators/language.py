@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tonekit.functions.patterns import NO_LANGUAGE
 from tonekit.functions.text import word_tokens
+from tonekit.operators.generate import explode_rows
 from tonekit.operators.joins import broadcast_if_small
 
 MAX_LANGUAGES = 500
@@ -58,9 +59,9 @@ def build_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     distinct word is expanded to its trigrams weighted by its count. Both steps aggregate map-side.
     """
     words = (docs.where(F.col(lang_col).isNotNull())
-                 .select(F.col(lang_col).alias("lang"), F.explode(word_tokens(text_col)).alias("word"))
+                 .transform(lambda d: explode_rows(d, word_tokens(text_col), ["word"], [F.col(lang_col).alias("lang")]))
                  .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")))
-    tri = words.select("lang", "c", F.explode(word_trigrams(F.col("word"))).alias("tri"))
+    tri = explode_rows(words, word_trigrams(F.col("word")), ["tri"], ["lang", "c"])
     return tri.groupBy("lang", "tri").agg(F.sum("c").alias("n"))
 
 

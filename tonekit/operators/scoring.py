@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tonekit.functions.numeric import round_half_up
 from tonekit.functions.text import word_tokens
+from tonekit.operators.generate import explode_rows
 from tonekit.sources.lexicon import NEGATION_FACTOR, NEGATION_REACH, NEGATORS
 
 MAX_INLINE_WORDS = 2_000         # literal map size limit (a hit's lookup scans the key array)
@@ -186,7 +187,7 @@ def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation:
     else:
         toks = toks.withColumn("_neg", F.transform("_toks", lambda t: F.lit(False)))
     pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))
-    toks = toks.select(*KEYS, F.explode(pairs).alias("tok"))
+    toks = explode_rows(toks, pairs, ["tok"], list(KEYS))
     toks = toks.select(*KEYS, F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
     lex = lexicon.select(
         "word", (F.col("valence") * P_UNIT).cast("long").alias("v4"),
@@ -223,4 +224,4 @@ def score_sentences(df: DataFrame, lexicon: DataFrame, text_col: str = "sentence
 
 def tokenize(df: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:
     """T13 as rows: ``(*keys, pos, word)`` with 0-based token position."""
-    return df.select(*keys, F.posexplode(word_tokens(text_col)).alias("pos", "word"))
+    return explode_rows(df, word_tokens(text_col), ["pos", "word"], list(keys), with_pos=True)

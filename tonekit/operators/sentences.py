@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tonekit.functions.patterns import RX_NOISE, RX_SENT, SENT_MARK
 from tonekit.functions.text import strip
+from tonekit.operators.generate import explode_rows
 
 ColumnOrName = Column | str
 
@@ -55,5 +56,5 @@ def explode_sentences(df: DataFrame, id_col: str, text_col: str, sentence_level:
         parts = F.when(text.isNotNull(), F.array(text))
     staged = df.select(F.col(id_col).alias("id"), *[F.col(k) for k in keep], parts.alias("_parts"))
     extra = [F.size("_parts").alias("n_sentences")] if with_count else []
-    out = staged.select("id", *keep, *extra, F.posexplode("_parts").alias("rank_sentence", "sentence"))
+    out = explode_rows(staged, F.col("_parts"), ["rank_sentence", "sentence"], ["id", *keep, *extra], with_pos=True)
     return out.select("id", "rank_sentence", "sentence", *keep, *[c for c in ("n_sentences",) if with_count])

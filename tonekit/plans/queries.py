@@ -23,6 +23,7 @@ from tonekit.functions.text import (
 from tonekit.functions.patterns import DEFAULT_INFO
 from tonekit.operators import agreement as agr
 from tonekit.operators import clean, joins, stats, windows
+from tonekit.operators.generate import explode_rows
 from tonekit.operators.html_extract import append_literals, extract_links, extract_pages, site_base
 from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
 from tonekit.operators.scoring import score_sentences, tokenize
@@ -280,7 +281,7 @@ def q_nonzero_pairs(spark, d):
 @query("sentence_filter")
 def q_sentence_filter(spark, d):
     docs = read_table(spark, d, "documents")
-    raw = docs.select(F.col("doc_id").alias("id"), F.posexplode(split_sentences("text")).alias("pos", "sentence"))
+    raw = explode_rows(docs, split_sentences("text"), ["pos", "sentence"], [F.col("doc_id").alias("id")], with_pos=True)
     return drop_noise_sentences(raw)
 
 
@@ -478,7 +479,7 @@ def q_posts_scored(spark, d):
 def q_tokens_to_map(spark, d):
     posts = conversation_posts(read_table(spark, d, "conversations"))
     mapped = posts.select("post_id", tokens_to_map(annotate_words("text")).alias("tokens"))
-    out = mapped.select("post_id", F.explode("tokens").alias("index", "attrs"))
+    out = explode_rows(mapped, F.col("tokens"), ["index", "attrs"], ["post_id"])
     return out.select("post_id", "index", "attrs.word", "attrs.lemma")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tonekit.functions.html import decode_entities, strip_tags
 from tonekit.functions.text import strip
+from tonekit.operators.generate import explode_rows
 
 
 def _block(tag: str) -> str:
@@ -44,9 +45,10 @@ def html_table(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] =
         return F.transform(F.regexp_extract_all(row_html, cells_rx, F.lit(1)), _cell_text)
 
     staged = df.select(*keys, rows.alias("_rows"))
-    staged = staged.select(*keys, cells(F.try_element_at("_rows", F.lit(1))).alias("_header"),
-                           F.posexplode(F.col("_rows")).alias("row", "_row_html")).where(F.col("row") >= 1)
-    out = staged.select(*keys, "row", "_header", F.posexplode(cells(F.col("_row_html"))).alias("col", "value"))
+    staged = explode_rows(staged, F.col("_rows"), ["row", "_row_html"],
+                          [*keys, cells(F.try_element_at("_rows", F.lit(1))).alias("_header")],
+                          with_pos=True).where(F.col("row") >= 1)
+    out = explode_rows(staged, cells(F.col("_row_html")), ["col", "value"], [*keys, "row", "_header"], with_pos=True)
     return out.select(*keys, "row", "col", F.try_element_at("_header", F.col("col") + 1).alias("header"), "value")
 
 
