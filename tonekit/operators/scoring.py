@@ -116,13 +116,19 @@ def _emit(df: DataFrame, keep: list[str], scores: dict[str, Column]) -> DataFram
     return df.select(*keep, F.inline(packed))
 
 
-def negation_flags(tokens: Column, reach: int = NEGATION_REACH) -> Column:
+def negator_marks(tokens: Column) -> Column:
+    """``ARRAY<BOOLEAN>``: token is a negator."""
+    return F.transform(tokens, lambda t: F.array_contains(F.lit(list(NEGATORS)), t))
+
+
+def negation_flags(tokens: Column, reach: int = NEGATION_REACH, marks: Column | None = None) -> Column:
     """``ARRAY<BOOLEAN>``, true where one of the ``reach`` previous tokens is a negator.
 
-    Built from shifted copies of the is-negator array (O(n)); no lambda looks into another array,
-    which would make Catalyst re-evaluate that array for every element.
+    Built from shifted copies of the negator marks (O(n)); no lambda looks into another array,
+    which would make Catalyst re-evaluate that array for every element. Pass ``marks`` as a staged
+    column so the marks are computed once rather than once per shifted copy.
     """
-    is_neg = F.transform(tokens, lambda t: F.array_contains(F.lit(list(NEGATORS)), t))
+    is_neg = marks if marks is not None else negator_marks(tokens)
     n = F.size(tokens)
     shifted = [F.slice(F.concat(F.array_repeat(F.lit(False), k), is_neg), 1, n) for k in range(1, reach + 1)]
     out = shifted[0]
@@ -166,7 +172,8 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
     staged = df.withColumn("_toks", word_tokens(text_col))
     # The lexicon test is a hashed IN-list; only the (few) hits are looked up and summed.
     if negation:
-        staged = staged.withColumn("_neg", negation_flags(F.col("_toks")))
+        staged = staged.withColumn("_marks", negator_marks(F.col("_toks")))
+        staged = staged.withColumn("_neg", negation_flags(F.col("_toks"), marks=F.col("_marks")))
         pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("t"), g.alias("g")))
         hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*words)), lambda x: parts_of(x["t"], x["g"]))
     else:
@@ -183,7 +190,8 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
 def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool) -> DataFrame:
     toks = df.select(*[F.col(k) for k in KEYS], word_tokens(text_col).alias("_toks"))
     if negation:
-        toks = toks.withColumn("_neg", negation_flags(F.col("_toks")))
+        toks = toks.withColumn("_marks", negator_marks(F.col("_toks")))
+        toks = toks.withColumn("_neg", negation_flags(F.col("_toks"), marks=F.col("_marks")))
     else:
         toks = toks.withColumn("_neg", F.transform("_toks", lambda t: F.lit(False)))
     pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))

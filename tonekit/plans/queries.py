@@ -28,7 +28,7 @@ from tonekit.operators.html_extract import append_literals, extract_links, extra
 from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
 from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
-from tonekit.operators.tokens_map import annotate_words, tokens_to_map
+from tonekit.operators.tokens_map import annotate_words, with_token_map
 from tonekit.plans.sentiment import conversation_posts, score_posts, sentiment_table
 from tonekit.session import ensure_checkpoint_dir
 from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
@@ -478,7 +478,8 @@ def q_posts_scored(spark, d):
 @query("tokens_to_map")
 def q_tokens_to_map(spark, d):
     posts = conversation_posts(read_table(spark, d, "conversations"))
-    mapped = posts.select("post_id", tokens_to_map(annotate_words("text")).alias("tokens"))
+    annotated = posts.select("post_id", annotate_words("text").alias("annotation"))
+    mapped = with_token_map(annotated, "annotation").select("post_id", "tokens")
     out = explode_rows(mapped, F.col("tokens"), ["index", "attrs"], ["post_id"])
     return out.select("post_id", "index", "attrs.word", "attrs.lemma")
 
