@@ -3,7 +3,6 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tonekit.functions.text import word_tokens
 from tonekit.operators.sentences import explode_sentences
