@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.functions.text import open_end_year, parse_date, replace_names, split_part, strip_brackets
+from tonekit.functions.text import open_end_year, parse_date, split_part, strip_brackets
 from tonekit.operators import clean
 from tonekit.operators.html_extract import extract_pages
 from tonekit.operators.joins import distinct_count_join, enrich
@@ -62,4 +62,4 @@ def write_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         write_corpus_csv(df, path, sep=";", quote="'")
 
 
-__all__ = ["build_corpus", "metadata_from_table", "write_corpus", "replace_names"]
+__all__ = ["build_corpus", "metadata_from_table", "write_corpus"]
