@@ -172,10 +172,19 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
     staged = df.withColumn("_toks", word_tokens(text_col))
     # The lexicon test is a hashed IN-list; only the (few) hits are looked up and summed.
     if negation:
-        staged = staged.withColumn("_marks", negator_marks(F.col("_toks")))
-        staged = staged.withColumn("_neg", negation_flags(F.col("_toks"), marks=F.col("_marks")))
-        pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("t"), g.alias("g")))
-        hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*words)), lambda x: parts_of(x["t"], x["g"]))
+        # Positions of negators (usually none), staged through a one-row generator: the per-hit
+        # lambda below reads a stored array, which Catalyst cannot inline and rebuild per element.
+        negators = F.lit(list(NEGATORS))
+        negpos = F.filter(F.transform(F.col("_toks"), lambda t, i: F.when(F.array_contains(negators, t), i)),
+                          lambda p: p.isNotNull())
+        staged = staged.select(*cols, "_toks", F.inline(F.array(F.struct(negpos.alias("_negpos")))))
+        pairs = F.transform(F.col("_toks"), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+
+        def negated(i: Column) -> Column:
+            return F.exists(F.col("_negpos"), lambda p: (p >= i - F.lit(NEGATION_REACH)) & (p < i))
+
+        hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*words)),
+                           lambda x: parts_of(x["t"], negated(x["i"])))
     else:
         hits = F.transform(F.filter(F.col("_toks"), lambda t: t.isin(*words)), lambda t: parts_of(t, None))
     staged = staged.select(*cols, F.size("_toks").alias("_n"), hits.alias("_hits"))
