@@ -66,3 +66,30 @@ def test_classes_edges(spark):
 def test_agreement_nulls(spark):
     df = spark.createDataFrame([("x", "x"), ("x", "y"), (None, None), (None, "x")], "a string, b string")
     assert [r[0] for r in df.select(agreement("a", "b")).collect()] == ["agreement"] + ["disagreement"] * 3
+
+
+def _vocab_lexicon(spark, n_words):
+    """A lexicon over the corpus vocabulary with values from a fixed rule (test input only)."""
+    from tonekit.functions.text import word_tokens
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words = (docs.select(F.explode(word_tokens("text")).alias("word")).groupBy("word").count()
+                 .orderBy(F.desc("count"), "word").limit(n_words))
+    h = F.abs(F.xxhash64("word"))
+    return words.select(
+        "word",
+        ((h % 41 - 20) / 10).cast("decimal(18,4)").alias("valence"),
+        F.when(h % 3 == 0, ((h % 21 - 10) / 10)).cast("decimal(18,4)").alias("polarity"),
+        F.when(h % 3 == 0, ((h % 11) / 10)).cast("decimal(18,4)").alias("subjectivity"))
+
+
+def test_large_lexicon_switches_strategy_and_agrees(spark, monkeypatch):
+    from tonekit.operators import scoring
+    lex = _vocab_lexicon(spark, 3000)
+    assert lex.count() > scoring.MAX_INLINE_WORDS
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    s = explode_sentences(docs, "doc_id", "text", 1)
+    auto = score_sentences(s, lex, negation=True)          # above the inline limit: exploded
+    assert "BroadcastHashJoin" in auto._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scoring, "MAX_INLINE_WORDS", 5000)
+    inline = score_sentences(s, lex, negation=True, strategy="inline")
+    assert auto.count() == inline.count() and auto.exceptAll(inline).count() == 0
