@@ -77,3 +77,28 @@ def test_parser_variant_handles_nesting(spark):
     df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id long, html string")
     got = {r.page_id: r.body for r in parse_fields(df, "html", ["page_id"], {"body": [("div", "x")]}).collect()}
     assert got == {1: "abc éé", 2: None}
+
+
+def test_read_lexicon_file_scores_like_fixture(spark, lexicon):
+    import os
+    from tonekit.operators.scoring import score_sentences
+    from tonekit.sources.lexicon import FIXTURE_LEXICON_TEXT, read_lexicon
+    folder = tempfile.mkdtemp(prefix="tonekit-lex-")
+    with open(os.path.join(folder, "lexicon.csv"), "w", encoding="utf-8") as fh:
+        fh.write("word,valence,polarity,subjectivity\n" + FIXTURE_LEXICON_TEXT)
+    from_file = read_lexicon(spark, folder)
+    assert from_file.count() == lexicon.count()
+    df = spark.createDataFrame([(1, 0, "für was it with as"), (2, 0, "nothing here")], "id long, rank_sentence int, sentence string")
+    a = score_sentences(df, from_file).orderBy("id").collect()
+    b = score_sentences(df, lexicon).orderBy("id").collect()
+    assert a == b
+
+
+def test_write_corpus_csv_round_trip(spark):
+    from tonekit.plans.corpus import build_corpus, write_corpus
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    docs = build_corpus(pages, columns=["page_id", "title", "speech"])
+    out = tempfile.mkdtemp(prefix="tonekit-corpus-csv-") + "/docs"
+    write_corpus(docs, out, fmt="csv")
+    back = read_corpus_csv(spark, out, docs.schema, sep=";", quote="'")
+    assert back.count() == docs.count() and back.exceptAll(docs).count() == 0
