@@ -21,6 +21,13 @@ _DISPUTED = re.compile("[\x1c-\x1f\x85᠎]")
 _WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: A word and the marks after it: pre-tokenizers part them there (an apostrophe may bind).
 _MARKED = re.compile(r"( ?[^\W\d_]+)([!#$%&()*+,./:;=?@|-]+)")
+#: Words that the vocabulary's model can be given directly: no rule of a tokenizer parts or changes
+#: them but lower-casing, which is the same by any rule for these letters.
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PROBES = [" the", " Été", " über", " straße", " ÑANDÚ", " ontiatthing", "Œuvre"[1:], " ÿ", " Ààòõ"]
+#: Byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class UnitEncoder:
@@ -32,11 +39,19 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = str.split if drops_space else _WITH_SPACE.findall
         self.cache: dict[str, bytes] = {}
+        self.model, self.lowers = self.tokenizer.model, drops_space
+        probes = [p.strip() for p in _PROBES] if drops_space else _PROBES
+        self.direct = [self._word(p) for p in probes] == self._ids(probes)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _word(self, unit: str) -> bytes:
+        """Ids of a unit that is one word, from the byte-level model."""
+        text = (unit.lower() if self.lowers else unit).encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers (null: none)."""
         get, out, later, missing = self.cache.get, [b""] * len(texts), [], {}
@@ -74,8 +89,10 @@ class UnitEncoder:
                 new.update((p, None) for p in m.groups() if p not in self.cache)
             else:
                 new[u] = None
-        if new:
-            new = dict(zip(new, self._ids(list(new))))
+        if self.direct:
+            new.update([(u, self._word(u)) for u in new if _LETTERS.fullmatch(u)])
+        if rest := [u for u, ids in new.items() if ids is None]:
+            new.update(zip(rest, self._ids(rest)))
         missing.update(new)
         for u, word, marks in made:
             missing[u] = (self.cache.get(word) or new[word]) + (self.cache.get(marks) or new[marks])
