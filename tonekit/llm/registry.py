@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tonekit.llm import mixing, packing, token_output
+from tonekit.llm import mixing, packing, token_output, warc
 
-MODULES = (mixing, token_output, packing)
+MODULES = (mixing, token_output, packing, warc)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
