@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tonekit.llm import mixing, packing, token_output, warc
+from tonekit.llm import mixing, packing, token_output, topk, warc
 
 MODULES = (mixing, token_output, packing, warc)
 
