@@ -35,6 +35,8 @@ DIGIT, LEVELS = 12, 3
 #: Documents around the boundary among which the last ones are chosen, and the most of them (more
 #: only if they have one hash).
 REGION, REGION_MOST = 48, 512
+#: Sources up to which their table is broadcast.
+FEW_SOURCES = 10_000
 
 
 def id_hash(c: Column) -> Column:
@@ -146,14 +148,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goals = staged(goals.withColumn("whole", whole).withColumn(
         "rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("whole") * F.col("source_size"))
         .otherwise(F.lit(-1.0))), "targets")
+    few = goals.count() <= FEW_SOURCES  # one row per source, with a bounded list: else a shuffle join
+    small = F.broadcast if few else lambda df: df
     short = goals.where(F.col("rest") > 0)
     regions = _regions(own, short)
-    chosen = regions.join(_last_ones(own, regions).withColumnRenamed("source_", "s_"),
+    chosen = regions.join(_last_ones(own, small(regions)).withColumnRenamed("source_", "s_"),
                           F.col("source_").eqNullSafe(F.col("s_")), "left").select("source_", "low", "hashes")
     plan = goals.join(chosen, goals["source"].eqNullSafe(chosen["source_"]), "left").select(
         F.col("source").alias("source_"), "source_size", "target", "whole", "low", "hashes")
     extra = F.coalesce((F.col("h") < F.col("low")) | F.array_contains("hashes", F.col("h")), F.lit(False))
-    taken = own.join(plan, own["source"].eqNullSafe(plan["source_"])).select(
+    taken = own.join(small(plan), own["source"].eqNullSafe(plan["source_"])).select(
         "doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"))
     return taken, goals.select("source", "source_size", "target")
 
