@@ -34,6 +34,8 @@ from tonekit.llm.common import scratch, staged, table
 RECORDS = 2_000
 _CONTROL = r"[\x00-\x20\x7F]"
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+#: Payloads with copies up to which their table (some 60 bytes a row) is broadcast.
+FEW_PAYLOADS = 100_000
 #: Date of the records: fixed, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,10 +54,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    # a row per payload and task, then per payload; null ids come last
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(first, "sha1")
-    same = F.col("page_id").eqNullSafe(F.col("first_id"))
+    # payloads that occur again, of any page: a row per payload and task, then per payload
+    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = staged(first.where("n > 1").select("sha1", "first_id", F.lit(True).alias("again")), "again")
+    if first.count() <= FEW_PAYLOADS:  # else a shuffle join, in which Spark splits a hot payload
+        first = F.broadcast(first)
+    rows = rows.join(first, "sha1", "left")
+    same = F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     size = F.octet_length("html")
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
