@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tonekit.llm import mixing, packing, token_output, topk, warc
+from tonekit.llm import mixing, packing, quality_model, token_output, topk, warc
 
-MODULES = (mixing, token_output, packing, topk, warc)
+MODULES = (mixing, token_output, packing, quality_model, topk, warc)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
