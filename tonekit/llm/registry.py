@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tonekit.llm import mixing, near_dup, packing, quality_model, quality_rules, token_output, topk, warc
+from tonekit.llm import chat, mixing, near_dup, packing, quality_model, quality_rules, token_output, topk, warc
 
-MODULES = (mixing, token_output, near_dup, packing, quality_model, topk, quality_rules, warc)
+MODULES = (mixing, token_output, near_dup, packing, quality_model, topk, quality_rules, chat, warc)
 
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
