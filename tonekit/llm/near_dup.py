@@ -42,6 +42,8 @@ WORDS, PER_CENT = 5, 75
 M, ROWS = 128, 4
 B, A = 1.001, 20.0
 DOUBT = 14.0
+#: Rows of a few numbers up to which a stored table is broadcast; partners of a class per task.
+FEW_ROWS, MEMBERS = 500_000, 500
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 _RNG = np.random.default_rng(20240229)
@@ -143,24 +145,35 @@ def _fingerprint(s: np.ndarray) -> bytes:
                 + int(np.bitwise_xor.reduce(_mix(s * _MUL[0]))).to_bytes(8, "little"))
 
 
-_SETS = "doc_id long, n_shingles long, print binary, shingles binary, registers binary"
+_SETS = "doc_id long, text_hash long, n_shingles long, print binary, registers binary"
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _of_batch(column: pa.Array) -> list[np.ndarray]:
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    return [shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8)) for t in texts]
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                       F.col(text_col).alias("text"))
+
+
+def sketches(source: DataFrame) -> DataFrame:
+    """Set sizes, fingerprints and registers; the sets are not kept but made again from the texts that
+    are compared, as a text is smaller than its hashes."""
     names = [c.split(" ")[0] for c in _SETS.split(", ")]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
             for i in range(0, batch.num_rows, 512):
-                found = [shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8)) for t in texts.slice(i, 512)]
+                part = batch.slice(i, 512)
+                found = _of_batch(part.column(2))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 512), pa.array([len(s) for s in found], pa.int64()),
+                    [part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()),
                      pa.array([_fingerprint(s) if len(s) else b"" for s in found], pa.binary()),
-                     pa.array([s.tobytes() for s in found], pa.binary()),
                      pa.array([sketch(s).tobytes() if len(s) else b"" for s in found], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _SETS)
+    return source.mapInArrow(run, _SETS)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -212,22 +225,44 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose full sets are alike: 100 x common >= 75 x all."""
-    a, b = (classes.select(F.col("class").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+def _small(rows: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, broadcast if it is short; else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
+def _linked(tried: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs ``a, b`` of classes whose full sets are alike: 100 x common >= 75 x all.
+
+    Texts meet at ``a``: its text is sent once for each ``MEMBERS`` of its partners (so a class with
+    many partners spreads over tasks), theirs once each.
+    """
+    salts = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("salts"))
+    split = _plausible(tried, classes).join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    own = salts.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                       F.lit(None).cast("long").alias("b"))
+    sides = staged(own.union(split.select(F.col("b").alias("class"), "a", "salt", "b")), f"sides{name}")
+    rows = texts.join(_small(sides), "class").select("a", "salt", "b", "text")
+    ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
+        key, first = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * common >= PER_CENT * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                for x, salt, y, own in zip(*(part.column(k).to_pylist() for k in range(3)), _of_batch(part.column(3))):
+                    if y is None:
+                        key, first = (x, salt), own
+                        continue
+                    assert key == (x, salt), "a pair's first text is missing"
+                    at = np.minimum(np.searchsorted(first, own), len(first) - 1)
+                    common = int((first[at] == own).sum())
+                    if 100 * common >= PER_CENT * (len(first) + len(own) - common):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return staged(ordered.mapInArrow(run, "a long, b long"), f"links{name}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,23 +272,22 @@ def components(links: DataFrame) -> DataFrame:
     all smaller ones, until nothing changes; some log2 of the longest chain rounds.
     """
     edges = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    k, before = 0, None
+    k = 0
     while True:
+        nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(
+            edges.select("b", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
+        if nodes.where("below > 1 OR (above > 0 AND below > 0)").isEmpty():
+            break  # nothing but stars
         k += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = large.where("a <> b").distinct()
         # now each node's neighbours below it: tie them and the node to the smallest
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", "a", "b")
         new = (small.select(F.col("m").alias("a"), F.col("b")).union(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
                     .distinct())
         edges = staged(new, f"edges{k}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("a").alias("class")).distinct().select("class", F.col("class").alias("comp"))
     return edges.select(F.col("b").alias("class"), F.col("a").alias("comp")).union(roots).distinct()
 
@@ -263,52 +297,66 @@ def _with_comp(rows: DataFrame, comps: DataFrame, col: str, out: str) -> DataFra
     return rows.join(c, col, "left").withColumn(out, F.coalesce(out, col))
 
 
-def class_links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of classes (``class, comp``) and the verified links ``a, b`` that made them."""
     bands = _bands(classes)
     met = bands.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("class", F.xxhash64("class", "band")).alias("centre")).where("n > 1")
     buckets = staged(bands.join(met.select("band", "key", "centre"), ["band", "key"]), "buckets")
+    wanted = buckets.select("class").distinct().join(classes, "class").select("class", F.col("least").alias("id"), "text_hash")
+    wanted = staged(wanted, "wanted")
+    same = source["doc_id"].eqNullSafe(F.col("id")) & (source["text_hash"] == F.col("w_hash"))
+    texts = source.join(_small(wanted.withColumnRenamed("text_hash", "w_hash")), same).select("class", "text")
+    texts = staged(texts, "texts")
+    again = texts.groupBy("class").count().where("count > 1")
+    if not again.isEmpty():  # rows that are equal in id and text
+        texts = staged(texts.dropDuplicates(["class"]), "texts_once")
 
     stars = buckets.where("class <> centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("n"))
     first = stars.groupBy("class").agg(F.max_by("centre", F.struct("n", F.xxhash64("centre"))).alias("centre"))
-    pairs = first.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-    links = staged(_linked(_plausible(pairs, classes), classes), "links1")
+    # a: the centre, whose text is shared by its pairs; pairs are known by their smaller class first
+    pairs = staged(first.select(F.col("centre").alias("a"), F.col("class").alias("b")), "pairs1")
+    links = _linked(pairs, classes, texts, "1")
     comps = staged(components(links), "components1")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tested = pairs.select(*ordered).distinct()
 
     # Stars with the other centres, then all pairs across components that a bucket still holds.
-    tested = staged(pairs, "tested1")
     for step in (2, 3):
-        known = staged(_with_comp(buckets, comps, "class", "comp"), f"known{step}")
+        known = _with_comp(buckets, comps, "class", "comp")
         mixed = known.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        open_ = known.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+        mixed = staged(mixed.select("band", "key"), f"mixed{step}")
+        open_ = staged(known.join(_small(mixed), ["band", "key"], "left_semi"), f"open{step}")
         if step == 2:
             rows = _with_comp(open_.where("class <> centre"), comps, "centre", "centre_comp").where("comp <> centre_comp")
-            new = rows.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
+            new = rows.select(F.col("centre").alias("a"), F.col("class").alias("b"))
         else:
             one = open_.select("band", "key", F.col("class").alias("a"), F.col("comp").alias("comp_a"))
             two = open_.select("band", "key", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
             new = one.join(two, ["band", "key"]).where("a < b AND comp_a <> comp_b").select("a", "b")
-        new = new.distinct().join(tested, ["a", "b"], "left_anti")
+        new = new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti")
         new = staged(new, f"pairs{step}")
         tested = tested.union(new)
-        links = links.union(staged(_linked(_plausible(new, classes), classes), f"links{step}"))
-        comps = staged(components(links), f"components{step}")
+        found = _linked(new, classes, texts, str(step))
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = staged(components(links), f"components{step}")
     return comps, links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
-    sets = staged(shingle_sets(docs, id_col, text_col), "sets", codec="lz4")
-    full = sets.where("n_shingles > 0")
-    # one class per set, one row of it keeps the set: ids with several texts tie classes together below
-    heads = full.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = (full.select("print", "n_shingles", "shingles", "registers", F.col("doc_id").alias("id")).join(heads, "print")
-                   .where(F.col("id").eqNullSafe(F.col("least"))).dropDuplicates(["print"])
-                   .select(F.xxhash64("print").alias("class"), "least", "n_shingles", "shingles", "registers"))
-    classes = staged(classes, "classes", codec="lz4")
-    comps, links = class_links(classes)
-    member = staged(sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("print")).alias("class")), "members")
+    source = _source(docs, id_col, text_col)
+    sets = staged(sketches(source).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("print"))).drop("print"), "sets")
+    member = sets.select("doc_id", "n_shingles", "class")
+    full = sets.where("class IS NOT NULL")
+    # one class per set; its first row by id (nulls last) lends it the text
+    head = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = full.groupBy("class").agg(F.min(head).alias("head"), F.max("n_shingles").alias("n_shingles"),
+                                        F.max("registers").alias("registers"))
+    classes = staged(classes.select("class", F.col("head.doc_id").alias("least"), F.col("head.text_hash").alias("text_hash"),
+                                    "n_shingles", "registers"), "classes")
+    comps, links = class_links(classes, source)
     again = (member.where("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("doc_id")
                    .agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b"))
     if not again.isEmpty():  # ids that occur with several texts

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tonekit.llm import chat, mixing, near_dup, packing, quality_model, quality_rules, token_output, topk, warc
+import corpus_pipeline
+from tonekit.llm import (chat, mixing, near_dup, packing, quality_model, quality_rules, secret_scan,
+                         token_output, topk, warc)
 
-MODULES = (mixing, token_output, near_dup, packing, quality_model, topk, quality_rules, chat, warc)
+MODULES = (mixing, secret_scan, token_output, near_dup, packing, quality_model, topk, quality_rules, chat, warc)
 
-QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
