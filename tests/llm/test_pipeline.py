@@ -8,6 +8,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_stages(spark, sf_dir):
+    sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)
     good = stage["quality"](spark, docs, sf_dir).collect()
