@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonekit.functions.text import clean_strings, replace_names, strip_brackets
@@ -109,15 +109,24 @@ def drop_by_position(df: DataFrame, order_cols: Sequence[str], positions: Sequen
                      drop_last: bool = False) -> DataFrame:
     """F8: drop rows by 0-based position in ``order_cols`` order (and optionally the last row).
 
-    Positions come from ``global_row_number`` (distributed); ``order_cols`` must be a total order.
+    No ranks: the keys at the positions are among the first ``max(positions) + 1`` in order (a bounded
+    top-k), the last key is a maximum, and rows with these keys are left out by an anti-join.
+    ``order_cols`` must be a total order (null first, as Spark sorts); positions beyond the table
+    drop nothing.
     """
-    from tonekit.operators.windows import global_row_number
-    ranked = global_row_number(df, order_cols, "_pos")
-    gone = F.col("_pos").isin([p + 1 for p in positions]) if positions else F.lit(False)
+    keys = list(order_cols)
+    gone = []
+    if positions:
+        first = df.select(*keys).orderBy(*keys).limit(max(positions) + 1)  # bounded by the caller's positions
+        number = F.row_number().over(Window.orderBy(*keys)) - 1
+        gone.append(first.withColumn("_pos", number).where(F.col("_pos").isin(list(positions))).select(*keys))
     if drop_last:
-        total = df.count()
-        gone = gone | (F.col("_pos") == F.lit(total))
-    return ranked.where(~gone).drop("_pos")
+        gone.append(df.select(*keys).orderBy(*[F.col(k).desc() for k in keys]).limit(1))
+    if not gone:
+        return df
+    left_out = reduce(DataFrame.union, gone).toDF(*[f"_k{i}" for i in range(len(keys))])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(F.broadcast(left_out), same, "left_anti")
 
 
 # ---- unions and dedup ----------------------------------------------------------------------

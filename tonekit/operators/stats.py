@@ -114,7 +114,15 @@ def histogram_pct(df: DataFrame, col: str, group: str, bins: int = 20, digits: i
     rng = (rng.withColumn("lo", F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")))
               .withColumn("hi", F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))))
     n = F.lit(float(bins))
-    idx = F.least(F.floor((F.col("v") - F.col("lo")) * n / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    step = (F.col("hi") - F.col("lo")) / n
+
+    def edge(k):
+        return F.when(k >= bins, F.col("hi")).otherwise(F.col("lo") + k * step)
+
+    # the quotient may miss a bin by rounding: the edges themselves decide, as in numpy
+    near = F.least(F.floor((F.col("v") - F.col("lo")) * n / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
+    idx = (F.when(F.col("v") < edge(near), near - 1)
+            .when((F.col("v") >= edge(near + 1)) & (near < bins - 1), near + 1).otherwise(near))
     counts = (vc.join(rng.select(group, "lo", "hi"), group)
                 .groupBy(group, idx.cast("int").alias("bin")).agg(F.sum("c").alias("n")))
     grid = rng.select(group, "lo", "hi", "total", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -199,7 +207,7 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
         F.sum(F.col("na")).alias("n1"),
         (F.sum("t") - F.sum("na")).alias("n2"),
         F.sum(F.col("na") * avg_rank).alias("r1"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
+        F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"),  # t^3 outgrows BIGINT
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -207,7 +215,7 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     mu = n1 * n2 / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties").cast("double") / (n * (n - 1))))
     out = summary.select("n1", "n2", "r1", u1.alias("u1"), (n1 * n2 - u1).alias("u2"),
-                         F.col("ties").cast("bigint").alias("ties"), mu.alias("mu"), sigma.alias("sigma"))
+                         F.col("ties").alias("ties"), mu.alias("mu"), sigma.alias("sigma"))
     out = out.withColumn("u", F.least("u1", "u2"))
     dev = F.col("u1") - F.col("mu")
     z_two = F.try_divide(F.abs(dev) - 0.5, F.col("sigma"))

@@ -15,31 +15,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonekit.functions.numeric import ratio
+from tonekit.session import stored
 
 ColumnOrName = Column | str
+PIECE = 4096  # ranks of a document that one window may sort
 
 
 def speech_progress(df: DataFrame, id_col: str = "id", order_col: str = "rank_sentence",
                     total_col: str | None = "n_sentences") -> DataFrame:
     """``cumcount`` (1-based position in the document) and ``percentage`` = cumcount / count.
 
-    ``order_col`` must be the contiguous 0-based rank that ``explode_sentences`` produces, so the
-    position is rank + 1 without a window. The per-document total comes from ``total_col`` when
-    present (counted before the explode: no shuffle at all), else from a count per id joined back
-    (an aggregate with map-side combine; AQE splits a hot id in the join). No step puts a whole
-    document into one task.
+    With ``total_col`` the frame must be as ``explode_sentences`` made it: its rank has no gaps and the
+    total was counted before the explode, so nothing is shuffled. Pass ``total_col=None`` for a
+    frame that was filtered since: the rows that are there are numbered, by pieces of
+    ``PIECE`` ranks with the counts of earlier pieces added, so a long document spreads over tasks.
     """
-    cum = (F.col(order_col) + 1).cast("int")
     if total_col and total_col in df.columns:
-        total = F.col(total_col)
-        out = df
-    else:
-        counts = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_total"))
-        out = df.join(counts, id_col, "left")
-        total = F.col("_total")
-    return (out.withColumn("cumcount", cum)
-               .withColumn("percentage", ratio(cum, total))
-               .drop("_total"))
+        cum = (F.col(order_col) + 1).cast("int")
+        return df.withColumn("cumcount", cum).withColumn("percentage", ratio(cum, F.col(total_col)))
+    rows = df.withColumn("_piece", F.floor(F.col(order_col) / PIECE))
+    counts = rows.groupBy(id_col, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(id_col).orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.select(F.col(id_col).alias("_id"), F.col("_piece").alias("_p"),
+                           (F.sum("_n").over(upto) - F.col("_n")).alias("_off"),
+                           F.sum("_n").over(Window.partitionBy(id_col)).alias("_total"))
+    nth = F.row_number().over(Window.partitionBy(id_col, "_piece").orderBy(order_col))
+    rows = rows.withColumn("_nth", nth).join(
+        counts, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_piece").eqNullSafe(F.col("_p")))
+    cum = (F.col("_off") + F.col("_nth")).cast("int")
+    return (rows.withColumn("cumcount", cum).withColumn("percentage", ratio(F.col("cumcount"), F.col("_total")))
+                .drop("_piece", "_nth", "_id", "_p", "_off", "_total"))
 
 
 def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "rank_sentence",
@@ -84,11 +89,13 @@ def global_row_number(df: DataFrame, order_cols: Sequence[ColumnOrName], out: st
 
     Range partitioning by the order keys, local numbering with ``monotonically_increasing_id``
     after a sort within each partition, plus the row count of all earlier partitions (a table
-    with one row per partition, broadcast).
+    with one row per partition). The numbered rows are written once (``stored``): the counts and
+    the rows read the same partition numbers, which are data by then, so no row can be lost or
+    numbered twice whatever the optimizer does with either branch.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = stored(df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+                      .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
@@ -104,21 +111,24 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out: str = "cum",
     """Running sum of ``value_col`` in ``order_col`` order (per ``group_col``), rows included.
 
     ``order_col`` must be unique (within the group). Range partitioning by (group, order) splits
-    even one huge group over many tasks; each task sums its own rows in order, and the totals of
-    earlier partitions (a table of at most partitions x groups rows) are added back as offsets.
+    even one huge group over many tasks; the rows are written once with the number of their range
+    (``stored``), each range sums its own rows in order, and the totals of earlier ranges (a table
+    of at most ranges x groups rows) are added as offsets.
     """
     keys = ([group_col] if group_col else []) + [order_col]
-    ranged = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
     part_keys = ["_pid"] + ([group_col] if group_col else [])
     local_w = Window.partitionBy(*part_keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum(value_col).over(local_w))
     totals = ranged.groupBy(*part_keys).agg(F.sum(value_col).alias("_t"))
     before = Window.partitionBy(*([group_col] if group_col else [])).orderBy("_pid")
-    offsets = totals.select(*part_keys, (F.sum("_t").over(before) - F.col("_t")).alias("_off"))
-    # ``offsets`` is small but derived: AQE broadcasts it from its measured size at run time.
-    joined = local.join(offsets, part_keys, "left")
-    return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).drop("_pid", "_local", "_off")
+    offsets = totals.select("_pid", *([F.col(group_col).alias("_g")] if group_col else []),
+                            (F.sum("_t").over(before) - F.col("_t")).alias("_off")).withColumnRenamed("_pid", "_p")
+    same = F.col("_pid") == F.col("_p")
+    if group_col:  # null is a group like any other
+        same = same & F.col(group_col).eqNullSafe(F.col("_g"))
+    joined = local.join(offsets, same)
+    return joined.withColumn(out, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_off", "_p", "_g")
 
 
 def panel_index(df: DataFrame, id_col: str, order_cols: Sequence[str], ncol: int = 3) -> DataFrame:

@@ -199,7 +199,7 @@ CTES: dict[str, str] = {
     "post_sent": (f"SELECT min(post_id) AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence, author FROM ("
                   f"SELECT post_id, author, {strip(POST_CLEAN)} AS text "
                   f"FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY post_id DESC) AS rn FROM ({POSTS})) "
-                  f"WHERE rn <= 2000) WHERE text IS NOT NULL GROUP BY author, text"),
+                  f") WHERE text IS NOT NULL GROUP BY author, text"),
     **scored_ctes("post", "post_sent"),
     **scored_ctes("whole", "whole_doc"),
     "lab_scored": ("SELECT d.*, l.quality FROM doc_scored d LEFT JOIN labels l ON d.id = l.doc_id"),
@@ -305,10 +305,11 @@ def _hist() -> str:
         f"FROM (SELECT *, CAST(unnest(range(0, 20)) AS INTEGER) AS bin FROM ("
         f"  SELECT quality, count(*) AS total, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, "
         f"  CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM hv GROUP BY quality)) g "
-        f"LEFT JOIN (SELECT hv.quality, CAST(least(floor((hv.x - r.lo) * {dbl(20.0)} / (r.hi - r.lo)), 19) AS INTEGER) AS bin, "
-        f"  count(*) AS n FROM hv JOIN (SELECT quality, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, "
-        f"  CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM hv GROUP BY quality) r "
-        f"  ON hv.quality = r.quality GROUP BY 1, 2) c ON g.quality = c.quality AND g.bin = c.bin",
+        f"LEFT JOIN (SELECT hv.quality, e.bin, count(*) AS n FROM hv JOIN (SELECT quality, lo, (hi - lo) / {dbl(20.0)} AS w, "
+        f"  CAST(unnest(range(0, 20)) AS INTEGER) AS bin FROM (SELECT quality, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, "
+        f"  CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM hv GROUP BY quality)) e "
+        f"  ON hv.quality = e.quality AND hv.x >= e.lo + e.bin * e.w AND (e.bin = 19 OR hv.x < e.lo + (e.bin + 1) * e.w) "
+        f"  GROUP BY 1, 2) c ON g.quality = c.quality AND g.bin = c.bin",
         "lab_scored").replace("\nSELECT g.quality", f",\nhv AS (SELECT quality, {x} AS x FROM lab_scored "
                               f"WHERE quality IN (0, 1) AND compound IS NOT NULL)\nSELECT g.quality", 1)
 
@@ -355,7 +356,7 @@ def _mann_whitney() -> str:
     return sql(
         f"SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, {r6('r1')} AS r1, {r6(u1)} AS u1, "
         f"{r6(f'{n1} * {n2} - {u1}')} AS u2, {r6(f'least({u1}, {n1} * {n2} - {u1})')} AS u, "
-        f"CAST(ties AS BIGINT) AS ties, {r6(z2)} AS z, {r6(f'least({dbl(1.0)}, {dbl(2.0)} * {normal_sf(z2)})')} AS p_two_sided, "
+        f"CAST(ties AS DOUBLE) AS ties, {r6(z2)} AS z, {r6(f'least({dbl(1.0)}, {dbl(2.0)} * {normal_sf(z2)})')} AS p_two_sided, "
         f"{r6(normal_sf(zg))} AS p_greater, {r6(normal_sf(zl))} AS p_less FROM ("
         f"SELECT sum(na) AS n1, sum(t) - sum(na) AS n2, sum(na * (cum - (t - 1) / {dbl(2.0)})) AS r1, "
         f"sum(t * t * t - t) AS ties FROM (SELECT v, na, t, sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED "

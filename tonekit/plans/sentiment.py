@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.operators.language import build_profiles, detect_language
+from tonekit.operators.language import detect_language
 from tonekit.operators.scoring import SCORE_COLUMNS, score_sentences
 from tonekit.operators.sentences import explode_sentences
 
@@ -38,11 +38,6 @@ def sentiment_table(df: DataFrame, id_col: str, text_col: str, lexicon: DataFram
     return scored.select(*cols, *keep)
 
 
-def language_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Trigram profiles learned from a labelled text table."""
-    return build_profiles(docs, text_col, lang_col)
-
-
 def conversation_posts(conversations: DataFrame) -> DataFrame:
     """Conversation turns as posts: ``post_id = conv_id * 1000 + turn``, ``author`` = role."""
     return conversations.select(
@@ -50,22 +45,19 @@ def conversation_posts(conversations: DataFrame) -> DataFrame:
         F.col("role").alias("author"), "text")
 
 
-# --- fixed value: posts kept per author (the fetch limit of the post corpus) ---
-POSTS_PER_AUTHOR = 2000
-
-
-def score_posts(posts: DataFrame, lexicon: DataFrame, per_author: int = POSTS_PER_AUTHOR) -> DataFrame:
-    """Post corpus end to end: the newest ``per_author`` posts of each author (W6), links, hashtags
-    and mentions removed (T6), duplicates within an author dropped keeping the first id (U4), then
-    each post scored as one text (N10 with ``sentence_level=0``).
+def score_posts(posts: DataFrame, lexicon: DataFrame, per_author: int | None = None) -> DataFrame:
+    """Post corpus end to end: links, hashtags and mentions removed (T6), duplicates within an author
+    dropped keeping the first id (U4), then each post scored as one text (N10 with
+    ``sentence_level=0``). All posts are taken, unless ``per_author`` asks for the newest ones (W6).
 
-    ``posts(post_id, author, text)``. Top-n runs in two salted rounds and dedup is a ``min_by``
-    aggregate, so an author with a third of all posts is never handled by a single task.
+    ``posts(post_id, author, text)``. Dedup is a ``min_by`` aggregate, so an author with a third of
+    all posts is never handled by a single task.
     """
     from tonekit.functions.text import clean_post
     from tonekit.operators.clean import dedupe
     from tonekit.operators.windows import top_n_per_group
-    newest = top_n_per_group(posts, "author", "post_id", per_author).drop("rank")
-    cleaned = newest.withColumn("text", clean_post("text"))
+    if per_author is not None:
+        posts = top_n_per_group(posts, "author", "post_id", per_author).drop("rank")
+    cleaned = posts.withColumn("text", clean_post("text"))
     unique = dedupe(cleaned, ["author", "text"], "post_id")
     return sentiment_table(unique, "post_id", "text", lexicon, 0, keep=["author"])
