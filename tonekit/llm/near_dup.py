@@ -11,11 +11,12 @@ registers are bucket keys; 32 bands of 4 miss a pair at similarity 0.75 with pro
 
 Candidates without all pairs of a bucket:
 
-1. Every class of a bucket is paired with one centre of the bucket (chosen by a hash that differs from
-   band to band); of its up to 32 centres, each class first takes the one it meets most often.
-   Verified links make components.
+1. Every class of a bucket is paired with the bucket's centre: the class that meets the most others
+   over all bands, so the middle of a group. Of its up to 32 centres, each class first takes
+   the one it meets most often. Verified links make components.
 2. Stars again, in all buckets that still hold more than one component: a class meets its bucket's
-   centre if they are in different components. Verified links join components.
+   centre, and a class chosen by a hash that differs from band to band, where they are in
+   different components. Verified links join components.
 3. What is left are pairs across components of a bucket: few, as groups have become components. They
    are all compared, with no cap.
 
@@ -300,9 +301,15 @@ def _with_comp(rows: DataFrame, comps: DataFrame, col: str, out: str) -> DataFra
 def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of classes (``class, comp``) and the verified links ``a, b`` that made them."""
     bands = _bands(classes)
-    met = bands.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("class", F.xxhash64("class", "band")).alias("centre")).where("n > 1")
-    buckets = staged(bands.join(met.select("band", "key", "centre"), ["band", "key"]), "buckets")
+    met = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(bands.join(met, ["band", "key"]), "shared")
+    # a class that meets many others stands in the middle of its group: it is the centre for the rest
+    middle = staged(shared.groupBy("class").agg(F.sum("n").alias("meets")), "meets")
+    ranked = shared.join(middle, "class")
+    centre = ranked.groupBy("band", "key").agg(
+        F.max(F.struct("meets", F.xxhash64("class").alias("h"), "class"))["class"].alias("centre"),
+        F.min(F.struct(F.xxhash64("class", "band").alias("h"), "class"))["class"].alias("other"))
+    buckets = staged(shared.drop("n").join(centre, ["band", "key"]), "buckets")
     wanted = buckets.select("class").distinct().join(classes, "class").select("class", F.col("least").alias("id"), "text_hash")
     wanted = staged(wanted, "wanted")
     same = source["doc_id"].eqNullSafe(F.col("id")) & (source["text_hash"] == F.col("w_hash"))
@@ -328,7 +335,9 @@ def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataF
         mixed = staged(mixed.select("band", "key"), f"mixed{step}")
         open_ = staged(known.join(_small(mixed), ["band", "key"], "left_semi"), f"open{step}")
         if step == 2:
-            rows = _with_comp(open_.where("class <> centre"), comps, "centre", "centre_comp").where("comp <> centre_comp")
+            # the middle of a bucket again, for those that took another's, and a class by chance
+            spokes = open_.select("class", "comp", F.explode(F.array_distinct(F.array("centre", "other"))).alias("centre"))
+            rows = _with_comp(spokes.where("class <> centre").distinct(), comps, "centre", "centre_comp").where("comp <> centre_comp")
             new = rows.select(F.col("centre").alias("a"), F.col("class").alias("b"))
         else:
             one = open_.select("band", "key", F.col("class").alias("a"), F.col("comp").alias("comp_a"))
