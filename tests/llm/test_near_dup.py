@@ -116,4 +116,16 @@ def test_registers_merge_and_estimate():
         two = np.array([sketch(p[n - k: 2 * n - k]) for p in pool])
         assert (one == two).mean() == pytest.approx(j, abs=0.02)
         alike.append(may_be_alike(one, two, np.full(200, float(n)), np.full(200, float(n))).mean())
-    assert alike[0] < 0.02 and alike[2] == alike[3] == 1 and M == 128
+    assert alike[0] < 0.02 and alike[2] == alike[3] == 1 and M >= near_dup.BANDS * near_dup.ROWS
+
+
+def test_blocks_find_what_one_block_finds(spark, put_docs, monkeypatch):
+    """Buckets of unlike texts that share a passage, in cells of a few classes and in one."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(90)]
+    docs = [(i, " ".join(passage + [word() for _ in range(r.randint(20, 50))])) for i in range(300)]
+    want = expected(docs)
+    assert got(op4_near_dup(spark, put_docs(docs))) == want
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    assert got(op4_near_dup(spark, put_docs(docs))) == want

@@ -4,7 +4,7 @@ Sets. A document's set holds its distinct shingles of five words, as 64-bit hash
 sets (a 128-bit fingerprint of number and hashes) are one class, led by the smallest id; all that
 follows works on classes, so a text copied a thousand times costs as much as one.
 
-Sketch. ``M`` registers; register i holds floor(1 - log_b(least h_i over the set)), where h_i is an
+Sketch. ``M`` registers, of which the first ``BANDS * ROWS`` make band keys; register i holds floor(1 - log_b(least h_i over the set)), where h_i is an
 exponentially spaced hash of rate a: a truncated minimum. Merging sets is taking the larger of
 registers, and equal registers are as likely as the sets are alike. Bands of ``ROWS``
 registers are bucket keys; 32 bands of 4 miss a pair at similarity 0.75 with probability 5e-6.
@@ -17,12 +17,14 @@ Candidates without all pairs of a bucket:
 2. Stars again, in all buckets that still hold more than one component: a class meets its bucket's
    centre, and a class chosen by a hash that differs from band to band, where they are in
    different components. Verified links join components.
-3. What is left are pairs across components of a bucket: few, as groups have become components. They
-   are all compared, with no cap.
+3. What is left are pairs across components of a bucket. Their registers are compared block by block inside
+   tasks, with no cap; only plausible pairs leave a task, each in the first band that it shares. A bucket of
+   any size spreads over cells of two blocks.
 
 Before a pair's sets are read, the registers are compared jointly: numbers of larger, smaller and equal
 registers give the likelihood of every similarity. A pair goes on unless 0.75 and all above are
-less likely than the best similarity by a factor of e^``DOUBT``. Then the shingle sets decide.
+less likely than the best similarity by a factor of e^``DOUBT`` (a pair at 0.75 is refused with probability
+4e-6, as seldom as the bands miss it). Then the shingle sets decide.
 
 Defined results: null text or text without words: empty set, linked with nothing; fewer than five
 words: the sequence as one shingle; rows with equal ids are one document of the union of their
@@ -40,11 +42,12 @@ from pyspark.sql import functions as F
 from tonekit.llm.common import staged, table
 
 WORDS, PER_CENT = 5, 75
-M, ROWS = 128, 4
+M, BANDS, ROWS = 256, 32, 4
 B, A = 1.001, 20.0
-DOUBT = 14.0
-#: Rows of a few numbers up to which a stored table is broadcast; partners of a class per task.
-FEW_ROWS, MEMBERS = 500_000, 500
+DOUBT = 10.0
+#: Rows of a few numbers up to which a stored table is broadcast; partners of a class per task; classes
+#: of a bucket that make a block.
+FEW_ROWS, MEMBERS, BLOCK = 500_000, 500, 1024
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 _RNG = np.random.default_rng(20240229)
@@ -183,10 +186,11 @@ def _bands(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
+            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(n, M)
+            keys = np.ascontiguousarray(registers[:, : BANDS * ROWS]).view("<i8").ravel()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), M // ROWS)),
-                 pa.array(np.tile(np.arange(M // ROWS, dtype=np.int32), n)), pa.array(keys)], ["class", "band", "key"])
+                [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)),
+                 pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(keys)], ["class", "band", "key"])
 
     return classes.select("class", "registers").mapInArrow(run, "class long, band int, key long")
 
@@ -231,14 +235,88 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
 
 
-def _linked(tried: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+def _pairs_of_cell(band: int, one: tuple, two: tuple | None):
+    """``a, b``: plausible pairs across components between two blocks of a bucket (or within one).
+
+    A block is ``classes, components, sizes, registers``. A pair counts in its first shared band only.
+    """
+    again = two is None
+    two = one if again else two
+    limit = PER_CENT / 100
+    for at in range(0, len(one[0]), 16):
+        ids, comps, sizes, registers = (x[at: at + 16] for x in one)
+        wanted = comps[:, None] != two[1][None, :]
+        if again:
+            wanted &= ids[:, None] < two[0][None, :]
+        small, large = (f(sizes[:, None], two[2][None, :]) for f in (np.minimum, np.maximum))
+        wanted &= small >= limit * large
+        used = np.flatnonzero(wanted.any(axis=0))
+        if not len(used):
+            continue
+        head = registers[:, None, : BANDS * ROWS] == two[3][None, used, : BANDS * ROWS]
+        first = head.reshape(len(ids), len(used), BANDS, ROWS).all(axis=3).argmax(axis=2)
+        i, j = np.nonzero(wanted[:, used] & (first == band))
+        j = used[j]
+        if len(i):
+            keep = may_be_alike(registers[i], two[3][j], sizes[i], two[2][j])
+            a, b = ids[i[keep]], two[0][j[keep]]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _across(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plausible pairs ``a < b`` of classes of different components that share a bucket, each once.
+
+    The classes of a bucket are dealt into blocks of about ``BLOCK``; each pair of blocks is a cell, which
+    one task compares: no task holds more than two blocks, and only plausible pairs become rows.
+    """
+    blocks = open_.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = (open_.select("band", "key", "class", "comp").join(blocks, ["band", "key"])
+                 .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "block", "class", "comp")
+    cell = ["band", "key", "low", "high"]
+    rows = rows.join(classes.select("class", F.col("n_shingles").cast("double").alias("n"), "registers"), "class")
+    rows = rows.select(*cell, "block", "class", "comp", "n", "registers").repartition(*cell).sortWithinPartitions(*cell, "block")
+
+    def compared(parts):
+        band, _, low, high = parts[0][0]
+        block, ids, comps, n = (np.concatenate([p[1][k] for p in parts]) for k in range(4))
+        registers = np.frombuffer(b"".join(r for p in parts for r in p[2]), dtype="<u2").reshape(-1, M)
+        one, two = ((ids[own], comps[own], n[own], registers[own]) for own in (block == low, block == high))
+        yield from _pairs_of_cell(band, one, None if low == high else two)
+
+    def run(batches):
+        parts = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            numbers = [batch.column(c).to_numpy() for c in range(4, 8)]
+            registers = batch.column(8).to_pylist()
+            for x, y in zip(cuts, cuts[1:]):
+                key = tuple(keys[x].tolist())
+                if parts and parts[0][0] != key:
+                    for a, b in compared(parts):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    parts = []
+                parts.append((key, [c[x:y] for c in numbers], registers[x:y]))
+        if parts:
+            for a, b in compared(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _linked(tried: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs ``a, b`` of classes whose full sets are alike: 100 x common >= 75 x all.
 
     Texts meet at ``a``: its text is sent once for each ``MEMBERS`` of its partners (so a class with
     many partners spreads over tasks), theirs once each.
     """
     salts = tried.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("int").alias("salts"))
-    split = _plausible(tried, classes).join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    split = tried.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     own = salts.select(F.col("a").alias("class"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                        F.lit(None).cast("long").alias("b"))
     sides = staged(own.union(split.select(F.col("b").alias("class"), "a", "salt", "b")), f"sides{name}")
@@ -323,7 +401,7 @@ def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataF
     first = stars.groupBy("class").agg(F.max_by("centre", F.struct("n", F.xxhash64("centre"))).alias("centre"))
     # a: the centre, whose text is shared by its pairs; pairs are known by their smaller class first
     pairs = staged(first.select(F.col("centre").alias("a"), F.col("class").alias("b")), "pairs1")
-    links = _linked(pairs, classes, texts, "1")
+    links = _linked(staged(_plausible(pairs, classes), "plausible1"), texts, "1")
     comps = staged(components(links), "components1")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tested = pairs.select(*ordered).distinct()
@@ -338,15 +416,13 @@ def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataF
             # the middle of a bucket again, for those that took another's, and a class by chance
             spokes = open_.select("class", "comp", F.explode(F.array_distinct(F.array("centre", "other"))).alias("centre"))
             rows = _with_comp(spokes.where("class <> centre").distinct(), comps, "centre", "centre_comp").where("comp <> centre_comp")
-            new = rows.select(F.col("centre").alias("a"), F.col("class").alias("b"))
+            new = rows.select(F.col("centre").alias("a"), F.col("class").alias("b")).select(*ordered).distinct()
+            new = staged(new.join(tested, ["a", "b"], "left_anti"), "pairs2")
+            tested = tested.union(new)
+            new = staged(_plausible(new, classes), "plausible2")
         else:
-            one = open_.select("band", "key", F.col("class").alias("a"), F.col("comp").alias("comp_a"))
-            two = open_.select("band", "key", F.col("class").alias("b"), F.col("comp").alias("comp_b"))
-            new = one.join(two, ["band", "key"]).where("a < b AND comp_a <> comp_b").select("a", "b")
-        new = new.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti")
-        new = staged(new, f"pairs{step}")
-        tested = tested.union(new)
-        found = _linked(new, classes, texts, str(step))
+            new = staged(_across(open_, classes).join(tested, ["a", "b"], "left_anti"), "pairs3")
+        found = _linked(new, texts, str(step))
         if not found.isEmpty():
             links = links.union(found)
             comps = staged(components(links), f"components{step}")
