@@ -43,3 +43,16 @@ def test_odd_rows(spark):
     assert scan(docs, labelled).count() == 2
     run = "ab12" * 10
     assert [r["at"] for r in findings(spark.createDataFrame([(1, f"{run} {run}\n{run}", 0)], DOCS)).orderBy("at").collect()] == [1, 42, 83]
+
+
+def test_long_secrets_are_whole(spark):
+    words = "Zk3vQ9xTb7Lw2mRc8Ya5" * 300
+    keys = {n: "eyJ" + words[:17] + "." + words[: n - 21] for n in (200, 201, 562, 5000)}
+    rows = [(n, f'x Bearer {k} y token = "{k}" z', 1) for n, k in keys.items()]
+    rows += [(n + 10_000, f"password: {k}!tail", 1) for n, k in keys.items()]
+    docs = spark.createDataFrame(rows, DOCS)
+    spots = {(r["doc_id"], r["candidate"]) for r in scan(docs).collect() if r["kept"]}
+    assert {(n, k) for n, k in keys.items()} <= spots
+    texts = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    for n in keys:
+        assert texts[n] == f'x Bearer {MARK} y token = "{MARK}" z' and keys[n][-30:] not in texts[n + 10_000]

@@ -12,7 +12,7 @@ of credentials are secrets; candidates in paths or addresses, digits only (card
 numbers), words with repeated marks are not. A finding is kept if the forest gives it
 ``KEEP`` or more. Texts are redacted: each kept secret gives way to ``MARK``.
 
-Defined results: a null or empty text has no findings; one place is found once, the same secret
+Defined results: a candidate has no greatest length; a null or empty text has no findings; one place is found once, the same secret
 at several places several times; without findings of both labels the rules alone decide; equal rows
 give equal findings each; an empty table gives no rows; other columns stay as they are.
 """
@@ -38,9 +38,10 @@ FORMATS = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0
 ASSIGNED = r"(?i)(?:^|[^A-Za-z])" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 COMMON = ("the and ing tion ent ion her for tha nth int ere ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res "
           "ont que les des ment est pas con los las del ado che sch ein und der die ich cht gen ung ver").split()
-#: A candidate: 16 to 200 key characters with a digit, or 6 to 200 characters assigned to a credential's name.
-RUN = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/=_.-]{0,199}[0-9])[A-Za-z0-9+/=_.-]{16,200}(?![A-Za-z0-9+/=_.-])"
-VALUE = r"(?i)" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>,;\[]{6,200}"
+#: A candidate: 16 or more key characters with a digit, or 6 or more characters assigned to a credential's name. No upper
+#: bounds; possessive, so that time grows with the text alone.
+RUN = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/=_.-]*+[0-9])[A-Za-z0-9+/=_.-]{16,}+"
+VALUE = r"(?i)" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>,;\[]{6,}+"
 LEAD = r"(?i)^" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 BESIDE, FEW_ROWS = 48, 500_000
 
