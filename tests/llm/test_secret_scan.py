@@ -56,3 +56,21 @@ def test_long_secrets_are_whole(spark):
     texts = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
     for n in keys:
         assert texts[n] == f'x Bearer {MARK} y token = "{MARK}" z' and keys[n][-30:] not in texts[n + 10_000]
+
+
+def test_assignments_without_spaces(spark):
+    aws, mixed, long = "AKIA" + "Q7" * 8, "hQzTbWmKxRvLpNsYcJgD", "Zk3vQ9xTb7Lw2mRc8Ya5"
+    texts = {f"API_KEY={aws} x": [aws], "password=hunter2Secret!tail end": ["hunter2Secret!tail"], f"AWS_ID={aws}": [aws],
+             f"a {mixed} b": [mixed], "x Verantwortungsbewusstsein North-Western-Passages y": [], f"{long}/token={aws}": [long + "/", aws],
+             f'{long}token = "abcdef"': [long + "token", "abcdef"], "user_id=AB12cd34ef": ["user_id=AB12cd34ef"],
+             f"a=b={long}==&c={aws}": [long + "==", aws], f"{long}={aws}": [long + "=", aws], f"{long}=ab.": [long + "=ab."],
+             "9+a=" + long: ["9+a=" + long], "password=" + "A1b2" * 2000: ["A1b2" * 2000], "a1=" * 7000: ["a1=" * 7000]}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], DOCS)
+    got = {}
+    for r in findings(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["at"], r["candidate"], r["before"]))
+    for i, (t, want) in enumerate(texts.items()):
+        assert [c for _, c, _ in sorted(got.get(i, []))] == want, t[:80]
+        assert all(t[a - 1: a - 1 + len(c)] == c and t[max(a - 49, 0): a - 1] == b for a, c, b in got.get(i, []))
+    clean = [r["text"] for r in redact(docs).orderBy("doc_id").collect()]
+    assert clean[:3] == [f"API_KEY={MARK} x", f"password={MARK} end", f"AWS_ID={MARK}"] and clean[4] == list(texts)[4]

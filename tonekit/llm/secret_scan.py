@@ -1,7 +1,10 @@
 """Operator 2: secret scans; a random forest removes false positives.
 
 Candidates are runs of key characters that a pattern finds in whole texts: long enough, with a digit or
-a mixture of cases, or the value of an assignment. Each gets features by built-in functions alone: length,
+a mixture of cases (both, and not only capitals at the heads of words), or the value of an assignment
+to a credential's name. Where a value and a run overlap, the value is the candidate, and what stands before
+the name is one if it is long enough too; of ``name=value`` with other names the value is, if it is
+long enough, else the whole run. Each gets features by built-in functions alone: length,
 shares of character classes, changes between classes, vowels, repeated characters, dictionary coverage
 (letters of the candidate in runs that are frequent words), path marks, and the words beside it.
 
@@ -38,10 +41,14 @@ FORMATS = (r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0
 ASSIGNED = r"(?i)(?:^|[^A-Za-z])" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?$"
 COMMON = ("the and ing tion ent ion her for tha nth int ere ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res "
           "ont que les des ment est pas con los las del ado che sch ein und der die ich cht gen ung ver").split()
-#: A candidate: 16 or more key characters with a digit, or 6 or more characters assigned to a credential's name. No upper
-#: bounds; possessive, so that time grows with the text alone.
-RUN = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z+/=_.-]*+[0-9])[A-Za-z0-9+/=_.-]{16,}+"
+#: A candidate: 16 or more key characters with a digit or mixed cases, or 6 or more characters assigned to a credential's
+#: name. No upper bounds; possessive or from the head of a run alone, so that time grows with the text alone.
+KEY, PLAIN = "[A-Za-z0-9+/=_.-]", "[A-Za-z+/=_.-]"
+MIXED = rf"{PLAIN}*+[0-9]|{PLAIN}*?[a-z][A-Z]|(?={PLAIN}*?[A-Z][A-Z]){PLAIN}*?[a-z]"
+RUN = rf"(?<!{KEY})(?={KEY}{{16}})(?={MIXED}){KEY}++"
+LONG = rf"^(?={KEY}{{16}})(?={MIXED})"
 VALUE = r"(?i)" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?[^\s\"'<>,;\[]{6,}+"
+NAME = r"^[A-Za-z_][A-Za-z0-9_.-]*+=$"
 LEAD = r"(?i)^" + NAMES + r"[A-Za-z_]{0,20}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 BESIDE, FEW_ROWS = 48, 500_000
 
@@ -60,19 +67,43 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, add)["out"]
 
 
+def _parts(run: Column) -> Column:
+    """The run without leading ``name=``, or cut before each part that is a candidate by itself; whole without any."""
+    start = F.struct(run["at"].alias("at"), F.array().cast(_NONE).alias("out"))
+    pieces = F.split(run["candidate"], "(?<==)(?!=|$)")
+
+    def add(acc: Column, x: Column) -> Column:
+        some, last = F.size(acc["out"]) > 0, F.get(acc["out"], F.size(acc["out"]) - 1)
+        one = F.array(F.struct(acc["at"].alias("at"), x.alias("candidate")))
+        more = F.array(F.struct(last["at"].alias("at"), F.concat(last["candidate"], x).alias("candidate")))
+        starts = F.when(some, x.rlike(LONG) & last["candidate"].rlike(LONG)).otherwise(x.rlike(LONG) | ~x.rlike(NAME))
+        return F.struct((acc["at"] + F.length(x)).alias("at"),
+                        F.when(starts, F.concat(acc["out"], one))
+                        .when(some, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), more))
+                        .otherwise(acc["out"]).alias("out"))
+
+    cut = F.aggregate(pieces, start, add)["out"]
+    return F.when(run["candidate"].rlike("=[^=]") & F.exists(cut, lambda x: x["candidate"].rlike(LONG)),
+                  F.filter(cut, lambda x: x["candidate"].rlike(LONG))).otherwise(F.array(run))
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, at, candidate, before, after``: candidates and what stands beside them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.where(F.col("text").rlike(RUN) | F.col("text").rlike(VALUE))
-    value = F.transform(_matches(F.col("text"), VALUE), lambda x: F.struct(
+    given = F.transform(_matches(F.col("text"), VALUE), lambda x: F.struct(
         (x["at"] + F.length(x["candidate"]) - F.length(F.regexp_replace(x["candidate"], LEAD, ""))).alias("at"),
-        F.regexp_replace(x["candidate"], LEAD, "").alias("candidate")))
-    # a value that is also a run is found once, as the run
+        F.regexp_replace(x["candidate"], LEAD, "").alias("candidate"), x["at"].alias("name")))
     rows = rows.select("doc_id", "text", F.inline(F.array(F.struct(
-        _matches(F.col("text"), RUN).alias("runs"), value.alias("given")))))
-    given = F.filter("given", lambda g: ~F.exists("runs", lambda r: (g["at"] < r["at"] + F.length(r["candidate"])) & (
-        r["at"] < g["at"] + F.length(g["candidate"]))))
-    rows = rows.select("doc_id", "text", F.inline(F.concat("runs", given)))
+        _matches(F.col("text"), RUN).alias("runs"), given.alias("given")))))
+    # a value goes on to the end of any run that it meets: of such a run only what is before the name is left
+    meets = lambda r: F.filter("given", lambda v: (v["at"] < r["at"] + F.length(r["candidate"])) & (
+        r["at"] < v["at"] + F.length(v["candidate"])))
+    runs = F.transform("runs", lambda r: F.struct(r["at"].alias("at"), F.when(F.size(meets(r)) == 0, r["candidate"]).otherwise(
+        F.substring(r["candidate"], F.lit(1), F.greatest(F.get(meets(r), F.lit(0))["name"] - r["at"], F.lit(0)))).alias("candidate")))
+    runs = F.filter(runs, lambda r: r["candidate"].rlike(LONG))
+    given = F.transform("given", lambda v: F.struct(v["at"].alias("at"), v["candidate"].alias("candidate")))
+    rows = rows.select("doc_id", "text", F.inline(F.concat(F.flatten(F.transform(runs, _parts)), given)))
     first = F.greatest(F.col("at") - BESIDE, F.lit(1))
     return rows.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), "at", "candidate",
