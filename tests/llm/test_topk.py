@@ -53,3 +53,18 @@ def test_odd_rows(spark, put):
     folder = put("embeddings", [(i, v, 0) for i, v in vecs], VECS)
     assert got(op7_topk(spark, folder)) == expected(vecs) == [(0, 1, 5, 98304), (0, 2, 6, -65536), (50, 1, 51, 0)]
     assert op7_topk(spark, put("embeddings", [], VECS)).collect() == []
+
+
+def test_repeated_query_rows(spark, put, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST", 2)
+    one, two = [1.0, 0.5], [0.5, 0.5]
+    for copies in (1, 2, 6, 9):
+        vecs = [(i, one) for i in [0] * copies + [1, 1, 1, 1, 1, 1, 1, 2, 3, 4, 5, 6, 50, 50]] + [(7, two), (8, [0.25, 0.0])]
+        want = [r for q in (0, 50) for r in expected([(i, v) for i, v in vecs if i != q] + [(q, one)]) if r[0] == q]
+        assert got(op7_topk(spark, put("embeddings", [(i, v, 0) for i, v in vecs], VECS))) == want
+    vecs = [(i, one) for i in (0, 0, 1, 2, 3, 4, 5)] + [(7, two)]
+    assert [r[2] for r in got(op7_topk(spark, put("embeddings", [(i, v, 0) for i, v in vecs], VECS)))] == [1, 2, 3, 4, 5]
+    # a query id with many vectors of its own
+    vecs = [(0, [4.0 + n, 4.0]) for n in range(12)] + [(i, [1.0 / i, 0.5]) for i in range(1, 9)]
+    want = sorted(x for n in range(12) for x in expected([(0, [4.0 + n, 4.0])] + vecs[12:]) if x[0] == 0)
+    assert got(op7_topk(spark, put("embeddings", [(i, v, 0) for i, v in vecs], VECS))) == want

@@ -1,16 +1,17 @@
 """Operator 7: exact top-k by inner product, with vector-approximation files.
 
-Vectors become integers, ``floor(scale * x)``. Equal vectors are one class, with its k + 1 smallest ids:
-no more of them can be among anyone's k best, so a vector that a third of all rows share costs as much
-as any other. Each class gets its approximation: a cell of ``BITS`` bits per dimension (equal widths
+Vectors become integers, ``floor(scale * x)``. Equal vectors are one class, with its k + 1 smallest
+different ids and up to k rows of each: whichever id asks, the k smallest rows of other ids are among them, so a
+vector that a third of all rows share costs as much as any other. Each class gets its approximation: a cell of ``BITS`` bits per dimension (equal widths
 between the least and the largest component) and the length of what the cells' middles miss.
 
 1. Scan: chunks of approximations meet blocks of queries (an equi-join on the block; a chunk goes once
    to each block). The middles' product plus and minus the smaller of two errors - half a cell times
    the query's components, or the query's length times the missed length - bounds the score. A chunk
-   keeps for each query what can still be among the k best, given the k best lower bounds in the chunk.
-2. The k-th best lower bound over all chunks leaves few candidates a query. They are read in the order
-   of their upper bounds: first ``FIRST`` of them exactly, which gives a k-th exact score, then
+   keeps for each query what can still be among the ``need`` best, given the best lower bounds in the chunk. As classes
+   may hold nothing but the query's id, ``need`` is k and the most different vectors that a query id has.
+2. The ``need``-th best lower bound over all chunks leaves few candidates a query. They are read in the order
+   of their upper bounds: first ``FIRST`` of them (or ``need``) exactly, which gives a ``need``-th exact score, then
    all others whose upper bound reaches it. Then the result is certain.
 
 Queries are all rows whose id is divisible by ``every``; candidates are all rows but the query's own.
@@ -58,7 +59,7 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-values, k - 1, axis=1)[:, k - 1]
 
 
-def _scan(low: int, width: int, k: int):
+def _scan(low: int, width: int, need: int):
     """Bounds of a chunk's scores with a block's queries; rows are chunk and block side by side."""
 
     def run(batches):
@@ -76,8 +77,7 @@ def _scan(low: int, width: int, k: int):
                                    np.sqrt((q * q).sum(axis=1))[:, None] * missed[None, :])
                 error = error + 1e-6 * (1 + np.abs(middles))  # of floating point
                 lower, upper = middles - error, middles + error
-                # one candidate more than k: the query's own class may hold nothing but the query
-                at, to = np.nonzero(upper >= _kth(lower, k + 1)[:, None])
+                at, to = np.nonzero(upper >= _kth(lower, need)[:, None])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names[at]), pa.array(ids[to]), pa.array(lower[at, to]), pa.array(upper[at, to])],
                     ["query_class", "class", "lower", "upper"])
@@ -121,14 +121,17 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     rows = staged(integer_vectors(vectors, id_col, vec_col, scale), "vectors")
     # the k + 1 smallest ids of equal vectors: Spark limits each task's rows of a key before it sends them
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    kept = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    ids = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    kept = ids.withColumn("nth", nth).where(F.col("nth") <= k + 1)
     members = staged(kept.withColumn("class", F.first("vec_id").over(Window.partitionBy("v").orderBy("vec_id"))), "members")
     heads = members.where("nth = 1").select("class", "v", F.size("v").alias("dim"))
     # an id may stand for several vectors: classes get numbers of their own
     heads = staged(heads.withColumn("class", F.xxhash64("class", "v")), "classes")
-    members = members.select("vec_id", F.xxhash64("class", "v").alias("class"))
+    members = members.select("vec_id", "copies", F.xxhash64("class", "v").alias("class"))
     ask = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct()
     ask = staged(ask.join(heads, "v").select("query_id", "class"), "queries")
+    # a query's id may be all that its classes hold
+    need = k + (ask.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1)
     asked = heads.join(ask.select("class").distinct(), "class", "left_semi")
 
     span = heads.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count(F.lit(1))).first()
@@ -140,34 +143,35 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     queries = _packed(asked.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks))), "block", BLOCK, None, low)
     cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     bounds = (cells.join(queries, ["dim", "block"]).drop("block")
-                   .mapInArrow(_scan(low, width, k), "query_class long, class long, lower double, upper double"))
+                   .mapInArrow(_scan(low, width, need), "query_class long, class long, lower double, upper double"))
     bounds = staged(bounds, "bounds")
 
-    # the (k + 1)-th best lower bound over all chunks; each task sends at most k + 1 rows of a query
+    # the need-th best lower bound over all chunks; each task sends at most so many rows of a query
     best = Window.partitionBy("query_class").orderBy(F.col("lower").desc(), "class")
-    limit = (bounds.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    limit = (bounds.withColumn("n", F.row_number().over(best)).where(F.col("n") <= need)
                    .groupBy("query_class").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("limit")))
-    limit = limit.select("query_class", F.when(F.col("n") > k, F.col("limit")).alias("limit"))
+    limit = limit.select("query_class", F.when(F.col("n") >= need, F.col("limit")).alias("limit"))
     left = bounds.join(limit, "query_class").where(F.col("limit").isNull() | (F.col("upper") >= F.col("limit")))
     left = staged(left.select("query_class", "class", "upper"), "candidates")
 
     order = Window.partitionBy("query_class").orderBy(F.col("upper").desc(), "class")
-    first = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIRST).select("query_class", "class")
+    first = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(FIRST, need)).select("query_class", "class")
     first = staged(_exact(first, heads), "first")
     by_score = Window.partitionBy("query_class").orderBy(F.col("score").desc(), "class")
-    certain = (first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k + 1)
+    certain = (first.withColumn("n", F.row_number().over(by_score)).where(F.col("n") == need)
                     .select("query_class", F.col("score").alias("kth")))
     rest = (left.join(certain, "query_class", "left").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
                 .join(first.select("query_class", "class"), ["query_class", "class"], "left_anti")
                 .select("query_class", "class"))
     scored = first.select("query_class", "class", "score").unionByName(
         _exact(rest, heads).select("query_class", "class", "score"))
-    # the k + 1 best classes of a query class hold its k best rows and perhaps the query itself; equal
+    # the need best classes of a query class hold its k best rows and perhaps classes of the query's id alone; equal
     # scores are all kept, as ids decide among them
     near = Window.partitionBy("query_class").orderBy(F.col("score").desc())
-    scored = scored.withColumn("r", F.rank().over(near)).where(F.col("r") <= k + 1).drop("r")
+    scored = scored.withColumn("r", F.rank().over(near)).where(F.col("r") <= need).drop("r")
     hits = (ask.join(scored, ask["class"] == scored["query_class"]).select("query_id", "query_class", scored["class"], "score")
-               .join(members, "class").where(F.col("vec_id") != F.col("query_id")))
+               .join(members, "class").where(F.col("vec_id") != F.col("query_id"))
+               .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))))
     final = Window.partitionBy("query_id", "query_class").orderBy(F.col("score").desc(), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
