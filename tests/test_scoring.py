@@ -93,3 +93,18 @@ def test_large_lexicon_switches_strategy_and_agrees(spark, monkeypatch):
     monkeypatch.setattr(scoring, "MAX_INLINE_WORDS", 5000)
     inline = score_sentences(s, lex, negation=True, strategy="inline")
     assert auto.count() == inline.count() and auto.exceptAll(inline).count() == 0
+
+
+def test_strategies_agree_on_odd_rows(spark):
+    rows = [(None, 0, "good bad"), (1, 0, "good"), (1, 0, "bad fine"), (1, 0, "bad fine"), (2, None, "fine"), (3, 0, None), (4, 0, "")]
+    df = spark.createDataFrame(rows, "id long, rank_sentence int, sentence string")
+    lex = spark.createDataFrame([("good", 0.29, 0.57, 0.1), ("bad", -1.15, None, None), ("bad", -0.3, 0.2, None),
+                                 ("fine", 0.0001, -0.0029, 1.0), (None, 1.0, 1.0, 1.0)],
+                                "word string, valence double, polarity double, subjectivity double")
+    for neg in (False, True):
+        a, b = (score_sentences(df, lex, negation=neg, strategy=s) for s in ("inline", "exploded"))
+        assert a.columns == b.columns and a.count() == b.count() == len(rows)
+        assert a.exceptAll(b).count() == 0
+    got = {(r.id, r.sentence): r for r in b.collect()}
+    assert got[1, "good"].polarity == 0.57 and got[2, "fine"].polarity == -0.0029 and got[1, "bad fine"].polarity == round(0.1971 / 2 + 1e-9, 4)
+    assert (got[3, None].compound, got[3, None].ordinal) == (0.0, 2)

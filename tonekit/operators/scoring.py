@@ -25,7 +25,9 @@ Two physical strategies, picked by a size check on the lexicon:
   on a score is not pushed below it (which would inline and evaluate the scoring twice).
 * exploded (bigger lexicons): tokens are exploded, joined with the lexicon (broadcast only when its
   row count is proven small, else a shuffle join that AQE splits on hot words), aggregated per
-  sentence with map-side partial aggregation, and joined back on (id, rank_sentence).
+  different text with map-side partial aggregation, and joined back on a hash of the text (SHA-256).
+
+Both take the lexicon from ``_lexicon_units`` and score each input row on its own; a null text has no tokens.
 """
 
 from __future__ import annotations
@@ -47,7 +49,6 @@ MAX_INLINE_WORDS = 64
 MAX_BROADCAST_WORDS = 2_000_000  # lexicon rows that may still be broadcast on the exploded path
 COMPOUND_ALPHA = 15
 SCORE_COLUMNS = ("ordinal", "compound", "neu", "neg", "pos", "polarity", "subjectivity")
-KEYS = ("id", "rank_sentence")
 
 V_UNIT = 10 ** 6     # valence unit: 1e-6 (lexicon 1e-4 x negation factor 1e-2)
 P_UNIT = 10 ** 4     # polarity / subjectivity unit: 1e-4
@@ -140,28 +141,29 @@ def negation_flags(tokens: Column, reach: int = NEGATION_REACH, marks: Column |
     return out
 
 
-def _units(value, unit: int):
-    return None if value is None else int(Decimal(value) * unit)
+def _lexicon_units(lexicon: DataFrame) -> DataFrame:
+    """``word, v4, p4, s4``: values rounded to 1e-4 units, one row per word, for both strategies.
 
+    Of rows with one word the one with the greatest (valence, polarity, subjectivity) wins, null least.
+    """
+    values = [F.round(F.col(c) * P_UNIT).cast("long").alias(n)
+              for c, n in (("valence", "v4"), ("polarity", "p4"), ("subjectivity", "s4"))]
+    rows = lexicon.where(F.col("word").isNotNull()).groupBy("word").agg(F.max(F.struct(*values)).alias("u"))
+    return rows.select("word", "u.v4", "u.p4", "u.s4")
 
-def _inline_rows(lexicon: DataFrame, limit: int):
-    """Lexicon rows if there are at most ``limit`` of them (bounded read), else None.
 
-    Duplicate words: the last row wins, as in a dict built from the rows.
-    """
-    rows = lexicon.select("word", "valence", "polarity", "subjectivity").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    last = {r["word"]: r for r in rows if r["word"] is not None}
-    return list(last.values())
+def _inline_rows(lexicon: DataFrame, limit: int):
+    """Lexicon words in units if there are at most ``limit`` of them (bounded read), else None."""
+    rows = _lexicon_units(lexicon).limit(limit + 1).collect()
+    return None if len(rows) > limit else rows
 
 
 def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFrame:
     words = [r["word"] for r in rows]
     index = F.map_from_arrays(F.lit(words), F.lit(list(range(1, len(words) + 1))))
-    val4 = F.lit([_units(r["valence"], P_UNIT) for r in rows]).cast("array<bigint>")
-    pol = F.lit([_units(r["polarity"], P_UNIT) for r in rows]).cast("array<bigint>")
-    sub = F.lit([_units(r["subjectivity"], P_UNIT) for r in rows]).cast("array<bigint>")
+    val4 = F.lit([r["v4"] for r in rows]).cast("array<bigint>")
+    pol = F.lit([r["p4"] for r in rows]).cast("array<bigint>")
+    sub = F.lit([r["s4"] for r in rows]).cast("array<bigint>")
 
     def parts_of(t: Column, negated: Column | None) -> Column:
         k = F.try_element_at(index, t)
@@ -172,7 +174,7 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
         return F.struct(*[c.alias(n) for n, c in parts.items()])
 
     cols = df.columns
-    staged = df.withColumn("_toks", word_tokens(text_col))
+    staged = df.withColumn("_toks", F.coalesce(word_tokens(text_col), F.array().cast("array<string>")))
     # The lexicon test is a hashed IN-list; only the (few) hits are looked up and summed.
     if negation:
         # Positions of negators (usually none), staged through a one-row generator: the per-hit
@@ -200,28 +202,28 @@ def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFra
 
 
 def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool) -> DataFrame:
-    toks = df.select(*[F.col(k) for k in KEYS], word_tokens(text_col).alias("_toks"))
+    # scores depend on the text alone, so its hash is the key: null and repeated ids cost nothing
+    df_keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
+    texts = df_keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
+    toks = texts.select("_key", word_tokens("_text").alias("_toks"))
     if negation:
         toks = toks.withColumn("_marks", negator_marks(F.col("_toks")))
         toks = toks.withColumn("_neg", negation_flags(F.col("_toks"), marks=F.col("_marks")))
     else:
         toks = toks.withColumn("_neg", F.transform("_toks", lambda t: F.lit(False)))
     pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))
-    toks = explode_rows(toks, pairs, ["tok"], list(KEYS))
-    toks = toks.select(*KEYS, F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
-    lex = lexicon.select(
-        "word", (F.col("valence") * P_UNIT).cast("long").alias("v4"),
-        (F.col("polarity") * P_UNIT).cast("long").alias("p4"),
-        (F.col("subjectivity") * P_UNIT).cast("long").alias("s4")).dropDuplicates(["word"])
+    toks = explode_rows(toks, pairs, ["tok"], ["_key"])
+    toks = toks.select("_key", F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
+    lex = _lexicon_units(lexicon)
     small = lex.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS
     joined = toks.join(F.broadcast(lex) if small else lex, "word", "left")
     v = F.when(F.col("negated"), F.col("v4") * F.lit(NEG_HUNDREDTHS)).otherwise(F.col("v4") * F.lit(V_UNIT // P_UNIT))
     parts = _hit_parts(v, F.col("p4"), F.col("s4"))
-    agg = joined.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"),
+    agg = joined.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"),
                                     *[F.sum(c).cast("long").alias(n) for n, c in parts.items()])
     # Sentences without any token have no row in ``agg``: their sums are 0.
     cols = df.columns
-    out = df.join(agg, list(KEYS), "left")
+    out = df_keyed.join(agg, "_key", "left")
     sums = {n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in parts}
     return _emit(out, cols, _finish(sums, F.coalesce(F.col("_n"), F.lit(0).cast("long"))))
 
@@ -230,7 +232,6 @@ def score_sentences(df: DataFrame, lexicon: DataFrame, text_col: str = "sentence
                     negation: bool = False, strategy: str = "auto") -> DataFrame:
     """Add ``ordinal, compound, neu, neg, pos, polarity, subjectivity`` to sentence rows.
 
-    ``df`` needs ``id`` and ``rank_sentence`` (unique together) for the exploded strategy.
     ``strategy``: ``auto`` (inline when the lexicon is small enough), ``inline`` or ``exploded``.
     """
     if strategy in ("auto", "inline"):
