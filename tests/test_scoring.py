@@ -82,17 +82,65 @@ def _vocab_lexicon(spark, n_words):
         F.when(h % 3 == 0, ((h % 11) / 10)).cast("decimal(18,4)").alias("subjectivity"))
 
 
-def test_large_lexicon_switches_strategy_and_agrees(spark, monkeypatch):
-    from tonekit.operators import scoring
-    lex = _vocab_lexicon(spark, 3000)
-    assert lex.count() > scoring.MAX_INLINE_WORDS
+def _shape(df):
+    """Operators of the executed plan, without their expressions."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.lstrip(" :+-*()0123456789").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
+
+
+def test_one_plan_for_any_lexicon(spark, lexicon):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     s = explode_sentences(docs, "doc_id", "text", 1)
-    auto = score_sentences(s, lex, negation=True)          # above the inline limit: exploded
-    assert "BroadcastHashJoin" in auto._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(scoring, "MAX_INLINE_WORDS", 5000)
-    inline = score_sentences(s, lex, negation=True, strategy="inline")
-    assert auto.count() == inline.count() and auto.exceptAll(inline).count() == 0
+    lex = _vocab_lexicon(spark, 5000)
+    assert lex.count() > 3000
+    few, many = score_sentences(s, lexicon), score_sentences(s, lex)
+    assert _shape(few) == _shape(many) and "Exchange" not in _shape(many)
+    exploded = score_sentences(s, lex, strategy="exploded")
+    assert many.count() == exploded.count() and many.exceptAll(exploded).count() == 0
+
+
+def test_lexicon_beyond_the_plan_is_cut_to_the_corpus(spark, monkeypatch):
+    from tonekit.operators import scoring
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 20")
+    s = explode_sentences(docs, "doc_id", "text", 1)
+    lex = _vocab_lexicon(spark, 3000)
+    want = score_sentences(s, lex, modifiers=True, strategy="inline")
+    monkeypatch.setattr(scoring, "MAX_PLAN_WORDS", 2500)   # the lexicon is larger, its words in the texts are fewer
+    assert "Exchange" not in _shape(score_sentences(s, lex, modifiers=True))
+    monkeypatch.setattr(scoring, "MAX_PLAN_WORDS", 10)     # both are larger: tokens are joined
+    got = score_sentences(s, lex, modifiers=True)
+    assert "Exchange" in " ".join(_shape(got))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_modifiers_by_hand(spark):
+    """Boosters, dampers and a negator against plain arithmetic, both strategies."""
+    from decimal import Decimal
+    from tonekit.sources.lexicon import BOOST, BOOSTERS, DAMPERS, DECAY, LEXICON_SCHEMA, NEGATION_FACTOR, NEGATORS
+    import random
+    r = random.Random(6)
+    values = {"good": Decimal("1.9"), "bad": Decimal("-1.3"), "flat": Decimal("0.1"), BOOSTERS[0]: Decimal("0.7")}
+    lex = spark.createDataFrame([(w, v, None, None) for w, v in values.items()], LEXICON_SCHEMA)
+    vocabulary = [*values, *BOOSTERS, *DAMPERS, *NEGATORS, "word", "other"]
+    texts = ["", "word"] + [" ".join(r.choices(vocabulary, k=r.randint(1, 14))) for _ in range(200)]
+    want = {}
+    for i, t in enumerate(texts):
+        toks, total = t.split(), Decimal(0)
+        for k, w in enumerate(toks):
+            if w not in values:
+                continue
+            v, sign = values[w], (values[w] > 0) - (values[w] < 0)
+            for d in (1, 2, 3):
+                if k - d >= 0:
+                    v += sign * BOOST * DECAY[d - 1] * ((toks[k - d] in BOOSTERS) - (toks[k - d] in DAMPERS))
+            if any(x in NEGATORS for x in toks[max(0, k - 3):k]):
+                v *= NEGATION_FACTOR
+            total += v
+        x = float(total)
+        want[i] = x / (x * x + 15) ** 0.5
+    for strategy in ("inline", "exploded"):
+        got = {x.id: x.compound for x in score_sentences(sent(spark, texts), lex, modifiers=True, strategy=strategy).collect()}
+        assert all(abs(got[i] - want[i]) <= 0.000051 for i in want)
 
 
 def test_strategies_agree_on_odd_rows(spark):
@@ -101,8 +149,8 @@ def test_strategies_agree_on_odd_rows(spark):
     lex = spark.createDataFrame([("good", 0.29, 0.57, 0.1), ("bad", -1.15, None, None), ("bad", -0.3, 0.2, None),
                                  ("fine", 0.0001, -0.0029, 1.0), (None, 1.0, 1.0, 1.0)],
                                 "word string, valence double, polarity double, subjectivity double")
-    for neg in (False, True):
-        a, b = (score_sentences(df, lex, negation=neg, strategy=s) for s in ("inline", "exploded"))
+    for kind in ({}, {"negation": True}, {"modifiers": True}):
+        a, b = (score_sentences(df, lex, strategy=s, **kind) for s in ("inline", "exploded"))
         assert a.columns == b.columns and a.count() == b.count() == len(rows)
         assert a.exceptAll(b).count() == 0
     got = {(r.id, r.sentence): r for r in b.collect()}

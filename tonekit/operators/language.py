@@ -11,14 +11,15 @@ Trigrams are taken per word: lower-cased letter runs padded with one blank on ea
 seen in L need a lookup. The winner is the highest score (ties: the larger language code).
 Texts without any letter get the fixed fallback label.
 
-Physical plan: trigrams are exploded in the map stage and joined with the profile pivoted to one
-row per trigram and one weight column per language (broadcast only when its row count is proven
-bounded), then one aggregation per text with one sum per language (the language list is small and
-explicit), so a single shuffle of one row per text.
+Physical plan: a text's sum is the sum over its words, and words repeat far more than texts. So every distinct word of
+the texts gets its vector once (number of trigrams, and per language the sum of its weights); texts are exploded
+to words only, joined with that table (broadcast if its bytes are proven few, else a shuffle join that AQE splits on
+hot words) and summed up per text: a row per word instead of one per trigram.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,6 @@ from tonekit.functions.text import word_tokens
 from tonekit.operators.generate import explode_rows
 from tonekit.operators.joins import broadcast_if_small
 
-MAX_LANGUAGES = 500
-PROFILE_BROADCAST_ROWS = 2_000_000
-
 
 def word_trigrams(word: Column) -> Column:
     """3-char windows of `` word `` (the word padded with one blank on each side)."""
@@ -72,16 +70,23 @@ def materialize_profiles(profiles: DataFrame) -> DataFrame:
 
 
 def _language_constants(profiles: DataFrame) -> list[tuple[str, float]]:
-    """(lang, log(total_L + V)) for every language; a bounded list (checked)."""
+    """(lang, log(total_L + V)) for every language: as many rows as the profile table has languages."""
     vocab = profiles.select("tri").distinct().count()
-    rows = (profiles.groupBy("lang").agg(F.sum("n").alias("total"))
-                    .limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the profile table")
-    import math
+    rows = profiles.groupBy("lang").agg(F.sum("n").alias("total")).collect()
     return sorted((r["lang"], math.log(r["total"] + vocab)) for r in rows)
 
 
+def word_vectors(words: DataFrame, profiles: DataFrame, langs: Sequence[str]) -> DataFrame:
+    """``word, n_tri, _s0, _s1, ...``: per distinct ``word`` its trigrams and the sum of their weights per language."""
+    # One row per trigram with one weight column per language: the join does not multiply rows.
+    wide = (profiles.groupBy("tri").pivot("lang", list(langs))
+                    .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
+                    .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
+    tri = explode_rows(words, word_trigrams(F.col("word")), ["tri"], ["word"])
+    sums = [F.sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(langs))]
+    return tri.join(wide, "tri", "left").groupBy("word").agg(F.count(F.lit(1)).alias("n_tri"), *sums)
+
+
 def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("id", "rank_sentence"),
                     text_col: str = "sentence", out: str = "language") -> DataFrame:
     """``(*keys, language)`` for every row of ``df`` (``keys`` must be unique).
@@ -89,20 +94,17 @@ def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("
     ``profiles`` is a learned model read by three jobs (vocabulary size, per-language totals, the
     join): pass a stored or materialized table (``materialize_profiles``), not a lazy aggregate.
     """
+    from tonekit.session import materialize
     consts = _language_constants(profiles)
-    langs = [lang for lang, _ in consts]
-    # One row per trigram with one weight column per language: the join does not multiply rows.
-    wide = (profiles.groupBy("tri").pivot("lang", langs)
-                    .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
-                    .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
-    # explode_outer keeps texts without trigrams (one row, null trigram) so no join back is needed;
-    # count(tri) skips that null, so it is the number of trigrams.
-    toks = df.select(*keys, F.explode_outer(char_trigrams(text_col)).alias("tri"))
-    joined = toks.join(broadcast_if_small(wide, PROFILE_BROADCAST_ROWS), "tri", "left")
-    sums = [F.sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(langs))]
-    per_text = joined.groupBy(*keys).agg(F.count("tri").alias("_n"), *sums)
+    texts = df.select(*keys, word_tokens(text_col).alias("_words"))
+    words = explode_rows(texts, F.col("_words"), ["word"]).distinct()
+    vectors = materialize(word_vectors(words, profiles, [lang for lang, _ in consts]))
+    # explode_outer keeps texts without words (one row, null word) so no join back is needed
+    toks = texts.select(*keys, F.explode_outer("_words").alias("word"))
+    joined = toks.join(broadcast_if_small(vectors), "word", "left")
+    sums = [F.sum(F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(consts))]
+    per_text = joined.groupBy(*keys).agg(F.sum(F.coalesce("n_tri", F.lit(0))).alias("_n"), *sums)
     scores = [F.struct((F.col(f"_s{i}") - F.col("_n") * F.lit(c)).alias("score"), F.lit(lang).alias("lang"))
               for i, (lang, c) in enumerate(consts)]
-    best = F.array_max(F.array(*scores))["lang"]
-    return per_text.select(*keys, F.when(F.coalesce(F.col("_n"), F.lit(0)) > 0, best)
-                                   .otherwise(F.lit(NO_LANGUAGE)).alias(out))
+    best = F.array_max(F.array(*scores))["lang"] if scores else F.lit(None).cast("string")
+    return per_text.select(*keys, F.when(F.col("_n") > 0, best).otherwise(F.lit(NO_LANGUAGE)).alias(out))

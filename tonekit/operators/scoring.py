@@ -12,26 +12,31 @@ Three independent scores per sentence, all from one lexicon ``(word, valence, po
   g = 2(up - down) / (up + down + 2) is cut at -1, -0.33, 0.33, 1 into classes 0..4
   (0: g < -1, 1: g < -0.33, 2: g <= 0.33, 3: g <= 1, 4: g > 1), compared in integers.
 
-Token values are summed as exact integers (valence in 1e-6 units, polarity and subjectivity in 1e-4
+Token values are summed as exact integers (valence in 1e-8 units, polarity and subjectivity in 1e-4
 units; the lexicon has at most 4 decimals and the negation factor 2), and each sum is turned into a
 double once, so scores do not depend on evaluation order.
 
-Two physical strategies, picked by a size check on the lexicon:
+With ``modifiers`` (N6 in full) a valence is first moved by the boosters among the 3 previous tokens
+(``BOOST`` in the valence's own direction, dampers against it, 95 % of it two and 90 % three tokens away), then
+turned by a negator among them.
 
-* inline (lexicon up to ``MAX_INLINE_WORDS`` words): the lexicon becomes a hashed IN-list and a
-  literal map in the plan; tokens are tested against the IN-list, only the hits (a short array)
-  are looked up, and all part sums come from one ``aggregate`` pass with a struct accumulator. The whole scoring is one narrow stage: no shuffle,
-  the sentence text never moves. Scores leave through a one-row generator so that a later filter
-  on a score is not pushed below it (which would inline and evaluate the scoring twice).
-* exploded (bigger lexicons): tokens are exploded, joined with the lexicon (broadcast only when its
-  row count is proven small, else a shuffle join that AQE splits on hot words), aggregated per
-  different text with map-side partial aggregation, and joined back on a hash of the text (SHA-256).
+One path for any lexicon that a plan can carry (``MAX_PLAN_WORDS``): the words are dealt to buckets of about four
+by their hash, and the buckets are a literal array in the plan. A token costs one hash, one index and a
+short scan, whether the lexicon has 25 words or 50,000; scoring is one narrow stage without a shuffle, the
+text never moves, and a stream has the same layout. Scores leave through a one-row generator so that a later filter
+on a score is not pushed below it (which would inline and evaluate the scoring twice).
 
-Both take the lexicon from ``_lexicon_units`` and score each input row on its own; a null text has no tokens.
+A lexicon beyond that is first cut to the words that the texts hold (one row per distinct word of the corpus). If what
+is left fits the plan, it is scored as above; else tokens are exploded, joined with the lexicon (AQE splits hot words),
+aggregated per different text and joined back on a hash of the text (SHA-256).
+
+All take the lexicon from ``_lexicon_units`` and score each input row on its own; a null text has no tokens.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -40,20 +45,21 @@ from pyspark.sql import functions as F
 from tonekit.functions.numeric import round_half_up
 from tonekit.functions.text import word_tokens
 from tonekit.operators.generate import explode_rows
-from tonekit.sources.lexicon import NEGATION_FACTOR, NEGATION_REACH, NEGATORS
+from tonekit.operators.joins import broadcast_if_small
+from tonekit.sources.lexicon import BOOST, BOOSTERS, DAMPERS, DECAY, NEGATION_FACTOR, NEGATION_REACH, NEGATORS
 
-# Literal-map size limit: a hit's lookup scans the key array, so cost grows with the lexicon.
-# Measured at sf0.1 (local[8]) with frequent-word lexicons: 25 words 4.5 s inline vs 4.6 s exploded,
-# 100 words 7.8 s vs 4.5 s, 300 words 12.8 s vs 4.3 s, 3,000 words 98 s vs 4.3 s.
-MAX_INLINE_WORDS = 64
-MAX_BROADCAST_WORDS = 2_000_000  # lexicon rows that may still be broadcast on the exploded path
+MAX_PLAN_WORDS = 50_000  # lexicon words that a plan carries as literals (a few MB)
+BUCKET = 4               # words of a bucket, about
 COMPOUND_ALPHA = 15
 SCORE_COLUMNS = ("ordinal", "compound", "neu", "neg", "pos", "polarity", "subjectivity")
 
-V_UNIT = 10 ** 6     # valence unit: 1e-6 (lexicon 1e-4 x negation factor 1e-2)
+V_UNIT = 10 ** 8     # valence unit: 1e-8 (lexicon 1e-4, boosts 1e-6, both x negation factor 1e-2)
 P_UNIT = 10 ** 4     # polarity / subjectivity unit: 1e-4
 NEG_HUNDREDTHS = int(NEGATION_FACTOR * 100)
 assert Decimal(NEG_HUNDREDTHS) / 100 == NEGATION_FACTOR, "negation factor must have at most 2 decimals"
+V_PER_4 = V_UNIT // P_UNIT               # valence units in 1e-4
+BOOSTS = [int(BOOST * d * 10 ** 6) * (V_UNIT // 10 ** 6) for d in DECAY]  # by distance 1, 2, 3
+assert [Decimal(b) / V_UNIT for b in BOOSTS] == [BOOST * d for d in DECAY], "boosts must have at most 6 decimals"
 
 
 def _sign(c: Column) -> Column:
@@ -61,7 +67,7 @@ def _sign(c: Column) -> Column:
 
 
 def _hit_parts(v: Column, p: Column, s: Column) -> dict[str, Column]:
-    """Integer contributions of one *matched* token (v in 1e-6 units, p and s in 1e-4 units)."""
+    """Integer contributions of one *matched* token (v in 1e-8 units, p and s in 1e-4 units)."""
     zero = F.lit(0).cast("long")
     tone = _sign(F.coalesce(v, zero)) + _sign(F.coalesce(p, zero))
     return {
@@ -81,6 +87,11 @@ def _hit_parts(v: Column, p: Column, s: Column) -> dict[str, Column]:
 PART_NAMES = ("s_val", "s_pos", "s_neg", "n_nz", "s_pol", "n_pol", "s_sub", "n_sub", "n_up", "n_down")
 
 
+def _negated(v: Column) -> Column:
+    """A valence turned by a negator: exact, as values are multiples of 100 units."""
+    return (v / F.lit(100)).cast("long") * F.lit(NEG_HUNDREDTHS)
+
+
 def _finish(t: dict[str, Column], n_tokens: Column) -> dict[str, Column]:
     """Sentence scores from the integer part sums and the token count."""
     v_unit, p_unit = F.lit(float(V_UNIT)), F.lit(float(P_UNIT))
@@ -152,72 +163,143 @@ def _lexicon_units(lexicon: DataFrame) -> DataFrame:
     return rows.select("word", "u.v4", "u.p4", "u.s4")
 
 
-def _inline_rows(lexicon: DataFrame, limit: int):
-    """Lexicon words in units if there are at most ``limit`` of them (bounded read), else None."""
-    rows = _lexicon_units(lexicon).limit(limit + 1).collect()
+def _plan_rows(lexicon: DataFrame, limit: int | None = None):
+    """Lexicon words in units with their hash if a plan can carry them (bounded read), else None."""
+    limit = MAX_PLAN_WORDS if limit is None else limit
+    rows = _lexicon_units(lexicon).select("word", "v4", "p4", "s4", F.xxhash64("word").alias("h")).limit(limit + 1).collect()
     return None if len(rows) > limit else rows
 
 
-def _score_inline(df: DataFrame, text_col: str, rows, negation: bool) -> DataFrame:
-    words = [r["word"] for r in rows]
-    index = F.map_from_arrays(F.lit(words), F.lit(list(range(1, len(words) + 1))))
-    val4 = F.lit([r["v4"] for r in rows]).cast("array<bigint>")
-    pol = F.lit([r["p4"] for r in rows]).cast("array<bigint>")
-    sub = F.lit([r["s4"] for r in rows]).cast("array<bigint>")
+def _modifier_rows(lexicon: DataFrame, negation: bool, modifiers: bool) -> dict[str, tuple[int, int, int]]:
+    """``word -> (booster sign, is negator, hash)`` of the words that change a later valence."""
+    if not (negation or modifiers):
+        return {}
+    signs = {**dict.fromkeys(BOOSTERS, 1), **dict.fromkeys(DAMPERS, -1)} if modifiers else {}
+    words = sorted({*NEGATORS, *signs})
+    frame = lexicon.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    return {r["word"]: (signs.get(r["word"], 0), int(r["word"] in NEGATORS), r["h"])
+            for r in frame.select("word", F.xxhash64("word").alias("h")).collect()}
+
+
+_ENTRY = "struct<w: string, v4: bigint, p4: bigint, s4: bigint, hit: int, boost: int, neg: int>"
+
+
+def _buckets(entries: Sequence[tuple]) -> tuple[Column, Column, int]:
+    """Literal arrays of words and of entries by bucket, and the number of buckets.
+
+    ``entries``: ``(hash, word, v4, p4, s4, hit, boost, neg)``. One JSON text each, which the optimizer folds into a literal.
+    """
+    n = max(1, -(-len(entries) // BUCKET))
+    dealt: list[list[tuple]] = [[] for _ in range(n)]
+    for e in sorted(entries, key=lambda e: e[1]):
+        dealt[e[0] % n].append(e[1:])
+    names = ("w", "v4", "p4", "s4", "hit", "boost", "neg")
+    words = F.from_json(F.lit(json.dumps([[e[0] for e in b] for b in dealt])), "array<array<string>>")
+    values = F.from_json(F.lit(json.dumps([[dict(zip(names, e)) for e in b] for b in dealt])), f"array<array<{_ENTRY}>>")
+    return words, values, n
+
+
+def _score_inline(df: DataFrame, text_col: str, rows, negation: bool, modifiers: bool = False) -> DataFrame:
+    special = _modifier_rows(df, negation, modifiers)
+    entries = {r["word"]: (r["h"], r["word"], r["v4"], r["p4"], r["s4"], 1, 0, 0) for r in rows}
+    for w, (boost, neg, h) in special.items():
+        entries[w] = (*entries.get(w, (h, w, None, None, None, 0))[:6], boost, neg)
+    words, values, n = _buckets(list(entries.values()))
+
+    def bucket(t: Column) -> Column:
+        return F.pmod(F.xxhash64(t), F.lit(n)).cast("int")
 
-    def parts_of(t: Column, negated: Column | None) -> Column:
-        k = F.try_element_at(index, t)
-        v4 = F.try_element_at(val4, k)
-        plain = v4 * F.lit(V_UNIT // P_UNIT)
-        v = plain if negated is None else F.when(negated, v4 * F.lit(NEG_HUNDREDTHS)).otherwise(plain)
-        parts = _hit_parts(v, F.try_element_at(pol, k), F.try_element_at(sub, k))
-        return F.struct(*[c.alias(n) for n, c in parts.items()])
+    def known(t: Column) -> Column:
+        return F.array_contains(F.get(words, bucket(t)), t)
+
+    def entry(t: Column) -> Column:
+        return F.get(F.get(values, bucket(t)), (F.array_position(F.get(words, bucket(t)), t) - 1).cast("int"))
 
     cols = df.columns
     staged = df.withColumn("_toks", F.coalesce(word_tokens(text_col), F.array().cast("array<string>")))
-    # The lexicon test is a hashed IN-list; only the (few) hits are looked up and summed.
-    if negation:
-        # Positions of negators (usually none), staged through a one-row generator: the per-hit
-        # lambda below reads a stored array, which Catalyst cannot inline and rebuild per element.
-        negators = F.lit(list(NEGATORS))
-        negpos = F.filter(F.transform(F.col("_toks"), lambda t, i: F.when(F.array_contains(negators, t), i)),
-                          lambda p: p.isNotNull())
-        staged = staged.select(*cols, "_toks", F.inline(F.array(F.struct(negpos.alias("_negpos")))))
-        pairs = F.transform(F.col("_toks"), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-
-        def negated(i: Column) -> Column:
-            return F.exists(F.col("_negpos"), lambda p: (p >= i - F.lit(NEGATION_REACH)) & (p < i))
-
-        hits = F.transform(F.filter(pairs, lambda x: x["t"].isin(*words)),
-                           lambda x: parts_of(x["t"], negated(x["i"])))
+    zero = [F.lit(0).cast("long").alias(x) for x in PART_NAMES]
+    if special:
+        # only words that count, with their places; then one pass that remembers the last three
+        # boosters and the last negator
+        found = F.filter(F.transform(F.col("_toks"), lambda t, i: F.when(known(t), F.struct(i.alias("i"), entry(t).alias("e")))),
+                         lambda x: x.isNotNull())
+        far = F.lit(-100).cast("int")
+        state = F.struct(*zero, *[far.alias(f"at{k}") for k in (1, 2, 3)], *[F.lit(0).alias(f"up{k}") for k in (1, 2, 3)],
+                         far.alias("neg_at"))
+
+        def step(acc: Column, x: Column) -> Column:
+            i, e = x["i"], x["e"]
+            v4 = e["v4"]
+            v = v4 * F.lit(V_PER_4)
+            if modifiers:
+                moved = F.lit(0).cast("long")
+                for k in (1, 2, 3):
+                    by = F.lit(0).cast("long")
+                    for distance, b in enumerate(BOOSTS, 1):
+                        by = F.when(i - acc[f"at{k}"] == distance, F.lit(b).cast("long")).otherwise(by)
+                    moved = moved + by * acc[f"up{k}"]
+                v = v + _sign(v4) * moved
+            v = F.when(i - acc["neg_at"] <= NEGATION_REACH, _negated(v)).otherwise(v)
+            hit = e["hit"] == 1
+            parts = _hit_parts(v, e["p4"], e["s4"])
+            sums = [F.when(hit, acc[c] + parts[c]).otherwise(acc[c]).alias(c) for c in PART_NAMES]
+            new = e["boost"] != 0
+            at = [F.when(new, i).otherwise(acc["at1"])] + [F.when(new, acc[f"at{k - 1}"]).otherwise(acc[f"at{k}"]) for k in (2, 3)]
+            up = [F.when(new, e["boost"]).otherwise(acc["up1"])] + [F.when(new, acc[f"up{k - 1}"]).otherwise(acc[f"up{k}"]) for k in (2, 3)]
+            return F.struct(*sums, *[c.cast("int").alias(f"at{k}") for k, c in enumerate(at, 1)],
+                            *[c.cast("int").alias(f"up{k}") for k, c in enumerate(up, 1)],
+                            F.when(e["neg"] == 1, i).otherwise(acc["neg_at"]).cast("int").alias("neg_at"))
     else:
-        hits = F.transform(F.filter(F.col("_toks"), lambda t: t.isin(*words)), lambda t: parts_of(t, None))
-    staged = staged.select(*cols, F.size("_toks").alias("_n"), hits.alias("_hits"))
-    # One pass with a struct accumulator holding every part sum.
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in PART_NAMES])
-    total = F.aggregate(F.col("_hits"), zero,
-                        lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in PART_NAMES]))
-    staged = staged.select(*cols, "_n", total.alias("_t"))
-    return _emit(staged, cols, _finish({n: F.col("_t")[n] for n in PART_NAMES}, F.col("_n")))
+        found = F.transform(F.filter(F.col("_toks"), known), entry)
+        state = F.struct(*zero)
+
+        def step(acc: Column, e: Column) -> Column:
+            parts = _hit_parts(e["v4"] * F.lit(V_PER_4), e["p4"], e["s4"])
+            return F.struct(*[(acc[c] + parts[c]).alias(c) for c in PART_NAMES])
+
+    staged = staged.select(*cols, F.size("_toks").alias("_n"), found.alias("_found"))
+    staged = staged.select(*cols, "_n", F.aggregate("_found", state, step).alias("_t"))
+    return _emit(staged, cols, _finish({x: F.col("_t")[x] for x in PART_NAMES}, F.col("_n")))
+
+
+def boost_units(tokens: Column, signs: Column | None = None) -> Column:
+    """``ARRAY<BIGINT>``: what the boosters and dampers among the 3 previous tokens add to a valence's size."""
+    if signs is None:
+        signs = booster_signs(tokens)
+    n = F.size(tokens)
+    shifted = [F.slice(F.concat(F.array_repeat(F.lit(0), k), signs), 1, n) for k in range(1, len(BOOSTS) + 1)]
+    near = F.zip_with(shifted[0], shifted[1], lambda x, y: x * F.lit(BOOSTS[0]).cast("long") + y * F.lit(BOOSTS[1]).cast("long"))
+    return F.zip_with(near, shifted[2], lambda x, y: x + y * F.lit(BOOSTS[2]).cast("long"))
 
 
-def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool) -> DataFrame:
+def booster_signs(tokens: Column) -> Column:
+    """``ARRAY<INT>``: 1 for a booster, -1 for a damper, else 0."""
+    return F.transform(tokens, lambda t: F.when(t.isin(*BOOSTERS), 1).when(t.isin(*DAMPERS), -1).otherwise(0))
+
+
+def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation: bool, modifiers: bool = False) -> DataFrame:
     # scores depend on the text alone, so its hash is the key: null and repeated ids cost nothing
     df_keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
-    texts = df_keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text_col).alias("_text"))
+    texts = df_keyed.where(F.col("_key").isNotNull()).select("_key", F.col(text_col).alias("_text")).dropDuplicates(["_key"])
     toks = texts.select("_key", word_tokens("_text").alias("_toks"))
-    if negation:
+    if negation or modifiers:
         toks = toks.withColumn("_marks", negator_marks(F.col("_toks")))
         toks = toks.withColumn("_neg", negation_flags(F.col("_toks"), marks=F.col("_marks")))
     else:
         toks = toks.withColumn("_neg", F.transform("_toks", lambda t: F.lit(False)))
-    pairs = F.zip_with(F.col("_toks"), F.col("_neg"), lambda t, g: F.struct(t.alias("word"), g.alias("negated")))
+    if modifiers:
+        toks = toks.withColumn("_signs", booster_signs(F.col("_toks")))
+        toks = toks.withColumn("_boost", boost_units(F.col("_toks"), F.col("_signs")))
+    else:
+        toks = toks.withColumn("_boost", F.transform("_toks", lambda t: F.lit(0).cast("long")))
+    pairs = F.arrays_zip(F.col("_toks").alias("word"), F.col("_neg").alias("negated"), F.col("_boost").alias("boost"))
     toks = explode_rows(toks, pairs, ["tok"], ["_key"])
-    toks = toks.select("_key", F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"))
+    toks = toks.select("_key", F.col("tok.word").alias("word"), F.col("tok.negated").alias("negated"), F.col("tok.boost").alias("boost"))
     lex = _lexicon_units(lexicon)
-    small = lex.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS
-    joined = toks.join(F.broadcast(lex) if small else lex, "word", "left")
-    v = F.when(F.col("negated"), F.col("v4") * F.lit(NEG_HUNDREDTHS)).otherwise(F.col("v4") * F.lit(V_UNIT // P_UNIT))
+    joined = toks.join(broadcast_if_small(lex), "word", "left")
+    v = F.col("v4") * F.lit(V_PER_4)
+    v = v + _sign(F.col("v4")) * F.col("boost")
+    v = F.when(F.col("negated"), _negated(v)).otherwise(v)
     parts = _hit_parts(v, F.col("p4"), F.col("s4"))
     agg = joined.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"),
                                     *[F.sum(c).cast("long").alias(n) for n, c in parts.items()])
@@ -228,19 +310,27 @@ def _score_exploded(df: DataFrame, text_col: str, lexicon: DataFrame, negation:
     return _emit(out, cols, _finish(sums, F.coalesce(F.col("_n"), F.lit(0).cast("long"))))
 
 
-def score_sentences(df: DataFrame, lexicon: DataFrame, text_col: str = "sentence",
-                    negation: bool = False, strategy: str = "auto") -> DataFrame:
+def words_in(df: DataFrame, text_col: str) -> DataFrame:
+    """``word``: every distinct token of the texts, counted map-side first."""
+    return explode_rows(df, word_tokens(text_col), ["word"]).distinct()
+
+
+def score_sentences(df: DataFrame, lexicon: DataFrame, text_col: str = "sentence", negation: bool = False,
+                    strategy: str = "auto", modifiers: bool = False) -> DataFrame:
     """Add ``ordinal, compound, neu, neg, pos, polarity, subjectivity`` to sentence rows.
 
-    ``strategy``: ``auto`` (inline when the lexicon is small enough), ``inline`` or ``exploded``.
+    ``modifiers``: boosters, dampers and negators change the valences after them; ``negation``: negators alone.
+    ``strategy``: ``auto``, ``inline`` (the plan carries the lexicon, an error if it is too large) or ``exploded``.
     """
     if strategy in ("auto", "inline"):
-        rows = _inline_rows(lexicon, MAX_INLINE_WORDS)
+        rows = _plan_rows(lexicon)
+        if rows is None and strategy == "auto":
+            rows = _plan_rows(lexicon.join(words_in(df, text_col), "word", "left_semi"))
         if rows is not None:
-            return _score_inline(df, text_col, rows, negation)
+            return _score_inline(df, text_col, rows, negation, modifiers)
         if strategy == "inline":
-            raise ValueError(f"lexicon has more than {MAX_INLINE_WORDS} words; use the exploded strategy")
-    return _score_exploded(df, text_col, lexicon, negation)
+            raise ValueError(f"lexicon has more than {MAX_PLAN_WORDS} words; use the exploded strategy")
+    return _score_exploded(df, text_col, lexicon, negation, modifiers)
 
 
 def tokenize(df: DataFrame, text_col: str, keys: tuple[str, ...]) -> DataFrame:

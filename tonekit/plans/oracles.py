@@ -16,7 +16,9 @@ from tonekit.functions.numeric import AS_A, AS_P
 from tonekit.functions.patterns import (
     CLASS_LABELS, DEFAULT_INFO, NO_LANGUAGE, RX_BOILER, RX_FOOTNOTE, RX_NOISE, RX_TITLES,
 )
-from tonekit.sources.lexicon import NEGATION_FACTOR, NEGATION_REACH, NEGATORS, lexicon_values_sql
+from tonekit.sources.lexicon import (
+    BOOST, BOOSTERS, DAMPERS, DECAY, NEGATION_FACTOR, NEGATION_REACH, NEGATORS, lexicon_values_sql,
+)
 
 # Java (?U)\s, spelled out for RE2.
 WS = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -137,7 +139,7 @@ def text_tris(x: str) -> str:
 
 # ---- scoring CTEs --------------------------------------------------------------------------
 
-def scored_ctes(p: str, src: str, negation: bool = False) -> dict[str, str]:
+def scored_ctes(p: str, src: str, negation: bool = False, lex: str = "lex", modifiers: bool = False) -> dict[str, str]:
     negs = ", ".join(q(w) for w in NEGATORS)
     factor = f"CAST({NEGATION_FACTOR} AS DECIMAL(18,4))"
     tok = (f"SELECT id, rank_sentence, unnest(tk) AS word, generate_subscripts(tk, 1) AS tpos "
@@ -146,11 +148,19 @@ def scored_ctes(p: str, src: str, negation: bool = False) -> dict[str, str]:
         tok = (f"SELECT *, coalesce(max(CASE WHEN word IN ({negs}) THEN 1 ELSE 0 END) OVER "
                f"(PARTITION BY id, rank_sentence ORDER BY tpos ROWS BETWEEN {NEGATION_REACH} PRECEDING "
                f"AND 1 PRECEDING), 0) AS negated FROM ({tok})")
-        v = f"CASE WHEN t.negated = 1 THEN l.valence * {factor} ELSE l.valence END"
+        value = "l.valence"
+        if modifiers:
+            sign = (f"CASE WHEN word IN ({', '.join(map(q, BOOSTERS))}) THEN 1 WHEN word IN ({', '.join(map(q, DAMPERS))}) "
+                    f"THEN -1 ELSE 0 END")
+            over = "OVER (PARTITION BY id, rank_sentence ORDER BY tpos)"
+            moved = " + ".join(f"coalesce(lag({sign}, {k}) {over}, 0) * CAST({BOOST * d} AS DECIMAL(18,6))" for k, d in enumerate(DECAY, 1))
+            tok = f"SELECT *, {moved} AS moved FROM ({tok})"
+            value = "(l.valence + sign(l.valence) * t.moved)"
+        v = f"CASE WHEN t.negated = 1 THEN {value} * {factor} ELSE {value} END"
     else:
         v = "l.valence"
     tv = (f"SELECT t.id, t.rank_sentence, {v} AS v, l.polarity AS p, l.subjectivity AS s "
-          f"FROM {p}_tok t LEFT JOIN lex l ON t.word = l.word")
+          f"FROM {p}_tok t LEFT JOIN {lex} l ON t.word = l.word")
     sgn = lambda x: f"(CASE WHEN coalesce({x}, 0) > 0 THEN 1 WHEN coalesce({x}, 0) < 0 THEN -1 ELSE 0 END)"
     parts = (f"SELECT id, rank_sentence, sum(coalesce(v, 0)) AS s_val, "
              f"sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS s_pos, "
@@ -188,11 +198,22 @@ WHOLE_DOC = ("SELECT doc_id AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS
              "WHERE text IS NOT NULL")
 SCORE_COLS = "id, rank_sentence, compound, polarity, ordinal"
 
+UNITS = lambda x: f"CAST(floor(({x}) * 10000.0::DOUBLE + 0.5::DOUBLE) AS DECIMAL(14,0)) / CAST(10000 AS DECIMAL(5,0))"
+TILT = "CAST(2 * g - n AS DOUBLE) / n"
+
 CTES: dict[str, str] = {
     "lex": LEX,
+    "lex_counts": (f"SELECT word, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS g, count(*) AS n FROM (SELECT quality, "
+                   f"unnest(list_distinct({tokens('text')})) AS word FROM documents JOIN labels USING (doc_id) "
+                   f"WHERE quality IN (0, 1)) GROUP BY word HAVING count(*) >= 3"),
+    "lex_induced": (f"SELECT word, CAST({UNITS(f'{TILT} * 4.0::DOUBLE')} AS DECIMAL(18,4)) AS valence, "
+                    f"CAST({UNITS(TILT)} AS DECIMAL(18,4)) AS polarity, CAST({UNITS(f'abs({TILT})')} AS DECIMAL(18,4)) AS subjectivity "
+                    f"FROM lex_counts"),
     "doc_sent": DOC_SENT,
     **scored_ctes("doc", "doc_sent"),
     **scored_ctes("docn", "doc_sent", negation=True),
+    **scored_ctes("docm", "doc_sent", negation=True, modifiers=True),
+    **scored_ctes("doci", "doc_sent", negation=True, lex="lex_induced", modifiers=True),
     "conv_sent": CONV_SENT,
     **scored_ctes("conv", "conv_sent"),
     "whole_doc": WHOLE_DOC,
@@ -504,6 +525,11 @@ ORACLES: dict[str, str] = {
                            "whole_scored"),
     "score_shares": sql("SELECT id, rank_sentence, neg, neu, pos FROM doc_scored", "doc_scored"),
     "score_negation": sql("SELECT id, rank_sentence, compound FROM docn_scored", "docn_scored"),
+    "score_modifiers": sql("SELECT id, rank_sentence, compound, neg, neu, pos FROM docm_scored", "docm_scored"),
+    "lexicon_induced": sql("SELECT word, CAST(valence AS DOUBLE) AS valence, CAST(polarity AS DOUBLE) AS polarity, "
+                           "CAST(subjectivity AS DOUBLE) AS subjectivity FROM lex_induced", "lex_induced"),
+    "score_large_lexicon": sql("SELECT id, rank_sentence, ordinal, compound, neg, neu, pos, polarity, subjectivity "
+                               "FROM doci_scored", "doci_scored"),
     "score_polarity": sql("SELECT id, rank_sentence, polarity, subjectivity FROM doc_scored", "doc_scored"),
     "score_ordinal": sql("SELECT id, rank_sentence, ordinal FROM doc_scored", "doc_scored"),
     "language_id": sql("SELECT id, rank_sentence, language FROM lang_best", "lang_best"),

@@ -30,10 +30,10 @@ from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
 from tonekit.operators.tokens_map import annotate_words, with_token_map
 from tonekit.plans.sentiment import conversation_posts, score_posts, sentiment_table
-from tonekit.session import ensure_checkpoint_dir
+from tonekit.session import ensure_checkpoint_dir, materialize
 from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
 from tonekit.sources.html_table import html_table
-from tonekit.sources.lexicon import fixture_lexicon
+from tonekit.sources.lexicon import fixture_lexicon, induced_lexicon
 from tonekit.sources.tables import read_pages, read_table
 from tonekit.streaming.scoring_stream import start_scoring_stream
 
@@ -445,6 +445,30 @@ def q_score_negation(spark, d):
     return doc_scored(spark, d, negation=True).select("id", "rank_sentence", "compound")
 
 
+@query("score_modifiers")
+def q_score_modifiers(spark, d):
+    """N6 in full: boosters, dampers and negators change the valences after them."""
+    out = score_sentences(doc_sentences(spark, d), fixture_lexicon(spark), modifiers=True)
+    return out.select("id", "rank_sentence", "compound", "neg", "neu", "pos")
+
+
+def _induced(spark, d) -> DataFrame:
+    return induced_lexicon(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@query("lexicon_induced")
+def q_lexicon_induced(spark, d):
+    """A lexicon of thousands of words, learned from labelled documents."""
+    return _induced(spark, d).select("word", *[F.col(c).cast("double").alias(c) for c in ("valence", "polarity", "subjectivity")])
+
+
+@query("score_large_lexicon")
+def q_score_large_lexicon(spark, d):
+    """J6, N4-N8 with the lexicon learned from labelled documents, stored first as it is a model read twice."""
+    out = score_sentences(doc_sentences(spark, d), materialize(_induced(spark, d)), modifiers=True)
+    return out.select("id", "rank_sentence", "ordinal", "compound", "neg", "neu", "pos", "polarity", "subjectivity")
+
+
 @query("score_polarity")
 def q_score_polarity(spark, d):
     return doc_scored(spark, d).select("id", "rank_sentence", "polarity", "subjectivity")

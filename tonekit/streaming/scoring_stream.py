@@ -3,8 +3,8 @@
 The sentence split and the inline lexicon scoring are stateless row operations (a projection and
 two generators), so they run unchanged on a ``readStream`` DataFrame and the result can go to the
 file sink in append mode, exactly once (the sink's commit log plus the source's offset log in the
-checkpoint folder). A lexicon too large to inline needs the exploded strategy, which aggregates per
-sentence; that path runs per micro-batch through ``foreachBatch`` with an idempotent overwrite of
+checkpoint folder), with the same layout for any lexicon that a plan carries. A larger one needs aggregates; that path
+runs per micro-batch through ``foreachBatch`` with an idempotent overwrite of
 the batch's own output folder, so a retried batch replaces its earlier attempt.
 """
 
@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tonekit.operators.scoring import MAX_INLINE_WORDS, _inline_rows, score_sentences
+from tonekit.operators.scoring import _plan_rows, score_sentences
 from tonekit.operators.sentences import explode_sentences
 
 
 def scored_stream(stream: DataFrame, lexicon: DataFrame, id_col: str, text_col: str,
                   sentence_level: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """Streaming DataFrame of scored sentences (inline lexicon only: stateless)."""
-    if _inline_rows(lexicon, MAX_INLINE_WORDS) is None:
+    if _plan_rows(lexicon) is None:
         raise ValueError("lexicon too large to inline; use start_scoring_stream (foreachBatch path)")
     sents = explode_sentences(stream, id_col, text_col, sentence_level, keep)
     return score_sentences(sents, lexicon, strategy="inline")
@@ -44,7 +44,7 @@ def start_scoring_stream(spark: SparkSession, source: str, schema: StructType, l
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
     trigger = {"availableNow": True} if available_now else {"processingTime": "30 seconds"}
-    if _inline_rows(lexicon, MAX_INLINE_WORDS) is not None:
+    if _plan_rows(lexicon) is not None:
         out = scored_stream(stream, lexicon, id_col, text_col, sentence_level, keep)
         return (out.writeStream.format("parquet").option("path", sink)
                    .option("checkpointLocation", checkpoint).outputMode("append")
@@ -52,7 +52,7 @@ def start_scoring_stream(spark: SparkSession, source: str, schema: StructType, l
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         sents = explode_sentences(batch, id_col, text_col, sentence_level, keep)
-        scored = score_sentences(sents, lexicon, strategy="exploded")
+        scored = score_sentences(sents, lexicon)
         scored.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
