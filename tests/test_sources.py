@@ -70,13 +70,40 @@ def test_streaming_matches_batch(spark, lexicon):
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
 
 
-def test_parser_variant_handles_nesting(spark):
-    from tonekit.operators.html_parse import parse_fields
-    html = ('<html><script>var s="<div class=\'x\'>no</div>";</script><div class="x">a<div>b</div>c &eacute;&#233;</div>'
-            '<div class="x">second</div></html>')
-    df = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id long, html string")
-    got = {r.page_id: r.body for r in parse_fields(df, "html", ["page_id"], {"body": [("div", "x")]}).collect()}
-    assert got == {1: "abc éé", 2: None}
+def test_balanced_elements(spark):
+    from tonekit.functions.html import element_text, first_match, link_targets
+    pages = {
+        1: ('<html><script>var s="<div class=\'x\'>no</div>";</script><div class="x">a<div>b</div>c &eacute;&#233;&#xE9;</div>'
+            '<div class="x">second</div></html>', "abc ééé"),
+        2: ("<p>none</p>", None),
+        3: ("<div class=y>1</div><DIV id='a>b' class='w x'>2<div>3<div>4</div></div>5</DIV>6", "2345"),
+        4: ("<!-- <div class='x'>no</div> --><div class=x>open <div>never closed", "open never closed"),
+        5: ("<div class='xx x-y'>no</div><div class='x'></div><div class='x'>late</div>", ""),
+        6: ("</div></div><div class='x'>&amp;lt; &notaname; &lt;b&gt; &copy &#0; &#x110000;</div>", "&lt; &notaname; <b> © \ufffd \ufffd"),
+        7: (None, None),
+        8: ("<div class='x'>" + "<div>n" * 3000 + "</div>" * 3000 + "end</div>out", "n" * 3000 + "end"),
+    }
+    df = spark.createDataFrame([(k, h) for k, (h, _) in pages.items()], "page_id long, html string")
+    got = {r.page_id: r.t for r in df.select("page_id", element_text("html", "div", "x").alias("t")).collect()}
+    assert got == {k: want for k, (_, want) in pages.items()}
+    body = {r.page_id: r.t for r in df.select("page_id", first_match("html", [("div", "x"), ("p", None)]).alias("t")).collect()}
+    assert body[2] == "none" and body[5] is None and body[1] == "abc ééé"
+    links = spark.createDataFrame([("""<a href="/a&amp;b">1</a><a class=x href='/c d'><A data-href="no" HREF=/e>""",)], "html string")
+    assert links.select(link_targets("html")).first()[0] == ["/a&b", "/c d", "/e"]
+
+
+def test_tables_nested_spans_and_open_cells(spark):
+    html = ("<p>x</p><table><tr><th>skip</table><table id=2><thead><tr><th>A<th colspan=2>B</tr></thead><tr><td rowspan='3'>r</td>"
+            "<td>1</td><td>2 <table><tr><td>in</td><td>ner</td></tr></table></td></tr><tr><td rowspan=9>3<td>4"
+            "<tr><td colspan=\"2\">5</td></tr></table><table><tr><td>third</td></tr></table>")
+    df = spark.createDataFrame([(1, html), (2, "<table></table>"), (3, None), (4, "none")], "page_id long, html string")
+    got = {(r.page_id, r.row, r.col): (r.header, r.value) for r in html_table(df, "html", 1).collect()}
+    assert got == {(1, 1, 0): ("A", "r"), (1, 1, 1): ("B", "1"), (1, 1, 2): ("B", "2 inner"), (1, 2, 0): ("A", "r"),
+                   (1, 2, 1): ("B", "3"), (1, 2, 2): ("B", "4"), (1, 3, 0): ("A", "r"), (1, 3, 1): ("B", "3"), (1, 3, 2): ("B", "5"),
+                   (1, 3, 3): (None, "5")}
+    inner = html_table(df, "html", 2, header=False).collect()
+    assert [(r.row, r.col, r.header, r.value) for r in sorted(inner)] == [(0, 0, None, "in"), (0, 1, None, "ner")]
+    assert html_table(df, "html", 9).collect() == []
 
 
 def test_read_lexicon_file_scores_like_fixture(spark, lexicon):

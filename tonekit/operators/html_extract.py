@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.functions.html import absolutize, element_text, first_match, link_targets
+from tonekit.functions.html import absolutize, element_text, first_match, let, link_targets, plain_markup
 from tonekit.functions.patterns import DEFAULT_INFO
-from tonekit.functions.text import clean_transcript, default_if_blank, space_after_dot
+from tonekit.functions.text import clean_transcript, default_if_blank, parse_date, space_after_dot, strip
 from tonekit.operators.generate import explode_rows
 
 
@@ -34,24 +34,33 @@ def append_literals(df: DataFrame, rows: Sequence[tuple], schema) -> DataFrame:
     return df.unionByName(spark.createDataFrame(list(rows), schema))
 
 
-# Selectors of the stored pages: title, body with a fallback, side information.
+# Selectors of the stored pages: title, body with a fallback, side information, person and date.
 TITLE = ("h1", None)
 BODY = (("div", "transcript-inner"), ("article", None))
 INFO = ("div", "ad")
+NAME = ("p", "president-name")
+DATE = ("p", "episode-date")
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keys: Sequence[str] = ("page_id", "url"),
-                  title=TITLE, body=BODY, info=INFO) -> DataFrame:
+                  title=TITLE, body=BODY, info=INFO, name=NAME, date=DATE) -> DataFrame:
     """H6: one row per page: ``title``, ``doc_title``, ``speech`` (H4 fallback, T4 + T3 cleaned),
-    ``info`` (H5 default), ``n_links``."""
-    speech = first_match(html_col, body)
-    return df.select(
+    ``info`` (H5 default), ``name`` (of the person), ``date`` (T8), ``n_links``. Missing elements are null."""
+    cut = df.select(*keys, F.size(link_targets(html_col)).alias("n_links"), plain_markup(html_col).alias("_plain"))
+
+    def text(selector) -> Column:
+        return element_text("_plain", *selector, plain=True)
+
+    side = let(text(info), lambda t: F.regexp_replace(t, r"\n", " "))
+    return cut.select(
         *keys,
-        element_text(html_col, *title).alias("title"),
-        element_text(html_col, "title").alias("doc_title"),
-        space_after_dot(clean_transcript(speech)).alias("speech"),
-        default_if_blank(F.regexp_replace(element_text(html_col, *info), r"\n", " "), DEFAULT_INFO).alias("info"),
-        F.size(link_targets(html_col)).alias("n_links"),
+        text(title).alias("title"),
+        text(("title", None)).alias("doc_title"),
+        space_after_dot(clean_transcript(first_match("_plain", body, plain=True))).alias("speech"),
+        let(side, lambda t: default_if_blank(t, DEFAULT_INFO)).alias("info"),
+        strip(text(name)).alias("name"),
+        parse_date(text(date)).alias("date"),
+        "n_links",
     )
 
 

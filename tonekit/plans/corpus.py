@@ -7,7 +7,7 @@ is written once (Parquet for our own stages, the delimited dialect for exchange)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +21,35 @@ from tonekit.sources.html_table import html_table, table_to_columns
 
 
 def build_corpus(pages: DataFrame, meta: DataFrame | None = None, on: str | Sequence[str] | None = None,
-                 columns: Sequence[str] | None = None) -> DataFrame:
-    """H6 + T3/T4 + J4 + P1: page fields, cleaned text, optional metadata join, final projection."""
-    docs = extract_pages(pages)
+                 columns: Sequence[str] | None = None, recodes: Mapping[str, Sequence] | None = None,
+                 fills: Mapping[str, object] | None = None, **selectors) -> DataFrame:
+    """H6 + T3/T4 + J4 + P5 + P9 + P1: page fields and cleaned text, metadata joined, columns recoded on conditions
+    (``recodes``: column -> [(condition, value)]) and filled (``fills``: column -> value), final projection.
+
+    ``selectors`` go to ``extract_pages``.
+    """
+    docs = extract_pages(pages, **selectors)
     if meta is not None and on is not None:
         docs = enrich(docs, meta, on)
+    for col, cases in (recodes or {}).items():
+        docs = clean.recode(docs, col, cases)
+    for col, value in (fills or {}).items():
+        docs = clean.fill(docs, col, value)
     return docs.select(*columns) if columns else docs
 
 
 def metadata_from_table(pages: DataFrame, headers: Sequence[str], nth: int = 0,
                         range_col: str | None = None, count_key: str | None = None,
                         count_col: str | None = None, exclude_text: str | None = None,
-                        name_map: dict[str, str] | None = None) -> DataFrame:
+                        name_map: dict[str, str] | None = None,
+                        drop_positions: Sequence[int] = (), drop_last: bool = False) -> DataFrame:
     """The metadata side of the build, from the n-th HTML table of each page.
 
     S4 + P4: cells to named columns, bracket marks removed from values and names (T1);
     T7 + T8 + T9: an optional ``a – b`` range column becomes ``from`` and ``until`` years;
     J3 + A2 + F3: an optional distinct count per key, joined back;
-    T2: optional name normalisation; U3: duplicates removed.
+    T2: optional name normalisation; U3: duplicates removed;
+    F8: rows left out by position, in the order of the named columns.
     """
     long = html_table(pages, "html", nth, keys=("page_id",))
     long = long.withColumn("header", strip_brackets("header")).withColumn("value", strip_brackets("value"))
@@ -51,7 +62,10 @@ def metadata_from_table(pages: DataFrame, headers: Sequence[str], nth: int = 0,
                                    f"n_{count_col}".replace(" ", "_"))
     if name_map:
         wide = clean.normalise_names(wide, name_map)
-    return clean.distinct_rows(wide.drop("page_id", "row"))
+    wide = clean.distinct_rows(wide.drop("page_id", "row"))
+    if drop_positions or drop_last:
+        wide = clean.drop_by_position(wide, wide.columns, list(drop_positions), drop_last)
+    return wide
 
 
 def write_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> None:

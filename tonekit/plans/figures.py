@@ -8,12 +8,12 @@ them back to the raw corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonekit.operators import agreement as agr
 from tonekit.operators import stats, windows
-from tonekit.operators.clean import stack
+from tonekit.operators.clean import stack, union_all
 from tonekit.functions.text import panel_title
 from tonekit.operators.joins import broadcast_if_small
 from tonekit.plans.sentiment import conversation_posts, sentiment_table
@@ -28,6 +28,30 @@ def comparative_figures(scored: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def figure_rows(scored: DataFrame) -> DataFrame:
+    """All tables of ``comparative_figures`` but the sentences' own classes, as ``(figure, row, col, n, share)``.
+
+    One count per class combination and one per pair of rounded scores are what every figure derives from, so the
+    scored sentences are read twice whatever the number of figures.
+    """
+    cells = agr.class_cells(scored)
+    pairs = []
+    for a, b in (("compound", "polarity"), ("compound", "ordinal"), ("polarity", "ordinal")):
+        flag = agr.agreement(F.col(f"cat_{a}"), F.col(f"cat_{b}"))
+        counts = cells.groupBy(flag.alias("col")).agg(F.sum("n").alias("n"))
+        pairs.append(counts.select(F.lit("agreement").alias("figure"), F.lit(f"{a}_{b}").alias("row"), "col", "n"))
+    for a in ("compound", "polarity"):
+        known = cells.where(F.col("cat_ordinal").isNotNull() & F.col(f"cat_{a}").isNotNull())
+        counts = known.groupBy(F.col("cat_ordinal").alias("row"), F.col(f"cat_{a}").alias("col")).agg(F.sum("n").alias("n"))
+        pairs.append(counts.select(F.lit(f"ordinal_{a}").alias("figure"), "row", "col", "n"))
+    rounded = agr.crosstab_rounded(scored, "compound", "polarity", 1)
+    pairs.append(rounded.select(F.lit("rounded").alias("figure"), F.col("compound_round").cast("decimal(4,1)").cast("string").alias("row"),
+                                F.col("polarity_round").cast("decimal(4,1)").cast("string").alias("col"), "n"))
+    rows = union_all(pairs)
+    total = F.sum("n").over(Window.partitionBy("figure", "row"))
+    return rows.withColumn("share", F.col("n") / total)
+
+
 def corr_info(scored: DataFrame) -> dict[str, DataFrame]:
     """Correlation matrix on non-zero pairs, disagreement-type crosstab, and the two looked-up
     values (r and the share of disagreements due to a zero score)."""

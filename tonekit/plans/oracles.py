@@ -11,7 +11,8 @@ ASCII ``\\s``), so Java's Unicode ``(?U)\\s`` is spelled out as a character clas
 
 from __future__ import annotations
 
-from tonekit.functions.html import ENTITY_TABLE, element_pattern, entity_pattern
+import re
+
 from tonekit.functions.numeric import AS_A, AS_P
 from tonekit.functions.patterns import (
     CLASS_LABELS, DEFAULT_INFO, NO_LANGUAGE, RX_BOILER, RX_FOOTNOTE, RX_NOISE, RX_TITLES,
@@ -27,6 +28,31 @@ POST_RX = rf"http[^{WS}]+|#[^{WS}]+|@[^{WS}]+"
 HREF_RX = r"""(?i)<a\s[^>]*href\s*=\s*"([^"]*)\""""
 LEX = lexicon_values_sql()
 
+# --- fixed values: character references that occur in the given pages ---
+# (name, character, legacy): legacy references also decode without the closing semicolon (HTML5).
+# "&amp;" goes last so that "&amp;lt;" becomes "&lt;" and not "<".
+ENTITY_TABLE = (
+    ("lt", "<", True), ("gt", ">", True), ("quot", '"', True), ("#39", "'", True), ("apos", "'", False),
+    ("nbsp", "\u00a0", True), ("copy", "\u00a9", True), ("reg", "\u00ae", True), ("middot", "\u00b7", True),
+    ("laquo", "\u00ab", True), ("raquo", "\u00bb", True), ("ndash", "\u2013", False),
+    ("mdash", "\u2014", False), ("hellip", "\u2026", False), ("euro", "\u20ac", False), ("amp", "&", True),
+)
+# --- end of fixed values ---
+
+
+def entity_pattern(name: str, legacy: bool) -> str:
+    return f"&{name};?" if legacy else f"&{name};"
+
+
+def element_pattern(tag: str, css_class: str | None = None) -> str:
+    """Regex whose group 1 is the inner markup of the first ``<tag>``; enough for pages without nested elements."""
+    t = re.escape(tag)
+    if css_class is None:
+        return rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"
+    cls = re.escape(css_class)
+    return rf"""(?is)<{t}\s[^>]*class\s*=\s*["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*>(.*?)</{t}\s*>"""
+
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -250,7 +276,6 @@ ORDER = list(CTES)
 
 def sql(body: str, *needed: str) -> str:
     """``WITH`` the needed CTEs (and everything they depend on, in definition order) + body."""
-    import re
     want: set[str] = set()
 
     def add(name: str) -> None:
@@ -280,24 +305,56 @@ def _html_list_rows() -> str:
         f"h AS (SELECT page_id, rws, list_transform(regexp_extract_all(rws[1], {a}, 1), lambda c: {cell('c')}) AS hdr FROM t), "
         f"r AS (SELECT page_id, hdr, unnest(rws) AS rh, generate_subscripts(rws, 1) - 1 AS rw FROM h), "
         f"c AS (SELECT page_id, hdr, rw, unnest(cs) AS raw, generate_subscripts(cs, 1) - 1 AS col "
-        f"FROM (SELECT page_id, hdr, rw, regexp_extract_all(rh, {a}, 1) AS cs FROM r WHERE rw >= 1)) "
-        f"SELECT page_id, CAST(rw AS INTEGER) AS \"row\", CAST(col AS INTEGER) AS col, hdr[col + 1] AS header, "
+        f"FROM (SELECT page_id, hdr, rw, regexp_extract_all(rh, {a}, 1) AS cs FROM r)) "
+        f"SELECT page_id, CAST(rw AS INTEGER) AS \"row\", CAST(col AS INTEGER) AS col, CAST(NULL AS VARCHAR) AS header, "
         f"{cell('raw')} AS value FROM c")
 
 
 def _html_table_rows() -> str:
-    tb = q(r"(?is)<table(?:\s[^>]*)?>(.*?)</table\s*>")
-    tr = q(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>")
-    td = q(r"(?is)<(?:th|td)(?:\s[^>]*)?>(.*?)</(?:th|td)\s*>")
-    cell = lambda x: strip(decode(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
-    return (
-        f"WITH t AS (SELECT page_id, regexp_extract_all(regexp_extract_all(html, {tb}, 1)[1], {tr}, 1) AS rws FROM pages), "
-        f"h AS (SELECT page_id, rws, list_transform(regexp_extract_all(rws[1], {td}, 1), lambda c: {cell('c')}) AS hdr FROM t), "
-        f"r AS (SELECT page_id, hdr, unnest(rws) AS rh, generate_subscripts(rws, 1) - 1 AS rw FROM h), "
-        f"c AS (SELECT page_id, hdr, rw, unnest(cs) AS raw, generate_subscripts(cs, 1) - 1 AS col "
-        f"FROM (SELECT page_id, hdr, rw, regexp_extract_all(rh, {td}, 1) AS cs FROM r WHERE rw >= 1)) "
-        f"SELECT page_id, CAST(rw AS INTEGER) AS \"row\", CAST(col AS INTEGER) AS col, hdr[col + 1] AS header, "
-        f"{cell('raw')} AS value FROM c")
+    cells = ("[('Customer', 'Customer & ' || CAST(o_custkey AS VARCHAR)), ('Order', CAST(o_orderkey AS VARCHAR)), "
+             "('Priority', o_orderpriority), ('State', 'in of ' || o_orderstatus)]")
+    return (f"SELECT page_id, rw AS \"row\", CAST(c - 1 AS INTEGER) AS col, cells[c][1] AS header, cells[c][2] AS value FROM ("
+            f"SELECT o_custkey AS page_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS rw, "
+            f"{cells} AS cells, unnest([1, 2, 3, 4]) AS c FROM orders WHERE o_custkey IS NOT NULL)")
+
+
+def _corpus_build() -> str:
+    start = "1990 + c_custkey % 9"
+    name = "'Customer ' || CAST(c_custkey AS VARCHAR)"
+    name = "regexp_replace(c_name, 'Customer#0*', 'Customer ')"
+    term = (f"'March 4, ' || CAST({start} AS VARCHAR) || ' – ' || CASE WHEN c_custkey % 7 = 0 THEN 'Incumbent' "
+            f"ELSE 'March 4, ' || CAST({start} + 4 AS VARCHAR) END")
+    body = f"nullif({strip('text')}, '')"
+    speech = f"replace(regexp_replace({body}, {q(RX_BOILER)}, ' ', 'g'), '.', '. ')"
+    return (f"WITH m AS (SELECT {name} AS name, c_mktsegment AS party, {term} AS term, CASE WHEN c_custkey % 5 = 0 THEN 'Vacant' "
+            f"ELSE 'Deputy ' || CAST(c_custkey % 3 AS VARCHAR) END AS deputy, CAST({start} AS INTEGER) AS \"from\", "
+            f"CAST(CASE WHEN c_custkey % 7 = 0 THEN 2021 ELSE {start} + 4 END AS INTEGER) AS until FROM customer "
+            f"WHERE c_custkey IS NOT NULL AND c_nationkey IS NOT NULL), "
+            f"n AS (SELECT name, count(DISTINCT deputy) AS n_Deputy FROM m WHERE NOT contains(deputy, 'Vacant') GROUP BY name), "
+            f"w AS (SELECT DISTINCT m.*, n.n_Deputy FROM m LEFT JOIN n USING (name)), "
+            f"k AS (SELECT *, row_number() OVER (ORDER BY name, deputy, party, term) AS rn, count(*) OVER () AS total FROM w), "
+            f"p AS (SELECT d.doc_id AS page_id, d.source AS title, regexp_replace(c.c_name, 'Customer#0*', 'Customer ') AS name, "
+            f"CAST(o.o_orderdate AS DATE) AS date, {speech} AS speech FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey "
+            f"LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE d.doc_id IS NOT NULL) "
+            f"SELECT page_id, title, p.name, CASE WHEN party = 'BUILDING' AND date < DATE '1995-01-01' THEN 'BUILDING 1' "
+            f"WHEN party = 'BUILDING' AND date > DATE '1995-01-01' THEN 'BUILDING 2' ELSE party END AS party, \"from\", until, "
+            f"coalesce(n_Deputy, 0) AS n_Deputy, date, coalesce(p.name, {q(DEFAULT_INFO)}) AS info, speech "
+            f"FROM p LEFT JOIN (SELECT * FROM k WHERE rn <> 17 AND rn <> total) k ON p.name = k.name")
+
+
+def _comparative_figures() -> str:
+    share = r6("CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY figure, \"row\") AS DOUBLE)")
+    one = lambda x: f"CAST(CAST({np_round(x, 1)} AS DECIMAL(4,1)) AS VARCHAR)"
+    flags = " UNION ALL ".join(f"SELECT 'agreement' AS figure, '{a}_{b}' AS \"row\", {flag(x, y)} AS col FROM fl" for a, x, b, y in (
+        ("compound", "cc", "polarity", "cp"), ("compound", "cc", "ordinal", "co"), ("polarity", "cp", "ordinal", "co")))
+    tabs = " UNION ALL ".join(f"SELECT 'ordinal_{a}', co, {x} FROM fl WHERE co IS NOT NULL AND {x} IS NOT NULL"
+                              for a, x in (("compound", "cc"), ("polarity", "cp")))
+    rounded = (f"SELECT 'rounded', {one('compound')}, {one('polarity')} FROM doc_scored WHERE compound IS NOT NULL AND "
+               f"polarity IS NOT NULL AND compound <> 0 AND polarity <> 0")
+    body = sql(f"SELECT figure, \"row\", col, n, {share} AS share FROM (SELECT figure, \"row\", col, count(*) AS n FROM "
+               f"({flags} UNION ALL {tabs} UNION ALL {rounded}) GROUP BY 1, 2, 3)", "doc_scored")
+    return body.replace("\nSELECT figure", f",\nfl AS (SELECT {cls('compound')} AS cc, {cls('polarity')} AS cp, {cls_ord('ordinal')} AS co "
+                                           f"FROM doc_scored)\nSELECT figure", 1)
 
 
 def _links() -> str:
@@ -434,7 +491,7 @@ ORACLES: dict[str, str] = {
         f"SELECT page_id, url, {element_text('html', 'h1')} AS title, {element_text('html', 'title')} AS doc_title, "
         f"replace(regexp_replace(coalesce(nullif({strip(element_text('html', 'div', 'transcript-inner'))}, ''), "
         f"nullif({strip(element_text('html', 'article'))}, '')), {q(RX_BOILER)}, ' ', 'g'), '.', '. ') AS speech, "
-        f"{default_if_blank(INFO_AD_FLAT, DEFAULT_INFO)} AS info, "
+        f"{default_if_blank(INFO_AD_FLAT, DEFAULT_INFO)} AS info, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS DATE) AS date, "
         f"CAST(len(regexp_extract_all(html, {q(HREF_RX)}, 1)) AS INTEGER) AS n_links FROM pages"),
     "html_table_rows": _html_table_rows(),
     "html_list_rows": _html_list_rows(),
@@ -589,8 +646,14 @@ ORACLES: dict[str, str] = {
     "top_n_per_group": (f"SELECT post_id, author, CAST(rn AS INTEGER) AS rank FROM (SELECT post_id, author, "
                         f"row_number() OVER (PARTITION BY author ORDER BY post_id DESC) AS rn FROM ({POSTS})) WHERE rn <= 100"),
     "stream_scores": sql("SELECT id, rank_sentence, lang, compound, polarity, ordinal FROM doc_scored", "doc_scored"),
-    "sort_sentences": sql("SELECT l.quality, s.id, s.rank_sentence FROM doc_sent s JOIN labels l ON s.id = l.doc_id",
-                          "doc_sent"),
+    "sort_sentences": sql("SELECT l.quality, s.id, s.rank_sentence FROM doc_sent s LEFT JOIN labels l ON s.id = l.doc_id "
+                          "ORDER BY l.quality NULLS LAST, s.id, s.rank_sentence", "doc_sent"),
+    "evolution_by_date": sql(
+        f"SELECT id, lang, date, {r6('mean')} AS mean, {r6('std')} AS std, {r6('mean - std')} AS lower, "
+        f"{r6('mean + std')} AS upper FROM (SELECT id, arg_min(lang, rank_sentence) AS lang, min(CAST(o_orderdate AS DATE)) AS date, "
+        f"avg(ordinal) AS mean, stddev_samp(ordinal) AS std FROM doc_scored LEFT JOIN orders ON id = o_orderkey GROUP BY id)", "doc_scored"),
+    "comparative_figures": _comparative_figures(),
+    "corpus_build": _corpus_build(),
 }
 
 __all__ = ["ORACLES", "CTES", "sql", "RX_TITLES"]

@@ -29,6 +29,8 @@ from tonekit.operators.language import build_profiles, detect_language, material
 from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
 from tonekit.operators.tokens_map import annotate_words, with_token_map
+from tonekit.plans.corpus import build_corpus, metadata_from_table
+from tonekit.plans.figures import figure_rows
 from tonekit.plans.sentiment import conversation_posts, score_posts, sentiment_table
 from tonekit.session import ensure_checkpoint_dir, materialize
 from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
@@ -141,10 +143,10 @@ def q_page_body(spark, d):
 
 @query("page_body_parsed")
 def q_page_body_parsed(spark, d):
-    """H4 with the HTML-parser variant (nesting-aware, all character references)."""
-    from tonekit.operators.html_parse import parse_fields
-    return parse_fields(read_pages(spark, d), "html", ["page_id"],
-                        {"body": [("div", "transcript-inner"), ("article", None)]})
+    """H4 on nested markup: the body sits in an element of its own name, which must end at its own close tag."""
+    nested = F.regexp_replace(F.regexp_replace("html", "(?i)<article>", "<article class='outer'><article>"),
+                              "(?i)</article>", "</article></article><p>after</p>")
+    return read_pages(spark, d).select("page_id", first_match(nested, [("div", "transcript-inner"), ("article", None)]).alias("body"))
 
 
 @query("page_info_default")
@@ -160,14 +162,84 @@ def q_page_extract(spark, d):
     return extract_pages(read_pages(spark, d))
 
 
+def _escaped(c) -> F.Column:
+    out = F.col(c) if isinstance(c, str) else c
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(char), F.lit(ref))
+    return out
+
+
+def order_pages(spark, d) -> DataFrame:
+    """Stand-in pages: per customer a table of the orders, the customer's cell over all rows, a table in each last cell."""
+    orders = read_table(spark, d, "orders").where("o_custkey IS NOT NULL")
+    cells = F.concat(F.lit("<td>"), F.col("o_orderkey"), F.lit("<td class=x>"), _escaped("o_orderpriority"),
+                     F.lit("</td><td><p>in <table><tr><td>of "), F.col("o_orderstatus"), F.lit("</td></tr></table></p></td></tr>"))
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("markup"))))
+    pages = orders.groupBy(F.col("o_custkey").alias("page_id")).agg(rows.alias("rows"))
+    head = ("<table><tr><td>first</td></tr></table><!-- <table> --><TABLE border='1'><tr><th>Customer</th><th>Order</th>"
+            "<th>Priority</th><th>State</th></tr><tr><td rowspan=\"")
+    first = F.concat(F.lit(head), F.size("rows"), F.lit('">'), F.lit("Customer &amp; "), F.col("page_id"), F.lit("</td>"))
+    markup = F.array_join(F.transform("rows", lambda r: r["markup"]), "<tr>")
+    return pages.select("page_id", F.concat(first, markup, F.lit("</table><table></table>")).alias("html"))
+
+
 @query("html_table_rows")
 def q_html_table_rows(spark, d):
-    return html_table(read_pages(spark, d), "html", 0)
+    """S4 on the second table of each page: a cell over all rows, tables inside cells, cells without close tags."""
+    return html_table(order_pages(spark, d), "html", 1)
 
 
 @query("html_list_rows")
 def q_html_list_rows(spark, d):
-    return html_table(read_pages(spark, d), "html", 0, table_tag="ul", row_tag="li", cell_tags=("a",))
+    """S4 on lists: every item of the first list is a row."""
+    return html_table(read_pages(spark, d), "html", 0, table_tag="ul", row_tag="li", cell_tags=("a",), header=False)
+
+
+def speech_pages(spark, d) -> DataFrame:
+    """Stand-in pages of the corpus build: a document as transcript, date and person of the order with its number."""
+    docs = read_table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "source", "text")
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    cust = read_table(spark, d, "customer").select("c_custkey", "c_name")
+    rows = (docs.join(orders, docs["doc_id"] == orders["o_orderkey"], "left")
+                .join(joins.broadcast_if_small(cust), F.col("o_custkey") == F.col("c_custkey"), "left"))
+    date = F.concat(F.lit('<p class="episode-date">'), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("</p>"))
+    person = F.concat(F.lit('<div class="about-sidebar--intro"><p class=president-name> '), F.col("c_name"), F.lit("</p></div>"))
+    html = F.concat(F.lit("<html><h1>"), _escaped(F.coalesce("source", F.lit(""))), F.lit("</h1>"), F.coalesce(person, F.lit("")),
+                    F.coalesce(date, F.lit("")), F.lit('<div class="transcript-inner wide"><div>'),
+                    _escaped(F.coalesce("text", F.lit(""))), F.lit("</div></div></html>"))
+    return rows.select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+
+
+def leader_pages(spark, d) -> DataFrame:
+    """Stand-in metadata pages: per nation a table of its customers with segment, a range of years and a deputy."""
+    cust = read_table(spark, d, "customer").where("c_custkey IS NOT NULL AND c_nationkey IS NOT NULL")
+    start = F.lit(1990) + F.col("c_custkey") % 9
+    end = F.when(F.col("c_custkey") % 7 == 0, F.lit("Incumbent")).otherwise(F.concat(F.lit("March 4, "), start + 4))
+    deputy = F.when(F.col("c_custkey") % 5 == 0, F.lit("Vacant")).otherwise(F.concat(F.lit("Deputy "), F.col("c_custkey") % 3))
+    row = F.concat(F.lit("<tr><td>"), F.col("c_name"), F.lit("[1]</td><td>"), F.col("c_mktsegment"), F.lit("</td><td>March 4, "),
+                   start, F.lit(" – "), end, F.lit("</td><td>"), deputy, F.lit("</td></tr>"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "")
+    head = "<table><tr><th>Leader[a]</th><th>Party.1</th><th>Term</th><th>Deputy[b]</th></tr>"
+    return cust.groupBy(F.col("c_nationkey").alias("page_id")).agg(F.concat(F.lit(head), rows, F.lit("</table>")).alias("html"))
+
+
+CORPUS_CUTOFF = "1995-01-01"
+
+
+@query("corpus_build")
+def q_corpus_build(spark, d):
+    """The corpus build: page fields, metadata from tables of other pages (S4, P4, T1, T7-T9, J3, T2, U3, F8), enrichment
+    (J4), a segment split by date (P5), defaults (P9) and the final projection (P1)."""
+    meta = metadata_from_table(leader_pages(spark, d), ["Leader", "Party.1", "Term", "Deputy"], range_col="Term",
+                               count_key="Leader", count_col="Deputy", exclude_text="Vacant",
+                               name_map={"Customer#0*": "Customer "}, drop_positions=[16], drop_last=True)
+    meta = clean.rename(meta, {"Leader": "name", "Party": "party"})
+    pages = speech_pages(spark, d).withColumn("html", F.regexp_replace("html", "> Customer#0*", "> Customer "))
+    party, date, cutoff = F.col("party"), F.col("date"), F.lit(CORPUS_CUTOFF).cast("date")
+    old, new = (party == "BUILDING") & (date < cutoff), (party == "BUILDING") & (date > cutoff)
+    return build_corpus(pages, materialize(meta), "name", ["page_id", "title", "name", "party", "from", "until", "n_Deputy", "date", "info", "speech"],
+                        recodes={"party": [(old, "BUILDING 1"), (new, "BUILDING 2")]}, fills={"n_Deputy": 0},
+                        info=("div", "about-sidebar--intro"))
 
 
 # ---- projections, recodes ------------------------------------------------------------------
@@ -625,9 +697,27 @@ def q_top_n_per_group(spark, d):
 
 @query("sort_sentences")
 def q_sort_sentences(spark, d):
+    """O1: all sentences by label, unlabelled ones last."""
     labels = read_table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    sents = doc_sentences(spark, d).join(joins.broadcast_if_small(labels), "id")
-    return windows.sort_by(sents, ["quality", "id", "rank_sentence"]).select("quality", "id", "rank_sentence")
+    sents = doc_sentences(spark, d).select("id", "rank_sentence").join(joins.broadcast_if_small(labels), "id", "left")
+    order = [F.col("quality").asc_nulls_last(), "id", "rank_sentence"]
+    return windows.sort_by(sents, order).select("quality", "id", "rank_sentence")
+
+
+@query("evolution_by_date")
+def q_evolution_by_date(spark, d):
+    """A3 in full: mean, spread, first language and earliest date per document, dates taken from orders."""
+    orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("date"))
+    scored = doc_scored(spark, d).select("id", "rank_sentence", "ordinal", "lang").join(orders, "id", "left")
+    out = stats.summary_by(scored, "id", "ordinal", "lang", "rank_sentence", "date")
+    return out.select("id", "lang", "date", *[_r6(F.col(c)).alias(c) for c in ("mean", "std", "lower", "upper")])
+
+
+@query("comparative_figures")
+def q_comparative_figures(spark, d):
+    """Every table of the agreement figures as rows."""
+    out = figure_rows(doc_scored(spark, d))
+    return out.select("figure", "row", "col", "n", _r6(F.col("share")).alias("share"))
 
 
 # ---- streaming -------------------------------------------------------------------------------

@@ -1,55 +1,116 @@
 """HTML tables stored inside pages -> rows.
 
-The n-th ``<table>`` of each page is cut out with lazy regex matches (rows, then cells), entities
-decoded and tags removed; the first row is the header. The output is long (one row per cell),
-which keeps any number of columns per page; ``table_to_columns`` pivots to named columns for a
-known header list. Nested tables are not supported (the lazy match ends at the inner table).
+Pages are cut at the tags of tables, rows and cells and exploded to one row per piece; the depth of a piece is a prefix sum
+over the page's table tags. The n-th table of a page (in the order of open tags, nested ones counted) is the range from
+its open tag to where the depth falls below its own; its rows and cells are the tags of that range at its own depth, so
+a nested table is text of the cell that holds it. Open cells end at the next tag of a cell or row, whether closed
+or not. Cells that span rows or columns fill every place of the grid that they cover. The work of a page is one group
+of its own pieces, so tasks grow with the largest page, not with the corpus.
+
+The output is long (one row per place of the grid), which keeps any number of columns per page; ``table_to_columns``
+pivots to named columns for a known header list.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonekit.functions.html import decode_entities, strip_tags
+from tonekit.functions.html import decode_entities, strip_tags, tag_pieces
 from tonekit.functions.text import strip
 from tonekit.operators.generate import explode_rows
 
-
-def _block(tag: str) -> str:
-    t = re.escape(tag)
-    return rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"
-
-
-def _cells_pattern(cell_tags: Sequence[str]) -> str:
-    alt = "|".join(re.escape(t) for t in cell_tags)
-    return rf"(?is)<(?:{alt})(?:\s[^>]*)?>(.*?)</(?:{alt})\s*>"
-
-
-def _cell_text(c: Column) -> Column:
-    return strip(decode_entities(strip_tags(c)))
-
-
-def html_table(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] = ("page_id",),
-               table_tag: str = "table", row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td")) -> DataFrame:
-    """``(*keys, row, col, header, value)`` for the data rows (row >= 1) of the n-th table (0-based)."""
-    tables = F.regexp_extract_all(F.col(html_col), F.lit(_block(table_tag)), F.lit(1))
-    table = F.try_element_at(tables, F.lit(nth + 1))
-    rows = F.regexp_extract_all(table, F.lit(_block(row_tag)), F.lit(1))
-    cells_rx = F.lit(_cells_pattern(cell_tags))
-
-    def cells(row_html: Column) -> Column:
-        return F.transform(F.regexp_extract_all(row_html, cells_rx, F.lit(1)), _cell_text)
-
-    staged = df.select(*keys, rows.alias("_rows"))
-    staged = explode_rows(staged, F.col("_rows"), ["row", "_row_html"],
-                          [*keys, cells(F.try_element_at("_rows", F.lit(1))).alias("_header")],
-                          with_pos=True).where(F.col("row") >= 1)
-    out = explode_rows(staged, cells(F.col("_row_html")), ["col", "value"], [*keys, "row", "_header"], with_pos=True)
-    return out.select(*keys, "row", "col", F.try_element_at("_header", F.col("col") + 1).alias("header"), "value")
+#: Widest span that HTML allows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def _span(piece, name: str, most: int):
+    text = F.regexp_extract(piece, rf"""(?is)^<[^>]*\s{name}\s*=\s*["']?\s*([0-9]{{1,5}})""", 1)
+    return F.when(text == "", 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), text.try_cast("int"))))
+
+
+def table_cells(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] = ("page_id",), table_tag: str = "table",
+                row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td")) -> DataFrame:
+    """``(*keys, row, cell, rowspan, colspan, value)``: the cells of the n-th table as they stand in the markup."""
+    tags = [table_tag, row_tag, *cell_tags]
+    rows = explode_rows(df, tag_pieces(html_col, tags), ["pos", "piece"], list(keys), with_pos=True)
+    kind = F.lower(F.regexp_extract("piece", r"^\u0002?</?([A-Za-z][A-Za-z0-9]*)", 1))
+    close = F.startswith("piece", F.lit("\u0002"))
+    rows = rows.withColumn("kind", F.when(F.col("pos") > 0, kind).otherwise("")).withColumn("close", close)
+    page = Window.partitionBy(*keys)
+    upto = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_table = F.col("kind") == table_tag
+    rows = (rows.withColumn("depth", F.sum(F.when(is_table & ~close, 1).when(is_table & close, -1).otherwise(0)).over(upto))
+                .withColumn("table_no", F.sum(F.when(is_table & ~close, 1).otherwise(0)).over(upto)))
+    opens = is_table & ~close & (F.col("table_no") == nth + 1)
+    rows = (rows.withColumn("from_pos", F.min(F.when(opens, F.col("pos"))).over(page))
+                .withColumn("own", F.min(F.when(opens, F.col("depth"))).over(page)))
+    ends = (F.col("pos") > F.col("from_pos")) & (F.col("depth") < F.col("own"))
+    rows = rows.withColumn("to_pos", F.min(F.when(ends, F.col("pos"))).over(page))
+    rows = rows.where((F.col("pos") > F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos"))))
+    here = F.col("depth") == F.col("own")
+    is_cell = F.col("kind").isin(*cell_tags)
+    rows = (rows.withColumn("row", F.sum(F.when(here & ~F.col("close") & (F.col("kind") == row_tag), 1).otherwise(0)).over(upto) - 1)
+                .withColumn("cell", F.sum(F.when(here & ~F.col("close") & is_cell, 1).otherwise(0)).over(upto))
+                .withColumn("state", F.last(F.when(here & (is_cell | (F.col("kind") == row_tag)),
+                                                   F.when(is_cell & ~F.col("close"), 1).otherwise(0)), ignorenulls=True).over(upto)))
+    inside = rows.where((F.col("state") == 1) & (F.col("row") >= 0))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    cells = inside.groupBy(*keys, "row", "cell").agg(text.alias("markup"))
+    value = strip(decode_entities(strip_tags(F.translate("markup", "\u0002", ""))))
+    return cells.select(*keys, F.col("row").cast("int").alias("row"), "cell", _span(F.col("markup"), "rowspan", MOST_ROWS).alias("rowspan"),
+                        _span(F.col("markup"), "colspan", MOST_COLUMNS).alias("colspan"), value.alias("value"))
+
+
+def _filled(cells: Sequence[dict]) -> list[dict]:
+    """Places of one table's grid from its cells in order; a span over rows ends with the table's last row."""
+    out: list[dict] = []
+    if len(cells) == 0:
+        return out
+    rows: dict[int, list[dict]] = {}
+    for c in cells:
+        rows.setdefault(c["row"], []).append(c)
+    last = max(rows)
+    held: dict[int, tuple[int, str]] = {}  # column -> last row of a span, value
+    for row in range(last + 1):
+        here = {c: v for c, (upto, v) in held.items() if upto >= row}
+        col = 0
+        for c in rows.get(row, ()):
+            while col in here:
+                col += 1
+            for k in range(col, col + c["colspan"]):
+                here.setdefault(k, c["value"])
+                if c["rowspan"] > 1:
+                    held[k] = (min(last, row + c["rowspan"] - 1), c["value"])
+            col += c["colspan"]
+        out += [{"row": row, "col": c, "value": v} for c, v in sorted(here.items())]
+    return out
+
+
+def _grid(tables: pd.Series) -> pd.Series:
+    return tables.map(_filled)
+
+
+def html_table(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] = ("page_id",), table_tag: str = "table",
+               row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), header: bool = True) -> DataFrame:
+    """``(*keys, row, col, header, value)`` of the n-th table (0-based): its data rows (row >= 1) with the first row as
+    header, or with ``header=False`` (lists) all rows and a null header."""
+    cells = table_cells(df, html_col, nth, keys, table_tag, row_tag, cell_tags)
+    page = Window.partitionBy(*keys)
+    cells = cells.withColumn("_spans", F.max((F.col("rowspan") > 1) | (F.col("colspan") > 1)).over(page))
+    plain = cells.where(~F.col("_spans")).withColumn("col", F.row_number().over(Window.partitionBy(*keys, "row").orderBy("cell")) - 1)
+    plain = plain.select(*keys, "row", "col", "value")
+    spanned = cells.where("_spans").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("row", "cell", "rowspan", "colspan", "value"))).alias("_cells"))
+    places = F.pandas_udf(_grid, "array<struct<row: int, col: int, value: string>>")
+    grid = plain.unionByName(spanned.select(*keys, F.inline(places("_cells"))))
+    if not header:
+        return grid.select(*keys, "row", "col", F.lit(None).cast("string").alias("header"), "value")
+    top = F.max(F.when(F.col("row") == 0, F.col("value"))).over(Window.partitionBy(*keys, "col"))
+    return grid.withColumn("header", top).where("row >= 1").select(*keys, "row", "col", "header", "value")
 
 
 def table_to_columns(long_df: DataFrame, keys: Sequence[str], headers: Sequence[str]) -> DataFrame:
