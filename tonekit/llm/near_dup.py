@@ -17,9 +17,10 @@ Candidates without all pairs of a bucket:
 2. Stars again, in all buckets that still hold more than one component: a class meets its bucket's
    centre, and a class chosen by a hash that differs from band to band, where they are in
    different components. Verified links join components.
-3. What is left are pairs across components of a bucket. Their registers are compared block by block inside
-   tasks, with no cap; only plausible pairs leave a task, each in the first band that it shares. A bucket of
-   any size spreads over cells of two blocks.
+3. What is left are pairs across components of a bucket. Classes come with their texts to cells of two blocks,
+   bounded in classes and in shingles, so a bucket of any size spreads over tasks. A cell compares registers,
+   then the full sets of plausible pairs (each in the first band that it shares), with no cap; pairs that links of the
+   cell have joined meanwhile need no test. Only those links leave it: a spanning forest, never more than its classes.
 
 Before a pair's sets are read, the registers are compared jointly: numbers of larger, smaller and equal
 registers give the likelihood of every similarity. A pair goes on unless 0.75 and all above are
@@ -45,9 +46,9 @@ WORDS, PER_CENT = 5, 75
 M, BANDS, ROWS = 256, 32, 4
 B, A = 1.001, 20.0
 DOUBT = 10.0
-#: Rows of a few numbers up to which a stored table is broadcast; partners of a class per task; classes
-#: of a bucket that make a block.
-FEW_ROWS, MEMBERS, BLOCK = 500_000, 500, 1024
+#: Rows of a few numbers up to which a stored table is broadcast; partners of a class per task; classes and
+#: shingles of a bucket that make a block.
+FEW_ROWS, MEMBERS, BLOCK, BLOCK_SHINGLES = 500_000, 500, 1024, 1 << 21
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 _RNG = np.random.default_rng(20240229)
@@ -263,28 +264,65 @@ def _pairs_of_cell(band: int, one: tuple, two: tuple | None):
             yield np.minimum(a, b), np.maximum(a, b)
 
 
-def _across(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Plausible pairs ``a < b`` of classes of different components that share a bucket, each once.
+def _alike(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets are linked: 100 x common >= 75 x all."""
+    at = np.minimum(np.searchsorted(one, two), len(one) - 1)
+    common = int((one[at] == two).sum())
+    return 100 * common >= PER_CENT * (len(one) + len(two) - common)
 
-    The classes of a bucket are dealt into blocks of about ``BLOCK``; each pair of blocks is a cell, which
-    one task compares: no task holds more than two blocks, and only plausible pairs become rows.
+
+def _forest_of_cell(band: int, one: tuple, two: tuple | None, texts: dict[int, bytes], comps: dict[int, int]):
+    """``a, b``: verified links between the cell's classes that join components, none within one."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in above:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingles(np.frombuffer(texts[x], dtype=np.uint8))
+        return sets[x]
+
+    for a, b in _pairs_of_cell(band, one, two):
+        for x, y in zip(a.tolist(), b.tolist()):
+            u, v = root(comps[x]), root(comps[y])
+            if u != v and _alike(set_of(x), set_of(y)):
+                above[max(u, v)] = min(u, v)
+                yield x, y
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` that join components of classes which share a bucket: a forest for each cell.
+
+    The classes of a bucket are dealt into blocks of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles; each
+    pair of blocks is a cell, which one task compares, so no task holds more than two blocks.
     """
-    blocks = open_.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = (open_.select("band", "key", "class", "comp").join(blocks, ["band", "key"])
+    sized = open_.select("band", "key", "class", "comp").join(
+        classes.select("class", F.col("n_shingles").cast("double").alias("n"), "registers"), "class").join(texts, "class")
+    blocks = open_.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    rows = (sized.join(staged(blocks, "blocks"), ["band", "key"])
                  .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    rows = rows.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                       "block", "class", "comp")
     cell = ["band", "key", "low", "high"]
-    rows = rows.join(classes.select("class", F.col("n_shingles").cast("double").alias("n"), "registers"), "class")
-    rows = rows.select(*cell, "block", "class", "comp", "n", "registers").repartition(*cell).sortWithinPartitions(*cell, "block")
+    rows = rows.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "block", "class", "comp", "n", "registers", "text")
+    rows = rows.repartition(*cell).sortWithinPartitions(*cell, "block")
 
     def compared(parts):
         band, _, low, high = parts[0][0]
         block, ids, comps, n = (np.concatenate([p[1][k] for p in parts]) for k in range(4))
         registers = np.frombuffer(b"".join(r for p in parts for r in p[2]), dtype="<u2").reshape(-1, M)
         one, two = ((ids[own], comps[own], n[own], registers[own]) for own in (block == low, block == high))
-        yield from _pairs_of_cell(band, one, None if low == high else two)
+        held = dict(zip(ids.tolist(), (t for p in parts for t in p[3])))
+        links = list(_forest_of_cell(band, one, None if low == high else two, held, dict(zip(ids.tolist(), comps.tolist()))))
+        a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     def run(batches):
         parts = []
@@ -294,17 +332,16 @@ def _across(open_: DataFrame, classes: DataFrame) -> DataFrame:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
             numbers = [batch.column(c).to_numpy() for c in range(4, 8)]
-            registers = batch.column(8).to_pylist()
             for x, y in zip(cuts, cuts[1:]):
                 key = tuple(keys[x].tolist())
                 if parts and parts[0][0] != key:
-                    for a, b in compared(parts):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield compared(parts)
                     parts = []
-                parts.append((key, [c[x:y] for c in numbers], registers[x:y]))
+                part = batch.slice(x, y - x)
+                raw = part.column(9).cast(pa.large_binary()).to_pylist()
+                parts.append((key, [c[x:y] for c in numbers], part.column(8).to_pylist(), raw))
         if parts:
-            for a, b in compared(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield compared(parts)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -334,9 +371,7 @@ def _linked(tried: DataFrame, texts: DataFrame, name: str) -> DataFrame:
                         key, first = (x, salt), own
                         continue
                     assert key == (x, salt), "a pair's first text is missing"
-                    at = np.minimum(np.searchsorted(first, own), len(first) - 1)
-                    common = int((first[at] == own).sum())
-                    if 100 * common >= PER_CENT * (len(first) + len(own) - common):
+                    if _alike(first, own):
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -406,7 +441,7 @@ def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataF
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tested = pairs.select(*ordered).distinct()
 
-    # Stars with the other centres, then all pairs across components that a bucket still holds.
+    # Stars with the other centres, then what a bucket still holds of pairs across components.
     for step in (2, 3):
         known = _with_comp(buckets, comps, "class", "comp")
         mixed = known.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
@@ -418,21 +453,33 @@ def class_links(classes: DataFrame, source: DataFrame) -> tuple[DataFrame, DataF
             rows = _with_comp(spokes.where("class <> centre").distinct(), comps, "centre", "centre_comp").where("comp <> centre_comp")
             new = rows.select(F.col("centre").alias("a"), F.col("class").alias("b")).select(*ordered).distinct()
             new = staged(new.join(tested, ["a", "b"], "left_anti"), "pairs2")
-            tested = tested.union(new)
-            new = staged(_plausible(new, classes), "plausible2")
+            found = _linked(staged(_plausible(new, classes), "plausible2"), texts, "2")
         else:
-            new = staged(_across(open_, classes).join(tested, ["a", "b"], "left_anti"), "pairs3")
-        found = _linked(new, texts, str(step))
+            found = staged(_across(open_, classes, texts), "links3")
         if not found.isEmpty():
             links = links.union(found)
             comps = staged(components(links), f"components{step}")
     return comps, links
 
 
+def _named(sets: DataFrame) -> DataFrame:
+    """``sets`` with a name of its own for each fingerprint: where two have the same 64-bit name, both get another."""
+    turn = 0
+    while True:
+        clash = (sets.where("class IS NOT NULL").groupBy("class").agg(F.min("print").alias("low"), F.max("print").alias("high"))
+                     .where("low <> high").select("class", F.lit(True).alias("again")))
+        if clash.isEmpty():
+            return sets.drop("print")
+        turn += 1
+        other = F.xxhash64("print", F.lit(turn))
+        sets = staged(sets.join(clash, "class", "left").withColumn("class", F.when(F.col("again"), other).otherwise(F.col("class")))
+                          .select(*sets.columns), f"sets{turn}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     source = _source(docs, id_col, text_col)
-    sets = staged(sketches(source).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("print"))).drop("print"), "sets")
+    sets = _named(staged(sketches(source).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("print"))), "sets"))
     member = sets.select("doc_id", "n_shingles", "class")
     full = sets.where("class IS NOT NULL")
     # one class per set; its first row by id (nulls last) lends it the text
