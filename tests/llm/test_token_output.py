@@ -88,3 +88,28 @@ def test_op3_odd_rows(spark, put_docs):
     got = op3_token_output(spark, put_docs(same)).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"], r["start"]) for r in got] == [(None, 2, 0), (5, 1, 2), (5, 3, 3), (5, 3, 6)]
     assert op3_token_output(spark, put_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_units_give_the_tokenizers_ids(name, drops_space):
+    """Fuzzed texts with white space of all kinds, added tokens and letters that change in lower case."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tonekit.llm.encoder import UnitEncoder
+
+    path = public_tokenizers.path(name)
+    plain, r = Tokenizer.from_file(path), random.Random(31)
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    odd = ["İ|", "a İ, b", "Diyarbakırİ!", "end\n\n<|endoftext|>start", "x\u00a0<|endoftext|>", "\u2028<|endoftext|> y", "ẞ.", "ǅ!", "ﬁ;", "Σ,ς"]
+    pieces = odd + added + [a.upper() for a in added] + [
+        " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "\u2028", "\u3000", "\r", "word", "Été", "über.", "I'm", "don’t", "123", "4,5", "—", "…",
+        "İ", "ı", "e\u0301", "한국", "日本", "🙂", "don't!", "(a)", "|", "!", ";x", "A-Z", "_", "a_b", "'s", "'S", "straße,", "ÑANDÚ!"]
+    texts = odd + ["".join(r.choices(pieces, k=r.randint(1, 9))) for _ in range(20_000)]
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    mine = UnitEncoder(path, drops_space)
+    got = [np.frombuffer(b, "<u4").tolist() for i in range(0, len(texts), 500) for b in mine.encode(texts[i:i + 500])]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []

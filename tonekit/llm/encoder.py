@@ -3,7 +3,8 @@
 A text is cut into units at places where the tokenizer's own pre-tokenizer always cuts: at white
 space. The ids of a text are the ids of its units in order, so each distinct unit is tokenized
 once per worker and then looked up. Texts with control characters that regex engines disagree on
-(white space to one, not to another) go to the tokenizer whole.
+(white space to one, not to another), or with the content of an added token, at which the
+tokenizer cuts before anything else, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 #: Units kept per worker (the first ones met, so the frequent ones); longer units are not kept.
 CACHE_UNITS, CACHE_CHARS = 500_000, 40
-_DISPUTED = re.compile("[\x1c-\x1f\x85᠎]")
+_DISPUTED = "[\x1c-\x1f\x85᠎]"
 _WITH_SPACE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: A word and the marks after it: pre-tokenizers part them there (an apostrophe may bind).
-_MARKED = re.compile(r"( ?[^\W\d_]+)([!#$%&()*+,./:;=?@|-]+)")
+#: A word and the marks after it: pre-tokenizers part them there (an apostrophe may bind). Not words with a capital
+#: dotted I, whose lower case ends in a combining mark that goes with the marks.
+_MARKED = re.compile(r"( ?[^\W\d_İ]+)([!#$%&()*+,./:;=?@|-]+)")
 #: Words that the vocabulary's model can be given directly: no rule of a tokenizer parts or changes
 #: them but lower-casing, which is the same by any rule for these letters.
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -38,6 +40,8 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = str.split if drops_space else _WITH_SPACE.findall
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join([_DISPUTED, *sorted(added, key=len, reverse=True)]), re.IGNORECASE).search
         self.cache: dict[str, bytes] = {}
         self.model, self.lowers = self.tokenizer.model, drops_space
         probes = [p.strip() for p in _PROBES] if drops_space else _PROBES
@@ -58,7 +62,7 @@ class UnitEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _DISPUTED.search(text):
+            if self.whole(text):
                 out[i] = self._ids([text])[0]
                 continue
             units = self.split(text)

@@ -39,6 +39,7 @@ RANGE_IDS, MAX_RANGES, BLOCK_IDS = 8_000_000, 20_000, 1 << 19
 TEXTS = 256
 
 _IDS = "doc_id long, n_tokens long, ids binary"
+_COUNTED = _IDS + ", token array<long>, n array<long>"
 _CODED = "range_no int, doc_id long, n_tokens long, bits binary, checkpoints array<long>"
 _BLOCK = ("range_no int, block_no long, first long, doc_id array<long>, n_tokens array<long>, "
           "checkpoints array<long>, payload binary")
@@ -53,6 +54,10 @@ def _arrow(schema: str) -> pa.Schema:
 def tokenize(docs: DataFrame, path: str, drops_space: bool, end_id: int, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids``: ids of each whole text and ``end_id``, as unsigned 32-bit integers."""
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_tokenizer(path, drops_space, end_id), _IDS)
+
+
+def _tokenizer(path: str, drops_space: bool, end_id: int):
     tail, schema = np.array([end_id], dtype="<u4").tobytes(), _arrow(_IDS)
 
     def run(batches):
@@ -65,24 +70,33 @@ def tokenize(docs: DataFrame, path: str, drops_space: bool, end_id: int, id_col:
                     [part.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
                     schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _IDS)
+    return run
 
 
-def _counts(ids: DataFrame) -> np.ndarray:
-    """How often each id occurs: a row per id and task, then one per id (the vocabulary bounds them)."""
+def _counted(docs: DataFrame, path: str, drops_space: bool, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, n_tokens, ids``, and after a task's last row one row with its counts: arrays ``token``, ``n``."""
+    schema, tokenized = _arrow(_COUNTED), _tokenizer(path, drops_space, end_id)
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4"))
+        for batch in tokenized(batches):
+            new = np.bincount(np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4"))
             if len(new) > len(total):
                 total, new = new.astype(np.int64), total
             total[: len(new)] += new
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, none, none], schema=schema)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
+        row = [[None], [None], [None], [used], [total[used]]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
-    rows = (ids.select("ids").mapInArrow(run, "token long, n long")
-               .groupBy("token").agg(F.sum("n").alias("n")).toPandas())
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _COUNTED)
+
+
+def _counts(counted: DataFrame) -> np.ndarray:
+    """How often each id occurs: a row per id and task, then one per id (the vocabulary bounds them)."""
+    rows = (counted.where("token IS NOT NULL").select(F.inline(F.arrays_zip("token", "n")))
+                   .groupBy("token").agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros(int(rows["token"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     counts[rows["token"].to_numpy(dtype=np.int64)] = rows["n"]
     return counts
@@ -147,15 +161,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, drops_space: bool, end
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize ``docs`` and write the files described above below ``folder``."""
     spark = docs.sparkSession
-    ids = staged(tokenize(docs, path, drops_space, end_id, id_col, text_col), "ids")
-    counts = _counts(ids)
+    counted = staged(_counted(docs, path, drops_space, end_id, id_col, text_col), "ids")
+    counts, ids = _counts(counted), counted.where("token IS NULL").select("doc_id", "n_tokens", "ids")
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(t), int(lengths[t])) for t in used], "token long, bits int") \
          .coalesce(1).write.parquet(f"{folder}/code")
     bounds = _bounds(ids, int(counts.sum()))
     coded = _coded(ids, lengths, bounds)
-    ordered = (coded.repartition(len(bounds) + 1, "range_no")
+    ordered = (coded.repartitionById(len(bounds) + 1, "range_no")  # a range per task
                     .sortWithinPartitions("range_no", F.col("doc_id").asc_nulls_first(), "n_tokens", "bits"))
     ordered.mapInArrow(_blocks, _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
 
