@@ -133,3 +133,69 @@ def test_agreement_pct_sums(spark):
     rows = agr.agreement_pct(df).collect()
     for pair in {r.pair for r in rows}:
         assert abs(sum(r.pct for r in rows if r.pair == pair) - 100.0) < 1e-9
+
+
+def test_rolling_mean_gaps_nulls_and_pieces(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(windows, "PIECE", 16)
+    r = random.Random(3)
+    rows = [(i, k, None if r.random() < 0.05 else float(r.randint(-9, 9))) for i in (1, 2, None) for k in range(150) if r.random() > 0.05]
+    df = spark.createDataFrame(rows, "id long, rank_sentence int, y double")
+    by = {(i, k): v for i, k, v in rows}
+    want = {}
+    for i, k, _ in rows:
+        last = [by.get((i, j)) for j in range(k - 4, k + 1)]
+        want[i, k] = None if None in last else sum(last) / 5
+    got = {(x.id, x.rank_sentence): x.y_ma5 for x in windows.rolling_mean(df, "y").collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 100
+
+
+def test_kde_equals_the_direct_sum(spark):
+    import math
+    import random
+    r = random.Random(9)
+    values = [r.gauss(0, 1) for _ in range(300)] + [r.gauss(40, 0.01) for _ in range(50)] + [7.5] * 40
+    df = spark.createDataFrame([("g", v) for v in values], "g string, x double")
+    n, mean = len(values), sum(values) / len(values)
+    h = math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1)) * n ** -0.2
+    for p in stats.kde(df, "x", "g").collect():
+        direct = sum(math.exp(-0.5 * ((p.x - v) / h) ** 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert abs(p.density - direct) < 1e-12
+
+
+def test_median_of_raw_doubles(spark):
+    import random
+    import statistics
+    r = random.Random(5)
+    nan, inf = float("nan"), float("inf")
+    groups = {"a": [r.gauss(0, 1) * 10 ** r.randint(-300, 300) for _ in range(501)], "b": [0.0, -0.0, -1.5, 1.5], "c": [-inf, inf, 3.0],
+              "d": [5e-324], "e": [2.5] * 700 + [r.random() for _ in range(300)], "f": [-1e308, -1e-308]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", nan), ("a", None), (None, 1.0), ("z", nan)]
+    got = {x.g: (x.median, x.n) for x in stats.median_of_raw(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {g: (statistics.median(vs), len(vs)) for g, vs in groups.items()}
+
+
+def test_exact_p_equals_enumeration(spark):
+    import itertools
+    import random
+    r = random.Random(2)
+    for m, n in ((1, 1), (2, 3), (3, 8), (8, 8), (5, 4), (8, 20), (9, 9)):
+        values = r.sample(range(1000), m + n)
+        df = spark.createDataFrame([(1, float(v)) for v in values[:m]] + [(0, float(v)) for v in values[m:]], "g int, x double")
+        row = stats.mann_whitney(df, "x", "g", 1, 0).first()
+        u = sum(a > b for a in values[:m] for b in values[m:])
+        assert row.u1 == u
+        if m > 8:
+            assert row.method == "normal"
+            continue
+        assert row.method == "exact"
+        if m + n > 16:
+            assert abs(row.p_greater + row.p_less - 1) < 0.2
+            continue
+        sums = [sum(c) - m * (m + 1) // 2 for c in itertools.combinations(range(1, m + n + 1), m)]
+        up = sum(s >= u for s in sums) / len(sums)
+        down = sum(s >= m * n - u for s in sums) / len(sums)
+        two = min(1.0, 2 * sum(s >= max(u, m * n - u) for s in sums) / len(sums))
+        assert abs(row.p_greater - up) < 1e-12 and abs(row.p_less - down) < 1e-12 and abs(row.p_two_sided - two) < 1e-12
+    tied = spark.createDataFrame([(1, 1.0), (0, 1.0), (0, 2.0)], "g int, x double")
+    assert stats.mann_whitney(tied, "x", "g", 1, 0).first().method == "normal"

@@ -111,3 +111,17 @@ def test_panel_index_grid(spark):
     df = spark.createDataFrame([(i, 10 - i) for i in range(7)], "id long, d int")
     rows = {r.id: (r.panel, r.panel_row, r.panel_col) for r in panel_index(df, "id", ["d", "id"]).collect()}
     assert rows[6] == (0, 0, 0) and rows[3] == (3, 1, 0) and rows[0] == (6, 2, 0)
+
+
+def test_free_form_dates(spark):
+    import datetime
+    day = datetime.date(1885, 3, 4)
+    texts = {"4th of March, 1885": day, "Mar. 4 1885": day, "4.3.1885": day, "March 4, 1885": day, "1885-03-04": day, "3/4/1885": day,
+             "the 4th Mar 1885 ": day, "1885 March 4": day, "Wednesday, 4 March 1885": day, "18850304": day, "1885-3-4T10:11:12Z": day,
+             "March 4, 1885 at 10:11 pm": day, "13/4/1885": datetime.date(1885, 4, 13), "4/13/1885": datetime.date(1885, 4, 13),
+             "March 1885": datetime.date(1885, 3, 1), "1885": datetime.date(1885, 1, 1), "4 Mar '85": datetime.date(1985, 3, 4),
+             "Sept 5, 68": datetime.date(2068, 9, 5), "February 30, 1999": None, "31.4.1999": None, "junk": None, "": None, None: None,
+             "March": None, "March 4": None, "4": None, "1 2": None, "12 monkeys 1995": None, "1885-03-04-05": None, "99999": None,
+             "March 4, 1885 and more": None, "Mai 4 1885": None, "10:11:12": None}
+    got = col_values(spark, list(texts), T.parse_date)
+    assert dict(zip(texts, got)) == texts

@@ -17,7 +17,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tonekit.functions.text import rstrip, strip
+from tonekit.functions.text import let, rstrip, strip
 
 ColumnOrName = Column | str
 
@@ -26,11 +26,6 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often ``body`` reads it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 #: Names of the standard's table (from the standard library), some of them also without the closing semicolon.
 _NAMED = {name: char for name, char in html5.items()}
 _LEGACY = "|".join(sorted((n for n in _NAMED if not n.endswith(";")), key=lambda n: (-len(n), n)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +15,16 @@ from tonekit.functions.patterns import (
 
 ColumnOrName = Column | str
 
-# Date layouts tried in order by parse_date (Spark datetime patterns).
-DATE_FORMATS = ("MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy")
+# --- fixed values: words of dates ---
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+DATE_WORDS = ("of", "the", "on", "st", "nd", "rd", "th", "ad", "a", "d",
+              "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+              "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun")
+# --- end of fixed values ---
+#: Months by name and by any beginning of three letters or more.
+MONTH_NAMES = {m[:k]: str(i) for i, m in enumerate(MONTHS, 1) for k in range(3, len(m) + 1)}
+#: A time of day at the end, with a zone or without.
+RX_TIME = r"(?:[t,]|\s|\bat\b)+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?\s*(?:[ap]\.?m\.?)?\s*(?:z|utc|gmt|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -64,15 +72,60 @@ def split_part(c: ColumnOrName, delimiter: str, n: int) -> Column:
     return F.nullif(strip(part), F.lit(""))
 
 
-def parse_date(c: ColumnOrName, formats: Iterable[str] = DATE_FORMATS) -> Column:
-    """First layout that parses wins; text no layout accepts gives null (never an error)."""
-    text = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+def parse_date(c: ColumnOrName) -> Column:
+    """A date from free-form text, read once; null for text that is none (never an error).
+
+    The text is cut into words and numbers. With a month's name (or its first three letters or more), the first other number
+    of one or two digits is the day and the one left the year, in any order: ``March 4, 1885``, ``4th of Mar. 1885``; without a day
+    the first is meant. Numbers alone are ``1885-3-4``, ``4.3.1885`` (day first), ``3/4/1885`` (month first, unless it can't
+    be one), ``18850304`` or a year. Two-digit years are 1969 to 2068. A time behind the date plays no part;
+    weekdays and words like "of" are passed over, any other word makes it no date.
+    """
+    def read(text: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), lambda w: ~w.isin(*DATE_WORDS))
+        numbers = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+        months = F.create_map(*[F.lit(x) for pair in MONTH_NAMES.items() for x in pair])
+        marks = F.regexp_extract(text, "^[0-9]+([^0-9]*)", 1)
+
+        def built(parts: Column) -> Column:
+            w, n, mark = parts["w"], parts["n"], parts["mark"]
+            a, b, d = (F.get(n, F.lit(i)) for i in range(3))
+            la, lb = F.length(a), F.length(b)
+            named = F.try_element_at(months, F.get(w, F.lit(0)))
+            first = F.lit("1")
+            by_name = (F.when((F.size(n) == 1) & (la >= 3), _ymd(a, named, first))
+                        .when((F.size(n) == 2) & (la >= 3), _ymd(a, named, b))
+                        .when(F.size(n) == 2, _ymd(b, named, a)))
+            swap = b.try_cast("int") > 12
+            by_number = (F.when((F.size(n) == 1) & (la == 4), _ymd(a, first, first))
+                          .when((F.size(n) == 1) & (la == 8), _ymd(F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2)))
+                          .when((F.size(n) == 3) & (la >= 3), _ymd(a, b, d))
+                          .when((F.size(n) == 3) & F.contains(mark, F.lit(".")), _ymd(d, b, a))
+                          .when((F.size(n) == 3) & ~swap & (a.try_cast("int") > 12), _ymd(d, b, a))
+                          .when(F.size(n) == 3, _ymd(d, a, b)))
+            return F.when((F.size(w) == 1) & named.isNotNull(), by_name).when(F.size(w) == 0, by_number)
+
+        return let(F.struct(words.alias("w"), numbers.alias("n"), marks.alias("mark")), built)
+
+    text = F.regexp_replace(F.lower(strip(c)), RX_TIME, "")
+    return let(text, lambda t: F.when(t.rlike("^[^:]*[0-9][^:]*$"), read(t)))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _ymd(year: Column, month: Column, day: Column) -> Column:
+    """A date of digits as text; null if there is no such day. Two-digit years are 1969 to 2068."""
+    full = F.when(F.length(year) > 2, year).otherwise((F.pmod(year.try_cast("int") - 69, F.lit(100)) + 1969).cast("string"))
+    padded = F.concat(F.lpad(full, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when((F.length(full) <= 4) & (F.length(month) <= 2) & (F.length(day) <= 2), padded.try_cast("date"))
 
 
 def open_end_year(c: ColumnOrName) -> Column:
     """Year of a range end, with the open end ``Incumbent`` read as the fixed year."""
-    return F.when(strip(c) == OPEN_END_TEXT, F.lit(OPEN_END_YEAR)).otherwise(F.year(parse_date(c)))
+    return let(strip(c), lambda t: F.when(t == OPEN_END_TEXT, F.lit(OPEN_END_YEAR)).otherwise(F.year(parse_date(t))))
 
 
 def year_of_text(c: ColumnOrName) -> Column:

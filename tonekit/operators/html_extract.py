@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.functions.html import absolutize, element_text, first_match, let, link_targets, plain_markup
+from tonekit.functions.html import absolutize, element_text, first_match, link_targets, plain_markup
 from tonekit.functions.patterns import DEFAULT_INFO
-from tonekit.functions.text import clean_transcript, default_if_blank, parse_date, space_after_dot, strip
+from tonekit.functions.text import clean_transcript, default_if_blank, let, parse_date, space_after_dot, strip
 from tonekit.operators.generate import explode_rows
 
 

@@ -9,13 +9,13 @@ values per group is bounded no matter how many rows there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonekit.functions.numeric import normal_sf, np_round
-
+from tonekit.functions.text import let
 
 
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -138,9 +138,11 @@ def histogram_pct(df: DataFrame, col: str, group: str, bins: int = 20, digits: i
 def kde(df: DataFrame, col: str, group: str, points: int = 100, cut: float = 3.0) -> DataFrame:
     """A10: Gaussian kernel density per group on ``points`` grid points, Scott bandwidth.
 
-    h = std * n^(-1/5); grid from min - cut*h to max + cut*h. Everything comes from the value-count
-    table (input read once): n, mean and sample std from weighted sums, and the density sum runs over
-    distinct values with their counts, joined with the grid of the same group (``points`` rows).
+    h = std * n^(-1/5); grid from min - cut*h to max + cut*h. Rows are counted per value first (map-side combine), and those
+    counts give n, mean, std and range. A fast Gauss transform follows: values are binned at h / ``FINE``, a bin
+    keeps its first ``MOMENTS`` moments about its middle, and a grid point adds up the Hermite expansions of the bins within
+    nine bandwidths. The truncation is below rounding, and the sum has at most ``points`` * 18 * ``FINE`` terms a
+    group, however many distinct values there are.
     """
     vc = value_counts(df, col, [group])
     first = vc.groupBy(group).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
@@ -151,17 +153,85 @@ def kde(df: DataFrame, col: str, group: str, points: int = 100, cut: float = 3.0
              .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
              .where(F.col("h") > 0))
     step = (F.col("mx") - F.col("mn") + F.lit(2 * cut) * F.col("h")) / F.lit(float(points - 1))
-    grid = st.select(group, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"),
+    grid = st.select(group, "n", "h", "mn", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"),
                      (F.col("mn") - F.lit(cut) * F.col("h")).alias("start"), step.alias("step"))
     grid = grid.withColumn("x", F.col("start") + F.col("i") * F.col("step")).drop("start", "step")
-    u = (F.col("x") - F.col("v")) / F.col("h")
-    dens = (vc.join(grid, group)
-              .groupBy(group, "i", "x", "n", "h")
-              .agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * u * u)).alias("k")))
+    width = F.col("h") / F.lit(float(FINE))
+    binned = vc.join(st.select(group, "h", "mn"), group).withColumn("bin", F.floor((F.col("v") - F.col("mn")) / width))
+    off = (F.col("v") - F.col("mn")) / F.col("h") - (F.col("bin") + 0.5) / F.lit(float(FINE))
+    binned = binned.select(group, "bin", F.col("c").cast("double").alias("m0"), off.alias("_t"))
+    powers = [F.col("m0")]
+    for _ in range(1, MOMENTS):
+        powers.append(powers[-1] * F.col("_t"))
+    bins = binned.groupBy(group, "bin").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
+    near, reach = F.floor((F.col("x") - F.col("mn")) / width), 9 * FINE
+    wanted = grid.withColumn("bin", F.explode(F.sequence(near - reach, near + reach)))
+    wanted = wanted.join(bins, [group, "bin"]).withColumn(
+        "_u", (F.col("x") - F.col("mn")) / F.col("h") - (F.col("bin") + 0.5) / F.lit(float(FINE)))
+    u, hermite, term = F.col("_u"), [F.lit(1.0), F.col("_u")], F.col("m0")
+    for k in range(1, MOMENTS):
+        term = term + F.col(f"m{k}") * hermite[k] * F.lit(1.0 / math.factorial(k))
+        hermite.append(u * hermite[k] - F.lit(float(k)) * hermite[k - 1])
+    sums = wanted.groupBy(group, "i").agg(F.sum(term * F.exp(F.lit(-0.5) * u * u)).alias("k"))
+    dens = grid.join(sums, [group, "i"], "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     return dens.select(group, "i", "x", (F.col("k") / norm).alias("density"))
 
 
+def order_key(value: Column) -> Column:
+    """A long that sorts as the double does (-0.0 as 0.0): its bits, those of negative numbers turned round."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return let(bits, lambda b: F.when(b >= 0, b).otherwise(b.bitwiseXOR(F.lit((1 << 63) - 1))))
+
+
+def key_value(key: Column) -> Column:
+    """The double of an ``order_key``."""
+    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+#: Bins of a bandwidth and moments of a bin: terms left out are below (1 / 16)^9 / 9!.
+FINE, MOMENTS = 8, 9
+STEP_BITS = 16
+
+
+def order_statistics(df: DataFrame, group: str, col: str, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """``group, n`` and the exact values at given ranks (1-based, from the group's size ``n``) of raw doubles.
+
+    No table of distinct values and no sort of rows: (group, key) is stored once; four passes each count keys by the next
+    16 bits inside the bucket that holds the rank, so a pass returns at most 65,536 counts a (group, rank). Nulls and
+    NaN are left out; groups of any size spread over tasks, as counts are combined map-side.
+    """
+    from tonekit.session import materialize, stored
+    rows = _not_null(df, [group, col]).where(~F.isnan(F.col(col).cast("double")))
+    keys = stored(rows.select(F.col(group).alias("_g"), order_key(F.col(col)).alias("_key")))
+    sizes = materialize(keys.groupBy("_g").agg(F.count(F.lit(1)).alias("n")))
+    wanted = ranks(F.col("n"))
+    open_ = sizes.select("_g", F.inline(F.array(*[F.struct(F.lit(name).alias("_rank"), r.cast("long").alias("_left"))
+                                                  for name, r in wanted.items()]))).withColumn("_head", F.lit(0).cast("long"))
+    for shift in range(64 - STEP_BITS, -1, -STEP_BITS):
+        head, part = F.shiftright("_key", shift + STEP_BITS), F.shiftright("_key", shift)
+        if shift + STEP_BITS == 64:
+            head = F.lit(0).cast("long")
+        found = keys.select("_g", head.alias("_head"), part.alias("_part"))
+        buckets = open_.select("_g", "_head").distinct()
+        counts = found.join(buckets, ["_g", "_head"], "left_semi").groupBy("_g", "_head", "_part").agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy("_g", "_head").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_upto", F.sum("_c").over(upto))
+        hit = open_.join(counts, ["_g", "_head"]).where((F.col("_left") <= F.col("_upto")) & (F.col("_left") > F.col("_upto") - F.col("_c")))
+        open_ = materialize(hit.select("_g", "_rank", (F.col("_left") - F.col("_upto") + F.col("_c")).alias("_left"),
+                                       F.col("_part").alias("_head")))
+    values = open_.groupBy("_g").agg(*[F.max(F.when(F.col("_rank") == name, F.col("_head"))).alias(name) for name in wanted])
+    values = values.select("_g", *[key_value(F.col(name)).alias(name) for name in wanted])
+    return sizes.join(values, "_g").withColumnRenamed("_g", group)
+
+
+def median_of_raw(df: DataFrame, group: str, col: str) -> DataFrame:
+    """A17 on values that were not rounded: ``group, median, n``, exact."""
+    both = order_statistics(df, group, col, lambda n: {"_low": F.floor((n + 1) / 2), "_high": F.floor(n / 2) + 1})
+    return both.select(group, ((F.col("_low") + F.col("_high")) / 2).alias("median"), "n")
+
+
 def median_from_counts(vc: DataFrame, group: str) -> DataFrame:
     """Exact median per group from a value-count table ``(group, v, c)``."""
     from tonekit.operators.windows import prefix_sum
@@ -193,8 +263,9 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     Average ranks with ties come from counts per distinct value and a distributed running sum over
     the distinct values, never over rows. Returns one row:
     n1, n2, r1, u1, u2, u (= min), tie term sum(t^3 - t), z = (|u1 - mu| - 0.5) / sigma,
-    p_two_sided, p_greater (alternative: a tends to be larger) and p_less, all with continuity
-    correction and tie-corrected sigma (normal approximation).
+    p_two_sided, p_greater (alternative: a tends to be larger) and p_less: exact for small groups without ties
+    (``EXACT_SMALLER``, ``EXACT_PAIRS``), else by the normal approximation with continuity correction and
+    tie-corrected sigma; ``method`` says which.
     """
     from tonekit.operators.windows import prefix_sum
     vc = value_counts(df.where(F.col(group).isin(a, b)), col, [group])
@@ -221,10 +292,50 @@ def mann_whitney(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     z_two = F.try_divide(F.abs(dev) - 0.5, F.col("sigma"))
     z_greater = F.try_divide(dev - 0.5, F.col("sigma"))
     z_less = F.try_divide(-dev - 0.5, F.col("sigma"))
-    return out.select("n1", "n2", "r1", "u1", "u2", "u", "ties", z_two.alias("z"),
-                      F.least(F.lit(1.0), F.lit(2.0) * normal_sf(z_two)).alias("p_two_sided"),
-                      normal_sf(z_greater).alias("p_greater"),
-                      normal_sf(z_less).alias("p_less"))
+    approximate = {"p_two_sided": F.least(F.lit(1.0), F.lit(2.0) * normal_sf(z_two)), "p_greater": normal_sf(z_greater),
+                   "p_less": normal_sf(z_less)}
+    out = out.withColumn("z", z_two).withColumns(approximate)
+    small = (F.least("n1", "n2") >= 1) & (F.least("n1", "n2") <= EXACT_SMALLER) & (F.col("n1") * F.col("n2") <= EXACT_PAIRS) & (F.col("ties") == 0)
+    counts = F.when(small, u_counts(F.least("n1", "n2").cast("int"), F.greatest("n1", "n2").cast("int")))
+    out = out.withColumn("_counts", counts)
+    total = F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x)
+
+    def at_least(u: Column) -> Column:
+        tail = F.slice("_counts", (u + 1).cast("int"), F.size("_counts"))
+        return F.aggregate(tail, F.lit(0.0), lambda s, x: s + x) / total
+
+    exact = F.col("_counts").isNotNull()
+    most = F.greatest("u1", "u2")
+    return out.select("n1", "n2", "r1", "u1", "u2", "u", "ties", "z",
+                      F.when(exact, F.least(F.lit(1.0), F.lit(2.0) * at_least(most))).otherwise(F.col("p_two_sided")).alias("p_two_sided"),
+                      F.when(exact, at_least(F.col("u1"))).otherwise(F.col("p_greater")).alias("p_greater"),
+                      F.when(exact, at_least(F.col("u2"))).otherwise(F.col("p_less")).alias("p_less"),
+                      F.when(exact, F.lit("exact")).otherwise(F.lit("normal")).alias("method"))
+
+
+#: Without ties, p values are exact if the smaller group has at most so many rows and there are at most so many pairs.
+EXACT_SMALLER, EXACT_PAIRS = 8, 2000
+
+
+def u_counts(m: Column, n: Column) -> Column:
+    """How many of the orders of ``m`` and ``n`` different values have U = 0, 1, ..., m * n (doubles).
+
+    The counting recurrence as a fold: with one value more, either it is of the smaller group, or it is not and
+    adds one to U for each of the k that are. State k holds the counts for k values of the smaller group so far.
+    """
+    size = m * n + 1
+    nothing = F.array_repeat(F.lit(0.0), size)
+    start = F.transform(F.sequence(F.lit(0), m), lambda k: F.when(k == 0, F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), size - 1)))
+                        .otherwise(nothing))
+
+    def step(state: Column, i: Column) -> Column:
+        def row(k: Column) -> Column:
+            moved = F.when(i - k <= n, F.slice(F.concat(F.array_repeat(F.lit(0.0), k), F.get(state, k)), 1, size)).otherwise(nothing)
+            taken = F.when(k > 0, F.get(state, F.greatest(k - 1, F.lit(0)))).otherwise(nothing)
+            return F.zip_with(moved, taken, lambda x, y: x + y)
+        return F.transform(F.sequence(F.lit(0), m), row)
+
+    return F.get(F.aggregate(F.sequence(F.lit(1), m + n), start, step), m)
 
 
 def series_by(df: DataFrame, id_col: str, x: str, y: str, ma: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Window operators (W1-W7) and sorts (O1-O3).
 
 No operator here gathers a whole group into one task: per-document progress uses the contiguous
-sentence rank and a count taken before the explode, the rolling mean is an aggregate keyed by
-(document, window end), top-n runs in two salted rounds, and global orderings (panel numbers,
+sentence rank and a count taken before the explode, the rolling mean has a window per piece of a
+document, top-n runs in two salted rounds, and global orderings (panel numbers,
 positions) range-partition, number rows inside each partition and add per-partition offsets
 from a table with one row per partition.
 """
@@ -49,23 +49,23 @@ def speech_progress(df: DataFrame, id_col: str = "id", order_col: str = "rank_se
 
 def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "rank_sentence",
                  window: int = 5, out: str | None = None) -> DataFrame:
-    """Trailing mean over ``window`` rows; null until the window is full or if any value is null.
+    """Trailing mean over the ``window`` ranks up to a row's own; null until the window is full, at gaps in
+    the rank, or if any value is null.
 
-    ``order_col`` is a contiguous rank. Each row adds its value to the ``window`` windows that end
-    at ranks r .. r + window - 1, and carries itself along with the window it ends (k = 0); one
-    aggregate per (id, end rank) gives count, sum and the row. One pass over ``df``, no join back,
-    and the work is keyed by (id, rank), so a very long document is spread over many tasks instead
-    of being sorted in one. Every column of ``df`` rides through the shuffle: project first.
+    A document's ranks are cut into pieces of ``PIECE``, and the last ``window - 1`` rows of a piece are copied into the next
+    one: one window per piece, so a very long document spreads over tasks, for one shuffle of
+    n * (1 + (window - 1) / PIECE) rows. Every column of ``df`` rides through the shuffle: project first.
     """
     out = out or f"{col}_ma{window}"
-    cols = df.columns
-    contrib = df.select(F.struct(*cols).alias("_row"), F.col(id_col).alias("_id"), F.col(order_col).alias("_r"),
-                        F.col(col).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("_k"))
-    agg = (contrib.groupBy("_id", (F.col("_r") + F.col("_k")).alias("_end"))
-                  .agg(F.count("_v").alias("_c"), F.sum("_v").alias("_s"),
-                       F.first(F.when(F.col("_k") == 0, F.col("_row")), ignorenulls=True).alias("_own")))
-    ma = F.when(F.col("_c") == window, F.col("_s") / F.lit(float(window)))
-    return agg.where(F.col("_own").isNotNull()).select(*[F.col(f"_own.{c}").alias(c) for c in cols], ma.alias(out))
+    size = max(PIECE, 2 * window)
+    piece = F.floor(F.col(order_col) / size)
+    near_end = F.pmod(F.col(order_col), F.lit(size)) >= size - (window - 1)
+    pieces = F.when(near_end, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    rows = df.select("*", F.explode(pieces).alias("_piece"))
+    over = Window.partitionBy(id_col, "_piece").orderBy(order_col).rangeBetween(-(window - 1), 0)
+    full = F.count(col).over(over) == window
+    rows = rows.withColumn(out, F.when(full, F.sum(col).over(over) / F.lit(float(window))))
+    return rows.where((F.col("_piece") == piece) | F.col("_piece").isNull()).select(*df.columns, out)
 
 
 def top_n_per_group(df: DataFrame, group_col: str, order_col: str, n: int,

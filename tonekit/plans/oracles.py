@@ -443,6 +443,22 @@ def _mann_whitney() -> str:
         "lab_scored")
 
 
+def _mann_whitney_exact() -> str:
+    """By enumeration: every way to choose the first group's ranks, as bits of a number."""
+    at_least = lambda u: f"CAST(count(*) FILTER (WHERE w >= {u}) AS DOUBLE) / CAST(count(*) AS DOUBLE)"
+    return ("WITH b AS (SELECT n_regionkey AS g, avg(c_acctbal) AS x FROM nation JOIN customer ON n_nationkey = c_nationkey "
+            "WHERE n_regionkey IN (0, 1) GROUP BY n_nationkey, n_regionkey), "
+            "r AS (SELECT g, row_number() OVER (ORDER BY x) AS rk FROM b), "
+            "s AS (SELECT count(*) FILTER (WHERE g = 0) AS n1, count(*) FILTER (WHERE g = 1) AS n2, "
+            "CAST(sum(rk) FILTER (WHERE g = 0) AS DOUBLE) AS r1 FROM r), "
+            "u AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u1, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0::DOUBLE) AS u2 FROM s), "
+            "e AS (SELECT i, bit_count(i) AS k, list_sum(list_transform(range(10), lambda j: ((i >> j) & 1) * (j + 1))) AS rs "
+            "FROM range(1024) t(i)), "
+            "c AS (SELECT u.*, rs - n1 * (n1 + 1) / 2.0::DOUBLE AS w FROM e, u WHERE k = n1) "
+            f"SELECT n1, n2, u1, u2, 'exact' AS method, {r6(f'least(1.0::DOUBLE, 2.0::DOUBLE * {at_least('greatest(u1, u2)')})')} AS p_two_sided, "
+            f"{r6(at_least('u1'))} AS p_greater, {r6(at_least('u2'))} AS p_less FROM c GROUP BY n1, n2, u1, u2")
+
+
 def _kde() -> str:
     u = "((g.x - w.v) / g.h)"
     return sql(
@@ -570,6 +586,11 @@ ORACLES: dict[str, str] = {
                    f"WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') "
                    f"WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') "
                    f"ELSE strftime(o_orderdate, '%Y') END AS date_text FROM orders)"),
+    "parse_date_free": ("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 9 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders "
+                        "WHERE o_orderdate IS NOT NULL"),
+    "median_raw": ("SELECT event_type, median(value) AS median, count(*) AS n FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL "
+                   "AND NOT isnan(value) GROUP BY event_type"),
+    "mann_whitney_exact": _mann_whitney_exact(),
     "crosstab_rounded": sql(
         f"SELECT compound_round, polarity_round, n, "
         f"{r6('CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY compound_round) AS DOUBLE)')} AS share FROM "

@@ -480,6 +480,20 @@ def q_parse_date(spark, d):
     return out.withColumn("parsed", parse_date("date_text"))
 
 
+@query("parse_date_free")
+def q_parse_date_free(spark, d):
+    """T8 on dates written in many ways, and on text that is no date."""
+    orders = read_table(spark, d, "orders").where("o_orderdate IS NOT NULL")
+    day = F.dayofmonth("o_orderdate")
+    suffix = F.when(day.isin(11, 12, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    forms = [F.date_format("o_orderdate", f) for f in (
+        "MMM. d yyyy", "d.M.yyyy", "yyyy/M/d", "EEEE, d MMMM yyyy", "yyyyMMdd", "MMM d, ''yy", "MM/dd/yyyy hh:mm a", "yyyy-MM-dd'T'HH:mm:ss'Z'")]
+    forms += [F.concat(F.lit("The "), day, suffix, F.lit(" of "), F.date_format("o_orderdate", "MMMM, yyyy")),
+              F.concat(F.date_format("o_orderdate", "MMMM d yyyy"), F.lit(" and more"))]
+    text = F.get(F.array(*forms), F.pmod("o_orderkey", F.lit(len(forms))).cast("int"))
+    return orders.select("o_orderkey", parse_date(text).alias("parsed"))
+
+
 @query("crosstab_rounded")
 def q_crosstab_rounded(spark, d):
     out = agr.crosstab_rounded(doc_scored(spark, d), "compound", "polarity", 1)
@@ -664,6 +678,22 @@ def q_median_by_group(spark, d):
     return out.select("quality", _r6(F.col("median")).alias("median"), "n")
 
 
+@query("median_raw")
+def q_median_raw(spark, d):
+    """A17 on raw doubles: the exact median value of each type of event."""
+    return stats.median_of_raw(read_table(spark, d, "events"), "event_type", "value")
+
+
+@query("mann_whitney_exact")
+def q_mann_whitney_exact(spark, d):
+    """A18 on small groups: mean balances of the nations of two regions, p values by counting orders."""
+    cust = read_table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("balance"))
+    nation = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    rows = nation.join(cust, F.col("n_nationkey") == F.col("c_nationkey"))
+    out = stats.mann_whitney(rows, "balance", "n_regionkey", 0, 1)
+    return out.select("n1", "n2", "u1", "u2", "method", *[_r6(F.col(c)).alias(c) for c in ("p_two_sided", "p_greater", "p_less")])
+
+
 @query("mann_whitney")
 def q_mann_whitney(spark, d):
     out = stats.mann_whitney(labeled_scored(spark, d), "compound", "quality", 1, 0)
