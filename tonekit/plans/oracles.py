@@ -14,6 +14,9 @@ from __future__ import annotations
 import re
 
 from tonekit.functions.numeric import AS_A, AS_P
+from tonekit.operators.boundaries import (
+    ABBREVIATION_SCORE, ABBREVIATION_SHARE, RX_LEAD, RX_TAIL, RX_TYPE, STARTER_RATIO,
+)
 from tonekit.functions.patterns import (
     CLASS_LABELS, DEFAULT_INFO, NO_LANGUAGE, RX_BOILER, RX_FOOTNOTE, RX_NOISE, RX_TITLES,
 )
@@ -23,6 +26,7 @@ from tonekit.sources.lexicon import (
 
 # Java (?U)\s, spelled out for RE2.
 WS = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_ASCII = r"\t\n\x{0B}\f\r "
 SENT_RX = r"""([.!?]+["'')\]]*)[\t\n\x{0B}\f\r ]+"""    # quote doubled for the SQL literal
 POST_RX = rf"http[^{WS}]+|#[^{WS}]+|@[^{WS}]+"
 HREF_RX = r"""(?i)<a\s[^>]*href\s*=\s*"([^"]*)\""""
@@ -271,6 +275,43 @@ CTES: dict[str, str] = {
                   f"FROM (SELECT *, row_number() OVER (PARTITION BY id, rank_sentence ORDER BY score DESC, lang DESC) "
                   f"AS rn FROM lang_cand) WHERE rn = 1"),
 }
+
+
+def _boundary_ctes() -> dict[str, str]:
+    """Counts of token types, their log-likelihood ratios, and the two kinds of boundary words."""
+    ws, ln = r"[\t\n\x{0B}\f\r ]+", lambda x: f"ln(greatest({x}, 1e-300::DOUBLE))"
+    bare = (f"list_transform(regexp_split_to_array(lower({strip('text')}), '{ws}'), lambda t: "
+            f"regexp_replace(regexp_replace(t, {q(RX_LEAD)}, ''), {q(RX_TAIL)}, ''))")
+
+    def binomial(k: str, n: str, p: str) -> str:
+        return (f"(CASE WHEN {k} > 0 THEN {k} * {ln(p)} ELSE 0.0::DOUBLE END + "
+                f"CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * {ln(f'1.0::DOUBLE - {p}')} ELSE 0.0::DOUBLE END)")
+
+    abbreviation = f"-2.0::DOUBLE * ({binomial('np', 'n', 'np_all / n_all')} - {binomial('np', 'n', dbl(ABBREVIATION_SHARE))})"
+    dots = "(length(word) - length(replace(word, '.', '')))"
+    size = f"CAST(length(word) - {dots} AS DOUBLE)"
+    apart = (f"-2.0::DOUBLE * ({binomial('k', 'a', 'b / n')} + {binomial('(b - k)', '(n - a)', 'b / n')} - {binomial('k', 'a', 'k / a')} "
+             f"- {binomial('(b - k)', '(n - a)', '(b - k) / greatest(n - a, 1.0::DOUBLE)')})")
+    return {
+        "bd_raw": (f"SELECT doc, i, CASE WHEN regexp_matches(t, '[^.]\\.$') THEN regexp_replace(t, '\\.$', '') ELSE t END AS word, "
+                   f"regexp_matches(t, '[^.]\\.$') AS period FROM (SELECT doc, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM "
+                   f"(SELECT row_number() OVER () AS doc, {bare} AS ts FROM documents WHERE text IS NOT NULL))"),
+        "bd_tok": "SELECT word, period, CASE WHEN lag(period) OVER w THEN lag(word) OVER w END AS after FROM bd_raw "
+                  "WINDOW w AS (PARTITION BY doc ORDER BY i)",
+        "bd_type": "SELECT word, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE period) AS DOUBLE) AS np FROM bd_tok GROUP BY word",
+        "bd_all": "SELECT sum(n) AS n_all, sum(np) AS np_all FROM bd_type",
+        "bd_short": (f"SELECT word, score FROM (SELECT word, {abbreviation} * exp(-{size}) * ({dots} + 1) * pow({size}, np - n) AS score "
+                     f"FROM bd_type, bd_all WHERE regexp_matches(word, {q(RX_TYPE)}) AND np > 0) WHERE score >= {dbl(ABBREVIATION_SCORE)}"),
+        "bd_ends": "SELECT t.word FROM bd_tok t LEFT JOIN bd_short s ON t.after = s.word WHERE t.after IS NOT NULL AND s.word IS NULL",
+        "bd_start": (f"SELECT word, score FROM (SELECT word, k, a, b, n, {apart} AS score FROM (SELECT word, CAST(count(*) AS DOUBLE) AS k FROM bd_ends "
+                     f"GROUP BY word) JOIN (SELECT word, n AS b FROM bd_type) USING (word), (SELECT n_all AS n FROM bd_all), "
+                     f"(SELECT CAST(count(*) AS DOUBLE) AS a FROM bd_ends) WHERE regexp_matches(word, '^\\p{{L}}+$')) "
+                     f"WHERE score >= {dbl(STARTER_RATIO)} AND k / a > b / n"),
+        "bd_words": "SELECT word, 'abbreviation' AS kind, score FROM bd_short UNION ALL SELECT word, 'starter', score FROM bd_start",
+    }
+
+
+CTES.update(_boundary_ctes())
 ORDER = list(CTES)
 
 
@@ -318,6 +359,23 @@ def _html_table_rows() -> str:
             f"{cells} AS cells, unnest([1, 2, 3, 4]) AS c FROM orders WHERE o_custkey IS NOT NULL)")
 
 
+def _split_learned() -> str:
+    last = f"lower(regexp_replace(regexp_extract(p, '([^{WS_ASCII}]+)[{WS_ASCII}]*$', 1), {q(RX_LEAD)}, ''))"
+    head = f"regexp_replace(regexp_extract(nxt, '^[{WS_ASCII}]*([^{WS_ASCII}]+)', 1), {q(RX_LEAD)}, '')"
+    bare = "regexp_replace(lst, '\\.$', '')"
+    starts = "regexp_extract(lower(hd), '^\\p{L}+', 0) IN (SELECT word FROM bd_words WHERE kind = 'starter')"
+    short = f"(regexp_matches({bare}, '^\\p{{L}}$') OR {bare} IN (SELECT word FROM bd_words WHERE kind = 'abbreviation'))"
+    ordinal = f"(regexp_matches({bare}, '^[0-9]+$') AND regexp_matches(hd, '^\\p{{Ll}}'))"
+    return (f"SELECT id, CAST(row_number() OVER (PARTITION BY doc ORDER BY part) - 1 AS INTEGER) AS rank_sentence, sentence FROM ("
+            f"SELECT doc, id, part, {strip('string_agg(p, chr(0) ORDER BY i)').replace('chr(0)', q(''))} AS sentence FROM ("
+            f"SELECT doc, id, i, p, coalesce(sum(e) OVER (PARTITION BY doc ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part "
+            f"FROM (SELECT doc, id, i, p, CASE WHEN NOT regexp_matches(lst, '[^.]\\.$') OR NOT (({short} AND NOT {starts}) OR {ordinal}) "
+            f"THEN 1 ELSE 0 END AS e FROM (SELECT *, {last} AS lst, {head} AS hd FROM (SELECT doc, id, i, p, "
+            f"coalesce(lead(p) OVER (PARTITION BY doc ORDER BY i), '') AS nxt FROM (SELECT doc, id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i "
+            f"FROM (SELECT row_number() OVER () AS doc, doc_id AS id, string_split(regexp_replace(text, '{SENT_RX}', '\\0' || chr(31), 'g'), chr(31)) AS ps "
+            f"FROM documents WHERE text IS NOT NULL)))))) GROUP BY doc, id, part) WHERE sentence <> '' AND {not_noise('sentence')}")
+
+
 def _corpus_build() -> str:
     start = "1990 + c_custkey % 9"
     name = "'Customer ' || CAST(c_custkey AS VARCHAR)"
@@ -599,6 +657,8 @@ ORACLES: dict[str, str] = {
         f"AND polarity <> 0 GROUP BY 1, 2)", "doc_scored"),
     "tokenize_words": f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS w FROM documents) GROUP BY w",
     "sentence_split": sql("SELECT id, rank_sentence, sentence FROM doc_sent", "doc_sent"),
+    "boundary_statistics": sql(f"SELECT word, kind, {r6('score')} AS score FROM bd_words", "bd_words"),
+    "sentence_split_learned": sql(_split_learned(), "bd_words"),
     "score_documents": sql("SELECT id, ordinal, compound, neu, neg, pos, polarity, subjectivity FROM whole_scored",
                            "whole_scored"),
     "score_shares": sql("SELECT id, rank_sentence, neg, neu, pos FROM doc_scored", "doc_scored"),

@@ -23,6 +23,7 @@ from tonekit.functions.text import (
 from tonekit.functions.patterns import DEFAULT_INFO
 from tonekit.operators import agreement as agr
 from tonekit.operators import clean, joins, stats, windows
+from tonekit.operators.boundaries import boundary_statistics, explode_learned
 from tonekit.operators.generate import explode_rows
 from tonekit.operators.html_extract import append_literals, extract_links, extract_pages, site_base
 from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
@@ -513,6 +514,19 @@ def q_sentence_split(spark, d):
     return doc_sentences(spark, d).select("id", "rank_sentence", "sentence")
 
 
+@query("boundary_statistics")
+def q_boundary_statistics(spark, d):
+    """Abbreviations and sentence starters learned from the documents."""
+    return boundary_statistics(read_table(spark, d, "documents")).select("word", "kind", _r6(F.col("score")).alias("score"))
+
+
+@query("sentence_split_learned")
+def q_sentence_split_learned(spark, d):
+    """N1-N2 with boundaries learned from the same documents."""
+    docs = read_table(spark, d, "documents")
+    return explode_learned(docs, "doc_id", "text", materialize(boundary_statistics(docs)))
+
+
 @query("score_documents")
 def q_score_documents(spark, d):
     docs = read_table(spark, d, "documents")
