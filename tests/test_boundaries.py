@@ -49,5 +49,5 @@ def test_empty_corpus(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     stats = materialize(boundary_statistics(docs))
     assert stats.collect() == []
-    df = spark.createDataFrame([(1, "A b. C d.")], "doc_id long, text string")
-    assert [r.sentence for r in explode_learned(df, "doc_id", "text", stats).orderBy("rank_sentence").collect()] == ["A b.", "C d."]
+    df = spark.createDataFrame([(1, "Ab cd. Ef gh.")], "doc_id long, text string")
+    assert [r.sentence for r in explode_learned(df, "doc_id", "text", stats).orderBy("rank_sentence").collect()] == ["Ab cd.", "Ef gh."]

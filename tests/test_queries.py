@@ -11,6 +11,8 @@ from tonekit.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(QUERIES)
+#: Queries that SQL cannot express (tested on held-out labels instead).
+NO_SQL = {"score_ordinal_trained"}
 #: Queries whose rows come in an order that is part of the result.
 ORDERED = {"sort_sentences"}
 
@@ -41,10 +43,10 @@ def _rows(cols, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(NAMES) == set(ORACLES)
+    assert set(NAMES) - set(ORACLES) == NO_SQL and set(ORACLES) <= set(NAMES)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in NO_SQL])
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
@@ -59,7 +61,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_entry_lists_these_queries():
-    assert set(NAMES) <= set(entry_mod.queries()) and all(entry_mod.oracle_sql()[n] == ORACLES[n] for n in NAMES)
+    assert set(NAMES) <= set(entry_mod.queries()) and all(entry_mod.oracle_sql()[n] == sql for n, sql in ORACLES.items())
 
 
 def test_entry_smoke(spark):

@@ -29,6 +29,7 @@ from tonekit.operators.html_extract import append_literals, extract_links, extra
 from tonekit.operators.language import build_profiles, detect_language, materialize_profiles
 from tonekit.operators.scoring import score_sentences, tokenize
 from tonekit.operators.sentences import drop_noise_sentences, explode_sentences, split_sentences
+from tonekit.operators.trained import score_trained, train_ordinal
 from tonekit.operators.tokens_map import annotate_words, with_token_map
 from tonekit.plans.corpus import build_corpus, metadata_from_table
 from tonekit.plans.figures import figure_rows
@@ -71,8 +72,10 @@ def conv_scored(spark, d) -> DataFrame:
 
 
 def labeled_scored(spark, d) -> DataFrame:
-    labels = read_table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return doc_scored(spark, d).join(joins.broadcast_if_small(labels), "id", "left")
+    """Scored sentences of the documents that have a label: joined before any text is split."""
+    labels = read_table(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", "quality")
+    docs = read_table(spark, d, "documents").join(joins.broadcast_if_small(labels), "doc_id")
+    return score_sentences(explode_sentences(docs, "doc_id", "text", 1, keep=["quality"]), fixture_lexicon(spark))
 
 
 def corpora(spark, d) -> DataFrame:
@@ -579,6 +582,17 @@ def q_score_ordinal(spark, d):
     return doc_scored(spark, d).select("id", "rank_sentence", "ordinal")
 
 
+@query("score_ordinal_trained")
+def q_score_ordinal_trained(spark, d):
+    """N8, trained variant: the class of every document from a model of the labelled ones; no SQL can fit it."""
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    model = train_ordinal(docs.join(labels, "doc_id").select("text", F.col("quality").alias("label")))
+    if model is None:
+        raise ValueError("labels of both kinds are needed")
+    out = score_trained(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", "ordinal", F.round("probability", 6).alias("probability"))
+
+
 @query("language_id")
 def q_language_id(spark, d):
     docs = read_table(spark, d, "documents")
