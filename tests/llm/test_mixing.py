@@ -97,3 +97,12 @@ def test_mixed_documents_repeat_rows(spark, sf_dir):
     want = {r["doc_id"]: r["taken"] // r["size"] for r in op1_mixing(spark, sf_dir).collect() if r["size"]}
     got = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert {d: n for d, n in want.items() if n} == {d: n for d, n in got.items() if d in want}
+
+
+def test_clashing_internal_names(spark):
+    from tonekit.llm.mixing import mixed_documents
+    names = ["_words", "_copies", "_id", "row", "copies", "source_", "low"]
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2], *range(7)) for i in range(40)],
+                                 "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(7))}

@@ -74,3 +74,41 @@ def test_assignments_without_spaces(spark):
         assert all(t[a - 1: a - 1 + len(c)] == c and t[max(a - 49, 0): a - 1] == b for a, c, b in got.get(i, []))
     clean = [r["text"] for r in redact(docs).orderBy("doc_id").collect()]
     assert clean[:3] == [f"API_KEY={MARK} x", f"password={MARK} end", f"AWS_ID={MARK}"] and clean[4] == list(texts)[4]
+
+
+def test_words_stay_and_keys_go(spark):
+    key = "abcdEFGH1234ijklMNOP5678"
+    texts = {"Author: Hemingway wrote it.": None, "the authority: Parliament decided": None, "Authors: Sanders, Miller": None,
+             "tokens = seventeen words": None, "Secretary: Johnson spoke": None, "password: chocolate": None, "Authorization: Bearer": None,
+             f"Authorization: Bearer {key} x": f"Authorization: Bearer {MARK} x", f"authorization = basic {key}=": f"authorization = basic {MARK}",
+             "postgres://user:s3cretPass@host/db": f"postgres://user:{MARK}@host/db", "see http://host:8080/path/x now": None,
+             "userPassword: hunter2!x": f"userPassword: {MARK}", "db_secret_key='q1w2e3r4t5'": f"db_secret_key='{MARK}'"}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "n_chars")
+    more = spark.createDataFrame([(10 ** 9 + i, t, 1) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in redact(docs.unionByName(more)).where(f"doc_id >= {10 ** 9}").collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        assert got[10 ** 9 + i] == (want or t), t
+
+
+def test_clashing_internal_names(spark):
+    names = ["_id", "_hash", "_spots", "_hit", "row", "hit", "clean", "at", "n"]
+    docs = spark.createDataFrame([(1, 'password: hunter22!', 1, *range(9))], DOCS + ", " + ", ".join(f"{n} int" for n in names))
+    (r,) = redact(docs).collect()
+    assert tuple(r) == (1, f"password: {MARK}", 10 + len(MARK), *range(9)) and redact(docs).columns == docs.columns
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+    took = {}
+    for n in (500, 1000, 8000):
+        text = " ".join(f"k{i:05d}Ab" + "9xQ" * 11 for i in range(n)) + " é end"
+        docs = spark.createDataFrame([(1, text, 1), (2, "password: hunter22!", 1), (3, "plain", 1)], DOCS)
+        t = time.time()
+        found = findings(docs).where("doc_id = 1").collect()
+        took[n] = time.time() - t
+        assert len(found) == n and all(text[r["at"] - 1:r["at"] - 1 + len(r["candidate"])] == r["candidate"] for r in found)
+    assert took[8000] < 16 * max(took[1000], 0.5)
+    labelled = spark.createDataFrame([(f"k{i:05d}Ab" + "9xQ" * 11, " ", " ", 1) for i in range(20)] + [(w * 6, "", "", 0) for w in ("word", "other", "thing")],
+                                     "candidate string, before string, after string, label int")
+    got = {r["doc_id"]: r["text"] for r in redact(docs, labelled).collect()}
+    assert got[1] == " ".join([MARK] * 8000) + " é end" and got[3] == "plain"

@@ -133,13 +133,9 @@ def _last_ones(docs: DataFrame, regions: DataFrame) -> DataFrame:
     return lists.select(F.col("source").alias("source_"), F.concat("fill.hs", more).alias("hashes"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """How often each document is taken.
-
-    Returns a stored table ``doc_id, source, size, h, source_size, target, copies`` with a row per
-    document, and ``source, source_size, target`` with a row per source.
-    """
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, share: float, most: float):
+    """The stored sizes ``doc_id, source, size, h``, the targets, and per source what decides a document's copies by its
+    hash: ``source_, source_size, target, whole, low, hashes`` (broadcast if there are few sources)."""
     own = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                              n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "sizes")
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -156,23 +152,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                           F.col("source_").eqNullSafe(F.col("s_")), "left").select("source_", "low", "hashes")
     plan = goals.join(chosen, goals["source"].eqNullSafe(chosen["source_"]), "left").select(
         F.col("source").alias("source_"), "source_size", "target", "whole", "low", "hashes")
-    extra = F.coalesce((F.col("h") < F.col("low")) | F.array_contains("hashes", F.col("h")), F.lit(False))
-    taken = own.join(small(plan), own["source"].eqNullSafe(plan["source_"])).select(
-        "doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("copies"))
+    return own, goals, small(staged(plan, "plan"))
+
+
+def _copies(h: Column) -> Column:
+    extra = F.coalesce((h < F.col("low")) | F.array_contains("hashes", h), F.lit(False))
+    return F.col("whole") + extra.cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+    """How often each document is taken.
+
+    Returns a stored table ``doc_id, source, size, h, source_size, target, copies`` with a row per
+    document, and ``source, source_size, target`` with a row per source.
+    """
+    own, goals, plan = _plan(docs, id_col, text_col, source_col, share, most)
+    taken = own.join(plan, own["source"].eqNullSafe(F.col("source_"))).select(
+        "doc_id", "source", "size", "h", "source_size", "target", _copies(F.col("h")).alias("copies"))
     return taken, goals.select("source", "source_size", "target")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    taken, _ = mix(docs)
-    # rows with one id, source and size share a hash: they are taken equally often
-    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")) \
-                 .agg(F.max("copies").alias("_copies"))
-    sized = docs.withColumn("_words", n_words(F.col("text")))
-    rows = sized.join(times, sized["doc_id"].eqNullSafe(times["_id"]) & sized["source"].eqNullSafe(times["_source"])
-                      & (sized["_words"] == times["_size"]))
-    copies = rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns, whatever their names.
+
+    The sources' plan comes to the rows: no text is shuffled. Rows with one id and source have one hash and are taken
+    equally often.
+    """
+    _, _, plan = _plan(docs, "doc_id", "text", "source", SHARE, MOST)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(plan, F.col("row.source").eqNullSafe(F.col("source_"))).select("row", _copies(id_hash(F.col("row.doc_id"))).alias("copies"))
+    rows = rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,18 +133,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None,
           out: str = "score") -> DataFrame:
     """``keep`` columns (all) of ``docs`` and the score of each whole text as ``out``."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = type(rows.schema)(fields).add(out, "double")
+    keep = list(docs.columns if keep is None else keep)
+    at = keep.index(text_col) if text_col in keep else len(keep)  # the text goes to the tasks once
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep + [text_col] * (at == len(keep))])
+    schema = type(rows.schema)(rows.schema.fields[:len(keep)]).add(out, "double")
 
     def run(batches):
         sizes = Sizes(model.good, model.bad) if model.weights else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
+            texts = batch.column(at).to_pylist()
+            cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(model.scores(texts, sizes) if texts else [], pa.float64())], [*batch.schema.names[:-1], out])
+                [*cols, pa.array(model.scores(texts, sizes) if texts else [], pa.float64())], [*keep, out])
 
     return rows.mapInArrow(run, schema)
 
