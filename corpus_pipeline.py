@@ -42,6 +42,10 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.dropDuplicates(["doc_id", "text"]) if _repeats(found) else left
 
 
+def _repeats(found: DataFrame) -> bool:
+    return not found.where("kept OR doc_id IS NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """No row goes: null and empty texts stay as they are, equal rows are redacted alike."""
     return redact(docs)
