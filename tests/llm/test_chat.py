@@ -74,3 +74,55 @@ def test_partial_quotes_and_nested_attributions(spark):
     assert [(got[2, t]["reply_to"], got[2, t]["max_level"], got[2, t]["n_quotes"]) for t in (1, 3, 4, 5)] == [
         (0, 1, 1), (1, 2, 2), (0, 2, 1), (1, 3, 1)]
     assert [got[2, t]["content"] for t in (1, 3, 4, 5)] == ["B text", "D text", "E text", "F text"]
+
+
+def test_threads_and_long_quotes(spark):
+    rows = [(1, 0, "a", "first words"), (1, 1, "b", "second words"), (1, 2, "c", "> first words\nthird"), (1, 3, "d", "> third\nfourth"),
+            (2, 5, "a", "alone"), (None, 1, "a", "x"), (1, None, "a", "y")]
+    rows += [(3, t, "u", f"m{t}") for t in range(100)]
+    got = run(spark, rows)
+    assert [(got[1, t]["root"], got[1, t]["depth"]) for t in range(4)] == [(0, 0), (0, 1), (0, 1), (0, 2)]
+    assert (got[2, 5]["root"], got[2, 5]["depth"]) == (5, 0) and got[None, 1]["depth"] == 0 and got[1, None]["root"] is None
+    assert all((got[3, t]["root"], got[3, t]["depth"]) == (0, t) for t in range(100))
+    import time
+    took = {}
+    for n in (2000, 16000):
+        text = "\n".join(">" * (1 + i % 2) + f" line {i}" for i in range(n))
+        t = time.time()
+        (r,) = run(spark, [(1, 0, "u", text)]).values()
+        took[n] = time.time() - t
+        assert r["n_quotes"] == n and r["max_level"] == 2 and r["content"] == ""
+    assert took[16000] < 16 * max(took[2000], 1.0)
+
+
+def test_against_plain_linker(spark):
+    """Random quoted conversations against a linker over all earlier messages."""
+    import random
+    import re
+    r = random.Random(8)
+
+    def units(text):
+        norm = lambda x: re.sub(r"[\s>]+", " ", x).strip(" ").lower()
+        parts = [text, *re.split(r"\n\s*\n", text), *text.split("\n")]
+        return {norm(p) for p in parts} - {""}
+
+    rows, want = [], {}
+    for conv in range(12):
+        own = {}
+        for turn in range(r.randint(1, 14)):
+            body = "\n".join(r.choice(["alpha", "beta gamma", "delta", "", "epsilon zeta eta"]) for _ in range(r.randint(1, 4)))
+            quoted = []
+            for level in range(1, r.randint(1, 3)):
+                quoted.append((level, "\n".join(r.choice(["alpha", "Beta  gamma", "unknown", "delta", "theta"]) for _ in range(r.randint(1, 3)))))
+            lines = ["> " * level + x for level, q in quoted for x in q.split("\n")]
+            rows.append((conv, turn, "u", "\n".join(lines + [body])))
+            answer = None
+            for level, q in sorted(quoted):
+                hits = [(len(units(q) & units(own[t])), t) for t in own if units(q) & units(own[t])]
+                if hits:
+                    answer = max(hits)[1]
+                    break
+            want[conv, turn] = answer
+            own[turn] = re.sub(r"^\s+|\s+$", "", re.sub(r"\n{3,}", "\n\n", body))
+    got = run(spark, rows)
+    assert {k: r["quoted_turn"] for k, r in got.items()} == want and sum(v is not None for v in want.values()) > 20

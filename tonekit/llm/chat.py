@@ -8,8 +8,8 @@ normalised (marks and white space apart, lower case) and hashed. Of the earlier
 hold units it quotes, a message answers one at the lowest level that has any: the one with most different
 units, of several the latest; without any, the message before it. Quoted lines are left out of the message.
 
-The result is one row per message, in reply order: a message's place is its turn, as whoever answers
-comes later. A conversation is never gathered in one task: links are joins on (conversation,
+The result is one row per message with its place in the tree of answers: the message it answers, the root of its chain and its
+depth. Whoever answers comes later, so turns are a reply order. A conversation is never gathered in one task: links are joins on (conversation,
 hash), and the message before a message is found within pieces of ``PIECE`` turns, whose last turns
 are compared in a table of one row per piece.
 
@@ -58,16 +58,14 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = _staged(rows, ["conv_id", "turn", "role"], lines=F.transform("lines", lambda x, k: _announced(x, k)))
     own = F.transform(F.filter("lines", lambda x: (x["level"] == 0) & ~x["announces"]), lambda x: x["text"])
     content = F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    # passages: a line that goes on at the level of the one before is added to it
-    passages = F.aggregate(
-        "lines", F.struct(F.lit(0).alias("level"), F.array().cast("array<struct<level:int,text:string>>").alias("done")),
-        lambda acc, x: F.struct(x["level"].alias("level"), F.when(x["level"] == 0, acc["done"]).when(
-            x["level"] == acc["level"], F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.struct(
-                x["level"].alias("level"), F.concat_ws("\n", F.element_at(acc["done"], -1)["text"], x["text"]).alias("text")))))
-            .otherwise(F.concat(acc["done"], F.array(F.struct(x["level"].alias("level"), x["text"].alias("text"))))).alias("done")))
-    quoted = F.exists("lines", lambda x: x["level"] > 0)
-    none = F.array().cast("array<struct<level:int,text:string>>")
-    return _staged(rows, ["conv_id", "turn", "role"], content=content, quotes=F.when(quoted, passages["done"]).otherwise(none))
+    # passages: lines of one level in a row; a passage begins where the level differs from the line before
+    rows = _staged(rows, ["conv_id", "turn", "role", "lines"], content=content, starts=F.filter(F.transform(
+        "lines", lambda x, k: F.when((k == 0) | (F.get("lines", k - 1)["level"] != x["level"]), k)), lambda k: k.isNotNull()))
+    spans = F.zip_with("starts", F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("lines"))),
+                       lambda k, end: F.slice("lines", k + 1, end - k))
+    quotes = F.transform(F.filter(spans, lambda p: F.get(p, F.lit(0))["level"] > 0), lambda p: F.struct(
+        F.get(p, F.lit(0))["level"].alias("level"), F.array_join(F.transform(p, lambda x: x["text"]), "\n").alias("text")))
+    return _staged(rows, ["conv_id", "turn", "role", "content"], quotes=quotes)
 
 
 def _units(text: Column) -> Column:
@@ -88,8 +86,23 @@ def _before(rows: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("inside", "before").alias("previous"))
 
 
+def threads(answers: DataFrame) -> DataFrame:
+    """``conv_id, turn, root, depth`` of every turn that answers one (``conv_id, turn, reply_to``): the turn at which its chain of
+    answers begins and the number of answers up to it. Pointer jumping: a round doubles what a turn knows of its chain."""
+    jump = answers.where("reply_to IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("root"))
+    jump, k = staged(jump.withColumn("depth", F.lit(1).cast("long")), "jump0"), 0
+    while True:
+        on = jump.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+        longer = jump.join(on, ["conv_id", "root"], "left")
+        if longer.where("further IS NOT NULL").isEmpty():
+            return jump
+        k += 1
+        jump = staged(longer.select("conv_id", "turn", F.coalesce("further", "root").alias("root"),
+                                    (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), f"jump{k}")
+
+
 def linked(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, role, content, n_quotes, max_level, quoted_turn, reply_to, formatted``."""
+    """``conv_id, turn, role, content, n_quotes, max_level, quoted_turn, reply_to, root, depth, formatted``."""
     rows = parsed(messages).withColumn("row", F.xxhash64("role", "content", F.to_json("quotes")))
     rows = staged(rows, "messages")
     sources = (rows.where("content <> ''").select("conv_id", "turn", F.explode(_units(F.col("content"))).alias("hash")))
@@ -105,10 +118,12 @@ def linked(messages: DataFrame) -> DataFrame:
     found = found.withColumnRenamed("at", "turn")
     before = _before(rows)
     out = rows.join(before, ["conv_id", "turn"], "left").join(found, ["conv_id", "turn", "row"], "left")
+    out = staged(out.withColumn("reply_to", F.coalesce("quoted_turn", "previous")), "answers")
+    out = out.join(threads(out.select("conv_id", "turn", "reply_to")), ["conv_id", "turn"], "left")
     level = F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0))
     return out.select(
         "conv_id", "turn", "role", "content", F.size("quotes").alias("n_quotes"), level.alias("max_level"), "quoted_turn",
-        F.coalesce("quoted_turn", "previous").alias("reply_to"),
+        "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"),
         F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(CLOSE + "\n"), "content", F.lit("\n" + OPEN + "end" + CLOSE)).alias("formatted"))
 
 

@@ -509,5 +509,21 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The same by all pairs of documents that share a shingle: for small tables.
+_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, greatest(len(w) - {WORDS - 2}, 2))) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, w[i:i + {WORDS - 1}] AS s FROM i),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+t AS (SELECT r, doc_id, coalesce(n, 0) AS n FROM d LEFT JOIN n USING (r)),
+k AS (SELECT r, dense_rank() OVER (ORDER BY s) AS s FROM s),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM k a JOIN k b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN t x ON x.r = a JOIN t y ON y.r = b WHERE 100 * c >= {PER_CENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+q(id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT q.id, e.b FROM q JOIN e ON q.reached = e.a),
+g AS (SELECT id, min(reached) AS component_id FROM q GROUP BY id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN g ON g.id = t.doc_id"""
+
 QUERIES = {"op4_near_dup": op4_near_dup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_near_dup": _SQL}

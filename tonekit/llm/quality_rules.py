@@ -107,5 +107,37 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        failed.alias("base_failed"), (~failed & verdict()).alias("kept"))
 
 
+def _oracle() -> str:
+    """The same in SQL: windows as rows, one filter per line ratio, the table of rules as conditions."""
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    stops = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0::DOUBLE END"
+    measured = {
+        "mean_word_length": ratio("word_chars", "n_words"), "symbols_per_word": ratio("n_symbols", "n_words"),
+        "stop_word_ratio": ratio("n_stop", "n_words"), "capital_ratio": ratio("n_capital", "n_letters"),
+        "shout_ratio": ratio("n_shout", "n_words"), "bullet_line_ratio": ratio("n_bullet", "n_lines"),
+        "ellipsis_line_ratio": ratio("n_ellipsis", "n_lines"), "dup_line_ratio": ratio("n_dup_lines", "n_lines")}
+    good = " AND ".join(f"({measured[m]}) BETWEEN {least!r}::DOUBLE AND {most!r}::DOUBLE" for m, least, most in RULES)
+    failed = f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws,
+                 list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {spaces}, '')) > 0) AS ls FROM d),
+    i AS (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW}),
+    k AS (SELECT r, i, ws[i:i + {WINDOW - 1}] AS k FROM i),
+    c AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM k),
+    p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM c WHERE c > 1) GROUP BY r),
+    m AS (SELECT doc_id, len(ws) AS n_words, length(translate(t, {spaces}, '')) AS word_chars,
+                 length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) AS n_lines,
+                 len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+                 len(list_filter(ws, lambda x: lower(x) IN ({stops}))) AS n_stop,
+                 length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_capital, length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS n_letters,
+                 length(t) - length(translate(t, '!', '')) AS n_shout,
+                 len(list_filter(ls, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) AS n_bullet,
+                 len(list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) AS n_ellipsis FROM w LEFT JOIN p USING (r))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
+           NOT ({failed}) AND {good} AS kept FROM m"""
+
+
 QUERIES = {"op8_quality_rules": op8_quality_rules}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_quality_rules": _oracle()}
