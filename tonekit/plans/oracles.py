@@ -220,9 +220,9 @@ def scored_ctes(p: str, src: str, negation: bool = False, lex: str = "lex", modi
 DOC_SENT = (f"SELECT id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS rank_sentence, unnest(ss) AS sentence, "
             f"lang, source FROM (SELECT doc_id AS id, lang, source, "
             f"list_filter({sentences('text')}, lambda s: {not_noise('s')}) AS ss FROM documents)")
-POSTS = "SELECT conv_id * 1000 + turn AS post_id, role AS author, text FROM conversations"
+POSTS = "SELECT conv_id * 1048576 + turn AS post_id, role AS author, text FROM conversations"
 POST_CLEAN = f"regexp_replace(text, {q(POST_RX)}, '', 'g')"
-CONV_SENT = ("SELECT conv_id * 1000 + turn AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence, "
+CONV_SENT = ("SELECT conv_id * 1048576 + turn AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence, "
              "role AS author FROM conversations WHERE text IS NOT NULL")
 WHOLE_DOC = ("SELECT doc_id AS id, CAST(0 AS INTEGER) AS rank_sentence, text AS sentence FROM documents "
              "WHERE text IS NOT NULL")

@@ -34,7 +34,7 @@ from tonekit.operators.tokens_map import annotate_words, with_token_map
 from tonekit.plans.corpus import build_corpus, metadata_from_table
 from tonekit.plans.figures import figure_rows
 from tonekit.plans.sentiment import conversation_posts, score_posts, sentiment_table
-from tonekit.session import ensure_checkpoint_dir, materialize
+from tonekit.session import materialize, shared_folder
 from tonekit.sources.csv import read_corpus_csv, write_corpus_csv
 from tonekit.sources.html_table import html_table
 from tonekit.sources.lexicon import fixture_lexicon, induced_lexicon
@@ -85,9 +85,7 @@ def corpora(spark, d) -> DataFrame:
 
 
 def _scratch(spark) -> str:
-    import tempfile
-    base = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="tonekit-ckpt-"))  # fallback: tests only
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # ---- flagship --------------------------------------------------------------------------------

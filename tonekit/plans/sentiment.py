@@ -38,10 +38,18 @@ def sentiment_table(df: DataFrame, id_col: str, text_col: str, lexicon: DataFram
     return scored.select(*cols, *keep)
 
 
+TURNS = 1 << 20
+
+
 def conversation_posts(conversations: DataFrame) -> DataFrame:
-    """Conversation turns as posts: ``post_id = conv_id * 1000 + turn``, ``author`` = role."""
+    """Conversation turns as posts: ``post_id = conv_id * TURNS + turn``, ``author`` = role.
+
+    No two posts share an id: a turn that does not fit, or an id too large for a long, is an error, never another post's id.
+    """
+    fits = F.col("turn").isNull() | F.col("turn").between(0, TURNS - 1)
+    turn = F.when(fits, F.col("turn")).otherwise(F.raise_error(F.lit("a conversation has a turn beyond the range of post ids")).cast("long"))
     return conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"),
+        (F.col("conv_id") * TURNS + turn).alias("post_id"),
         F.col("role").alias("author"), "text")
 
 

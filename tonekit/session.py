@@ -71,11 +71,25 @@ def materialize(df: DataFrame) -> DataFrame:
     persisted to memory and disk; a lost block is then recomputed from its lineage.
     """
     spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
     if spark.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); only a local session may make its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+        folder = tempfile.mkdtemp(prefix="tonekit-stored-")
+    return folder.rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -84,12 +98,6 @@ def stored(df: DataFrame) -> DataFrame:
     it survives lost executors. Without a shared folder only a local session may go on.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-        folder = tempfile.mkdtemp(prefix="tonekit-stored-")
-    path = f"{folder.rstrip('/')}/tonekit-stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tonekit-stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
