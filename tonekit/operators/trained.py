@@ -1,6 +1,6 @@
 """Scorer C, trained variant (N8): an ordinal class 0..4 from a logistic model of word counts.
 
-Words are hashed to counts (``FEATURES`` slots) and weighed by a logistic regression fitted by Spark ML over all labelled texts,
+Words and runs of marks are hashed to counts (``FEATURES`` slots), and these are weighed by a logistic regression fitted by Spark ML over all labelled texts,
 both labels with the same total weight; the model is one vector, applied in the JVM. The probability p of the good class is cut at 0.2, 0.4, 0.6 and 0.8.
 Texts without words get the class of the model's intercept; a null text counts as empty.
 """
@@ -14,13 +14,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.functions.text import word_tokens
-
+#: A token: a run of letters, or of characters that are neither letters nor white space.
+RX_TOKEN = r"\p{L}+|[^\p{L}\s]+"
 FEATURES, CUTS = 1 << 16, (0.2, 0.4, 0.6, 0.8)
 
 
 def _with_words(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_words", word_tokens(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn("_words", F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(RX_TOKEN), F.lit(0)))
 
 
 def train_ordinal(texts: DataFrame, text_col: str = "text", label_col: str = "label", features: int = FEATURES,
