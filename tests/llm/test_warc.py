@@ -66,3 +66,13 @@ def test_files_are_warc(spark, put, tmp_path):
             at += 4
             n += 1
     assert n == 50 == read_warc(spark, folder).count()
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    pages = [(i, f"http://x/{i}", f"{i} " + "p" * (90_000 if i == 7 else 2_000)) for i in range(60)]
+    folder = str(tmp_path / "warc")
+    write_warc(spark.createDataFrame(pages, PAGES).coalesce(1), folder)
+    files = spark.read.format("binaryFile").load(folder).select("length").collect()
+    assert len(files) >= 20 and max(f["length"] for f in files) <= 300_000
+    assert got(read_warc(spark, folder)) == expected(pages)

@@ -10,8 +10,9 @@ for *every* place with the magic the offset at which the record there would end
 content length): candidate and successor. True records are those that a chain from the file's start
 reaches. Pointer jumping finds them: with each round the reached set follows the successors'
 successors, so a chain of n records takes about log2(n) rounds, each a join of offsets only.
-Magic inside a payload has no such chain and is dropped. Files hold at most ``RECORDS`` records, so
-a file is what a task can read, and rounds are few.
+Magic inside a payload has no such chain and is dropped. Files hold at most ``RECORDS`` records and
+``FILE_BYTES`` bytes (or one record), so a file is what a task can read, and rounds are few. Offsets are joined by
+shuffles on (file, offset): their tables grow with the archives and are never broadcast.
 
 Defined results: a null html is an empty payload; a null page id is kept as such and never the
 response of others unless all ids of a payload are null; rows with the same smallest id and payload
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tonekit.llm.common import scratch, staged, table
 
 #: Records of a file at most. Characters of a target URI that would end its header line.
-RECORDS = 2_000
+RECORDS, FILE_BYTES, HEADER_BYTES = 2_000, 256 << 20, 4_096
 _CONTROL = r"[\x00-\x20\x7F]"
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Payloads with copies up to which their table (some 60 bytes a row) is broadcast.
@@ -88,7 +89,11 @@ def _base32(hex_col: str) -> Column:
 
 def write_warc(pages: DataFrame, folder: str, **columns: str) -> None:
     """Write the records of ``pages`` as WARC files below ``folder``."""
-    (records(pages, **columns).write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS).text(folder))
+    html, url = columns.get("html_col", "html"), columns.get("url_col", "url")
+    size = F.coalesce(F.octet_length(html), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length(url), F.lit(0)) + HEADER_BYTES
+    largest = pages.agg(F.max(size)).first()[0] or HEADER_BYTES
+    limit = max(1, min(RECORDS, FILE_BYTES // largest))
+    records(pages, **columns).write.option("lineSep", END.decode()).option("maxRecordsPerFile", limit).text(folder)
 
 
 _MAGIC = re.compile(re.escape(MAGIC))
@@ -162,27 +167,27 @@ def reachable(found: DataFrame) -> DataFrame:
     2 ** k records on. Each round is a table in the shared folder, so plans stay short.
     """
     jump = found.select("file", "at", "next")
-    ends = found.select("file", F.col("at").alias("to"))
+    ends = found.select("file", F.col("at").alias("to")).hint("merge")
     jump = staged(jump.join(ends, (jump["file"] == ends["file"]) & (jump["next"] == ends["to"]), "left_semi"), "jump0")
     reached = staged(found.where("at = 0").select("file", "at"), "reached0")
     n, k = reached.count(), 0
     while True:
         k += 1
-        new = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        new = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at"))
         reached_now = staged(reached.union(new), f"reached{k}")
         now = reached_now.count()
         if now == n:
             return reached
         reached, n = reached_now, now
         on = jump.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
-        jump = staged(jump.join(on, ["file", "next"]).select("file", "at", F.col("then").alias("next")), f"jump{k}")
+        jump = staged(jump.join(on.hint("merge"), ["file", "next"]).select("file", "at", F.col("then").alias("next")), f"jump{k}")
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The true records of all WARC files below ``folder``."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     found = staged(files.mapInArrow(_candidates, _FOUND), "candidates")
-    return found.join(reachable(found), ["file", "at"]).select(*[c.split(" ")[0] for c in _RECORD.split(", ")])
+    return found.join(reachable(found).hint("merge"), ["file", "at"]).select(*[c.split(" ")[0] for c in _RECORD.split(", ")])
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
