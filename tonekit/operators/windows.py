@@ -69,13 +69,16 @@ def rolling_mean(df: DataFrame, col: str, id_col: str = "id", order_col: str = "
 
 
 def top_n_per_group(df: DataFrame, group_col: str, order_col: str, n: int,
-                    descending: bool = True, salt_buckets: int = 64) -> DataFrame:
+                    descending: bool = True, salt_buckets: int | None = None) -> DataFrame:
     """The first ``n`` rows per group by ``order_col`` (a top-k report; ties by order value).
 
     Two rounds so that a hot group is never sorted in one task: the top ``n`` of each
-    (group, salt) slice first, then the top ``n`` of the at most ``n * salt_buckets`` survivors.
+    (group, salt) slice first, then the top ``n`` of the at most ``n * salt_buckets`` survivors. By default there are as many
+    slices as the cluster has shuffle partitions.
     Exact, because the overall top ``n`` is the top ``n`` of the slices' top ``n`` sets.
     """
+    if salt_buckets is None:
+        salt_buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets)))
     w1 = Window.partitionBy(group_col, "_salt").orderBy(order)
