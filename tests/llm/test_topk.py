@@ -68,3 +68,9 @@ def test_repeated_query_rows(spark, put, monkeypatch):
     vecs = [(0, [4.0 + n, 4.0]) for n in range(12)] + [(i, [1.0 / i, 0.5]) for i in range(1, 9)]
     want = sorted(x for n in range(12) for x in expected([(0, [4.0 + n, 4.0])] + vecs[12:]) if x[0] == 0)
     assert got(op7_topk(spark, put("embeddings", [(i, v, 0) for i, v in vecs], VECS))) == want
+
+
+def test_huge_components_take_no_part(spark, put):
+    vecs = [(0, [1.0, 2.0]), (1, [1e30, 0.0]), (2, [-3e38, 3e38]), (3, [1e6, -1e6]), (4, [0.5, 0.5])]
+    folder = put("embeddings", [(i, v, 0) for i, v in vecs], VECS)
+    assert got(op7_topk(spark, folder)) == expected([v for v in vecs if v[0] in (0, 3, 4)])

@@ -21,7 +21,8 @@ Defined results: vectors that are null or hold null or non-finite components tak
 of different lengths are not compared (empty ones score 0 with each other); equal scores go by the
 smaller id; rows with equal ids are separate candidates of other queries and none of their own id's;
 a query id that occurs twice is asked once per different vector; fewer candidates than k give
-fewer rows; an empty table gives none. Components must keep scores within 63 bits.
+fewer rows; an empty table gives none. Vectors whose squared length in integers reaches 2**62 take no part: below that
+every inner product is a long.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int =
     """``vec_id, v``: components as integers; vectors that take no part are left out."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    length = F.aggregate(x, F.lit(0.0), lambda s, c: s + (F.abs(c) * scale + 1) * (F.abs(c) * scale + 1))
     return (vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(~F.coalesce(odd, F.lit(False)))
+            .where(length < 2.0 ** 62)
             .select(F.col(id_col).cast("long").alias("vec_id"),
                     F.transform(x, lambda c: F.floor(c * F.lit(float(scale)))).alias("v")))
 
