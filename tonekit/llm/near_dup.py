@@ -296,34 +296,11 @@ def _forest_of_cell(band: int, one: tuple, two: tuple | None, texts: dict[int, b
                 yield x, y
 
 
-def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` that join components of classes which share a bucket: a forest for each cell.
+_CELL = "band int, key long, low int, high int, block int, class long, comp long, n double"
 
-    The classes of a bucket are dealt into blocks of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles; each
-    pair of blocks is a cell, which one task compares, so no task holds more than two blocks.
-    """
-    sized = open_.select("band", "key", "class", "comp").join(
-        classes.select("class", F.col("n_shingles").cast("double").alias("n"), "registers"), "class").join(texts, "class")
-    blocks = open_.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    rows = (sized.join(staged(blocks, "blocks"), ["band", "key"])
-                 .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    cell = ["band", "key", "low", "high"]
-    rows = rows.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                       "block", "class", "comp", "n", "registers", "text")
-    rows = rows.repartition(*cell).sortWithinPartitions(*cell, "block")
-
-    def compared(parts):
-        band, _, low, high = parts[0][0]
-        block, ids, comps, n = (np.concatenate([p[1][k] for p in parts]) for k in range(4))
-        registers = np.frombuffer(b"".join(r for p in parts for r in p[2]), dtype="<u2").reshape(-1, M)
-        one, two = ((ids[own], comps[own], n[own], registers[own]) for own in (block == low, block == high))
-        held = dict(zip(ids.tolist(), (t for p in parts for t in p[3])))
-        links = list(_forest_of_cell(band, one, None if low == high else two, held, dict(zip(ids.tolist(), comps.tolist()))))
-        a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
+def _by_cell(work):
+    """Runs ``work(parts)`` on the rows of each cell; a part is the cell's numbers and a slice of a batch."""
     def run(batches):
         parts = []
         for batch in batches:
@@ -331,19 +308,67 @@ def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            numbers = [batch.column(c).to_numpy() for c in range(4, 8)]
             for x, y in zip(cuts, cuts[1:]):
                 key = tuple(keys[x].tolist())
                 if parts and parts[0][0] != key:
-                    yield compared(parts)
+                    yield work(parts)
                     parts = []
-                part = batch.slice(x, y - x)
-                raw = part.column(9).cast(pa.large_binary()).to_pylist()
-                parts.append((key, [c[x:y] for c in numbers], part.column(8).to_pylist(), raw))
+                parts.append((key, batch.slice(x, y - x)))
         if parts:
-            yield compared(parts)
+            yield work(parts)
+    return run
+
+
+def _sides(parts):
+    """The two blocks of a cell (the second None if it is the first): classes, components, sizes, registers."""
+    band, _, low, high = parts[0][0]
+    block, ids, comps, n = (np.concatenate([p.column(k).to_numpy() for _, p in parts]) for k in range(4, 8))
+    registers = np.frombuffer(b"".join(r for _, p in parts for r in p.column(8).to_pylist()), dtype="<u2").reshape(-1, M)
+    one, two = ((ids[own], comps[own], n[own], registers[own]) for own in (block == low, block == high))
+    return band, one, None if low == high else two
+
+
+def _in_question(parts):
+    """The rows of a cell whose class is part of a plausible pair of it."""
+    found = list(_pairs_of_cell(*_sides(parts)))
+    used = np.unique(np.concatenate([x for pair in found for x in pair])) if found else np.zeros(0, np.int64)
+    rows = pa.Table.from_batches([p for _, p in parts]).drop_columns(["registers"])
+    return rows.filter(pa.array(np.isin(rows.column("class").to_numpy(), used))).combine_chunks().to_batches(None)[0] if len(used) else (
+        parts[0][1].slice(0, 0).drop_columns(["registers"]))
 
-    return rows.mapInArrow(run, "a long, b long")
+
+def _joined(parts):
+    """The links of a cell, from the texts of its classes."""
+    band, one, two = _sides(parts)
+    numbers = [[p.column(k).to_pylist() for _, p in parts] for k in (5, 6)]
+    texts = (t for _, p in parts for t in p.column(9).cast(pa.large_binary()).to_pylist())
+    ids, comps = (sum(x, []) for x in numbers)
+    links = list(_forest_of_cell(band, one, two, dict(zip(ids, texts)), dict(zip(ids, comps))))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` that join components of classes which share a bucket: a forest for each cell.
+
+    The classes of a bucket are dealt into blocks of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles; each
+    pair of blocks is a cell, which one task compares, so no task holds more than two blocks. Cells are gone through
+    with registers alone first; only classes that have a plausible partner in a cell come to it again with their texts.
+    """
+    blocks = open_.join(classes.select("class", "n_shingles"), "class").groupBy("band", "key").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    rows = (open_.select("band", "key", "class", "comp").join(staged(blocks, "blocks"), ["band", "key"])
+                 .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    cell = ["band", "key", "low", "high"]
+    rows = rows.select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "block", "class", "comp")
+    own = classes.select("class", F.col("n_shingles").cast("double").alias("n"), "registers")
+    rows = rows.join(own, "class").select(*cell, "block", "class", "comp", "n", "registers")
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "block")
+    wanted = staged(dealt.mapInArrow(_by_cell(_in_question), _CELL), "in_question")
+    rows = wanted.join(own.drop("n"), "class").join(texts, "class").select(*cell, "block", "class", "comp", "n", "registers", "text")
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "block")
+    return dealt.mapInArrow(_by_cell(_joined), "a long, b long")
 
 
 def _linked(tried: DataFrame, texts: DataFrame, name: str) -> DataFrame:
