@@ -378,8 +378,7 @@ def _split_learned() -> str:
 
 def _corpus_build() -> str:
     start = "1990 + c_custkey % 9"
-    name = "'Customer ' || CAST(c_custkey AS VARCHAR)"
-    name = "regexp_replace(c_name, 'Customer#0*', 'Customer ')"
+    name = "regexp_replace(c_name, 'Customer#0{0,8}', 'Customer ')"
     term = (f"'March 4, ' || CAST({start} AS VARCHAR) || ' – ' || CASE WHEN c_custkey % 7 = 0 THEN 'Incumbent' "
             f"ELSE 'March 4, ' || CAST({start} + 4 AS VARCHAR) END")
     body = f"nullif({strip('text')}, '')"
@@ -391,7 +390,7 @@ def _corpus_build() -> str:
             f"n AS (SELECT name, count(DISTINCT deputy) AS n_Deputy FROM m WHERE NOT contains(deputy, 'Vacant') GROUP BY name), "
             f"w AS (SELECT DISTINCT m.*, n.n_Deputy FROM m LEFT JOIN n USING (name)), "
             f"k AS (SELECT *, row_number() OVER (ORDER BY name, deputy, party, term) AS rn, count(*) OVER () AS total FROM w), "
-            f"p AS (SELECT d.doc_id AS page_id, d.source AS title, regexp_replace(c.c_name, 'Customer#0*', 'Customer ') AS name, "
+            f"p AS (SELECT d.doc_id AS page_id, d.source AS title, regexp_replace(c.c_name, 'Customer#0{{0,8}}', 'Customer ') AS name, "
             f"CAST(o.o_orderdate AS DATE) AS date, {speech} AS speech FROM documents d LEFT JOIN orders o ON d.doc_id = o.o_orderkey "
             f"LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE d.doc_id IS NOT NULL) "
             f"SELECT page_id, title, p.name, CASE WHEN party = 'BUILDING' AND date < DATE '1995-01-01' THEN 'BUILDING 1' "

@@ -234,9 +234,9 @@ def q_corpus_build(spark, d):
     (J4), a segment split by date (P5), defaults (P9) and the final projection (P1)."""
     meta = metadata_from_table(leader_pages(spark, d), ["Leader", "Party.1", "Term", "Deputy"], range_col="Term",
                                count_key="Leader", count_col="Deputy", exclude_text="Vacant",
-                               name_map={"Customer#0*": "Customer "}, drop_positions=[16], drop_last=True)
+                               name_map={"Customer#0{0,8}": "Customer "}, drop_positions=[16], drop_last=True)
     meta = clean.rename(meta, {"Leader": "name", "Party": "party"})
-    pages = speech_pages(spark, d).withColumn("html", F.regexp_replace("html", "> Customer#0*", "> Customer "))
+    pages = speech_pages(spark, d).withColumn("html", F.regexp_replace("html", "> Customer#0{0,8}", "> Customer "))
     party, date, cutoff = F.col("party"), F.col("date"), F.lit(CORPUS_CUTOFF).cast("date")
     old, new = (party == "BUILDING") & (date < cutoff), (party == "BUILDING") & (date > cutoff)
     return build_corpus(pages, materialize(meta), "name", ["page_id", "title", "name", "party", "from", "until", "n_Deputy", "date", "info", "speech"],
