@@ -106,6 +106,21 @@ def test_tables_nested_spans_and_open_cells(spark):
     assert html_table(df, "html", 9).collect() == []
 
 
+def test_table_takes_one_sort_and_no_shuffle_of_dealt_pages(spark):
+    """Spans wider than a batch, and a plan whose only exchange is the caller's."""
+    rows = "".join(f"<tr><td>{i} &amp; &eacute;" for i in range(30))
+    html = f"<table><tr><th>A<th>B</tr><tr><td rowspan=40>all {rows[4:]}</table>"
+    df = spark.createDataFrame([(k, html) for k in range(40)] + [(None, None)], "page_id long, html string").repartition(3, "page_id")
+    table = html_table(df, "html")
+    got = {}
+    for r in table.collect():
+        got.setdefault(r.page_id, {})[r.row, r.col] = (r.header, r.value)
+    want = {(i + 1, c): v for i in range(30) for c, v in ((0, ("A", "all")), (1, ("B", f"{i} & é")))}
+    assert set(got) == set(range(40)) and all(v == want for v in got.values())
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
 def test_read_lexicon_file_scores_like_fixture(spark, lexicon):
     import os
     from tonekit.operators.scoring import score_sentences

@@ -1,11 +1,12 @@
 """HTML tables stored inside pages -> rows.
 
-Pages are cut at the tags of tables, rows and cells and exploded to one row per piece; the depth of a piece is a prefix sum
-over the page's table tags. The n-th table of a page (in the order of open tags, nested ones counted) is the range from
+Pages are cut at the tags of tables, rows and cells and exploded to one row per piece; one window sorts the pieces of each
+page (without a shuffle if the pages are already dealt by their keys) and one pass over the sorted rows counts the depth of
+their table tags. The n-th table of a page (in the order of open tags, nested ones counted) is the range from
 its open tag to where the depth falls below its own; its rows and cells are the tags of that range at its own depth, so
 a nested table is text of the cell that holds it. Open cells end at the next tag of a cell or row, whether closed
-or not. Cells that span rows or columns fill every place of the grid that they cover. The work of a page is one group
-of its own pieces, so tasks grow with the largest page, not with the corpus.
+or not. Cells that span rows or columns fill every place of the grid that they cover. The pass holds one cell and one row
+of a grid at a time, so memory grows neither with the corpus nor with the rows of a page.
 
 The output is long (one row per place of the grid), which keeps any number of columns per page; ``table_to_columns``
 pivots to named columns for a known header list.
@@ -15,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tonekit.functions.html import decode_entities, strip_tags, tag_pieces
 from tonekit.functions.text import strip
@@ -25,6 +27,12 @@ from tonekit.operators.generate import explode_rows
 
 #: Widest span that HTML allows.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Places after which a batch is given on.
+MOST_PLACES = 10_000
+
+_PLACE_FIELDS = [StructField("row", IntegerType()), StructField("col", IntegerType()),
+                 StructField("header", StringType()), StructField("value", StringType())]
+_PLACE = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("header", pa.string()), ("value", pa.string())])
 
 
 def _span(piece, name: str, most: int):
@@ -32,85 +40,136 @@ def _span(piece, name: str, most: int):
     return F.when(text == "", 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), text.try_cast("int"))))
 
 
-def table_cells(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] = ("page_id",), table_tag: str = "table",
-                row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td")) -> DataFrame:
-    """``(*keys, row, cell, rowspan, colspan, value)``: the cells of the n-th table as they stand in the markup."""
+def _tags(df: DataFrame, html_col: str, keys: Sequence[str], table_tag: str, row_tag: str, cell_tags: Sequence[str]) -> DataFrame:
+    """``(*keys, _n, _tag, _rowspan, _colspan, _piece)``: a page's pieces numbered from 1, in order within their partition.
+
+    ``_tag``: 1 table, 2 row, 3 and more cell, less than 0 for a close tag, else 0.
+    """
     tags = [table_tag, row_tag, *cell_tags]
-    rows = explode_rows(df, tag_pieces(html_col, tags), ["pos", "piece"], list(keys), with_pos=True)
-    kind = F.lower(F.regexp_extract("piece", r"^\u0002?</?([A-Za-z][A-Za-z0-9]*)", 1))
-    close = F.startswith("piece", F.lit("\u0002"))
-    rows = rows.withColumn("kind", F.when(F.col("pos") > 0, kind).otherwise("")).withColumn("close", close)
-    page = Window.partitionBy(*keys)
-    upto = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_table = F.col("kind") == table_tag
-    rows = (rows.withColumn("depth", F.sum(F.when(is_table & ~close, 1).when(is_table & close, -1).otherwise(0)).over(upto))
-                .withColumn("table_no", F.sum(F.when(is_table & ~close, 1).otherwise(0)).over(upto)))
-    opens = is_table & ~close & (F.col("table_no") == nth + 1)
-    rows = (rows.withColumn("from_pos", F.min(F.when(opens, F.col("pos"))).over(page))
-                .withColumn("own", F.min(F.when(opens, F.col("depth"))).over(page)))
-    ends = (F.col("pos") > F.col("from_pos")) & (F.col("depth") < F.col("own"))
-    rows = rows.withColumn("to_pos", F.min(F.when(ends, F.col("pos"))).over(page))
-    rows = rows.where((F.col("pos") > F.col("from_pos")) & (F.col("to_pos").isNull() | (F.col("pos") < F.col("to_pos"))))
-    here = F.col("depth") == F.col("own")
-    is_cell = F.col("kind").isin(*cell_tags)
-    rows = (rows.withColumn("row", F.sum(F.when(here & ~F.col("close") & (F.col("kind") == row_tag), 1).otherwise(0)).over(upto) - 1)
-                .withColumn("cell", F.sum(F.when(here & ~F.col("close") & is_cell, 1).otherwise(0)).over(upto))
-                .withColumn("state", F.last(F.when(here & (is_cell | (F.col("kind") == row_tag)),
-                                                   F.when(is_cell & ~F.col("close"), 1).otherwise(0)), ignorenulls=True).over(upto)))
-    inside = rows.where((F.col("state") == 1) & (F.col("row") >= 0))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
-    cells = inside.groupBy(*keys, "row", "cell").agg(text.alias("markup"))
-    value = strip(decode_entities(strip_tags(F.translate("markup", "\u0002", ""))))
-    return cells.select(*keys, F.col("row").cast("int").alias("row"), "cell", _span(F.col("markup"), "rowspan", MOST_ROWS).alias("rowspan"),
-                        _span(F.col("markup"), "colspan", MOST_COLUMNS).alias("colspan"), value.alias("value"))
-
-
-def _filled(cells: Sequence[dict]) -> list[dict]:
-    """Places of one table's grid from its cells in order; a span over rows ends with the table's last row."""
-    out: list[dict] = []
-    if len(cells) == 0:
-        return out
-    rows: dict[int, list[dict]] = {}
-    for c in cells:
-        rows.setdefault(c["row"], []).append(c)
-    last = max(rows)
-    held: dict[int, tuple[int, str]] = {}  # column -> last row of a span, value
-    for row in range(last + 1):
-        here = {c: v for c, (upto, v) in held.items() if upto >= row}
-        col = 0
-        for c in rows.get(row, ()):
-            while col in here:
-                col += 1
-            for k in range(col, col + c["colspan"]):
-                here.setdefault(k, c["value"])
-                if c["rowspan"] > 1:
-                    held[k] = (min(last, row + c["rowspan"] - 1), c["value"])
-            col += c["colspan"]
-        out += [{"row": row, "col": c, "value": v} for c, v in sorted(here.items())]
-    return out
-
-
-def _grid(tables: pd.Series) -> pd.Series:
-    return tables.map(_filled)
+    rows = explode_rows(df, tag_pieces(html_col, tags), ["_pos", "_piece"], list(keys), with_pos=True)
+    kind = F.lower(F.regexp_extract("_piece", r"^\u0002?</?([A-Za-z][A-Za-z0-9]*)", 1))
+    no = F.array_position(F.array(*[F.lit(t) for t in tags]), kind).cast("int")
+    rows = rows.withColumn("_tag", F.when(F.col("_pos") == 0, 0).when(F.startswith("_piece", F.lit("\u0002")), -no).otherwise(no))
+    spans = [F.when(F.col("_tag") > 2, _span(F.col("_piece"), name, most)).otherwise(1).alias(f"_{name}")
+             for name, most in (("rowspan", MOST_ROWS), ("colspan", MOST_COLUMNS))]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_pos"))
+    return rows.select(*keys, number.alias("_n"), "_tag", *spans, F.translate("_piece", "\u0002", "").alias("_piece"))
+
+
+class _Grid:
+    """The grid of one table, row by row as its cells come in; ``out`` takes ``(row, col, header, markup)``."""
+
+    def __init__(self, out, header: bool):
+        self.out, self.header = out, header
+        self.row, self.col, self.here, self.head = 0, 0, {}, {}
+        self.held: dict[int, tuple[int, str]] = {}  # column -> last row of a span, markup
+
+    def add(self, row: int, rowspan: int, colspan: int, markup: str) -> None:
+        while self.row < row:
+            self.end_row()
+            self.held = {c: h for c, h in self.held.items() if h[0] > self.row}
+            self.row, self.col, self.here = self.row + 1, 0, {c: v for c, (_, v) in self.held.items()}
+        while self.col in self.here:
+            self.col += 1
+        for k in range(self.col, self.col + colspan):
+            self.here.setdefault(k, markup)
+            if rowspan > 1:
+                self.held[k] = (row + rowspan - 1, markup)
+        self.col += colspan
+
+    def end_row(self) -> None:
+        """Spans over rows reach to the last row with a cell: a row is complete when a later one has a cell, or at the end."""
+        if self.header and self.row == 0:
+            self.head = self.here
+            return
+        for c, v in sorted(self.here.items()):
+            self.out(self.row, c, self.head.get(c), v)
+
+
+def _places(n_keys: int, nth: int, header: bool):
+    """Pieces of whole pages, in order, to places of the nth table's grid; holds one open cell and one row of the grid."""
+    def run(batches):
+        places, last, schema = [], None, None
+        at, grid = 0, None
+        depth = tables = own = row = rowspan = colspan = 0
+        cell: list[str] | None = None
+        ended = True
+
+        def out(*place):
+            places.append((at, *place))
+
+        def end_cell():
+            nonlocal cell
+            if cell is not None and row >= 0:
+                grid.add(row, rowspan, colspan, "".join(cell))
+            cell = None
+
+        def end_table():
+            if not ended:
+                end_cell()
+                grid.end_row()
+
+        def made():
+            at_, *columns = zip(*places) if places else ((), (), (), (), ())
+            rows = [k.take(pa.array(at_, pa.int64())) for k in known]
+            return pa.RecordBatch.from_arrays([*rows, *(pa.array(c, t) for c, t in zip(columns, _PLACE.types))], schema=schema)
+
+        for batch in batches:
+            keys = batch.columns[:n_keys]
+            schema = schema or pa.schema([*[batch.schema.field(i) for i in range(n_keys)], *_PLACE])
+            # the key of a place is that of the row before the one that ends it
+            known = [pa.concat_arrays([b, k]) for b, k in zip(last or [k.slice(0, 1) for k in keys], keys)]
+            for at, (n, tag, down, across, piece) in enumerate(zip(*(c.to_pylist() for c in batch.columns[n_keys:]))):
+                if n == 1:
+                    end_table()
+                    depth, tables, own, ended, cell = 0, 0, None, False, None
+                    row, grid = -1, _Grid(out, header)
+                if tag == 1:
+                    depth, tables = depth + 1, tables + 1
+                elif tag == -1:
+                    depth -= 1
+                if own is None:
+                    if tag == 1 and tables == nth + 1:
+                        own = depth
+                elif not ended:
+                    if depth < own:
+                        end_table()
+                        ended = True
+                    elif depth == own and abs(tag) > 1:
+                        end_cell()
+                        if tag == 2:
+                            row += 1
+                        elif tag > 2:
+                            cell, rowspan, colspan = [piece], down, across
+                    elif cell is not None:
+                        cell.append(piece)
+                if len(places) >= MOST_PLACES:
+                    yield made()
+                    places.clear()
+            last = [k.slice(len(k) - 1) for k in keys] if batch.num_rows else last
+            at = 0
+            yield made()
+            places.clear()
+        if last:
+            known = last
+            end_table()
+            yield made()
+
+    return run
 
 
 def html_table(df: DataFrame, html_col: str, nth: int = 0, keys: Sequence[str] = ("page_id",), table_tag: str = "table",
                row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), header: bool = True) -> DataFrame:
     """``(*keys, row, col, header, value)`` of the n-th table (0-based): its data rows (row >= 1) with the first row as
     header, or with ``header=False`` (lists) all rows and a null header."""
-    cells = table_cells(df, html_col, nth, keys, table_tag, row_tag, cell_tags)
-    page = Window.partitionBy(*keys)
-    cells = cells.withColumn("_spans", F.max((F.col("rowspan") > 1) | (F.col("colspan") > 1)).over(page))
-    plain = cells.where(~F.col("_spans")).withColumn("col", F.row_number().over(Window.partitionBy(*keys, "row").orderBy("cell")) - 1)
-    plain = plain.select(*keys, "row", "col", "value")
-    spanned = cells.where("_spans").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("row", "cell", "rowspan", "colspan", "value"))).alias("_cells"))
-    places = F.pandas_udf(_grid, "array<struct<row: int, col: int, value: string>>")
-    grid = plain.unionByName(spanned.select(*keys, F.inline(places("_cells"))))
-    if not header:
-        return grid.select(*keys, "row", "col", F.lit(None).cast("string").alias("header"), "value")
-    top = F.max(F.when(F.col("row") == 0, F.col("value"))).over(Window.partitionBy(*keys, "col"))
-    return grid.withColumn("header", top).where("row >= 1").select(*keys, "row", "col", "header", "value")
+    pieces = _tags(df, html_col, keys, table_tag, row_tag, cell_tags)
+    kept = StructType([*[pieces.schema[k] for k in keys], *_PLACE_FIELDS])
+    places = pieces.mapInArrow(_places(len(keys), nth, header), kept)
+
+    def text(markup: str):
+        return strip(decode_entities(strip_tags(markup)))
+
+    return places.select(*keys, "row", "col", text("header").alias("header"), text("value").alias("value"))
 
 
 def table_to_columns(long_df: DataFrame, keys: Sequence[str], headers: Sequence[str]) -> DataFrame:
