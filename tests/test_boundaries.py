@@ -1,6 +1,8 @@
 """Learned sentence boundaries: statistics by hand-made corpora, the split on known hard cases."""
 import random
 
+from pyspark.sql import functions as F
+
 from tonekit.operators.boundaries import boundary_statistics, explode_learned, known_words
 from tonekit.session import materialize
 
@@ -51,3 +53,20 @@ def test_empty_corpus(spark):
     assert stats.collect() == []
     df = spark.createDataFrame([(1, "Ab cd. Ef gh.")], "doc_id long, text string")
     assert [r.sentence for r in explode_learned(df, "doc_id", "text", stats).orderBy("rank_sentence").collect()] == ["Ab cd.", "Ef gh."]
+
+
+def test_patterns_run_on_distinct_pairs_of_tokens(spark):
+    """Counting comes before the patterns that take tokens apart: none of them stands below the first aggregate."""
+    from tonekit.operators.boundaries import raw_tokens
+    df = spark.createDataFrame([(1, "\u00a0 \"Dr. Ab (c.) d.. \u2003"), (2, " "), (3, "x.")], "doc_id long, text string")
+    rows = df.select("doc_id", raw_tokens(F.col("text")).alias("t")).orderBy("doc_id").collect()
+    assert [[(p.raw, p.before) for p in r.t] for r in rows] == [
+        [('"dr.', None), ("ab", '"dr.'), ("(c.)", None), ("d..", "(c.)")], [("", None)], [("x.", None)]]
+    plan = df.select(raw_tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^.]" not in plan
+
+
+def test_white_space_of_any_kind_at_the_ends_of_sentences(spark):
+    df = spark.createDataFrame([(1, "\u00a0Ab cd. \u3000 Ef gh.\u2003\n")], "doc_id long, text string")
+    stats = spark.createDataFrame([], "word string, kind string, score double")
+    assert [r.sentence for r in explode_learned(df, "doc_id", "text", stats).orderBy("rank_sentence").collect()] == ["Ab cd.", "Ef gh."]

@@ -32,14 +32,26 @@ RX_LEAD, RX_TAIL = r"""^["'(\[]+""", r"""["')\]]+$"""
 RX_TYPE = r"^\p{L}[\p{L}.]*$"
 
 
-def token_types(text: Column) -> Column:
-    """``ARRAY<STRUCT<type, period>>`` of the whitespace-separated tokens: lower case, quotes and brackets at either end and
-    one final period taken off; ``period``: whether there was one (not a run of them)."""
-    def parted(token: Column) -> Column:
-        period = token.rlike(r"[^.]\.$")
-        return F.struct(F.when(period, F.regexp_replace(token, r"\.$", "")).otherwise(token).alias("type"), period.alias("period"))
-    bare = F.transform(F.split(F.lower(strip(text)), r"\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, RX_LEAD, ""), RX_TAIL, ""))
-    return F.transform(bare, parted)
+def _trimmed(text: Column) -> Column:
+    """``strip``, with its pattern run only where other white space than ASCII's is left at an end."""
+    return let(F.btrim(text, F.lit(" \t\n\x0b\f\r")), lambda t: F.when(
+        F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))).rlike(r"(?U)\s"), strip(t)).otherwise(t))
+
+
+def raw_tokens(text: Column) -> Column:
+    """``ARRAY<STRUCT<raw, before>>`` of the lower-cased whitespace-separated tokens; ``before``: the token in front if it has a period."""
+    def paired(tokens: Column) -> Column:
+        follows = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, F.lit(1), F.size(tokens) - 1))
+        return F.zip_with(tokens, follows, lambda t, b: F.struct(t.alias("raw"), F.when(F.contains(b, F.lit(".")), b).alias("before")))
+    return let(F.split(F.lower(_trimmed(text)), r"\s+"), paired)
+
+
+def token_type(raw: Column) -> tuple[Column, Column]:
+    """Type of a raw token (quotes and brackets at either end and one final period taken off), and whether there was one
+    period (not a run of them)."""
+    bare = F.regexp_replace(F.regexp_replace(raw, RX_LEAD, ""), RX_TAIL, "")
+    period = bare.rlike(r"[^.]\.$")
+    return F.when(period, F.regexp_replace(bare, r"\.$", "")).otherwise(bare), period
 
 
 def _log(x: Column) -> Column:
@@ -54,13 +66,12 @@ def _binomial(k: Column, n: Column, p: Column) -> Column:
 def boundary_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, kind, score``: the abbreviations and the sentence starters of a corpus."""
     from tonekit.session import materialize
-    rows = docs.where(F.col(text_col).isNotNull()).select(token_types(F.col(text_col)).alias("_types"))
-    known = F.when(F.get("_types", F.lit(0))["type"].isNotNull(), F.col("_types"))
-    follows = F.concat(F.array(F.lit(None).cast("struct<type: string, period: boolean>")), F.slice("_types", F.lit(1), F.greatest(F.size("_types") - 1, F.lit(0))))
-    pairs = F.zip_with(known, follows, lambda t, before: F.struct(
-        t["type"].alias("type"), t["period"].alias("period"), F.when(before["period"], before["type"]).alias("after")))
-    tokens = explode_rows(rows, pairs, ["t"]).select("t.*")
-    counts = materialize(tokens.groupBy("type", "after").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("period").cast("int")).alias("np")))
+    tokens = explode_rows(docs.where(F.col(text_col).isNotNull()), raw_tokens(F.col(text_col)), ["t"]).select("t.*")
+    # distinct pairs of raw tokens first: they are few, so the patterns run on few rows
+    raw = tokens.groupBy("raw", "before").agg(F.count(F.lit(1)).alias("n"))
+    (kind, period), (after, ended) = token_type(F.col("raw")), token_type(F.col("before"))
+    pairs = raw.select(kind.alias("type"), F.when(ended, after).alias("after"), "n", F.when(period, F.col("n")).otherwise(0).alias("np"))
+    counts = materialize(pairs.groupBy("type", "after").agg(F.sum("n").alias("n"), F.sum("np").alias("np")))
     per_type = counts.groupBy(F.col("type").alias("word")).agg(F.sum("n").cast("double").alias("n"), F.sum("np").cast("double").alias("np"))
     per_type = materialize(per_type)
     total = per_type.agg(F.sum("n").alias("n_all"), F.sum("np").alias("np_all"))  # one row
@@ -96,22 +107,24 @@ def known_words(statistics: DataFrame) -> tuple[list[str], list[str]]:
 def split_learned(text: Column, abbreviations: list[str], starters: list[str]) -> Column:
     """Sentences of a text, split by rule and joined again at periods that end none."""
     def ends(piece: Column, following: Column) -> Column:
-        last = F.lower(F.regexp_replace(F.regexp_extract(piece, r"(\S+)\s*$", 1), RX_LEAD, ""))
-        bare = F.regexp_replace(last, r"\.$", "")
-        head = F.regexp_replace(F.regexp_extract(following, r"^\s*(\S+)", 1), RX_LEAD, "")
+        head = F.regexp_replace(F.regexp_extract(following, r"^\s*(\S+)", 1), RX_LEAD, "")  # read for few pieces only
         starts = F.regexp_extract(F.lower(head), r"^\p{L}+", 0).isin(*starters) if starters else F.lit(False)
-        short = bare.rlike(r"^\p{L}$")
-        if abbreviations:
-            short = short | bare.isin(*abbreviations)
-        ordinal = bare.rlike("^[0-9]+$") & head.rlike(r"^\p{Ll}")
-        return ~last.rlike(r"[^.]\.$") | ~((short & ~starts) | ordinal)
+
+        def taken_back(bare: Column) -> Column:
+            short = bare.rlike(r"^\p{L}$")
+            if abbreviations:
+                short = short | bare.isin(*abbreviations)
+            return (short & ~starts) | (bare.rlike("^[0-9]+$") & head.rlike(r"^\p{Ll}"))
+
+        last = F.lower(F.regexp_replace(F.regexp_extract(piece, r"(?<!\S)(\S++)\s*$", 1), RX_LEAD, ""))
+        return let(last, lambda word: ~word.rlike(r"[^.]\.$") | ~let(F.regexp_replace(word, r"\.$", ""), taken_back))
 
     def joined(pieces: Column) -> Column:
         after = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
         return F.array_join(F.zip_with(pieces, after, lambda p, q: F.when(ends(p, q), F.concat(p, F.lit(SENT_MARK))).otherwise(p)), "")
 
     cut = F.split(F.regexp_replace(text, RX_SENT, "$0" + SENT_MARK), SENT_MARK)
-    parts = F.transform(F.split(let(cut, joined), SENT_MARK), lambda s: strip(s))
+    parts = F.transform(F.split(let(cut, joined), SENT_MARK), _trimmed)
     return F.filter(parts, lambda s: s != F.lit(""))
 
 
