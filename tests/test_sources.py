@@ -121,6 +121,21 @@ def test_table_takes_one_sort_and_no_shuffle_of_dealt_pages(spark):
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
 
 
+def test_language_sums_are_dealt_by_their_number_of_words(spark, monkeypatch):
+    """The tasks that sum up texts grow in number with the words; texts are dealt once, before they become words."""
+    from pyspark.sql import functions as F
+    from tonekit.operators import language
+    docs = spark.range(60).select("id", F.lit(0).alias("rank_sentence"), F.expr("if(id = 7, '...', repeat('the house ', 50))").alias("sentence"),
+                                  F.lit("en").alias("lang"))
+    prof = build_profiles(docs, "sentence").localCheckpoint()
+    monkeypatch.setattr(language, "WORDS_PER_TASK", 100)
+    out = detect_language(docs, prof)
+    assert out.rdd.getNumPartitions() == 60  # 5,900 words and one text without
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.language, r["count"]) for r in out.groupBy("language").count().collect()} == {("en", 59), ("no features in text", 1)}
+
+
 def test_read_lexicon_file_scores_like_fixture(spark, lexicon):
     import os
     from tonekit.operators.scoring import score_sentences

@@ -14,7 +14,8 @@ Texts without any letter get the fixed fallback label.
 Physical plan: a text's sum is the sum over its words, and words repeat far more than texts. So every distinct word of
 the texts gets its vector once (number of trigrams, and per language the sum of its weights); texts are exploded
 to words only, joined with that table (broadcast if its bytes are proven few, else a shuffle join that AQE splits on
-hot words) and summed up per text: a row per word instead of one per trigram.
+hot words) and summed up per text: a row per word instead of one per trigram. The texts are dealt by their keys to as many
+tasks as their number of words asks for, so the sums that a task holds do not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from tonekit.functions.text import word_tokens
 from tonekit.operators.generate import explode_rows
 from tonekit.operators.joins import broadcast_if_small
 
+#: Words of the texts that one task sums up.
+WORDS_PER_TASK = 1_000_000
+
 
 def word_trigrams(word: Column) -> Column:
     """3-char windows of `` word `` (the word padded with one blank on each side)."""
@@ -96,11 +100,15 @@ def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("
     """
     from tonekit.session import materialize
     consts = _language_constants(profiles)
-    texts = df.select(*keys, word_tokens(text_col).alias("_words"))
-    words = explode_rows(texts, F.col("_words"), ["word"]).distinct()
-    vectors = materialize(word_vectors(words, profiles, [lang for lang, _ in consts]))
     # explode_outer keeps texts without words (one row, null word) so no join back is needed
-    toks = texts.select(*keys, F.explode_outer("_words").alias("word"))
+    words = F.explode_outer(word_tokens(text_col)).alias("word")
+    counts = materialize(df.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counts.where(F.col("word").isNotNull()).select("word")
+    vectors = materialize(word_vectors(distinct, profiles, [lang for lang, _ in consts]))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    n_parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS_PER_TASK))
+    # texts are dealt by their keys before they become words: the sum per text needs no second shuffle
+    toks = df.select(*keys, text_col).repartition(n_parts, *keys).select(*keys, words)
     joined = toks.join(broadcast_if_small(vectors), "word", "left")
     sums = [F.sum(F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(consts))]
     per_text = joined.groupBy(*keys).agg(F.sum(F.coalesce("n_tri", F.lit(0))).alias("_n"), *sums)
