@@ -125,7 +125,7 @@ def test_language_sums_are_dealt_by_their_number_of_words(spark, monkeypatch):
     """The tasks that sum up texts grow in number with the words; texts are dealt once, before they become words."""
     from pyspark.sql import functions as F
     from tonekit.operators import language
-    docs = spark.range(60).select("id", F.lit(0).alias("rank_sentence"), F.expr("if(id = 7, '...', repeat('the house ', 50))").alias("sentence"),
+    docs = spark.range(60).select("id", F.expr("cast(id % 2 as int)").alias("rank_sentence"), F.expr("if(id = 7, '...', repeat('the house ', 50))").alias("sentence"),
                                   F.lit("en").alias("lang"))
     prof = build_profiles(docs, "sentence").localCheckpoint()
     monkeypatch.setattr(language, "WORDS_PER_TASK", 100)
