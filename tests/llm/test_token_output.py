@@ -4,12 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tonekit.llm.encoder import UnitEncoder
+from tonekit.llm.encoder import UnitEncoder, encoder
 from tonekit.llm.huffman import EVERY, Code, code_lengths
-from tonekit.llm.token_output import op3_token_output
+from tonekit.llm.token_output import _tokenizer, op3_token_output
 
 ODD = ["", " ", "a  b", "\n\n x\ty  ", "it's  we'll x  y", "<|endoftext|> a<|endoftext|>b  <|startoftext|>",
        "é ́x", "ΑΣ ΣΑ", "x" * 500, "a\x1cb \x85c", "　全角 テスト", "a \n b\r\n\r\nc ", "12 345 6½", None]
@@ -113,3 +114,36 @@ def test_units_give_the_tokenizers_ids(name, drops_space):
     mine = UnitEncoder(path, drops_space)
     got = [np.frombuffer(b, "<u4").tolist() for i in range(0, len(texts), 500) for b in mine.encode(texts[i:i + 500])]
     assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+@pytest.mark.parametrize("name, drops_space", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_arrays_give_the_tokenizers_ids(name, drops_space):
+    """Slices with nulls, empty texts and texts that go to the tokenizer whole, each with its tail."""
+    plain, r = Tokenizer.from_file(P.path(name)), random.Random(7)
+    pieces = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "word,", "Été.", "über", "İ|", "½,", "日本", "a", "..."]
+    texts = ODD + ["".join(r.choices(pieces, k=r.randint(0, 7))) for _ in range(3000)] + [None, "", "x"]
+    want = [np.array([*e.ids, 9], dtype="<u4").tobytes()
+            for e in plain.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    mine, whole = UnitEncoder(P.path(name), drops_space), pa.array(["unread", *texts], pa.string())
+    tail = np.array([9], dtype="<u4").tobytes()
+    assert [b for i in range(0, len(texts), 700) for b in mine.encode_array(whole.slice(1 + i, 700), tail).to_pylist()] == want
+    for none in ([], [None, ""]):
+        assert mine.encode_array(pa.array(none, pa.string())).to_pylist() == [b""] * len(none)
+
+
+def test_a_word_beyond_the_cache_is_tokenized_once_an_array(monkeypatch):
+    """Rare words that no cache has room for cost a call for each 8 MB of text, not for each few texts or word."""
+    monkeypatch.setattr("tonekit.llm.encoder.CACHE_UNITS", 0)
+    calls = []
+    monkeypatch.setattr(UnitEncoder, "_word", lambda self, unit, f=UnitEncoder._word: calls.append(unit) or f(self, unit))
+    path = P.path("word_bpe_49k.json")
+    encoder.cache_clear()
+    texts = [f"rare {'abcdefghij'[i % 10]}word, rare. words" for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    encoder(path, True)
+    calls.clear()
+    got = [b for out in _tokenizer(path, True, 1)([batch]) for b in out.column(2).to_pylist()]
+    encoder.cache_clear()
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array([*e.ids, 1], dtype="<u4").tobytes() for e in want]
+    assert len(calls) == 12 and len(set(calls)) == 12

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from tonekit.llm.huffman import EVERY, LIMIT, Code, code_lengths
 END_ID = 1
 #: Ids of a range, if there are not too many ranges, and ids after which a block is closed.
 RANGE_IDS, MAX_RANGES, BLOCK_IDS = 8_000_000, 20_000, 1 << 19
-#: Texts that are tokenized at a time.
-TEXTS = 256
+#: Texts that are coded at a time, and bytes of text after which those tokenized at a time end.
+TEXTS, TEXT_BYTES = 256, 1 << 23
 
 _IDS = "doc_id long, n_tokens long, ids binary"
 _COUNTED = _IDS + ", token array<long>, n array<long>"
@@ -63,12 +64,12 @@ def _tokenizer(path: str, drops_space: bool, end_id: int):
     def run(batches):
         enc = encoder(path, drops_space)
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(i, TEXTS)
-                ids = [b + tail for b in enc.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    schema=schema)
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+            cuts = sorted({0, *(np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1).tolist(), batch.num_rows})
+            for a, b in zip(cuts, cuts[1:]):
+                ids = enc.encode_array(batch.column(1).slice(a, b - a), tail)
+                n = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, ids], schema=schema)
 
     return run
 
