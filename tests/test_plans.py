@@ -39,6 +39,13 @@ def test_metadata_from_table(spark):
     assert rows[("A and B", 2017)]["n_Deputy"] is None
 
 
+def test_metadata_table_is_parsed_once(spark):
+    pages = spark.createDataFrame([(1, TABLE_PAGE)], "page_id long, html string")
+    meta = metadata_from_table(pages, ["Term", "Leader", "Deputy"], range_col="Term", count_key="Leader", count_col="Deputy",
+                               exclude_text="Vacant", drop_positions=[0], drop_last=True)
+    assert "MapInArrow" not in meta._jdf.queryExecution().toString()  # neither the count nor the positions parse pages again
+
+
 def test_analysis_run(spark, lexicon):
     res = analysis(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/conversations.parquet"),
                    spark.read.parquet(f"{SF}/labels.parquet"), lexicon)

@@ -28,6 +28,8 @@ def _col(c: ColumnOrName) -> Column:
 
 #: Names of the standard's table (from the standard library), some of them also without the closing semicolon.
 _NAMED = {name: char for name, char in html5.items()}
+#: The most frequent ones, looked for before the table is.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;")
 _LEGACY = "|".join(sorted((n for n in _NAMED if not n.endswith(";")), key=lambda n: (-len(n), n)))
 RX_REFERENCE = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9A-Fa-f]{{1,6}};?|[A-Za-z][A-Za-z0-9]{{0,31}};|(?:{_LEGACY}))"
 
@@ -40,7 +42,10 @@ def _character(ref: Column) -> Column:
     code = F.when(ref.rlike("^&#[xX]"), digits).otherwise(code)
     valid = F.conv(code, 16, 10).cast("int").between(1, 0x10FFFF) & ~F.conv(code, 16, 10).cast("int").between(0xD800, 0xDFFF)
     char = F.when(valid, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-    return F.when(F.startswith(ref, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, 2, 40)), ref))
+    found = F.when(F.startswith(ref, F.lit("&#")), char)
+    for name in _COMMON:
+        found = found.when(ref == F.lit(f"&{name}"), F.lit(_NAMED[name]))
+    return found.otherwise(F.coalesce(F.try_element_at(names, F.substring(ref, 2, 40)), ref))
 
 
 def decode_entities(c: ColumnOrName) -> Column:
