@@ -63,7 +63,7 @@ def strip_tags(c: ColumnOrName) -> Column:
 
 
 # Comments, and elements whose content is no markup.
-RX_ASIDE = r"(?is)<!--.*?-->|<(script|style)(?:\s[^>]*)?>.*?</\1\s*>"
+RX_ASIDE = r"(?is)<(?:!--.*?-->|(script|style)(?:\s[^>]*)?>.*?</\1\s*>)"
 # Inside an open tag: quoted values may hold ">".
 _ATTRIBUTES = r"""(?:\s(?:[^>"']++|"[^"]*"|'[^']*')*+)?"""
 _CUT, _CLOSE = "\u0001", "\u0002"
@@ -71,7 +71,11 @@ _CUT, _CLOSE = "\u0001", "\u0002"
 
 def plain_markup(html: ColumnOrName) -> Column:
     """A page without comments, scripts and styles (and without the two characters that mark cuts)."""
-    return F.regexp_replace(F.translate(_col(html), _CUT + _CLOSE, ""), RX_ASIDE, "")
+    return F.regexp_replace(_without(_without(_col(html), _CUT), _CLOSE), RX_ASIDE, "")
+
+
+def _without(text: Column, mark: str) -> Column:
+    return F.replace(text, F.lit(mark), F.lit(""))
 
 
 def tag_pieces(html: ColumnOrName, tags: Sequence[str], plain: bool = False) -> Column:
@@ -80,8 +84,8 @@ def tag_pieces(html: ColumnOrName, tags: Sequence[str], plain: bool = False) ->
     ``plain``: the page has been through ``plain_markup`` already.
     """
     names = "|".join(re.escape(t) for t in tags)
-    opened = F.regexp_replace(_col(html) if plain else plain_markup(html), rf"(?is)(<(?:{names}){_ATTRIBUTES}/?>)", _CUT + "$1")
-    return F.split(F.regexp_replace(opened, rf"(?is)(</(?:{names})\s*>)", _CUT + _CLOSE + "$1"), _CUT)
+    opened = F.regexp_replace(_col(html) if plain else plain_markup(html), rf"(?is)<(?:{names}){_ATTRIBUTES}/?>", _CUT + "$0")
+    return F.split(F.regexp_replace(opened, rf"(?is)</(?:{names})\s*>", _CUT + _CLOSE + "$0"), _CUT)
 
 
 def open_tag(tag: str, css_class: str | None = None) -> str:
@@ -110,13 +114,15 @@ def element_markup(html: ColumnOrName, tag: str, css_class: str | None = None, p
         def cut(found: Column) -> Column:
             stop = F.when(found["stop"] < 0, found["at"]).otherwise(found["stop"])
             body = F.array_join(F.slice(pieces, found["start"] + 1, stop - found["start"]), "")
-            body = F.regexp_replace(F.translate(body, _CLOSE, ""), open_tag(tag), "")
+            body = F.regexp_replace(_without(body, _CLOSE), open_tag(tag), "")
             return F.when(found["start"] >= 0, body)
 
         return let(F.aggregate(pieces, state, step), cut)
 
     found = let(tag_pieces(html, [tag], plain), inner)
-    return found if css_class is None else F.when(F.contains(_col(html), F.lit(css_class)), found)
+    # only pages with the class, or the beginning of such a tag, are cut
+    named = F.contains(_col(html), F.lit(css_class)) if css_class is not None else F.contains(F.lower(_col(html)), F.lit(f"<{tag.lower()}"))
+    return F.when(named, found)
 
 
 def element_text(html: ColumnOrName, tag: str, css_class: str | None = None, plain: bool = False) -> Column:
