@@ -11,28 +11,35 @@ Trigrams are taken per word: lower-cased letter runs padded with one blank on ea
 seen in L need a lookup. The winner is the highest score (ties: the larger language code).
 Texts without any letter get the fixed fallback label.
 
-Physical plan: a text's sum is the sum over its words, and words repeat far more than texts. So every distinct word of
-the texts gets its vector once (number of trigrams, and per language the sum of its weights); texts are exploded
-to words only, joined with that table (broadcast if its bytes are proven few, else a shuffle join that AQE splits on
-hot words) and summed up per text: a row per word instead of one per trigram. The texts are dealt by their keys to as many
-tasks as their number of words asks for, so the sums that a task holds do not grow with the corpus.
+Physical plan: a profile has few trigrams, however many texts and different words there are. Its table of weights goes to every
+task (``trigram_sums``, if its bytes are proven few) and a text's sums are taken where the text is read: neither texts nor words
+are shuffled. ``with_language`` adds the label in that stage. ``detect_language`` sums up rows of one key first: one short row per
+text is dealt by its keys to as many tasks as the number of words asks for.
+
+With a profile too large for that, every distinct word of the texts gets its vector once (number of trigrams, and per language the
+sum of its weights); texts are dealt by their keys, exploded to words, joined with that table (broadcast if its bytes are proven
+few, else a shuffle join that AQE splits on hot words) and summed up per text.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.functions.patterns import NO_LANGUAGE
+from tonekit.functions.patterns import NO_LANGUAGE, RX_LETTERS, RX_WORD
 from tonekit.functions.text import word_tokens
 from tonekit.operators.generate import explode_rows
-from tonekit.operators.joins import broadcast_if_small
+from tonekit.operators.joins import BROADCAST_MAX_BYTES, broadcast_if_small
 
 #: Words of the texts that one task sums up.
 WORDS_PER_TASK = 1_000_000
+#: Bytes of keys and weights of the profile's trigrams up to which every task gets them all.
+TABLE_MAX_BYTES = BROADCAST_MAX_BYTES
 
 
 def word_trigrams(word: Column) -> Column:
@@ -73,46 +80,102 @@ def materialize_profiles(profiles: DataFrame) -> DataFrame:
     return materialize(profiles)
 
 
-def _language_constants(profiles: DataFrame) -> list[tuple[str, float]]:
-    """(lang, log(total_L + V)) for every language: as many rows as the profile table has languages."""
+class LanguageModel(NamedTuple):
+    """What is read off a profile once: ``consts`` has (lang, log(total_L + V)) per language, ``sums`` is a function that takes a
+    text to its number of trigrams and the sums of their weights, or None if the profile is too large to go to every task."""
+
+    profiles: DataFrame
+    consts: list[tuple[str, float]]
+    sums: Callable[[Column], Column] | None
+
+
+def language_model(profiles: DataFrame) -> LanguageModel:
+    """``profiles`` is a learned model read by several jobs: pass a stored or materialized table (``materialize_profiles``)."""
     vocab = profiles.select("tri").distinct().count()
     rows = profiles.groupBy("lang").agg(F.sum("n").alias("total")).collect()
-    return sorted((r["lang"], math.log(r["total"] + vocab)) for r in rows)
+    consts = sorted((r["lang"], math.log(r["total"] + vocab)) for r in rows)
+    if not consts or vocab * (1 + len(consts)) * 8 > TABLE_MAX_BYTES:
+        return LanguageModel(profiles, consts, None)
+    from tonekit.operators.trigram_sums import sums_udf, trigram_table
+    stored = _wide_weights(profiles, [lang for lang, _ in consts]).toArrow()
+    weights = np.column_stack([stored[f"_w{i}"].fill_null(0.0).to_numpy() for i in range(len(consts))])
+    table = profiles.sparkSession.sparkContext.broadcast(trigram_table(stored["tri"].to_pylist(), weights))
+    udf = sums_udf(table, len(consts))
+    return LanguageModel(profiles, consts, lambda text: udf(spaced_words(text)))
+
+
+def spaced_words(text: Column) -> Column:
+    """The words of a text (as in ``word_tokens``) with one blank between them and around them; blanks alone for none or a null."""
+    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), RX_WORD, " ")
+    return F.concat(F.lit(" "), letters, F.lit(" "))
+
+
+def _wide_weights(profiles: DataFrame, langs: Sequence[str]) -> DataFrame:
+    """``tri, _w0, _w1, ...``: one row per trigram with one weight column per language, so a join with it does not multiply rows."""
+    return (profiles.groupBy("tri").pivot("lang", list(langs))
+                    .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
+                    .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
 
 
 def word_vectors(words: DataFrame, profiles: DataFrame, langs: Sequence[str]) -> DataFrame:
     """``word, n_tri, _s0, _s1, ...``: per distinct ``word`` its trigrams and the sum of their weights per language."""
-    # One row per trigram with one weight column per language: the join does not multiply rows.
-    wide = (profiles.groupBy("tri").pivot("lang", list(langs))
-                    .agg(F.first(F.log(F.col("n") + F.lit(1.0))))
-                    .toDF("tri", *[f"_w{i}" for i in range(len(langs))]))
+    wide = _wide_weights(profiles, langs)
     tri = explode_rows(words, word_trigrams(F.col("word")), ["tri"], ["word"])
     sums = [F.sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(langs))]
     return tri.join(wide, "tri", "left").groupBy("word").agg(F.count(F.lit(1)).alias("n_tri"), *sums)
 
 
-def detect_language(df: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("id", "rank_sentence"),
+def _label(consts: Sequence[tuple[str, float]], n: Column, sums: Sequence[Column]) -> Column:
+    """The language with the highest score (ties: the larger code) of a text with ``n`` trigrams and these sums of weights."""
+    scores = [F.struct((s - n * F.lit(c)).alias("score"), F.lit(lang).alias("lang")) for s, (lang, c) in zip(sums, consts)]
+    best = F.array_max(F.array(*scores))["lang"] if scores else F.lit(None).cast("string")
+    return F.when(n > 0, best).otherwise(F.lit(NO_LANGUAGE))
+
+
+def with_language(df: DataFrame, model: LanguageModel, text_col: str = "sentence", out: str = "language") -> DataFrame:
+    """``df`` with the language of each row's own text, in the stage that reads it (``model`` must have ``sums``)."""
+    cols = df.columns
+    summed = df.withColumn("_sums", model.sums(F.col(text_col)))
+    return summed.select(*cols, _label(model.consts, F.col("_sums.n"), [F.col(f"_sums.s{i}") for i in range(len(model.consts))]).alias(out))
+
+
+def detect_language(df: DataFrame, profiles: DataFrame | LanguageModel, keys: Sequence[str] = ("id", "rank_sentence"),
                     text_col: str = "sentence", out: str = "language") -> DataFrame:
-    """``(*keys, language)`` for every row of ``df`` (``keys`` must be unique).
+    """``(*keys, language)``: a row for each value of ``keys`` in ``df``; rows that share one count as one text.
 
-    ``profiles`` is a learned model read by three jobs (vocabulary size, per-language totals, the
-    join): pass a stored or materialized table (``materialize_profiles``), not a lazy aggregate.
+    ``profiles`` is a learned model read by several jobs (vocabulary size, per-language totals, weights): pass a stored or
+    materialized table (``materialize_profiles``), not a lazy aggregate, or its ``language_model``.
     """
+    model = profiles if isinstance(profiles, LanguageModel) else language_model(profiles)
+    sums = [f"_s{i}" for i in range(len(model.consts))]
+    if model.sums is None:
+        per_row = _word_sums(df, model, keys, text_col)
+    else:
+        # a text without words counts as one
+        n_words = F.greatest(F.coalesce(F.regexp_count(F.col(text_col), F.lit(RX_LETTERS)), F.lit(0)), F.lit(1))
+        total = df.agg(F.sum(n_words.cast("long")).alias("n")).first()["n"]
+        summed = df.select(*keys, model.sums(F.col(text_col)).alias("_sums"))
+        per_row = (summed.select(*keys, F.col("_sums.n").alias("_n"), *[F.col(f"_sums.s{i}").alias(c) for i, c in enumerate(sums)])
+                         .repartition(_n_parts(df, total), *keys))
+    per_text = per_row.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in sums])
+    return per_text.select(*keys, _label(model.consts, F.col("_n"), [F.col(c) for c in sums]).alias(out))
+
+
+def _n_parts(df: DataFrame, n_words: int | None) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-(n_words or 0) // WORDS_PER_TASK))
+
+
+def _word_sums(df: DataFrame, model: LanguageModel, keys: Sequence[str], text_col: str) -> DataFrame:
+    """``(*keys, _n, _s0, _s1, ...)``: the vector of each word of the texts, dealt by ``keys``."""
     from tonekit.session import materialize
-    consts = _language_constants(profiles)
     # explode_outer keeps texts without words (one row, null word) so no join back is needed
     words = F.explode_outer(word_tokens(text_col)).alias("word")
     counts = materialize(df.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     distinct = counts.where(F.col("word").isNotNull()).select("word")
-    vectors = materialize(word_vectors(distinct, profiles, [lang for lang, _ in consts]))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    n_parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS_PER_TASK))
+    vectors = materialize(word_vectors(distinct, model.profiles, [lang for lang, _ in model.consts]))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]
     # texts are dealt by their keys before they become words: the sum per text needs no second shuffle
-    toks = df.select(*keys, text_col).repartition(n_parts, *keys).select(*keys, words)
+    toks = df.select(*keys, text_col).repartition(_n_parts(df, total), *keys).select(*keys, words)
     joined = toks.join(broadcast_if_small(vectors), "word", "left")
-    sums = [F.sum(F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias(f"_s{i}") for i in range(len(consts))]
-    per_text = joined.groupBy(*keys).agg(F.sum(F.coalesce("n_tri", F.lit(0))).alias("_n"), *sums)
-    scores = [F.struct((F.col(f"_s{i}") - F.col("_n") * F.lit(c)).alias("score"), F.lit(lang).alias("lang"))
-              for i, (lang, c) in enumerate(consts)]
-    best = F.array_max(F.array(*scores))["lang"] if scores else F.lit(None).cast("string")
-    return per_text.select(*keys, F.when(F.col("_n") > 0, best).otherwise(F.lit(NO_LANGUAGE)).alias(out))
+    return joined.select(*keys, F.coalesce("n_tri", F.lit(0)).alias("_n"),
+                         *[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)).alias(f"_s{i}") for i in range(len(model.consts))])

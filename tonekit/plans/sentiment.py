@@ -1,21 +1,23 @@
 """The scored sentence table (N10): text table -> one row per sentence with three scores.
 
-Plan shape (inline lexicon): scan -> split/filter/posexplode -> token scores, all in one narrow
-stage with the document metadata carried along (no join back to the documents). The language
-column adds the trigram aggregate (one shuffle of one small row per sentence) and a join on
-``(id, rank_sentence)``.
+Plan shape (inline lexicon): scan -> split/filter/posexplode -> language -> token scores, all in one narrow
+stage with the document metadata carried along (no join back to the documents, no shuffle of sentences).
+Only documents whose id comes more than once need more: the language belongs to ``(id, rank_sentence)``, so their sentences are
+summed up by that key and joined. The ids are counted first (one short row per document).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonekit.operators.language import detect_language
+from tonekit.operators.joins import broadcast_if_small, is_small
+from tonekit.operators.language import LanguageModel, detect_language, language_model, with_language
 from tonekit.operators.scoring import SCORE_COLUMNS, score_sentences
 from tonekit.operators.sentences import explode_sentences
+from tonekit.session import materialize
 
 
 def sentiment_table(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame,
@@ -29,13 +31,37 @@ def sentiment_table(df: DataFrame, id_col: str, text_col: str, lexicon: DataFram
     adds the ``language`` column.
     """
     sents = explode_sentences(df, id_col, text_col, sentence_level, keep)
-    scored = score_sentences(sents, lexicon, negation=negation)
     cols = ["id", "rank_sentence", "sentence", *SCORE_COLUMNS]
     if profiles is not None:
-        lang = detect_language(sents, profiles)
-        scored = scored.join(lang, ["id", "rank_sentence"], "left")
+        def split(docs: DataFrame) -> DataFrame:
+            return explode_sentences(docs, id_col, text_col, sentence_level, keep)
+
+        sents = _with_key_language(df, id_col, split, language_model(profiles))
         cols.append("language")
-    return scored.select(*cols, *keep)
+    return score_sentences(sents, lexicon, negation=negation).select(*cols, *keep)
+
+
+def _with_key_language(df: DataFrame, id_col: str, split: Callable[[DataFrame], DataFrame], model: LanguageModel) -> DataFrame:
+    """The sentences of ``df`` with the ``language`` of their ``(id, rank_sentence)``: of the sentences that share it together, null without id."""
+    def by_key(docs: DataFrame) -> DataFrame:
+        sents = split(docs)
+        return sents.join(detect_language(sents.where(F.col("id").isNotNull()), model), ["id", "rank_sentence"], "left")
+
+    def by_row(docs: DataFrame) -> DataFrame:
+        sents = split(docs)
+        labelled = with_language(sents, model)
+        return labelled.withColumn("language", F.when(F.col("id").isNotNull(), F.col("language")))
+
+    if model.sums is None:
+        return by_key(df)
+    repeated = materialize(df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+                             .where(F.col("_n") > 1).select(id_col))
+    if repeated.isEmpty():
+        return by_row(df)
+    if not is_small(repeated):
+        return by_key(df)
+    few = F.broadcast(repeated)
+    return by_row(df.join(few, id_col, "left_anti")).unionByName(by_key(df.join(few, id_col, "left_semi")))
 
 
 TURNS = 1 << 20
